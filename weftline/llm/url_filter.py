@@ -166,10 +166,9 @@ class UrlFilter:
         url = F.col(column)
         out = urls.select(*(F.col(f"`{c}`") for c in clear), host_of(url).alias("host"), path_of(url).alias("path"))
         keys = candidate_keys(F.col("host"), F.col("path"), self.path_lengths)
-        best = F.lit(None).cast("struct<n:int,h:int,rule:string,verdict:string>")
+        fitting = [F.array().cast("array<struct<n:int,h:int,rule:string,verdict:string>>")]
         for verdict, cascade in self.cascades.items():
-            found = F.filter(keys, cascade.holds)
-            mine = F.array_max(F.transform(found, lambda k, v=verdict: F.struct(F.length(k).alias("n"), F.length(F.substring_index(k, "/", 1)).alias("h"), k.alias("rule"), F.lit(v).alias("verdict"))))
-            best = F.coalesce(F.greatest(best, mine), best, mine)
+            fitting.append(F.transform(F.filter(keys, cascade.holds), lambda k, v=verdict: F.struct(F.length(k).alias("n"), F.length(F.substring_index(k, "/", 1)).alias("h"), k.alias("rule"), F.lit(v).alias("verdict"))))
+        best = F.array_max(F.concat(*fitting))
         out = out.withColumn("_best", best)
         return out.select("*", F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit(self.default)).alias("verdict")).drop("_best")
