@@ -134,6 +134,15 @@ def build_cascade(universe: DataFrame, listed: DataFrame, size: int, most_levels
     return Cascade(tuple(levels))
 
 
+def _weighed(verdict: str):
+    """A key as a struct that sorts by precedence."""
+
+    def of(key: Column) -> Column:
+        return F.struct(F.length(key).alias("n"), F.length(F.substring_index(key, "/", 1)).alias("h"), key.alias("rule"), F.lit(verdict).alias("verdict"))
+
+    return of
+
+
 class UrlFilter:
     """Rules (host, path, verdict) fitted to a table of urls."""
 
@@ -166,9 +175,10 @@ class UrlFilter:
         url = F.col(column)
         out = urls.select(*(F.col(f"`{c}`") for c in clear), host_of(url).alias("host"), path_of(url).alias("path"))
         keys = candidate_keys(F.col("host"), F.col("path"), self.path_lengths)
-        fitting = [F.array().cast("array<struct<n:int,h:int,rule:string,verdict:string>>")]
+        fitting = []
         for verdict, cascade in self.cascades.items():
-            fitting.append(F.transform(F.filter(keys, cascade.holds), lambda k, v=verdict: F.struct(F.length(k).alias("n"), F.length(F.substring_index(k, "/", 1)).alias("h"), k.alias("rule"), F.lit(v).alias("verdict"))))
-        best = F.array_max(F.concat(*fitting))
+            fitting.append(F.transform(F.filter(keys, cascade.holds), _weighed(verdict)))
+        none = F.lit(None).cast("struct<n:int,h:int,rule:string,verdict:string>")
+        best = F.array_max(F.concat(*fitting)) if fitting else none
         out = out.withColumn("_best", best)
         return out.select("*", F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit(self.default)).alias("verdict")).drop("_best")
