@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import token_output, url_filter
+from . import piece_spans, token_output, url_filter
 from .common import table
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -14,6 +14,10 @@ def op1_token_output(spark, sf_dir):
     return token_output.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op3_piece_spans(spark, sf_dir):
+    return piece_spans.piece_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op5_url_filter(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.UrlFilter(URL_RULES).fit(pages).judge(pages).drop("url")
@@ -35,6 +39,7 @@ FROM parts
 def queries():
     return {
         "op1_token_output": op1_token_output,
+        "op3_piece_spans": op3_piece_spans,
         "op5_url_filter": op5_url_filter,
     }
 
