@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import piece_spans, token_output, url_filter
+from . import packing, piece_spans, token_output, url_filter
 from .common import table
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -23,6 +23,10 @@ def op5_url_filter(spark, sf_dir):
     return url_filter.UrlFilter(URL_RULES).fit(pages).judge(pages).drop("url")
 
 
+def op6_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, capacity=2048)
+
+
 _HOST = "translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _FITS = "(host = r.h OR ends_with(host, '.' || r.h)) AND starts_with(path, r.p)"
 _OP5 = f"""
@@ -41,6 +45,7 @@ def queries():
         "op1_token_output": op1_token_output,
         "op3_piece_spans": op3_piece_spans,
         "op5_url_filter": op5_url_filter,
+        "op6_packing": op6_packing,
     }
 
 
