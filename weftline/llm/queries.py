@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import packing, piece_spans, token_output, url_filter
+from . import jaccard_join, packing, piece_spans, token_output, url_filter
 from .common import table
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -27,6 +27,10 @@ def op6_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, capacity=2048)
 
 
+def op7_jaccard_join(spark, sf_dir):
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85).drop("class_id")
+
+
 _HOST = "translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _FITS = "(host = r.h OR ends_with(host, '.' || r.h)) AND starts_with(path, r.p)"
 _OP5 = f"""
@@ -46,6 +50,7 @@ def queries():
         "op3_piece_spans": op3_piece_spans,
         "op5_url_filter": op5_url_filter,
         "op6_packing": op6_packing,
+        "op7_jaccard_join": op7_jaccard_join,
     }
 
 
