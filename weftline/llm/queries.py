@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import jaccard_join, packing, piece_spans, token_output, url_filter
+from . import jaccard_join, language_id, packing, piece_spans, token_output, url_filter
 from .common import table
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -31,6 +31,10 @@ def op7_jaccard_join(spark, sf_dir):
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85).drop("class_id")
 
 
+def op10_language_id(spark, sf_dir):
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 _HOST = "translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _FITS = "(host = r.h OR ends_with(host, '.' || r.h)) AND starts_with(path, r.p)"
 _OP5 = f"""
@@ -51,6 +55,7 @@ def queries():
         "op5_url_filter": op5_url_filter,
         "op6_packing": op6_packing,
         "op7_jaccard_join": op7_jaccard_join,
+        "op10_language_id": op10_language_id,
     }
 
 
