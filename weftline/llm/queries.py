@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import jaccard_join, language_id, packing, piece_spans, token_output, url_filter
+from . import jaccard_join, language_id, packing, piece_spans, substring_dedup, token_output, url_filter
 from .common import table
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -35,6 +35,10 @@ def op10_language_id(spark, sf_dir):
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark, sf_dir):
+    return substring_dedup.dedup_digests(table(spark, sf_dir, "documents"), size=35)
+
+
 _HOST = "translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _FITS = "(host = r.h OR ends_with(host, '.' || r.h)) AND starts_with(path, r.p)"
 _OP5 = f"""
@@ -55,6 +59,7 @@ def queries():
         "op5_url_filter": op5_url_filter,
         "op6_packing": op6_packing,
         "op7_jaccard_join": op7_jaccard_join,
+        "op8_substring_dedup": op8_substring_dedup,
         "op10_language_id": op10_language_id,
     }
 
