@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import jaccard_join, language_id, packing, piece_spans, substring_dedup, token_output, url_filter
+from . import jaccard_join, language_id, packing, piece_spans, substring_dedup, token_output, url_filter, vector_search
 from .common import table
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -39,6 +39,10 @@ def op8_substring_dedup(spark, sf_dir):
     return substring_dedup.dedup_digests(table(spark, sf_dir, "documents"), size=35)
 
 
+def op9_vector_search(spark, sf_dir):
+    return vector_search.nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 _HOST = "translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _FITS = "(host = r.h OR ends_with(host, '.' || r.h)) AND starts_with(path, r.p)"
 _OP5 = f"""
@@ -60,6 +64,7 @@ def queries():
         "op6_packing": op6_packing,
         "op7_jaccard_join": op7_jaccard_join,
         "op8_substring_dedup": op8_substring_dedup,
+        "op9_vector_search": op9_vector_search,
         "op10_language_id": op10_language_id,
     }
 
