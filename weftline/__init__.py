@@ -1 +1 @@
-"""..."""
+"""Graph analytics and training-data operators on PySpark DataFrames."""

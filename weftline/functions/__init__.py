@@ -1 +1 @@
-"""..."""
+"""Column functions: hashing, cardinality sketches, packed registers."""

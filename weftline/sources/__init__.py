@@ -1 +1 @@
-"""..."""
+"""Edge tables from files, literals and the test tables."""

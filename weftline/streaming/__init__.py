@@ -1 +1 @@
-"""..."""
+"""The operators that add up, over unbounded input."""
