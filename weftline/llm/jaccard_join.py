@@ -15,10 +15,13 @@ one class.  Two sets link when 100 * |x & y| >= percent * |x | y|.
    own + rare + sum over classes of (held - 1) exceeds t: a partner lacks at
    most t tokens, so some signature is left intact in both.  Sets sign for
    their own size range and the next, so partners count classes alike.
-4. Verification.  Each signature's smallest set is compared with the others;
-   what links becomes components.  Where a signature still joins several
-   components, only pairs across them whose bounds allow a link are compared,
-   block by block.  Each comparison is exact, on full sets.
+4. Verification.  Each signature's smallest set, its pivot, is compared with
+   the others on full sets; what links becomes components.  The comparison
+   also leaves what each set lacks of its pivot and has beside it.  Sets that
+   share a signature share its pivot, so the pairs still open are those of one
+   pivot in different components; from the two differences to the pivot their
+   intersection follows exactly.  Blocks of such sets are compared in a task,
+   which returns a spanning forest of its links, never the pairs.
 
 No step brings a group together in a task except as a stream or in blocks of
 bounded size, and no links or components reach the driver.
@@ -172,47 +175,115 @@ def _signatures(percent: int):
     return run
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (u, v) whose full sets link."""
+def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` (u, v) -> u, v, n_u, n_v, lacking (how many tokens of u v has
+    not), other (these, and v's tokens that u has not), linked."""
 
     def run(batches):
         for b in batches:
-            keep = np.zeros(len(b), bool)
-            for i, (x, y) in enumerate(zip(b.column(2), b.column(3))):
+            rows = []
+            for u, v, x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = np.concatenate([x, y])
                 both.sort(kind="stable")
-                same = int((both[1:] == both[:-1]).sum())
-                keep[i] = 100 * same >= percent * (len(x) + len(y) - same)
-            yield b.select([0, 1]).filter(pa.array(keep))
+                twice = np.zeros(len(both) + 1, bool)
+                twice[1:-1] = both[1:] == both[:-1]
+                other = both[~(twice[1:] | twice[:-1])]
+                same = (len(both) - len(other)) // 2
+                rows.append((u, v, len(x), len(y), len(x) - same, other.tobytes(), 100 * same >= percent * (len(x) + len(y) - same)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _STARRED)], schema=_STARRED)
 
     left, right = sets.select(F.col("doc_id").alias("u"), F.col("tokens").alias("x")), sets.select(F.col("doc_id").alias("v"), F.col("tokens").alias("y"))
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
-
-
-def _may_link(n, m, own, own_m, percent):
-    """Sizes, and tokens that nobody else has, allow a link."""
-    least = -(-percent * (n + m) // (100 + percent))
-    return np.minimum(n - own, m - own_m) >= least
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "x", "y").mapInArrow(run, "u long, v long, n_u long, n_v long, lacking long, other binary, linked boolean")
+
+
+_STARRED = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("n_u", pa.int64()), ("n_v", pa.int64()), ("lacking", pa.int64()), ("other", pa.binary()), ("linked", pa.bool_())])
+
+
+def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections between two lists of token arrays."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    tokens = np.concatenate([*a, *b])
+    row = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in (*a, *b)])
+    names, column = np.unique(tokens, return_inverse=True)
+    # only tokens that occur on both sides count
+    left = np.zeros(len(names), bool)
+    left[column[row < len(a)]] = True
+    right = np.zeros(len(names), bool)
+    right[column[row >= len(a)]] = True
+    use = (left & right)[column]
+    _, column = np.unique(column[use], return_inverse=True)
+    row = row[use]
+    width = 2048
+    for at in range(0, int(column.max(initial=-1)) + 1, width):
+        own = (column >= at) & (column < at + width)
+        grid = np.zeros((len(a) + len(b), width), np.float32)
+        grid[row[own], column[own] - at] = 1
+        out += grid[: len(a)] @ grid[len(a) :].T
+    return out
 
 
 def _across(percent: int):
-    """A block pair of one signature -> pairs across components that may link."""
+    """A block pair of one pivot: rows (v, n_u, n_v, lacking, other, component,
+    side) -> a spanning forest of the links between different components."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf[pdf.side == 0], pdf[pdf.side == 1]
-        same = not len(b)
-        b = a if same else b
-        x, y = a[["doc_id", "n", "own", "component"]].to_numpy(), b[["doc_id", "n", "own", "component"]].to_numpy()
-        ok = (x[:, None, 3] != y[None, :, 3]) & _may_link(x[:, None, 1], y[None, :, 1], x[:, None, 2], y[None, :, 2], percent)
-        if same:
-            ok &= np.tri(len(x), k=-1, dtype=bool).T
-        i, j = np.nonzero(ok)
-        return pd.DataFrame({"u": np.minimum(x[i, 0], y[j, 0]), "v": np.maximum(x[i, 0], y[j, 0])})
+        b = b if len(b) else a
+        size = int(pdf.n_u.iloc[0])
+
+        def wide(column):
+            return a[column].to_numpy()[:, None], b[column].to_numpy()[None, :]
+
+        (n, m), (lack, lack_m), (c, c_m) = wide("n_v"), wide("lacking"), wide("component")
+        # the pair may share what both kept of the pivot and, at most, all additions
+        most = size - np.maximum(lack, lack_m) + np.minimum(n - size + lack, m - size + lack_m)
+        open_ = (c != c_m) & (100 * most >= percent * (n + m - most))
+        rows, columns = np.flatnonzero(open_.any(1)), np.flatnonzero(open_.any(0))
+        none = pd.DataFrame({"u": np.zeros(0, np.int64), "v": np.zeros(0, np.int64)})
+        if not len(rows):
+            return none
+        tokens = [[np.frombuffer(x, np.uint64) for x in side.other.iloc[own]] for side, own in ((a, rows), (b, columns))]
+        part = np.ix_(rows, columns)
+        same = size - lack[rows] - lack_m[:, columns] + _common(*tokens).astype(np.int64)
+        link = open_[part] & (100 * same >= percent * (n[rows] + m[:, columns] - same))
+        ids, ids_b = a.v.to_numpy()[rows], b.v.to_numpy()[columns]
+        # smallest id reachable within the block pair
+        far = np.iinfo(np.int64).max
+        label, label_b = ids.copy(), ids_b.copy()
+        while True:
+            new = np.minimum(label, np.where(link, label_b[None, :], far).min(1))
+            new_b = np.minimum(label_b, np.where(link, new[:, None], far).min(0))
+            if (new == label).all() and (new_b == label_b).all():
+                break
+            label, label_b = new, new_b
+        u, v = np.concatenate([label, label_b]), np.concatenate([ids, ids_b])
+        return pd.DataFrame({"u": u[u != v], "v": v[u != v]})
 
     return run
 
 
+def _open_blocks(starred: DataFrame, found: DataFrame) -> DataFrame:
+    """Sets of each pivot dealt to block pairs.  Sets in the pivot's own
+    component need no comparison with each other, only with the others."""
+    label = found.withColumnRenamed("component", "of")
+    here = (
+        starred.join(label.select(F.col("id").alias("v"), F.col("of").alias("component")), "v", "left").join(label.select(F.col("id").alias("u"), F.col("of").alias("home")), "u", "left")
+        .withColumn("component", F.coalesce("component", "v")).withColumn("out", F.col("component") != F.coalesce("home", "u"))
+    )
+    sizes = here.groupBy("u").agg(F.count_if("out").alias("outside"), F.count(F.lit(1)).alias("all")).filter("outside > 0 and all > 1")
+    here = here.join(sizes, "u")
+    outer = F.ceil(F.col("outside") / BLOCK).cast("int")
+    inner = F.ceil((F.col("all") - F.col("outside")) / BLOCK).cast("int")
+    at = F.when(F.col("out"), F.pmod(F.xxhash64("v"), outer)).otherwise(outer + F.pmod(F.xxhash64("v"), F.greatest(inner, F.lit(1)))).cast("int")
+    others = F.when(F.col("out"), F.sequence(F.lit(0), outer + inner - 1)).otherwise(F.sequence(F.lit(0), outer - 1))
+    return (
+        here.withColumn("at", at).withColumn("with", F.explode(others))
+        .select("u", F.least("at", "with").alias("a"), F.greatest("at", "with").alias("b"), (F.col("at") > F.col("with")).cast("int").alias("side"), "v", "n_u", "n_v", "lacking", "other", "component")
+    )
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest doc_id with the same set),
     component_id (smallest doc_id reachable by links), one row a document."""
@@ -234,23 +305,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     ranked = tokens.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("tokens")).join(wanted.select("doc_id", "n"), "doc_id").filter(F.size("tokens") >= F.col("n") - t)
     # 3: signatures that at least two sets have
     signed = cut(ranked.select("doc_id", "n", "tokens").mapInArrow(_signatures(percent), "sig long, doc_id long, n long, own long"), "signed")
-    heads = cut(signed.groupBy("sig").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("many")).filter("head < last"), "heads")
+    heads = cut(signed.groupBy("sig").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).filter("head < last"), "heads")
     # 4: each signature's smallest set against the others
     stars = cut(signed.join(heads.select("sig", "head"), "sig").filter("doc_id > head").select(F.col("head").alias("u"), F.col("doc_id").alias("v")).distinct(), "stars")
-    links = cut(_verify(stars, full, percent), "links")
+    starred = cut(_compare(stars, full, percent), "starred")
+    links = starred.filter("linked").select("u", "v")
     found = cut(components(links), "found")
-    labelled = signed.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    open_ = (
-        labelled.join(heads.select("sig", "many"), "sig").join(labelled.groupBy("sig").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("sig"), "sig", "left_semi")
-    )
-    blocks = F.ceil(F.col("many") / BLOCK).cast("int")
-    own_block = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
-    dealt = (
-        open_.withColumn("at", own_block).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("sig", "doc_id", "n", "own", "component", F.least("at", "other").alias("a"), F.greatest("at", "other").alias("b"), (F.col("at") > F.col("other")).cast("int").alias("side"))
-    )
-    rest = dealt.groupBy("sig", "a", "b").applyInPandas(_across(percent), "u long, v long").distinct().join(stars, ["u", "v"], "left_anti")
-    more = cut(_verify(cut(rest, "rest"), full, percent), "links")
+    more = cut(_open_blocks(starred, found).groupBy("u", "a", "b").applyInPandas(_across(percent), "u long, v long"), "more")
     final = cut(components(links.unionByName(more)), "final")
     by_set = classes.select("hi", "lo", F.col("doc_id").alias("class_id"))
     return (
