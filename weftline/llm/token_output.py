@@ -3,8 +3,10 @@
 Ids are replaced by their rank in falling corpus frequency (ties: smaller id
 first), so the commonest 256 take one byte.  The code keeps lengths apart from
 data: a control byte holds four 2-bit lengths (bytes less one), the data bytes
-of the four ranks follow each other in a stream of their own.  Decoding looks
-up each control byte in a table of lengths and gathers bytes with numpy.
+of the four ranks follow each other in a stream of their own.  A document
+begins at a new control byte, so coded documents can be joined as bytes.
+Decoding looks up each control byte in a table of lengths and gathers bytes
+with numpy.
 
 A file is a Parquet file of blocks in ascending document order; a block holds
 many documents: their ids, their token counts, the control and the data bytes,
@@ -19,7 +21,6 @@ tables give no files' rows; other columns are ignored.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,24 +33,33 @@ from .common import cut, drop, drop_path, new_path, text_groups
 
 #: Lengths of the four values of each control byte, and their sum.
 _LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
-_TOTAL = _LENGTHS.sum(1)
 
 
-def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """Control bytes and data bytes of uint32 values."""
+def encode_ranks(ranks: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Control bytes and data bytes of uint32 values, and in both streams the
+    offsets of the documents whose values end at ``ends`` (the first at 0)."""
     values = np.ascontiguousarray(ranks, "<u4")
+    counts = np.diff(ends)
+    control_at = np.concatenate([[0], np.cumsum((counts + 3) // 4)])
     size = 1 + (values > 0xFF) + (values > 0xFFFF) + (values > 0xFFFFFF)
-    codes = np.zeros(-(-len(values) // 4) * 4, np.uint8)
-    codes[: len(values)] = size - 1
-    control = (codes.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1).astype(np.uint8)
-    keep = np.arange(4) < size[:, None]
-    return control.tobytes(), values.view(np.uint8).reshape(-1, 4)[keep].tobytes()
-
-
-def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
-    """The first ``n`` values again; the table gives all lengths at once."""
-    sizes = _LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:n]
-    keep = np.arange(4) < sizes[:, None]
+    codes = np.zeros(4 * int(control_at[-1]), np.uint8)
+    codes[np.arange(len(values)) + np.repeat(4 * control_at[:-1] - ends[:-1], counts)] = size - 1
+    q = codes.reshape(-1, 4)
+    control = q[:, 0] | q[:, 1] << 2 | q[:, 2] << 4 | q[:, 3] << 6
+    data_at = np.concatenate([[0], np.cumsum(size)])[ends]
+    if not len(size) or size.max() == 1:
+        return control, control_at, values.astype(np.uint8), data_at
+    keep = np.arange(4, dtype=np.uint8) < size[:, None].astype(np.uint8)
+    return control, control_at, values.view(np.uint8).reshape(-1, 4)[keep], data_at
+
+
+def decode_ranks(control: bytes, data: bytes, counts: np.ndarray) -> np.ndarray:
+    """The values of all documents again; the table gives all lengths at once."""
+    groups = (counts + 3) // 4
+    sizes = _LENGTHS[np.frombuffer(control, np.uint8)].ravel()
+    n = int(counts.sum())
+    at = np.arange(n) + np.repeat(4 * (np.cumsum(groups) - groups) - (np.cumsum(counts) - counts), counts)
+    keep = np.arange(4, dtype=np.uint8) < sizes[at][:, None]
     out = np.zeros((n, 4), np.uint8)
     out[keep] = np.frombuffer(data, np.uint8)
     return out.view("<u4").ravel()
@@ -74,8 +84,21 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
 
-def _wide(ids: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4")
+def _flat(column: pa.Array) -> np.ndarray:
+    """All bytes of a binary column in turn, without a copy."""
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+
+
+def _binary(offsets: np.ndarray, values: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a batch of :func:`token_table` rows, and the offsets of rows."""
+    ends = np.concatenate([[0], np.cumsum(batch.column(1).to_numpy())])
+    raw = _flat(batch.column(2))
+    return raw.view("<u2" if len(raw) == 2 * ends[-1] else "<u4"), ends
 
 
 def frequencies(tokens: DataFrame) -> DataFrame:
@@ -84,17 +107,13 @@ def frequencies(tokens: DataFrame) -> DataFrame:
     def count(batches):
         total = np.zeros(0, np.int64)
         for b in batches:
-            for ids, n in zip(b.column(0), b.column(1)):
-                c = np.bincount(_wide(ids.as_buffer(), n.as_py()))
-                if len(c) > len(total):
-                    c[: len(total)] += total
-                    total = c
-                else:
-                    total[: len(c)] += c
+            c = np.bincount(_ids(b)[0], minlength=len(total))
+            c[: len(total)] += total
+            total = c
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
 
-    return tokens.select("ids", "n_tokens").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return tokens.mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, block_tokens: int = 1 << 18) -> None:
@@ -112,29 +131,21 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, bl
 
     def shrink(batches):
         for b in batches:
-            coded = [encode_ranks(rank_of[_wide(i.as_buffer(), n.as_py())]) for i, n in zip(b.column(2), b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c for c, _ in coded], pa.binary()), pa.array([d for _, d in coded], pa.binary())], ["doc_id", "n_tokens", "control", "data"])
+            ids, ends = _ids(b)
+            control, control_at, data, data_at = encode_ranks(rank_of[ids], ends)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _binary(control_at, control), _binary(data_at, data)], ["doc_id", "n_tokens", "control", "data"])
 
     def blocks(batches):
-        base, docs_, counts, ranks, size = 0, [], [], [], 0
-
-        def flush():
-            nonlocal base, docs_, counts, ranks, size
-            control, data = encode_ranks(np.concatenate(ranks))
-            row = pa.RecordBatch.from_pylist([{"base": base, "doc_ids": np.array(docs_, "<i8").tobytes(), "counts": np.array(counts, "<i8").tobytes(), "control": control, "data": data}], _BLOCK)
-            base, docs_, counts, ranks, size = base + size, [], [], [], 0
-            return row
-
+        base = 0
         for b in batches:
-            for d, n, c, x in zip(*(b.column(i).to_pylist() for i in range(4))):
-                docs_.append(d)
-                counts.append(n)
-                ranks.append(decode_ranks(c, x, n))
-                size += n
-                if size >= block_tokens:
-                    yield flush()
-        if docs_:
-            yield flush()
+            counts = b.column(1).to_numpy()
+            cut_at = np.searchsorted(np.cumsum(counts), np.arange(block_tokens, counts.sum(), block_tokens)) + 1
+            edges = np.unique([0, *cut_at.tolist(), len(b)]).tolist()
+            for i, j in zip(edges, edges[1:]):
+                own = b.slice(i, j - i)
+                row = {"base": base, "doc_ids": own.column(0).to_numpy().astype("<i8").tobytes(), "counts": counts[i:j].astype("<i8").tobytes(), "control": _flat(own.column(2)).tobytes(), "data": _flat(own.column(3)).tobytes()}
+                yield pa.RecordBatch.from_pylist([row], _BLOCK)
+                base += int(counts[i:j].sum())
 
     ordered = tokens.mapInArrow(shrink, "doc_id long, n_tokens long, control binary, data binary").repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id")
     out = ordered.mapInArrow(blocks, "base long, doc_ids binary, counts binary, control binary, data binary")
@@ -161,11 +172,10 @@ def read_tokens(spark, path: str) -> DataFrame:
         for b in batches:
             for row in b.to_pylist():
                 doc_ids, counts = np.frombuffer(row["doc_ids"], "<i8"), np.frombuffer(row["counts"], "<i8")
-                ids = ranks[decode_ranks(row["control"], row["data"], int(counts.sum()))].astype("<u4")
+                ids = ranks[decode_ranks(row["control"], row["data"], counts)].astype("<u4")
                 ends = np.cumsum(counts)
                 start = before[row["file"]] + row["base"] + ends - counts
-                at = np.concatenate([[0], ends * 4]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids), pa.array(start), pa.Array.from_buffers(pa.binary(), len(doc_ids), [None, pa.py_buffer(at), pa.py_buffer(ids)])], ["doc_id", "start", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids), pa.array(start), _binary(np.concatenate([[0], ends * 4]), ids)], ["doc_id", "start", "ids"])
 
     return blocks.mapInArrow(run, "doc_id long, start long, ids binary")
 

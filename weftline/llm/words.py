@@ -54,6 +54,21 @@ def words(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return hashes, first, past, np.searchsorted(first, bounds), joined
 
 
+def strip(hashes: np.ndarray, last: np.ndarray, first: np.ndarray, past: np.ndarray) -> np.ndarray:
+    """Hashes of words without their last byte."""
+    up, _ = _powers(int(past.max(initial=1)))
+    return mix(unmix(hashes) - _BYTE[last] * up[past - 1 - first])
+
+
+def unmix(x: np.ndarray) -> np.ndarray:
+    """The inverse of :func:`mix`."""
+    x = x ^ (x >> np.uint64(31)) ^ (x >> np.uint64(62))
+    x = x * np.uint64(pow(0x94D049BB133111EB, -1, 2**64))
+    x = x ^ (x >> np.uint64(27)) ^ (x >> np.uint64(54))
+    x = x * np.uint64(pow(0xBF58476D1CE4E5B9, -1, 2**64))
+    return x ^ (x >> np.uint64(30)) ^ (x >> np.uint64(60))
+
+
 def ngrams(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hash of the k words from each word on; short by k - 1 at the end."""
     n = max(len(hashes) - k + 1, 0)
