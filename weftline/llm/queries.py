@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import jaccard_join, language_id, packing, piece_spans, substring_dedup, token_output, url_filter, vector_search
+from . import jaccard_join, language_id, media_copies, packing, piece_spans, substring_dedup, token_counts, token_output, url_filter, vector_search
 from .common import table
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -14,10 +14,19 @@ def op1_token_output(spark, sf_dir):
     return token_output.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op2_media_copies(spark, sf_dir):
+    return media_copies.copy_groups(media_copies.pictures_of(table(spark, sf_dir, "embeddings")))
+
+
 def op3_piece_spans(spark, sf_dir):
     return piece_spans.piece_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_token_counts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("edits", token_counts.sample_edits())
+    return token_counts.edited_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op5_url_filter(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.UrlFilter(URL_RULES).fit(pages).judge(pages).drop("url")
@@ -59,7 +68,9 @@ FROM parts
 def queries():
     return {
         "op1_token_output": op1_token_output,
+        "op2_media_copies": op2_media_copies,
         "op3_piece_spans": op3_piece_spans,
+        "op4_token_counts": op4_token_counts,
         "op5_url_filter": op5_url_filter,
         "op6_packing": op6_packing,
         "op7_jaccard_join": op7_jaccard_join,
