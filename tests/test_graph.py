@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import hashing, registers, sketch
-from weftline.operators import clustering, components, generators, mincut, paths
+from weftline.operators import clustering, components, generators, mincut, paths, small
 from weftline.operators.disjoint_set import DisjointSet
 from weftline.operators.graph import Graph, dense_ids
 from weftline.sources import edges
@@ -16,6 +16,14 @@ from weftline.streaming import sketches
 SEED = 0xBAD5EED
 
 
+@pytest.fixture(params=["one task", "distributed"])
+def way(request, monkeypatch):
+    """Both ways of the operators that take few vertices in one task."""
+    if request.param == "distributed":
+        monkeypatch.setattr(small, "SMALL", 0)
+    return request.param
+
+
 def pairs(df):
     return sorted(map(tuple, df.collect()))
 
@@ -62,7 +70,7 @@ def test_dense_ids(spark):
     assert got == [(-3, 0), (5, 1), (9, 2), (700, 3)]
 
 
-def test_average_path_length(spark):
+def test_average_path_length(spark, way):
     g = edges.twin_fives(spark)
     assert paths.average_path_length(g).first().apl == pytest.approx(142 / 45)
     assert paths.average_path_length(g, "pairs").first().apl == pytest.approx(142 / 90)
@@ -79,7 +87,7 @@ def test_distances_from_a_sample(spark):
     assert pairs(got) == [(0, d, d) for d in range(40)]
 
 
-def test_hyper_ball(spark):
+def test_hyper_ball(spark, way):
     g = edges.twin_fives(spark)
     assert paths.hyper_ball(g, 4, SEED).first().hyper_ball == pytest.approx(2.0901, abs=1e-4)
     assert paths.ball_limit(g).first().ball_limit == pytest.approx(2.6)
@@ -87,6 +95,13 @@ def test_hyper_ball(spark):
     assert paths.hyper_ball(g, 12, SEED, textbook=True).first().hyper_ball > 1
 
 
+def test_distances_both_ways(spark, monkeypatch):
+    g = generators.gnm(spark, 30, 40, 3)
+    near = [pairs(paths.bfs_distances(g, symmetric=x)) for x in (True, False)]
+    monkeypatch.setattr(small, "SMALL", 0)
+    assert near == [pairs(paths.bfs_distances(g, symmetric=x)) for x in (True, False)]
+
+
 def test_clustering(spark):
     g = edges.twin_fives(spark)
     assert clustering.clustering_exact(g).first().clustering == pytest.approx(0.88)
@@ -138,7 +153,7 @@ def test_disjoint_set(mode):
         DisjointSet(3, "other")
 
 
-def test_components(spark):
+def test_components(spark, way):
     g = Graph.literal(spark, 9, [(5, 3), (3, 4), (7, 8), (2, 2)])
     labels = components.connected_components(g)
     assert pairs(labels) == [(0, 0), (1, 1), (2, 2), (3, 3), (4, 3), (5, 3), (6, 6), (7, 7), (8, 7)]

@@ -37,12 +37,21 @@ def jenkins64(value: Column, seed: int) -> Column:
     return run(value)
 
 
+def integer_hash(x: np.ndarray, seed: int) -> np.ndarray:
+    """What sketches register for integers."""
+    return jenkins(x.astype(np.int64).view(np.uint64) * np.uint64(INTEGER), seed)
+
+
+def trailing_zeros(x: np.ndarray) -> np.ndarray:
+    """64 for 0."""
+    return np.bitwise_count(~x & (x - np.uint64(1))).astype(np.int64)
+
+
 def integer_hash64(value: Column, seed: int) -> Column:
     """The mix of the multiplied integer: what sketches register."""
 
     @F.pandas_udf("long")
     def run(x: pd.Series) -> pd.Series:
-        product = x.to_numpy(np.int64).view(np.uint64) * np.uint64(INTEGER)
-        return pd.Series(jenkins(product, seed).view(np.int64))
+        return pd.Series(integer_hash(x.to_numpy(np.int64), seed).view(np.int64))
 
     return run(value)

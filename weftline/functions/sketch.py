@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,6 +68,16 @@ def estimate_of(power_sum: Column, zeros: Column, b: int) -> Column:
     return F.when((raw <= 2.5 * m) & (zeros > 0), linear).when(raw > 2.0**32 / 30, large).otherwise(raw)
 
 
+def estimate_dense(registers: np.ndarray, b: int) -> np.ndarray:
+    """The same for rows of all registers, zeros included."""
+    m = _check(b)
+    raw = alpha(b) * m * m / np.exp2(-registers.astype(np.float64)).sum(1)
+    zeros = (registers == 0).sum(1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        linear, large = m * np.log(m / zeros), -(2.0**32) * np.log(1 - raw / 2.0**32)
+    return np.where((raw <= 2.5 * m) & (zeros > 0), linear, np.where(raw > 2.0**32 / 30, large, raw))
+
+
 def hll_estimate(registers: DataFrame, b: int) -> DataFrame:
     """(key, estimate)."""
     m = _check(b)

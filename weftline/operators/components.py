@@ -8,10 +8,12 @@ in each task, so a vertex of any degree is safe.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.storage import cut, drop
+from . import small
 from .graph import Graph
 
 
@@ -47,10 +49,24 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
 
 def connected_components(g: Graph) -> DataFrame:
     """(vertex, component) for all vertices of g; arcs count both ways."""
+    if 0 < g.n <= small.SMALL:
+        return small.with_matrix(g.edges, g.n, lambda m: (np.arange(len(m)), _least_reachable(m | m.T)), "vertex long, component long")
     found = components(g.edges.select(F.col("src").alias("u"), F.col("dst").alias("v")))
     return g.vertices.join(found.withColumnRenamed("id", "vertex"), "vertex", "left").select("vertex", F.coalesce("component", "vertex").alias("component"))
 
 
+def _least_reachable(matrix: np.ndarray) -> np.ndarray:
+    src, dst = np.nonzero(matrix)
+    label = np.arange(len(matrix))
+    while True:
+        new = label.copy()
+        np.minimum.at(new, src, label[dst])
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
 def are_connected(labels: DataFrame, pairs: DataFrame) -> DataFrame:
     """``pairs`` (a, b) with ``connected``, by the labels of both ends."""
     left, right = (labels.select(F.col("vertex").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import sketch
-from ..plans.storage import cut, drop
+from ..functions import hashing, sketch
+from ..plans.storage import cut
+from . import small
 from .graph import Graph
 
 
@@ -16,10 +18,18 @@ def bfs_distances(g: Graph, sources: DataFrame | None = None, symmetric: bool =
     """(s, d, dist) for every vertex d reachable from each source s (all
     vertices unless given), s itself at 0.
 
-    One round a level: the frontier joins the arcs, and what was reached before
+    Few vertices: one task.  Else one round a level: the frontier joins the arcs, and what was reached before
     is taken off by an anti join.  The result has a row for each reachable pair;
     for large graphs give a sample of sources."""
     arcs = g.simple().filter("src <> dst")
+    if sources is None and most is None and 0 < g.n <= small.SMALL:
+
+        def levels_of(matrix):
+            dist = small.distances(matrix | matrix.T if symmetric else matrix)
+            s, d = np.nonzero(dist >= 0)
+            return s, d, dist[s, d]
+
+        return small.with_matrix(arcs, g.n, levels_of, "s long, d long, dist int")
     if symmetric:
         arcs = arcs.unionByName(arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     arcs = cut(arcs, "arcs")
@@ -89,6 +99,8 @@ def hyper_ball(g: Graph, b: int = 4, seed: int = 0, textbook: bool = False) -> D
     Default: each round t = 0, 1, .. adds t times the growth of a vertex's
     estimated ball, and the mean is over vertices.  ``textbook``: weights t + 1,
     and the mean is over the estimated reachable pairs."""
+    if 0 < g.n <= small.SMALL:
+        return small.with_matrix(g.simple().filter("src <> dst"), g.n, lambda m: _ball_rounds(m, b, seed, textbook), "hyper_ball double, rounds int")
     rows = []
 
     def on_round(t, before, after):
@@ -99,3 +111,26 @@ def hyper_ball(g: Graph, b: int = 4, seed: int = 0, textbook: bool = False) -> D
     total = sum((t + 1 if textbook else t) * x for t, x in rows)
     by = sum(x for _, x in rows) if textbook else g.n
     return g.spark.createDataFrame([(float(total / by) if by else None, len(rows) + 1)], "hyper_ball double, rounds int")
+
+
+def _ball_rounds(matrix: np.ndarray, b: int, seed: int, textbook: bool):
+    """The rounds of :func:`hyper_ball` over registers as a dense array."""
+    n, m = len(matrix), 1 << b
+    hashed = hashing.integer_hash(np.arange(n), seed)
+    registers = np.zeros((n, m), np.int8)
+    registers[np.arange(n), (hashed & np.uint64(m - 1)).astype(int)] = hashing.trailing_zeros(hashed >> np.uint64(b)) + 1
+    src, dst = np.nonzero(matrix)
+    first = np.flatnonzero(np.diff(src, prepend=-1))
+    old, rows = sketch.estimate_dense(registers, b), []
+    while True:
+        new = registers.copy()
+        if len(src):
+            new[src[first]] = np.maximum(new[src[first]], np.maximum.reduceat(registers[dst], first))
+        if (new == registers).all():
+            break
+        now = sketch.estimate_dense(new, b)
+        rows.append(float((now - old).sum()))
+        registers, old = new, now
+    total = sum((t + 1 if textbook else t) * x for t, x in enumerate(rows))
+    by = sum(rows) if textbook else n
+    return [total / by if by else None], [np.int32(len(rows) + 1)]
