@@ -1,12 +1,15 @@
 """Pieces, spans and the character map against the library's own results."""
 
+import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
 from sentencepiece import sentencepiece_model_pb2 as pb
 
+from weftline.llm import piece_spans
 from weftline.llm.piece_spans import CharMap, PieceEncoder
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -56,3 +59,20 @@ def test_a_model_with_a_character_map(tmp_path, options):
         assert lib.encode(t) == ids[i:j].tolist(), repr(t)
         start, end = own.spans(t, ids[i:j])
         assert (start[1:] >= start[:-1]).all() and (end >= start).all() and (not len(end) or end[-1] <= len(t.encode()))
+
+
+def test_table(spark):
+    rows = [(i, t, 1) for i, t in enumerate(texts()[:300])] + [(900, None, 2), (900, None, 2), (901, "long words " * 20000, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ids int")
+    lib = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    want = []
+    for d, t, _ in rows:
+        ids = lib.encode(t or "", add_bos=True, add_eos=True)
+        sha = hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        want.append((d, len(ids), sha, hashlib.sha256(lib.decode(ids).encode()).hexdigest(), len((t or "").encode())))
+    assert sorted(map(tuple, piece_spans.piece_digests(docs, MODEL).collect())) == sorted(want)
+    spans = piece_spans.encode_spans(docs.filter("doc_id < 300"), MODEL).collect()
+    by_id = {d: t or "" for d, t, _ in rows}
+    for r in spans:
+        assert b"".join(by_id[r.doc_id].encode()[a:b] for a, b in zip(r.starts, r.ends)) == by_id[r.doc_id].encode()
+    assert piece_spans.piece_digests(docs.filter("false"), MODEL).count() == 0

@@ -14,7 +14,8 @@ and the count of tokens before it in its file.  The rank table is a small
 Parquet table beside them.  Spark's committer writes both, so a lost executor
 leaves no half file, and any store that Spark reaches can hold them.
 
-Defined results: a null text counts as empty and still gets the end id; equal
+Defined results: a null text counts as empty and still gets the end id; a null
+doc_id comes first and comes back as null; equal
 texts and equal doc_ids are all written (equal doc_ids in any order); empty
 tables give no files' rows; other columns are ignored.
 """
@@ -143,7 +144,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, bl
             edges = np.unique([0, *cut_at.tolist(), len(b)]).tolist()
             for i, j in zip(edges, edges[1:]):
                 own = b.slice(i, j - i)
-                row = {"base": base, "doc_ids": own.column(0).to_numpy().astype("<i8").tobytes(), "counts": counts[i:j].astype("<i8").tobytes(), "control": _flat(own.column(2)).tobytes(), "data": _flat(own.column(3)).tobytes()}
+                row = {"base": base, "doc_ids": own.column(0).fill_null(_NO_ID).to_numpy().astype("<i8").tobytes(), "counts": counts[i:j].astype("<i8").tobytes(), "control": _flat(own.column(2)).tobytes(), "data": _flat(own.column(3)).tobytes()}
                 yield pa.RecordBatch.from_pylist([row], _BLOCK)
                 base += int(counts[i:j].sum())
 
@@ -153,6 +154,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, bl
     drop(tokens)
 
 
+_NO_ID = -(2**63)  # stands for a null doc_id in a block
 _BLOCK = pa.schema([("base", pa.int64()), ("doc_ids", pa.binary()), ("counts", pa.binary()), ("control", pa.binary()), ("data", pa.binary())])
 
 
@@ -175,7 +177,7 @@ def read_tokens(spark, path: str) -> DataFrame:
                 ids = ranks[decode_ranks(row["control"], row["data"], counts)].astype("<u4")
                 ends = np.cumsum(counts)
                 start = before[row["file"]] + row["base"] + ends - counts
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids), pa.array(start), _binary(np.concatenate([[0], ends * 4]), ids)], ["doc_id", "start", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, mask=doc_ids == _NO_ID), pa.array(start), _binary(np.concatenate([[0], ends * 4]), ids)], ["doc_id", "start", "ids"])
 
     return blocks.mapInArrow(run, "doc_id long, start long, ids binary")
 
