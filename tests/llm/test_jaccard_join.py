@@ -6,7 +6,6 @@ import re
 import pytest
 
 from weftline.llm import jaccard_join
-from weftline.llm.components import components
 
 
 def brute(docs, k, percent):
@@ -61,9 +60,3 @@ def test_empty_table_extra_columns_and_repeated_rows(spark):
     got = jaccard_join.jaccard_components(docs, 4, 85)
     assert sorted(map(tuple, got.collect())) == [(3, 2, 3, 3), (3, 2, 3, 3), (9, 2, 3, 3)]
     assert jaccard_join.jaccard_components(docs.filter("false"), 4, 85).count() == 0
-
-
-def test_components_of_a_long_chain(spark):
-    edges = spark.range(1, 300).selectExpr("id as u", "id - 1 as v").unionByName(spark.createDataFrame([(500, 900), (900, 700)], "u long, v long"))
-    got = {r.id: r.component for r in components(edges).collect()}
-    assert got == {i: 0 for i in range(300)} | {500: 500, 700: 500, 900: 500}

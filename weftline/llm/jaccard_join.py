@@ -42,14 +42,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, text_groups
-from .components import components
+from ..operators.components import components
+from .common import bloom, cut, text_groups
 from .words import mix, shingle_sets
 
 #: A token in more sets than this is frequent.
 RARE = 64
 BLOCK = 512
-_BLOOM_WORDS = 1 << 20  # 8 MB, whatever the corpus
 
 
 def _lacking(n: np.ndarray, percent: int) -> np.ndarray:
@@ -103,30 +102,20 @@ def _first_tokens(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(doc_id, tokens) of the wanted documents.  A Bloom filter of fixed size
+    """(doc_id, tokens) of the wanted documents.  A Bloom filter of bounded size
     spares most others their way to the join that decides."""
-    spark = docs.sparkSession
-    where = F.shiftrightunsigned(F.xxhash64("doc_id"), 40) % (_BLOOM_WORDS * 64 // 16) * 16 + F.pmod(F.hash("doc_id"), F.lit(16))
-    words = (
-        wanted.select(where.alias("p"))
-        .groupBy(F.shiftright("p", 6).alias("w"))
-        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("p").bitwiseAND(F.lit(63)).cast("int"))).alias("v"))
-        .toPandas()
-    )
-    bits = np.zeros(_BLOOM_WORDS, np.int64)
-    bits[words["w"].to_numpy(np.int64)] = words["v"].to_numpy(np.int64)
-    bits = spark.sparkContext.broadcast(bits.view(np.uint64))
+    hashed = F.xxhash64("doc_id")
+    shared = docs.sparkSession.sparkContext.broadcast(bloom(wanted, hashed, wanted.count()))
 
     def run(batches):
         for b in batches:
-            p = b.column(2).to_numpy().astype(np.int64)
-            hit = (bits.value[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1)
-            for g in text_groups([b.filter(pa.array(hit.astype(bool)))], limit=500_000):
+            hit = shared.value.holds(b.column(2).to_numpy())
+            for g in text_groups([b.filter(pa.array(hit))], limit=500_000):
                 sets = shingle_sets([t or "" for t in g.column(1).to_pylist()], k)
                 keys = [int(np.frombuffer(_key(s), "<i8", 1)[0]) for s in sets]
                 yield pa.RecordBatch.from_arrays([g.column(0), pa.array(keys, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "hi", "tokens"])
 
-    found = docs.filter("doc_id is not null").select("doc_id", "text", where.alias("p")).mapInArrow(run, "doc_id long, hi long, tokens binary")
+    found = docs.filter("doc_id is not null").select("doc_id", "text", hashed.alias("h")).mapInArrow(run, "doc_id long, hi long, tokens binary")
     # repeated doc_ids: any of them serves if it has the wanted set
     return found.join(wanted.select("doc_id", "hi"), ["doc_id", "hi"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "tokens")
 

@@ -38,13 +38,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop, text_groups
+from .common import bloom, cut, drop, text_groups
 from .words import _powers, mix, ngrams, words
 
 ANCHOR = 6
 HOT = 4096
 SHARD_WORDS = 400_000
-_BLOOM_WORDS = 1 << 20  # 8 MB, whatever the corpus
 
 
 def regions(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -87,20 +86,13 @@ def _region_rows(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "dk long, anchor long, region long, first int, windows int")
 
 
-def _region_words(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(anchor, region, words) of the wanted regions, at least once each.  A Bloom
-    filter of fixed size on the region spares most others the way to the join."""
-    p = F.shiftrightunsigned(F.col("region"), 38)
-    rows = (
-        wanted.select(p.alias("p")).groupBy(F.shiftright("p", 6).alias("w"))
-        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("p").bitwiseAND(F.lit(63)).cast("int"))).alias("v")).toPandas()
-    )
-    bits = np.zeros(_BLOOM_WORDS, np.int64)
-    bits[rows["w"].to_numpy(np.int64)] = rows["v"].to_numpy(np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
+def _region_words(docs: DataFrame, wanted: DataFrame, n: int, size: int) -> DataFrame:
+    """(anchor, region, words) of the n wanted regions, at least once each.  A Bloom
+    filter of bounded size on the region spares most others the way to the join."""
+    shared = docs.sparkSession.sparkContext.broadcast(bloom(wanted, F.col("region"), n))
 
     def run(batches):
-        filter_, seen = shared.value, set()
+        seen: set[int] = set()
         for b in text_groups(batches, limit=500_000):
             hashes, _, _, at, _ = words([t.encode() for t in b.column(1).to_pylist()])
             rows = []
@@ -108,8 +100,7 @@ def _region_words(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 if j - i < size:
                     continue
                 anchor, region, first, count = regions(hashes[i:j], size)
-                p = region >> np.uint64(38)
-                hit = np.flatnonzero((filter_[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1))
+                hit = np.flatnonzero(shared.value.holds(region))
                 for r in hit.tolist():
                     key = int(region[r])
                     if key not in seen:
@@ -267,11 +258,11 @@ def repeated_masks(docs: DataFrame, size: int) -> tuple[DataFrame, list[DataFram
     counted = placed.groupBy("anchor", "region").agg(F.count(F.lit(1)).alias("many"), F.first("windows").alias("windows"))
     counted = cut(counted.withColumn("d", F.count(F.lit(1)).over(Window.partitionBy("anchor"))).filter("many > 1 or d > 1"), "counted")
     rivals = counted.filter("d > 1")
-    sizes = rivals.agg(F.sum(F.col("windows") + size).alias("n"), F.max("d").alias("d")).first()
+    sizes = rivals.agg(F.sum(F.col("windows") + size).alias("n"), F.max("d").alias("d"), F.count(F.lit(1)).alias("regions")).first()
     whole = counted.filter("many > 1").select("anchor", "region", (F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("windows")) - 1).alias("mask"))
     tables, masks = [placed, counted], whole
     if sizes.n:
-        bodies = _region_words(docs, rivals, size).dropDuplicates(["anchor", "region"]).join(rivals.select("anchor", "region", "many", "d"), ["anchor", "region"])
+        bodies = _region_words(docs, rivals, sizes.regions, size).dropDuplicates(["anchor", "region"]).join(rivals.select("anchor", "region", "many", "d"), ["anchor", "region"])
         bodies = cut(bodies, "bodies")
         shards = max(1, -(-sizes.n // SHARD_WORDS))
         calm = bodies.filter(F.col("d") <= HOT).select("anchor", "region", (F.col("many") == 1).alias("alone"), "words", F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"))
