@@ -98,8 +98,10 @@ def test_hyper_ball(spark, way):
 def test_distances_both_ways(spark, monkeypatch):
     g = generators.gnm(spark, 30, 40, 3)
     near = [pairs(paths.bfs_distances(g, symmetric=x)) for x in (True, False)]
+    registers = pairs(paths.reach_registers(g, 5, 9))
     monkeypatch.setattr(small, "SMALL", 0)
     assert near == [pairs(paths.bfs_distances(g, symmetric=x)) for x in (True, False)]
+    assert registers == pairs(paths.reach_registers(g, 5, 9))
 
 
 def test_clustering(spark):

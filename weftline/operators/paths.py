@@ -75,10 +75,13 @@ def ball_limit(g: Graph) -> DataFrame:
 def reach_registers(g: Graph, b: int = 4, seed: int = 0, on_round=None, most_rounds: int | None = None) -> DataFrame:
     """Registers (key, idx, val) of every vertex's out-reach at the fixpoint.
 
-    Each round only registers that changed in the last one travel against the
+    Few vertices: one task.  Else each round only registers that changed in the last one travel against the
     arcs; maxima are pre-aggregated in the tasks.  ``on_round(t, before, after)``
     sees the registers around each round that changed something."""
-    arcs = cut(g.simple().filter("src <> dst"), "arcs")
+    arcs = g.simple().filter("src <> dst")
+    if on_round is None and most_rounds is None and 0 < g.n <= small.SMALL:
+        return small.with_matrix(arcs, g.n, lambda m: _last_registers(m, b, seed), "key long, idx int, val int")
+    arcs = cut(arcs, "arcs")
     registers = cut(sketch.hll_registers(g.vertices.select(F.col("vertex").alias("key"), F.col("vertex").alias("value")), b, seed), "reg")
     changed, t = registers, 0
     while most_rounds is None or t < most_rounds:
@@ -113,24 +116,35 @@ def hyper_ball(g: Graph, b: int = 4, seed: int = 0, textbook: bool = False) -> D
     return g.spark.createDataFrame([(float(total / by) if by else None, len(rows) + 1)], "hyper_ball double, rounds int")
 
 
-def _ball_rounds(matrix: np.ndarray, b: int, seed: int, textbook: bool):
-    """The rounds of :func:`hyper_ball` over registers as a dense array."""
+def _growth(matrix: np.ndarray, b: int, seed: int):
+    """Registers of all vertices as a dense array, before and after each round
+    that changes something."""
     n, m = len(matrix), 1 << b
     hashed = hashing.integer_hash(np.arange(n), seed)
     registers = np.zeros((n, m), np.int8)
     registers[np.arange(n), (hashed & np.uint64(m - 1)).astype(int)] = hashing.trailing_zeros(hashed >> np.uint64(b)) + 1
     src, dst = np.nonzero(matrix)
     first = np.flatnonzero(np.diff(src, prepend=-1))
-    old, rows = sketch.estimate_dense(registers, b), []
-    while True:
+    yield registers
+    while len(src):
         new = registers.copy()
-        if len(src):
-            new[src[first]] = np.maximum(new[src[first]], np.maximum.reduceat(registers[dst], first))
+        new[src[first]] = np.maximum(new[src[first]], np.maximum.reduceat(registers[dst], first))
         if (new == registers).all():
-            break
-        now = sketch.estimate_dense(new, b)
-        rows.append(float((now - old).sum()))
-        registers, old = new, now
+            return
+        registers = new
+        yield registers
+
+
+def _last_registers(matrix: np.ndarray, b: int, seed: int):
+    for registers in _growth(matrix, b, seed):  # noqa: B007
+        pass
+    key, idx = np.nonzero(registers)
+    return key, idx.astype(np.int32), registers[key, idx].astype(np.int32)
+
+
+def _ball_rounds(matrix: np.ndarray, b: int, seed: int, textbook: bool):
+    sizes = [sketch.estimate_dense(r, b).sum() for r in _growth(matrix, b, seed)]
+    rows = np.diff(sizes).tolist()
     total = sum((t + 1 if textbook else t) * x for t, x in enumerate(rows))
-    by = sum(rows) if textbook else n
+    by = sum(rows) if textbook else len(matrix)
     return [total / by if by else None], [np.int32(len(rows) + 1)]

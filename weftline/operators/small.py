@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: 1,024 vertices: a byte matrix of 1 MB, distances of 2 MB.
-SMALL = 1024
+#: 2,048 vertices: a byte matrix of 4 MB, distances of 16 MB.
+SMALL = 2048
 
 
 def with_matrix(arcs: DataFrame, n: int, fn, schema: str) -> DataFrame:
