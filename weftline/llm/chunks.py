@@ -106,7 +106,7 @@ class HashStore:
     """An open-addressed table from a 64-bit hash and a 32-bit check to values,
     looked up for whole arrays at a time."""
 
-    def __init__(self, bits: int = 21):
+    def __init__(self, bits: int = 20):
         self.most = 1 << (bits - 1)
         self._empty(bits)
         self.keys, self.checks = np.empty(0, np.uint64), np.empty(0, np.uint32)
@@ -158,7 +158,10 @@ class HashStore:
 
     def gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Values of all codes in turn, and the offsets of each code's values."""
-        self.hits += np.bincount(codes, minlength=len(self.hits)).astype(np.int32)
+        if 8 * len(codes) > len(self.hits):
+            self.hits += np.bincount(codes, minlength=len(self.hits)).astype(np.int32)
+        else:
+            np.add.at(self.hits, codes, 1)
         return self._values(codes)
 
     def _values(self, codes):

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import bloom, cut, text_groups
+from .common import bloom, cut, drop, text_groups
 from .words import mix, shingle_sets
 
 #: A token in more sets than this is frequent.
@@ -302,6 +302,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     found = cut(components(links), "found")
     more = cut(_open_blocks(starred, found).groupBy("u", "a", "b").applyInPandas(_across(percent), "u long, v long"), "more")
     final = cut(components(links.unionByName(more)), "final")
+    for t in (wanted, full, signed, heads, stars, starred, found, more):
+        drop(t)
     by_set = classes.select("hi", "lo", F.col("doc_id").alias("class_id"))
     return (
         sets.withColumnRenamed("n", "n_shingles").join(by_set, ["hi", "lo"], "left").join(final.withColumnRenamed("id", "class_id"), "class_id", "left")

@@ -268,7 +268,7 @@ def repeated_masks(docs: DataFrame, size: int) -> tuple[DataFrame, list[DataFram
         calm = bodies.filter(F.col("d") <= HOT).select("anchor", "region", (F.col("many") == 1).alias("alone"), "words", F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"))
         found = cut(calm.groupBy("shard").applyInPandas(_search(size), "anchor long, region long, mask long"), "found")
         masks = masks.unionByName(found)
-        tables += [bodies, found]
+        tables.append(found)
         if sizes.d > HOT:
             single = bodies.filter(F.col("d") > HOT).select("anchor", "region", "many", "words").mapInArrow(_windows(size), "anchor long, region long, many long, i int, window long")
             twice = single.groupBy("anchor", "window").agg(F.sum("many").alias("n")).filter("n > 1").select("anchor", "window")
@@ -276,6 +276,7 @@ def repeated_masks(docs: DataFrame, size: int) -> tuple[DataFrame, list[DataFram
             hot = cut(hot, "hot")
             masks = masks.unionByName(hot)
             tables.append(hot)
+        drop(bodies)
     return placed.join(masks, ["anchor", "region"]).select("dk", "first", "mask"), tables
 
 
@@ -294,10 +295,10 @@ def dedup(docs: DataFrame, size: int = 50, keep: list[str] | None = None) -> Dat
     """``keep`` columns of ``docs`` (doc_id by default) with n_words, n_removed
     and kept_text: the words that stay, joined by single blanks."""
     keep = keep or ["doc_id"]
-    key = F.xxhash64("doc_id", "text").alias("dk")
-    spans, tables = repeated_masks(docs.filter("text is not null").select(key, "text"), size)
-    flags = spans.distinct().groupBy("dk").agg(F.collect_list("first").alias("_first"), F.collect_list("mask").alias("_mask"))
-    wide = docs.select(*(F.col(f"`{c}`") for c in keep), F.col("text").alias("_text"), F.xxhash64("doc_id", "text").alias("dk")).join(flags, "dk", "left").drop("dk")
+    key = F.xxhash64("doc_id", "text")
+    spans, tables = repeated_masks(docs.filter("text is not null").select(key.alias("dk"), "text"), size)
+    flags = spans.distinct().groupBy(F.col("dk").alias("_dk")).agg(F.collect_list("first").alias("_first"), F.collect_list("mask").alias("_mask"))
+    wide = docs.select(*(F.col(f"`{c}`") for c in keep), F.col("text").alias("_text"), key.alias("_dk")).join(flags, "_dk", "left").drop("_dk")
     schema = docs.select(*(F.col(f"`{c}`") for c in keep)).schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
 
     def run(batches):
