@@ -25,6 +25,13 @@ def edited(text, edits):
     return out
 
 
+def settled(text, tree, edits, enc):
+    regions, new = token_counts.apply_edits(text, tree, edits)
+    for (left, right, _), n in zip(regions, token_counts.leaf_counts(enc, [r[2] for r in regions])):
+        tree.settle(left, right, int(n))
+    return regions, new
+
+
 def test_counts_after_edits(monkeypatch):
     monkeypatch.setattr(token_counts, "RUN", 2)
     enc, lib = ChunkEncoder(PATH), Tokenizer.from_file(PATH)
@@ -35,19 +42,18 @@ def test_counts_after_edits(monkeypatch):
         edits = [(rnd.randint(-1, len(text) + 2), rnd.randint(0, len(text) + 2), rnd.choice(["", " ", "x", "  y\n", " word", "<|endoftext|>", "é."])) for _ in range(rnd.randint(0, 4))]
         for d, t, leaves, tree, edges in token_counts._trees([n], [text], enc):
             assert "".join(leaves) == text and tree.total == len(lib.encode(text, add_special_tokens=False).ids)
-            counts = tree.sums[tree.first : tree.first + len(leaves)]
-            after, new = token_counts.apply_edits(t, leaves, counts, edits, enc)
+            regions, new = settled(t, tree, edits, enc)
         want = edited(text, edits)
         assert new == want
-        assert after.total == len(lib.encode(want, add_special_tokens=False).ids), (text, edits)
+        assert tree.total == len(lib.encode(want, add_special_tokens=False).ids), (text, edits)
 
 
 def test_only_a_region_is_encoded_again():
     enc = ChunkEncoder(PATH)
     text = " ".join(f"word{i}" for i in range(20_000))
     (_, t, leaves, tree, _), = token_counts._trees([1], [text], enc)
-    after, new = token_counts.apply_edits(t, leaves, tree.sums[tree.first : tree.first + len(leaves)], [(70_000, 70_010, "new words")], enc)
-    assert after.encoded < 2000 and after.total == len(Tokenizer.from_file(PATH).encode(new).ids)
+    regions, new = settled(t, tree, [(70_000, 70_010, "new words")], enc)
+    assert len(regions) == 1 and tree.encoded < 2000 and tree.total == len(Tokenizer.from_file(PATH).encode(new).ids)
 
 
 def test_table(spark):

@@ -73,61 +73,59 @@ class CountTree:
             self.sums[node] += change
             node //= 2
 
-    def edit(self, start: int, end: int, text: str, enc: ChunkEncoder, starts: np.ndarray) -> None:
+    def edit(self, start: int, end: int, text: str, starts: np.ndarray) -> tuple[int, int, str]:
         """Replace characters start to end; ``starts`` are the leaves' offsets
-        (and the end) before any edit, valid up to ``end``."""
-        n = len(self.leaves)
-        if not n:
-            self.leaves, self.sums, self.first, n = [""], np.zeros(2, np.int64), 1, 1
-        i = min(max(int(np.searchsorted(starts, start, "right")) - 1, 0), n - 1)
-        j = min(max(int(np.searchsorted(starts, end, "left")) - 1, i), n - 1)
-        body = "".join(self.leaves[i : j + 1])
-        at = int(starts[i]) if len(starts) else 0
-        self.leaves[i] = body[: start - at] + text + body[end - at :]
-        for k in range(i + 1, j + 1):
-            self.leaves[k] = ""
-        # a filled leaf on either side: where leaves were emptied, the next one
-        left, right = i - 1, j + 1
-        while left > 0 and not self.leaves[left]:
-            left -= 1
-        while right < n - 1 and not self.leaves[right]:
-            right += 1
-        left, right = max(left, 0), min(right, n - 1)
+        (and the end).  Gives the first and last leaf of the region to encode,
+        and its text; :meth:`settle` takes its count."""
+        if not self.leaves:
+            self.leaves, self.sums, self.first, starts = [""], np.zeros(2, np.int64), 1, np.zeros(2, np.int64)
+        i, j = _touched(start, end, starts)
+        left, right = max(i - 1, 0), min(j + 1, len(self.leaves) - 1)
         region = "".join(self.leaves[left : right + 1])
+        at = int(starts[left])
+        region = region[: start - at] + text + region[end - at :]
+        self.leaves[left : right + 1] = [region] + [""] * (right - left)
         self.encoded += len(region)
-        self._set(left, int(leaf_counts(enc, [region])[0]))
+        return left, right, region
+
+    def settle(self, left: int, right: int, count: int) -> None:
+        self._set(left, count)
         for k in range(left + 1, right + 1):
             self._set(k, 0)
 
 
-def apply_edits(text: str, leaves: list[str], counts: np.ndarray, edits: list, enc: ChunkEncoder) -> tuple[CountTree, str]:
-    """The tree after all edits (start, end, replacement), and the edited text.
-    Neighbouring edits whose regions meet are encoded as one region."""
-    tree = CountTree(leaves, counts)
-    starts = np.concatenate([[0], np.cumsum([len(t) for t in leaves])]) if leaves else np.zeros(1, np.int64)
+def _touched(start: int, end: int, starts: np.ndarray) -> tuple[int, int]:
+    """First and last leaf that characters start to end lie in."""
+    last = max(len(starts) - 2, 0)
+    i = min(max(int(np.searchsorted(starts, start, "right")) - 1, 0), last)
+    return i, min(max(int(np.searchsorted(starts, end, "left")) - 1, i), last)
+
+
+def apply_edits(text: str, tree: CountTree, edits: list) -> tuple[list[tuple[int, int, str]], str]:
+    """Edits (start, end, replacement) applied to the tree's leaves: the regions
+    still to encode and :meth:`CountTree.settle`, and the edited text.  Edits
+    whose regions meet share one, so regions lie apart."""
+    starts = np.concatenate([[0], np.cumsum([len(t) for t in tree.leaves])]) if tree.leaves else np.zeros(1, np.int64)
     limit = len(text)
     ordered = sorted(enumerate(edits), key=lambda e: (max(0, min(e[1][0], len(text))), e[0]), reverse=True)
-    groups: list[list] = []
+    groups: list[list] = []  # first leaf, start, end, replacement
     for _, (start, end, new) in ordered:
         start = max(0, min(start, len(text)))
         end = max(start, min(end, limit))
         limit = start
-        i = min(max(int(np.searchsorted(starts, start, "right")) - 1, 0), max(len(leaves) - 1, 0))
-        j = min(max(int(np.searchsorted(starts, end, "left")) - 1, i), max(len(leaves) - 1, 0))
+        i, j = _touched(start, end, starts)
         if groups and j + 2 >= groups[-1][0]:
-            groups[-1][0] = i
-            groups[-1][2] = start
-            groups[-1][4] = new + text[end : groups[-1][5]] + groups[-1][4]
-            groups[-1][5] = start
+            behind = groups[-1]
+            groups[-1] = [i, start, behind[2], new + text[end : behind[1]] + behind[3]]
         else:
-            groups.append([i, j, start, end, new, start])
-    out, done = [], len(text)
-    for i, j, start, end, new, _ in groups:
-        tree.edit(start, end, new, enc, starts)
+            groups.append([i, start, end, new])
+    regions, out, done = [], [], len(text)
+    for _, start, end, new in groups:
+        regions.append(tree.edit(start, end, new, starts))
         out += [text[end:done], new]
         done = start
     out.append(text[:done])
-    return tree, "".join(reversed(out))
+    return regions, "".join(reversed(out))
 
 
 def build_trees(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -165,12 +163,16 @@ def edited_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches):
         enc = encoder(tokenizer)
         for b in text_groups(batches):
-            rows = []
+            rows, open_ = [], []
             edits = b.column(2).to_pylist()
-            for k, (d, text, leaves, tree, _) in enumerate(_trees(b.column(0).to_pylist(), b.column(1).to_pylist(), enc)):
-                counts = tree.sums[tree.first : tree.first + len(leaves)]
-                after, new = apply_edits(text, leaves, counts, [(e["start"], e["end"], e["text"] or "") for e in edits[k] or () if e], enc)
-                rows.append((d, tree.total, after.total, len(new), after.encoded))
+            for k, (d, text, _, tree, _) in enumerate(_trees(b.column(0).to_pylist(), b.column(1).to_pylist(), enc)):
+                before = tree.total
+                regions, new = apply_edits(text, tree, [(e["start"], e["end"], e["text"] or "") for e in edits[k] or () if e])
+                open_ += [(tree, *r) for r in regions]
+                rows.append((d, before, tree, len(new)))
+            for (tree, left, right, _), count in zip(open_, leaf_counts(enc, [r[3] for r in open_]).tolist()):
+                tree.settle(left, right, count)
+            rows = [(d, before, tree.total, n, tree.encoded) for d, before, tree, n in rows]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "n_tokens", "n_tokens_edited", "n_chars_edited", "n_chars_encoded"])
 
     return docs.select(F.col("doc_id").cast("long"), "text", "edits").mapInArrow(run, "doc_id long, n_tokens long, n_tokens_edited long, n_chars_edited long, n_chars_encoded long")
