@@ -47,3 +47,23 @@ def test_pictures_of_vectors(spark):
     v = spark.createDataFrame([(3, [1.0, 2.0]), (4, [1.0, 2.0]), (None, [1.0]), (11, None)], "vec_id long, embedding array<float>")
     got = {r.pic_id: bytes(r.image) for r in mc.pictures_of(v).collect()}
     assert set(got) == {6, 7, 8, 22, 23} and got[6] != got[8]
+
+
+def noisy(a, seed, spread):
+    return (a + np.random.default_rng(seed).normal(0, spread, a.shape)).clip(0, 255).astype(np.uint8)
+
+
+def test_noisy_copies_in_a_large_group(spark, monkeypatch):
+    monkeypatch.setattr(mc, "CROWD", 8)
+    same, other = mc.draw(1), mc.draw(2)
+    small = [(0, same)] + [(500 + i, noisy(same, i, 2)) for i in range(6)]
+    assert set(groups(frame(spark, small)).values()) == {0}
+    large = [(i, same) for i in range(60)] + small[1:] + [(600 + i, other) for i in range(30)]
+    assert groups(frame(spark, large)) == {i: 0 if i < 600 else 600 for i, _ in large}
+
+
+def test_crowds_change_no_result(spark, monkeypatch):
+    pictures = [(100 * i + j, noisy(mc.draw(i), j, 3)) for i in range(3) for j in range(25)]
+    whole = groups(frame(spark, pictures))
+    monkeypatch.setattr(mc, "CROWD", 2)
+    assert groups(frame(spark, pictures)) == whole

@@ -5,14 +5,18 @@ of the smaller-eigenvalue kind of response of the structure tensor; each gets
 the direction of its intensity centroid and 128 binary tests of blurred pixels,
 turned by that direction.  Six tables, one for each two of the descriptor's
 four quarters, bring together descriptors that differ in at most two bits (and
-many that differ in more, in the other half); pairs within ``NEAR`` bits vote for the similarity transform between their
-pictures, and a transform with ``VOTES`` different corners behind it links the
+many that differ in more, in the other half); pairs within ``NEAR`` bits vote
+for the similarity transform between their pictures, and a transform with ``VOTES`` different corners behind it links the
 two.  Linked pictures form groups.
 
-A table entry with more than ``CROWD`` corners is split by the whole descriptor,
-and each of its parts is compared with its smallest member only: a copy group
-of any size costs a comparison a corner there, and holds together through that
-member; no entry ever yields all pairs of many corners.
+Corners of a table entry are compared in the task that holds it and only near
+pairs leave it.  In an entry with more than ``CROWD`` corners each first meets
+the one of the smallest pic_id and the first with its own descriptor, so a copy
+group of any size forms from a comparison or two a corner.  Then all corners of
+such entries whose pictures are not in one group yet are compared, in squares
+of ``CROWD`` by ``CROWD``.  The groups are those that comparing all corners of
+all entries gives; where many pictures of different groups share an entry, the
+comparisons there grow with the square of their number.
 
 Defined results: pictures that are null, no PGM, or too small for a patch have
 no corners and a group of their own; equal pictures link if they have corners
@@ -27,7 +31,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
@@ -37,7 +41,9 @@ from .words import mix
 CORNERS = 24  # the strongest on each scale describe a picture
 RADIUS = 9
 NEAR = 20
-CROWD = 16
+BLOCKS = 4  # of a descriptor; two equal ones bring corners together
+CROWD = 256
+ROWS = 400_000  # of the tables, a task
 VOTES = 4
 CELL = 8  # pixels
 
@@ -155,24 +161,126 @@ def describe(pictures: DataFrame) -> DataFrame:
     return pictures.select(F.col("pic_id").cast("long"), "image").mapInArrow(run, "pic_id long, x float, y float, scale float, angle float, d0 long, d1 long")
 
 
-def _matches(corners: DataFrame) -> DataFrame:
-    """Pairs (a, b) of near descriptors of different pictures, the smaller pic_id
-    as a.  The tables hold a key and a corner's number; only entries with more
-    than one corner go on, and only pairs fetch their corners."""
-    half = F.lit((1 << 32) - 1)
-    blocks = [F.shiftrightunsigned(d, s).bitwiseAND(half) for d in ("d0", "d1") for s in (0, 32)]
-    keys = F.array(*(F.xxhash64(F.lit(4 * i + j), blocks[i], blocks[j]) for i in range(4) for j in range(i)))
-    entries = corners.select("corner", F.explode(keys).alias("key"))
-    shared = cut(entries.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1"), "tables")
-    few = shared.filter(F.col("n") <= CROWD).select("key", "corner")
-    pairs = few.select("key", F.col("corner").alias("i")).join(few.select("key", F.col("corner").alias("j")), "key").filter("i < j").select("i", "j")
-    crowd = shared.filter(F.col("n") > CROWD).join(corners.select("corner", "d0", "d1"), "corner").select("corner", F.xxhash64("key", "d0", "d1").alias("part"))
-    star = crowd.join(crowd.groupBy("part").agg(F.min("corner").alias("i")), "part").filter("i < corner").select("i", F.col("corner").alias("j"))
+def _dealt(corners: DataFrame, *columns: str) -> DataFrame:
+    """A row a corner and block but the last, dealt by the block's value."""
+    width = 128 // BLOCKS
+    value = F.array(*(F.shiftrightunsigned(d, s).bitwiseAND(F.lit((1 << width) - 1)) for d in ("d0", "d1") for s in range(0, 64, width)))
+    rows = corners.select(F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 2))).alias("block"), "corner", "pic_id", "d0", "d1", *columns)
+    parts = max(corners.sparkSession.sparkContext.defaultParallelism, -(-corners.count() * (BLOCKS - 1) // ROWS))
+    return rows.repartition(parts, "block", F.get(value, F.col("block")))
+
+
+def _entries(batches):
+    """The entries of each table in a task, one table after another: the columns
+    in the order of pic_id and corner, then by entry; the columns' order, and the
+    start and end of the entry of each place."""
+    t = pa.Table.from_batches(batches)
+    c = {name: t.column(name).to_numpy() for name in t.column_names}
+    values = np.stack([c["d0"], c["d1"]], 1).view(f"<u{16 // BLOCKS}")
+    for i in range(BLOCKS - 1):
+        own = np.flatnonzero(c["block"] == i)
+        own = own[np.lexsort((c["corner"][own], c["pic_id"][own]))]
+        for j in range(i + 1, BLOCKS):
+            key = values[own, i].astype(np.uint64) << np.uint64(32) | values[own, j]
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+            sizes = np.diff(first, append=len(key))
+            start = np.repeat(first, sizes)
+            yield c, own[order], start, start + np.repeat(sizes, sizes), key + np.uint64(8 * i + j << 56)
+
+
+def _near(c: dict, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    apart = sum(np.bitwise_count((c[d][p] ^ c[d][q]).view(np.uint64)) for d in ("d0", "d1"))
+    return (apart <= NEAR) & (c["pic_id"][p] != c["pic_id"][q])
+
+
+_PAIR = pa.schema([("i", pa.int64()), ("j", pa.int64())])
+
+
+def _pairs_of(found: list) -> pa.RecordBatch:
+    pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=_PAIR)
+
+
+def _compared(corners: DataFrame) -> DataFrame:
+    """(i, j): near corners of different pictures that share an entry; a corner in
+    a crowded entry meets the entry's first one and the first that has its
+    descriptor, and gives a row (i, -1)."""
+
+    def run(batches):
+        batches = list(batches)
+        found = []
+        for c, at, start, end, _ in _entries(batches) if batches else ():
+            n, places = end - start, np.arange(len(at))
+            sides = []
+            few = places[(n > 1) & (n <= CROWD)]
+            for off in range(1, CROWD):
+                few = few[few + off < end[few]]
+                if not len(few):
+                    break
+                near = _near(c, at[few], at[few + off])
+                sides.append((at[few[near]], at[few[near] + off]))
+            crowd = places[n > CROWD]
+            if len(crowd):
+                sides.append((at[start[crowd]], at[crowd]))
+                d0, d1 = c["d0"][at[crowd]], c["d1"][at[crowd]]
+                order = np.lexsort((crowd, d1, d0, start[crowd]))
+                fresh = np.r_[True, np.any(np.diff(np.stack([d0, d1, start[crowd]])[:, order]) != 0, axis=0)]
+                heads = order[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
+                sides.append((at[crowd[heads]], at[crowd[order]]))
+                found.append(np.stack([c["corner"][at[crowd]], np.full(len(crowd), -1)], 1))
+            for p, q in sides:
+                near = _near(c, p, q)
+                i, j = c["corner"][p[near]], c["corner"][q[near]]
+                found.append(np.stack([np.minimum(i, j), np.maximum(i, j)], 1))
+        yield _pairs_of(found)
+
+    return _dealt(corners).mapInArrow(run, "i long, j long").distinct()
+
+
+def _across(crowd: DataFrame, groups: DataFrame) -> DataFrame:
+    """(i, j): all near corners that share a crowded entry and whose pictures are
+    in no common group yet.  Entries are dealt in squares of ``CROWD`` by
+    ``CROWD`` corners, so no task gets a whole one."""
+    labelled = crowd.join(groups.select(F.col("id").alias("pic_id"), "component"), "pic_id", "left").withColumn("component", F.coalesce("component", "pic_id"))
+
+    def squares(batches):
+        batches = list(batches)
+        for c, at, start, end, key in _entries(batches) if batches else ():
+            if not len(at):
+                continue
+            first = np.flatnonzero(np.diff(start, prepend=-1))
+            group = c["component"][at]
+            mixed = np.repeat(np.minimum.reduceat(group, first) < np.maximum.reduceat(group, first), end[first] - first)
+            here = np.flatnonzero(mixed & (end - start > CROWD))
+            strip, strips = (here - start[here]) // CROWD, -(-(end - start)[here] // CROWD)
+            for other in range(int(strips.max(initial=0))):
+                own = other < strips
+                p, q = strip[own], np.full(own.sum(), other)
+                square = mix(mix(mix(key[here[own]]) + np.minimum(p, q).astype(np.uint64)) + np.maximum(p, q).astype(np.uint64))
+                rows = at[here[own]]
+                for k in range(0, len(rows), 100_000):
+                    r = rows[k : k + 100_000]
+                    side = np.where(p == q, 2, (p > q).astype(int))[k : k + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(square[k : k + 100_000].view(np.int64)), pa.array(side.astype(np.int32)), *(pa.array(c[x][r]) for x in ("corner", "pic_id", "component", "d0", "d1"))], ["square", "side", "corner", "pic_id", "component", "d0", "d1"])
+
+    def compare(t: pa.Table) -> pa.Table:
+        c = {name: t.column(name).to_numpy() for name in t.column_names}
+        p, q = (x.ravel() for x in np.meshgrid(np.flatnonzero(c["side"] != 1), np.flatnonzero(c["side"] != 0)))
+        keep = (c["component"][p] != c["component"][q]) & _near(c, p, q)
+        i, j = c["corner"][p[keep]], c["corner"][q[keep]]
+        return pa.Table.from_batches([_pairs_of([np.stack([np.minimum(i, j), np.maximum(i, j)], 1)])])
+
+    dealt = _dealt(labelled, "component").mapInArrow(squares, "square long, side int, corner long, pic_id long, component long, d0 long, d1 long")
+    return dealt.groupBy("square").applyInArrow(compare, "i long, j long").distinct()
+
+
+def _matches(pairs: DataFrame, corners: DataFrame) -> DataFrame:
+    """Pairs of corner numbers -> (a, b), the smaller pic_id as a."""
     me = corners.select("corner", F.struct("pic_id", "x", "y", "scale", "angle", "d0", "d1").alias("c"))
-    left, right = me.toDF("i", "p"), me.toDF("j", "q")
-    both = pairs.unionByName(star).distinct().join(left, "i").join(right, "j").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
-    apart = F.bit_count(F.col("a.d0").bitwiseXOR(F.col("b.d0"))) + F.bit_count(F.col("a.d1").bitwiseXOR(F.col("b.d1")))
-    return both.filter((F.col("a.pic_id") < F.col("b.pic_id")) & (apart <= NEAR))
+    both = pairs.join(me.toDF("i", "p"), "i").join(me.toDF("j", "q"), "j")
+    return both.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
 
 
 def _consensus(matches: DataFrame) -> DataFrame:
@@ -193,7 +301,14 @@ def _consensus(matches: DataFrame) -> DataFrame:
 def copy_groups(pictures: DataFrame) -> DataFrame:
     """pic_id, n_corners, group_id (the smallest pic_id linked)."""
     corners = cut(describe(pictures).withColumn("corner", F.monotonically_increasing_id()), "corners")
-    groups = components(cut(_consensus(_matches(corners)), "links"))
+    compared = cut(_compared(corners), "pairs")
+    pairs, crowd = compared.filter("j >= 0"), compared.filter("j < 0").select(F.col("i").alias("corner"))
+    links = cut(_consensus(_matches(pairs, corners)), "links")
+    groups = components(links)
+    if not crowd.isEmpty():
+        more = cut(_across(corners.join(crowd, "corner", "left_semi"), groups), "across")
+        links = links.unionByName(_consensus(_matches(pairs.unionByName(more).distinct(), corners)))
+        groups = components(links)
     counts = corners.groupBy("pic_id").agg(F.count(F.lit(1)).alias("n_corners"))
     rows = pictures.select(F.col("pic_id").cast("long")).join(counts, "pic_id", "left").join(groups.withColumnRenamed("id", "pic_id"), "pic_id", "left")
     return rows.select("pic_id", F.coalesce("n_corners", F.lit(0)).cast("long").alias("n_corners"), F.coalesce("component", "pic_id").alias("group_id"))
