@@ -67,3 +67,37 @@ def test_crowds_change_no_result(spark, monkeypatch):
     whole = groups(frame(spark, pictures))
     monkeypatch.setattr(mc, "CROWD", 2)
     assert groups(frame(spark, pictures)) == whole
+
+
+def recompressed(a, step):
+    """Through rounded cosine coefficients of squares of 8 by 8 pixels."""
+    k = np.arange(8)
+    m = np.cos((2 * k + 1) * k[:, None] * np.pi / 16) * np.where(k[:, None], 0.5, 0.125**0.5)
+    t = a.astype(float).reshape(a.shape[0] // 8, 8, a.shape[1] // 8, 8).transpose(0, 2, 1, 3)
+    q = step * (1 + (k[:, None] + k) / 4)
+    t = m.T @ (np.rint(m @ t @ m.T / q) * q) @ m
+    return t.transpose(0, 2, 1, 3).reshape(a.shape).clip(0, 255).astype(np.uint8)
+
+
+@pytest.mark.parametrize("change", [lambda a, i: noisy(a, i, 8), lambda a, i: recompressed(a, 16)], ids=["noise", "recompressed"])
+def test_noise_and_recompression_are_found(spark, change):
+    n = 60
+    grain = [np.kron(np.random.default_rng([i, 1]).uniform(-25, 25, (40, 40)), np.ones((2, 2))) for i in range(n)]
+    originals = [(mc.draw(i) + g).clip(0, 255).astype(np.uint8) for i, g in enumerate(grain)]
+    got = groups(frame(spark, [(2 * i, a) for i, a in enumerate(originals)] + [(2 * i + 1, change(a, i)) for i, a in enumerate(originals)]))
+    assert sum(got[2 * i + 1] == 2 * i for i in range(n)) >= 0.95 * n
+    assert all(got[2 * i] == 2 * i for i in range(n))
+
+
+def test_six_flipped_bits_always_meet(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(200):
+        d = rng.integers(0, 2, 128, np.uint8)
+        e = d.copy()
+        e[rng.choice(128, 6, replace=False)] ^= 1
+        for k, bits in enumerate((d, e)):
+            d0, d1 = np.packbits(bits).view("<i8").tolist()
+            rows.append((2 * i + k, 2 * i + k, d0, d1))
+    corners = spark.createDataFrame(rows, "corner long, pic_id long, d0 long, d1 long")
+    assert {(r.i, r.j) for r in mc._compared(corners).collect()} >= {(2 * i, 2 * i + 1) for i in range(200)}
