@@ -101,3 +101,24 @@ def test_six_flipped_bits_always_meet(spark):
             rows.append((2 * i + k, 2 * i + k, d0, d1))
     corners = spark.createDataFrame(rows, "corner long, pic_id long, d0 long, d1 long")
     assert {(r.i, r.j) for r in mc._compared(corners).collect()} >= {(2 * i, 2 * i + 1) for i in range(200)}
+
+
+def test_small_crops_and_slight_turns_of_large_pictures(spark):
+    def large(seed):
+        return np.block([[mc.draw(1000 * seed + 8 * i + j) for j in range(8)] for i in range(8)])
+
+    def turned(a, degrees):
+        t = np.radians(degrees)
+        y, x = np.indices(a.shape) - np.array([a.shape[0], a.shape[1]]).reshape(2, 1, 1) / 2
+        u, v = np.cos(t) * x - np.sin(t) * y + a.shape[1] / 2, np.sin(t) * x + np.cos(t) * y + a.shape[0] / 2
+        i, j = v.astype(int).clip(0, a.shape[0] - 2), u.astype(int).clip(0, a.shape[1] - 2)
+        f, g = (v - i).clip(0, 1), (u - j).clip(0, 1)
+        return ((1 - f) * ((1 - g) * a[i, j] + g * a[i, j + 1]) + f * ((1 - g) * a[i + 1, j] + g * a[i + 1, j + 1])).astype(np.uint8)
+
+    pictures = []
+    for n in range(6):
+        a = large(n)
+        corner = [(10, 20), (300, 90), (500, 480), (77, 501), (410, 230), (200, 333)][n]
+        crop = a[corner[0] : corner[0] + 110, corner[1] : corner[1] + 110]
+        pictures += [(3 * n, a), (3 * n + 1, crop), (3 * n + 2, turned(a, [3, 8, 15, 20, 30, 45][n]))]
+    assert groups(frame(spark, pictures)) == {i: i // 3 * 3 for i, _ in pictures}

@@ -1,7 +1,8 @@
 """Copies of pictures by local descriptors: cropped, turned, relit or edited.
 
 Pictures are grey, as binary PGM.  On two scales, corners are the local maxima
-of the smaller-eigenvalue kind of response of the structure tensor; each gets
+of the smaller-eigenvalue kind of response of the structure tensor, all those
+above a threshold, so that a crop has the corners of its original; each gets
 the direction of its intensity centroid and 128 binary tests of blurred pixels,
 turned by that direction.  28 tables, one for each two of the descriptor's
 eight blocks of 16 bits, bring together all descriptors that differ in at most
@@ -40,7 +41,6 @@ from ..operators.components import components
 from .common import cut
 from .words import mix
 
-CORNERS = 24  # the strongest on each scale describe a picture
 RADIUS = 9
 NEAR = 20
 BLOCKS = 8  # of a descriptor; two equal ones bring corners together
@@ -48,6 +48,7 @@ CROWD = 256
 ROWS = 400_000  # of the tables, a task
 VOTES = 4
 CELL = 8  # pixels
+TILE = 80  # pixels; the corners that link two pictures lie in one tile
 
 
 def _test_points() -> np.ndarray:
@@ -103,11 +104,7 @@ def _corners(stack: np.ndarray) -> tuple[np.ndarray, ...]:
                 peak &= inner > other if (i, j) > (0, 0) else inner >= other
     p, y, x = np.nonzero(peak)
     order = np.lexsort((x, y, -inner[p, y, x], p))
-    p, y, x = p[order], y[order], x[order]
-    first = np.flatnonzero(np.diff(p, prepend=-1))
-    nth = np.arange(len(p)) - np.repeat(first, np.diff(first, append=len(p)))
-    keep = nth < CORNERS
-    return p[keep], y[keep] + edge, x[keep] + edge
+    return p[order], y[order] + edge, x[order] + edge
 
 
 _DISC = np.array([(i, j) for i in range(-6, 7) for j in range(-6, 7) if i * i + j * j <= 40])
@@ -290,14 +287,23 @@ def _consensus(matches: DataFrame) -> DataFrame:
     turn = F.col("b.angle") - F.col("a.angle")
     grow = F.col("b.scale") / F.col("a.scale")
     c, s = F.cos(turn), F.sin(turn)
-    dx = F.col("b.x") - grow * (c * F.col("a.x") - s * F.col("a.y"))
-    dy = F.col("b.y") - grow * (s * F.col("a.x") + c * F.col("a.y"))
-    cell = lambda v, shift: F.floor(v / CELL + shift / 2.0)
-    places = F.array(*(F.struct(F.lit(2 * i + j).alias("shift"), cell(dx, i).alias("cx"), cell(dy, j).alias("cy")) for i in (0, 1) for j in (0, 1)))
+    places = []
+    for k, t, h in ((k, t, h) for t in (0, 1) for h in (0, 1) for k in (0, 1)):
+        # where the middle of a's tile goes: an error of the angle moves it no further in a large picture
+        tx, ty = F.floor(F.col("a.x") / TILE + t / 2.0), F.floor(F.col("a.y") / TILE + h / 2.0)
+        ox, oy = F.col("a.x") - (tx + 0.5 - t / 2.0) * TILE, F.col("a.y") - (ty + 0.5 - h / 2.0) * TILE
+        dx, dy = F.col("b.x") - grow * (c * ox - s * oy), F.col("b.y") - grow * (s * ox + c * oy)
+        bin_ = F.pmod(F.floor(turn / (math.pi / 6) + k / 2.0), F.lit(12)).cast("int")
+        for i, j in ((0, 0), (0, 1), (1, 0), (1, 1)):
+            cell = F.floor(dx / CELL + i / 2.0), F.floor(dy / CELL + j / 2.0)
+            shift = F.lit(16 * t + 8 * h + 4 * k + 2 * i + j)
+            places.append(F.struct(shift.alias("shift"), bin_.alias("turn"), tx.alias("tx"), ty.alias("ty"), cell[0].alias("cx"), cell[1].alias("cy")))
+    # one tile holds a small picture
+    places = F.when(F.col("reach") < TILE, F.array(*places[:8])).otherwise(F.array(*places))
     # pictures with too few matches in all cast no votes
-    ample = matches.groupBy(F.col("a.pic_id").alias("u"), F.col("b.pic_id").alias("v")).agg(F.collect_list(F.struct("a", "b")).alias("m")).filter(F.size("m") >= VOTES)
-    votes = ample.select("u", "v", F.explode("m").alias("m")).select("u", "v", "m.*").select("u", "v", F.pmod(F.round(turn / (math.pi / 6)), F.lit(12)).cast("int").alias("turn"), F.log2(grow).cast("int").alias("grow"), F.xxhash64("a.x", "a.y").alias("corner"), F.explode(places).alias("at"))
-    return votes.distinct().groupBy("u", "v", "turn", "grow", "at").agg(F.count_distinct("corner").alias("n")).filter(F.col("n") >= VOTES).select("u", "v").distinct()
+    ample = matches.groupBy(F.col("a.pic_id").alias("u"), F.col("b.pic_id").alias("v")).agg(F.collect_list(F.struct("a", "b")).alias("m"), F.max(F.greatest("a.x", "a.y", "b.x", "b.y")).alias("reach")).filter(F.size("m") >= VOTES)
+    votes = ample.select("u", "v", "reach", F.explode("m").alias("m")).select("u", "v", "reach", "m.*").select("u", "v", F.log2(grow).cast("int").alias("grow"), F.xxhash64("a.x", "a.y").alias("corner"), F.explode(places).alias("at"))
+    return votes.distinct().groupBy("u", "v", "grow", "at").agg(F.count_distinct("corner").alias("n")).filter(F.col("n") >= VOTES).select("u", "v").distinct()
 
 
 def copy_groups(pictures: DataFrame) -> DataFrame:
