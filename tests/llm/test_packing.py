@@ -80,3 +80,20 @@ def test_repeated_rows_empty_table_and_extra_columns(spark):
     out = packing.pack_documents(docs, PATH).collect()
     assert [r.doc_id for r in out] == [1, 1] and {r.offset for r in out} == {0, 3}
     assert packing.pack_documents(docs.filter("false"), PATH).count() == 0
+
+
+def test_rounds_go_on_while_bins_are_won(spark, monkeypatch):
+    lengths = np.random.default_rng(3).integers(12, 36, 8000).tolist()
+    pieces = spark.createDataFrame([(i, 0, 0, n, 0) for i, n in enumerate(lengths)], packing.PIECES)
+    labels = []
+    cut = packing.cut
+    monkeypatch.setattr(packing, "cut", lambda df, label: labels.append(label) or cut(df, label))
+    rows = packing.pack(pieces, 64, 8).collect()
+    assert labels.count("packed") > 6
+    assert sorted(r.doc_id for r in rows) == list(range(8000))
+    at = {}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == at.get(r.sequence_id, 0)
+        at[r.sequence_id] = r.offset + r.length
+    assert max(at.values()) <= 64
+    print("rounds", labels.count("packed"), "sequences", len(at), "bound", packing.lower_bound(np.array(lengths), 64))

@@ -19,6 +19,7 @@ with equal doc_id are packed apart; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 
 import numpy as np
@@ -122,16 +123,16 @@ def _packer(capacity: int, last: bool):
     return run
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, rows_a_partition: int = 8192, rounds: int = 6) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 2048, rows_a_partition: int = 8192) -> DataFrame:
     """``pieces`` (as from :func:`piece_table`) with sequence_id and offset."""
     base = cut(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
     alone = base.filter(F.col("length") == capacity).select(*_names(PIECES), (F.lit(1 << 62) + F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     active, given, tables = base.filter(F.col("length") < capacity), None, []
     settled = []
-    for n in range(rounds):
+    for n in itertools.count():
         rows = active.count()
         parts = max(1, -(-rows // rows_a_partition))
-        last = parts == 1 or n == rounds - 1
+        last = parts == 1
         dealt = active.withColumn("part", F.pmod(F.xxhash64("row", F.lit(n)), F.lit(parts)).cast("int"))
         packed = cut(dealt.groupBy("part").applyInPandas(_packer(capacity, last), _PACKED), "packed")
         tables.append(packed)
@@ -145,7 +146,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, rows_a_partition: int = 8192,
         active, given = packed.filter("loose").select(*_names(PIECES), "row"), loose
     out = alone
     for n, t in enumerate(settled):
-        key = F.lit(n << 56) + F.shiftleft(F.col("part").cast("long"), 24) + F.col("bin")
+        key = F.lit(n << 48) + F.shiftleft(F.col("part").cast("long"), 22) + F.col("bin")
         out = out.unionByName(t.select(*_names(PIECES), key.alias("sequence_id"), "offset"))
     return out
 
