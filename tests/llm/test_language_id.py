@@ -57,3 +57,37 @@ def test_held_out_accuracy(spark, sf):
     docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
     pred = language_id.identify(docs).filter("held_out").join(docs.select("doc_id", "lang"), "doc_id")
     assert pred.selectExpr("avg(int(lang = lang_pred)) as a").first().a >= 0.95
+
+
+def test_scripts_with_many_letters(spark):
+    rnd = random.Random(2)
+    draw = lambda low, n: "".join(chr(low + int(n * rnd.random() ** 2)) + (" " if rnd.random() < 0.2 else "") for _ in range(900))
+    rows = [(i, draw(0x4E00, 9000), "han") for i in range(40)] + [(i, draw(0xAC00, 9000), "hangul") for i in range(40, 80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    known = {c for _, t, k in rows for c in t if c.isalpha()}
+    assert sum(model.of_char[ord(c)] > language_id.UNKNOWN for c in known) > 4096
+    got = language_id.identify(docs).join(docs, "doc_id").filter("held_out").collect()
+    assert got and all(r.lang_pred == r.lang for r in got)
+
+
+def test_many_labels_repeated_rows_and_long_texts(spark):
+    rows = []
+    for k in range(60):
+        letters = [chr(97 + (k * 7 + j * (k + 1)) % 26) for j in range(5)] + [chr(0x430 + k % 32)]
+        rnd = random.Random(k)
+        rows += [(100 * k + i, " ".join("".join(rnd.choice(letters) for _ in range(4)) for _ in range(60)), f"l{k:02}") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    same = spark.range(100_000).selectExpr("7L as doc_id", "'la la la lo lu' as text", "'one' as lang")
+    long = spark.createDataFrame([(5, "wo wi wu " * 50_000, "two"), (6, "wi wo wu " * 60_000, "two"), (8, "wi wu wo " * 60_000, "two")], docs.schema)
+    docs = docs.unionByName(same).unionByName(long)
+    model = language_id.fit(docs, rows=8, chars=3000)
+    assert len(model.labels) == 62 and len(model.base) < 62 * 2 * 4000
+    got = language_id.predict(docs, model, ["doc_id", "lang"]).groupBy("lang", "lang_pred").count().collect()
+    assert sum(r["count"] for r in got if r.lang == r.lang_pred) >= 0.99 * sum(r["count"] for r in got)
+
+
+def test_kept_columns_may_have_any_name(spark):
+    docs = spark.createDataFrame([(1, "the cat", "x", "y")], "doc_id long, text string, _text string, c0 string")
+    got = language_id.predict(docs, language_id.LanguageModel(SAMPLES), ["doc_id", "_text", "c0", "text"]).first()
+    assert (got.doc_id, got._text, got.c0, got.text, got.lang_pred) == (1, "x", "y", "the cat", "aa")

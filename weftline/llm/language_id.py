@@ -12,13 +12,19 @@ Documents are cut into segments of ``SEGMENT`` symbols that are parsed in
 lock-step by table lookups, so a phrase ends at a segment's end at the latest,
 for all languages alike.
 
-Training takes a bounded sample: for each language the ``rows`` labelled rows
-with the smallest hash of doc_id, and of these texts ``chars`` symbols in
-equal shares.  Every document is then parsed over its whole text.
+Training takes a bounded sample of the labelled rows: for each language the
+``rows`` distinct texts with the smallest hash, texts of up to ``chars``
+characters first, and of these in turn each whole text that still fits into
+``chars`` (where ``total`` over the number of languages is less, into that).  If
+a language has longer texts only, windows spread evenly over the first of them
+are learned.  The automata grow with what is learned, so ``total`` bounds what
+is sent to the executors.  All letters of the sample are symbols of their own.
+Every document is then parsed over its whole text.
 
 Defined results: a null text or one without letters is ``und`` with score 0;
-so is every text if nothing was labelled; ties go to the smaller label; other
-columns are ignored; an empty table gives an empty result.
+so is every text if nothing was labelled; ties go to the smaller label;
+repeated rows each get a row and are learned once; a text of any length is
+parsed whole; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,6 +33,7 @@ import sys
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -93,48 +100,74 @@ class SuffixAutomaton:
         self.link.append(link)
         return len(self.next) - 1
 
-    def table(self, width: int) -> np.ndarray:
-        """Flat moves: state s is its row's start s * width.  Where there is no
-        move the phrase ends and the symbol begins the next one; _MISS counts
-        the phrase.  A symbol that the text lacks is a phrase of its own."""
-        rows = np.empty((len(self.next), width), np.int32)
-        restart = np.zeros(width, np.int64)
-        for c, s in self.next[0].items():
-            restart[c] = s * width
-        unseen = restart == 0
-        rows[:] = restart + _MISS * (1 + unseen)
-        rows[0] = restart + _MISS * unseen
-        for s, moves in enumerate(self.next):
-            for c, to in moves.items():
-                rows[s, c] = to * width
-        rows[:, PAD] = np.arange(len(rows)) * width
-        return rows.ravel()
+    def comb(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Moves as rows laid over each other in one array: state s moves by c to
+        ``to[base[s] + c]`` if ``owner`` there is s.  The root's row comes first
+        and is whole: a symbol that the text lacks is a phrase of its own and
+        leads back to the root."""
+        moves = self.next
+        used = bytearray(b"\1" * width + b"\0" * (sum(map(len, moves)) + width))
+        base = np.zeros(len(moves), np.int64)
+        low = width
+        order = sorted(range(1, len(moves)), key=lambda s: -len(moves[s]))
+        for s in order:
+            own = sorted(moves[s])
+            if not own:
+                continue
+            at, tries = low, 0
+            while True:
+                at = used.find(0, at)
+                if at < 0 or tries == 50:  # behind all others
+                    at = max(used.rfind(1) + 1, width)
+                    used.extend(bytes(width))
+                    break
+                if all(c - own[0] + at < len(used) and not used[c - own[0] + at] for c in own):
+                    break
+                at, tries = at + 1, tries + 1
+            base[s] = at - own[0]
+            for c in own:
+                used[at + c - own[0]] = 1
+            if low == at:
+                low = max(used.find(0, low), low)
+        size = int(base.max(initial=0)) + width
+        to, owner = np.zeros(size, np.int64), np.full(size, -1, np.int64)
+        owner[:width], to[:width] = 0, _MISS
+        to[PAD] = 0
+        for s, own in enumerate(moves):
+            at = base[s] + np.fromiter(own.keys(), np.int64, len(own))
+            owner[at], to[at] = s, np.fromiter(own.values(), np.int64, len(own))
+        return base, owner, to
 
 
 class LanguageModel:
-    """One automaton a label, flattened into one table."""
+    """One automaton a label, all in the same arrays."""
 
-    def __init__(self, samples: dict[str, list[str]], chars: int = 10_000):
+    def __init__(self, samples: dict[str, list[str]]):
         letters = sorted({c for texts in samples.values() for t in texts for c in t.lower() if c.isalpha()})
         self.labels = sorted(samples)
         self.of_char = np.where(_alphabetic(), UNKNOWN, BLANK).astype(np.int32)
-        for i, c in enumerate(letters[: 2**12]):
+        for i, c in enumerate(letters):
             self.of_char[ord(c)] = 3 + i
-        self.width = 3 + min(len(letters), 2**12)
-        tables, self.root, self.bits, at = [], [], [], 0
+        width = 3 + len(letters)
+        base, owner, to, root, restart, self.bits = [], [], [], [], [], []
+        states = cells = 0
         for label in self.labels:
-            texts = samples[label]
-            share = max(1, chars // max(1, len(texts)))
-            own, ends, _ = symbols(texts, self.of_char)
-            text = [s for i, j in zip(ends, ends[1:]) for s in [*own[i : min(j, i + share)].tolist(), BLANK]]
-            table = SuffixAutomaton(text).table(self.width)
-            self.root.append(at)
+            own, ends, _ = symbols(samples[label], self.of_char)
+            text = [s for i, j in zip(ends, ends[1:]) for s in [*own[i:j].tolist(), BLANK]]
+            b, o, t = SuffixAutomaton(text).comb(width)
+            base.append(b + cells)
+            owner.append(np.where(o >= 0, o + states, -1))
+            to.append(t + states)
+            # where a phrase ends, the symbol begins the next one; if the text lacks it, that is one more
+            restart.append(np.where(t[:width] >= _MISS, states + 2 * _MISS, t[:width] + states + _MISS))
+            root.append(states)
             self.bits.append(np.log2(max(2, len(text))))
-            tables.append(table + at)
-            at += len(table)
-        if at >= _MISS:
-            raise ValueError("the training sample is too large for its alphabet")
-        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
+            states, cells = states + len(b), cells + len(o)
+        if max(states, cells) >= _MISS:
+            raise ValueError("the training sample is too large")
+        join = lambda parts: np.concatenate([np.zeros(0), *parts]).astype(np.int32)
+        self.base, self.owner, self.to = join(base), join(owner), join(to)
+        self.root, self.restart = np.array(root, np.int32), np.array(restart, np.int32)
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Phrases of each text (rows) under each label, symbols, and whether
@@ -146,12 +179,14 @@ class LanguageModel:
         grid = np.full(int(first[-1]) * SEGMENT, PAD, np.int32)
         grid[np.arange(len(own)) + np.repeat(first[:-1] * SEGMENT - at[:-1], lengths)] = own
         columns = np.ascontiguousarray(grid.reshape(-1, SEGMENT).T)
-        root = np.array(self.root, np.int32)[:, None]
+        root = self.root[:, None]
         state = np.repeat(root, columns.shape[1], 1)
         count = np.zeros(state.shape, np.int32)
         for c in columns:
-            state += c
-            move = self.table[state]
+            at = self.base[state] + c
+            move = np.where(self.owner[at] == state, self.to[at], self.restart[:, c])
+            if (c == PAD).any():
+                move = np.where(c == PAD, state, move)
             count += move >> 29
             state = move & (_MISS - 1)
         count += state != root
@@ -174,35 +209,76 @@ class LanguageModel:
         return [self.labels[k] if ok else "und" for k, ok in zip(order[:, 0].tolist(), letters.tolist())], score
 
 
-def fit(docs: DataFrame, rows: int = 64, chars: int = 10_000) -> LanguageModel:
-    """Learn from at most ``rows`` rows a label; the choice is made on doc_id and
-    lang alone, so the whole table is read but only the chosen texts move."""
-    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.trim("text") != "") & ~F.coalesce(held_out("doc_id"), F.lit(True)))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = labelled.select("doc_id", "lang").withColumn("rank", rank).filter(F.col("rank") <= rows)
-    ids = [r.doc_id for r in chosen.select("doc_id").distinct().collect()]
+_KEY = ["lang", "long", "h", "doc_id", "n"]
+
+
+def _chosen(labelled: DataFrame, rows: int, chars: int) -> list:
+    """The sample's keys, in order; tasks send on the first ``rows`` distinct ones
+    of each label, so neither repeated rows nor a label's size matter."""
+    keys = labelled.select("lang", (F.length("text") > chars).alias("long"), F.xxhash64("text").alias("h"), "doc_id", F.length("text").alias("n"))
+
+    def first(batches):
+        held = None
+        for pdf in batches:
+            held = pd.concat([held, pdf]).drop_duplicates(["lang", "h"]).sort_values(_KEY).groupby("lang").head(rows)
+        if held is not None:
+            yield held
+
+    few = keys.mapInPandas(first, keys.schema).groupBy("lang", "h").agg(F.min("long").alias("long"), F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("long", "h"))
+    return few.withColumn("rank", rank).filter(F.col("rank") <= rows).orderBy("lang", "rank").collect()
+
+
+def fit(docs: DataFrame, rows: int = 64, chars: int = 40_000, total: int = 4_000_000) -> LanguageModel:
+    """Learn from at most ``rows`` rows a label.  The driver holds that many keys,
+    and texts of ``chars`` characters a label and ``total`` in all."""
+    fold = ~F.coalesce(held_out("doc_id"), F.lit(True))
+    labelled = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.trim("text") != "") & fold)
+    labels = max(1, labelled.select("lang").distinct().count())
+    chars = max(1000, min(chars, total // labels))
+    room: dict[str, int] = {}
+    wanted = []
+    for r in _chosen(labelled, rows, chars):
+        if r.n <= room.setdefault(r.lang, chars) or (r.long and room[r.lang] == chars):
+            room[r.lang] -= r.n
+            wanted.append((r.lang, r.h))
+    if not wanted:
+        return LanguageModel({})
+    spark = docs.sparkSession
+    asked = spark.createDataFrame(wanted, labelled.select("lang", F.xxhash64("text").alias("h")).schema)
+    pieces = max(2, chars // 1000)
+    window = F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda i: F.substring("text", 1 + F.floor(i * (F.length("text") - 1000) / (pieces - 1)).cast("int"), F.lit(1000)))
+    text = F.when(F.length("text") <= chars, F.col("text")).otherwise(F.array_join(window, " "))
+    texts = labelled.withColumn("h", F.xxhash64("text")).join(F.broadcast(asked), ["lang", "h"]).select("lang", "h", text.alias("text"))
+
+    def once(batches):
+        seen = set()
+        for pdf in batches:
+            new = [k not in seen and not seen.add(k) for k in zip(pdf["lang"], pdf["h"])]
+            yield pdf[np.array(new, bool)]
+
     samples: dict[str, list[str]] = {}
-    for r in labelled.filter(F.col("doc_id").isin(ids)).select("lang", F.substring("text", 1, 8 * chars).alias("text"), "doc_id").orderBy("lang", "doc_id", "text").collect() if ids else ():
+    for r in texts.mapInPandas(once, texts.schema).dropDuplicates(["lang", "h"]).orderBy("lang", "h").collect():
         samples.setdefault(r.lang, []).append(r.text)
-    return LanguageModel({label: texts[:rows] for label, texts in samples.items()}, chars)
+    return LanguageModel(samples)
 
 
 def predict(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns of ``docs`` (doc_id by default) with lang_pred and score."""
     keep = keep or ["doc_id"]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(*(F.col(f"`{c}`") for c in keep), F.col("text").alias("_text"))
+    source = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)), F.col("text").alias("text"))
     schema = docs.select(*(F.col(f"`{c}`") for c in keep)).schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches):
-        for b in text_groups(batches, "_text", 1_000_000):
+        for b in text_groups(batches, "text", 1_000_000):
             labels, score = shared.value.predict(b.column(len(keep)).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(labels, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
 
     return source.mapInArrow(run, schema)
 
 
-def identify(docs: DataFrame, rows: int = 64, chars: int = 10_000) -> DataFrame:
+def identify(docs: DataFrame, rows: int = 64, chars: int = 40_000) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every document."""
     docs = docs.select("doc_id", "text", "lang")
     return predict(docs, fit(docs, rows, chars)).select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "lang_pred", "score")
