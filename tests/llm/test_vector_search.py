@@ -34,6 +34,7 @@ def recall(rows, want):
 @pytest.mark.parametrize("kind", ["unit", "lengths", "copies", "tight"])
 def test_recall(spark, monkeypatch, kind):
     monkeypatch.setattr(vector_search, "PART", 700)
+    monkeypatch.setattr(vector_search.build_index, "__defaults__", (700, 1_000_000))
     rng = np.random.default_rng(7)
     x = rng.normal(size=(3000, 16)).astype(np.float32)
     if kind == "lengths":
@@ -64,3 +65,23 @@ def test_recall_on_the_given_table(spark):
     p = df.orderBy("vec_id").toPandas()
     want = brute(p["vec_id"].to_numpy(), np.stack(p["embedding"].to_numpy()).astype(np.float32), 20)
     assert recall(vector_search.nearest(df).collect(), want) >= 0.9
+
+
+@pytest.mark.parametrize("norm, k", [(1e4, 20), (1e20, 20), (1.0, 200)])
+def test_one_long_vector_and_many_hits(spark, norm, k):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(2000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[777] *= norm
+    x = x.astype(np.float32)
+    ids = np.arange(2000)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<float>")
+    assert recall(vector_search.nearest(df, k=k).collect(), brute(ids, x, k)) >= 0.95
+
+
+def test_blocks_of_queries(spark, monkeypatch):
+    x = np.random.default_rng(3).normal(size=(1500, 8)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    whole = vector_search.nearest(df).collect()
+    monkeypatch.setattr(vector_search, "BLOCK", 9)
+    assert sorted(whole) == sorted(vector_search.nearest(df).collect())

@@ -7,13 +7,17 @@ of positions, ``cap`` a vector, -1 where there is none.  Layers are built from
 the top: a layer starts from the links of the one above and takes in the rest
 in batches, each batch searching the graph so far in lock-step (numpy over all
 its vectors) and choosing diverse links.  An index is a table of such arrays in
-parts of bounded size; a search brings the queries to every shard and merges
-the shards' results.
+parts of bounded size; a search brings the queries, in blocks of ``BLOCK``, to
+every shard and merges the shards' results.  How many shards there are follows
+from the number of rows alone.
 
 Nearness is the largest inner product.  Vectors get one more component that
 makes them equally long, queries a zero there, so that the nearest by distance
-is the one with the largest inner product.  Scores are computed in double
-precision on the original vectors.
+is the one with the largest inner product.  Vectors are held as a direction in
+single and a length and that component in double precision, and distances are
+put together from differences of these, so vectors of very different lengths
+keep their places.  Scores are computed in double precision on the original
+vectors.
 
 Defined results: vectors that are null, zero, of another dimension than most,
 or hold null or non-finite components take no part; rows that repeat vec_id
@@ -33,25 +37,49 @@ from .words import mix
 
 LINKS = 24  # a vector's links on the lowest layer; half as many above
 BUILD_BEAM = 64
-SEARCH_BEAM = 128
+SEARCH_BEAM = 128  # at least twice the hits asked for
+BLOCK = 262_144  # queries that meet a shard in one task
 BATCH = 512
 PART = 16_384
 INDEX = "shard int, part int, levels binary, ids binary, id_counts binary, vectors binary, links binary"
 
 
+class Points:
+    """Vectors as direction, length and lift."""
+
+    def __init__(self, way: np.ndarray, length: np.ndarray, lift: np.ndarray):
+        self.way, self.length, self.lift = way, length, lift
+
+    @staticmethod
+    def of(raw: np.ndarray, longest: float) -> Points:
+        wide = raw.astype(np.float64)
+        length = np.sqrt(np.einsum("ij,ij->i", wide, wide))
+        way = (wide / np.where(length > 0, length, 1)[:, None]).astype(np.float32)
+        return Points(way, length, np.sqrt(np.maximum(longest * longest - length * length, 0)))
+
+    def __getitem__(self, at) -> Points:
+        return Points(self.way[at], self.length[at], self.lift[at])
+
+
+def _apart(p: Points, q: Points, cosine: np.ndarray) -> np.ndarray:
+    """Squared distances of lifted points, of which the cosines are given."""
+    more = np.divide(p.length**2 - q.length**2, p.lift + q.lift, out=np.zeros(np.broadcast(p.lift, q.lift).shape), where=p.lift + q.lift > 0)
+    return (p.length - q.length) ** 2 + p.length * q.length * np.maximum(2 - 2 * cosine, 0) + more**2
+
+
 class Graph:
     """Vectors in order of falling level, and the links of each layer."""
 
-    def __init__(self, vectors: np.ndarray, layers: list[np.ndarray]):
-        self.vectors, self.layers = vectors, layers  # layers[0] is the lowest
-        self.norms = np.einsum("ij,ij->i", vectors, vectors)
+    def __init__(self, points: Points, layers: list[np.ndarray]):
+        self.points, self.layers = points, layers  # layers[0] is the lowest
 
     def _beam(self, links, queries, entries, width, expand=2):
-        """Lock-step best-first search of one layer: positions and squared
-        distances (less the query's own square), nearest first."""
+        """Lock-step best-first search of one layer: positions and what ``queries``
+        measure to them, nearest first.  Vectors that are asked for (plain arrays)
+        measure the negative inner product, points of the graph their distance."""
         n, k = entries.shape
         ids = np.full((n, width), -1, np.int64)
-        dist = np.full((n, width), np.inf, np.float32)
+        dist = np.full((n, width), np.inf)
         ids[:, :k] = entries
         dist[:, :k] = self._distance(queries, entries)
         order = np.argsort(dist, 1, kind="stable")
@@ -85,12 +113,16 @@ class Graph:
         return ids, dist
 
     def _distance(self, queries, at):
-        got = self.vectors[at]
-        return self.norms[at] - 2 * np.matmul(got, queries[:, :, None])[:, :, 0]
+        got = self.points[at]
+        if isinstance(queries, Points):
+            cosine = np.matmul(got.way, queries.way[:, :, None])[:, :, 0]
+            return _apart(Points(queries.way, queries.length[:, None], queries.lift[:, None]), got, cosine)
+        return -got.length * np.matmul(got.way, queries[:, :, None])[:, :, 0]
 
     def descend(self, queries, down_to=0, width=8):
         """Entry positions for layer ``down_to``, from the layers above it."""
-        at = np.zeros((len(queries), 1), np.int64)
+        n = len(queries.length if isinstance(queries, Points) else queries)
+        at = np.zeros((n, 1), np.int64)
         for links in self.layers[:down_to:-1]:
             at = self._beam(links, queries, at, width)[0]
             at = np.where(at < 0, at[:, :1], at)[:, : width // 2]
@@ -103,15 +135,14 @@ class Graph:
     def select(self, ids, dist, most):
         """Diverse links: a candidate stays if it is nearer to the vector than to
         every one chosen before it; free places go to the nearest left over."""
-        got = self.vectors[ids]
-        between = np.matmul(got, got.transpose(0, 2, 1))
-        square = self.norms[ids]
-        between = square[:, :, None] + square[:, None, :] - 2 * between
+        got = self.points[ids]
+        cosine = np.matmul(got.way, got.way.transpose(0, 2, 1))
+        one, two = (Points(got.way, got.length[side], got.lift[side]) for side in (np.s_[:, :, None], np.s_[:, None, :]))
+        between = _apart(one, two, cosine)
         ok = (ids >= 0) & np.isfinite(dist)
         chosen = np.zeros(ids.shape, bool)
         for j in range(ids.shape[1]):
-            own = square[:, j] * 0 + dist[:, j]
-            clash = (chosen & (between[:, j, :] < own[:, None])).any(1)
+            clash = (chosen & (between[:, j, :] < dist[:, j, None])).any(1)
             chosen[:, j] = ok[:, j] & ~clash & (chosen.sum(1) < most)
         order = np.argsort(np.where(chosen, 0, np.where(ok, 1, 2)), 1, kind="stable")[:, :most]
         return np.where(np.take_along_axis(ok, order, 1), np.take_along_axis(ids, order, 1), -1)
@@ -134,10 +165,10 @@ def _levels(keys: np.ndarray) -> np.ndarray:
     return np.floor(-np.log(np.maximum(u, 1e-18)) / np.log(LINKS / 2)).astype(np.int64)
 
 
-def build(vectors: np.ndarray, levels: np.ndarray) -> list[np.ndarray]:
-    """Links of every layer over ``vectors``, which come in order of falling level."""
-    n, top = len(vectors), int(levels[0]) if len(levels) else 0
-    graph, above, layers = Graph(vectors, []), None, []
+def build(points: Points, levels: np.ndarray) -> list[np.ndarray]:
+    """Links of every layer over ``points``, which come in order of falling level."""
+    top = int(levels[0]) if len(levels) else 0
+    graph, above, layers = Graph(points, []), None, []
     for level in range(top, -1, -1):
         size = int((levels >= level).sum())
         most = LINKS if level == 0 else LINKS // 2
@@ -159,11 +190,10 @@ def build(vectors: np.ndarray, levels: np.ndarray) -> list[np.ndarray]:
 
 def _insert(graph: Graph, level: int, links: np.ndarray, start: int, end: int, most: int) -> None:
     new = np.arange(start, end)
-    queries = graph.vectors[start:end]
+    queries = graph.points[start:end]
     ids, dist = graph._beam(links, queries, graph.descend(queries, level), BUILD_BEAM)
-    dist = dist + graph.norms[start:end, None]
     # nearest within the batch, which the graph does not hold yet
-    each = graph.norms[start:end, None] + graph.norms[start:end] - 2 * queries @ queries.T
+    each = _apart(Points(None, queries.length[:, None], queries.lift[:, None]), queries, queries.way @ queries.way.T)
     np.fill_diagonal(each, np.inf)
     k = min(BUILD_BEAM // 2, end - start - 1)
     if k > 0:
@@ -181,8 +211,8 @@ def _insert(graph: Graph, level: int, links: np.ndarray, start: int, end: int, m
     from_, to = from_[~known], to[~known]
     if not len(to):
         return
-    gap = graph.vectors[from_] - graph.vectors[to]
-    near = np.einsum("ij,ij->i", gap, gap)
+    one, two = graph.points[from_], graph.points[to]
+    near = _apart(one, two, np.einsum("ij,ij->i", one.way, two.way))
     order = np.lexsort((near, to))
     from_, to = from_[order], to[order]
     first = np.flatnonzero(np.diff(to, prepend=-1))
@@ -199,7 +229,7 @@ def _insert(graph: Graph, level: int, links: np.ndarray, start: int, end: int, m
         wide = np.full((len(part), 2 * cap), -1, np.int64)
         wide[:, :cap] = links[part]
         wide[np.searchsorted(part, to[mine]), cap + nth[mine]] = from_[mine]
-        far = graph._distance(graph.vectors[part], wide) + graph.norms[part, None]
+        far = graph._distance(graph.points[part], wide)
         far[wide < 0] = np.inf
         order = np.argsort(far, 1, kind="stable")[:, : max(BUILD_BEAM, cap)]
         kept = graph.select(np.take_along_axis(wide, order, 1), np.take_along_axis(far, order, 1), most)
@@ -227,8 +257,7 @@ def _build_shard(longest: float):
         place[fall] = np.arange(len(fall))
         by = np.argsort(place[of], kind="stable")
         raw, levels, count = raw[first[fall]], levels[fall], count[fall]
-        lift = np.sqrt(np.maximum(longest - np.einsum("ij,ij->i", raw.astype(np.float64), raw.astype(np.float64)), 0))
-        layers = build(np.concatenate([raw, lift[:, None].astype(np.float32)], 1), levels)
+        layers = build(Points.of(raw, longest), levels)
         flat = np.concatenate([[0], np.cumsum(count)])
         out = []
         for part, i in enumerate(range(0, len(raw), PART)):
@@ -266,13 +295,12 @@ def _search_shard(dim: int, k: int, longest: float):
         rows = ([], [], [], [])
         if index.num_rows and queries.num_rows:
             raw, layers, ids, start = _load(index.to_pylist(), dim)
-            lift = np.sqrt(np.maximum(longest - np.einsum("ij,ij->i", raw.astype(np.float64), raw.astype(np.float64)), 0))
-            graph = Graph(np.concatenate([raw, lift[:, None].astype(np.float32)], 1), layers)
+            graph = Graph(Points.of(raw, longest), layers)
             asked, own = _matrix(queries.column("embedding")), queries.column("query_id").to_pylist()
             keys = queries.column("key").to_pylist()
             for i in range(0, len(asked), BATCH):
                 q = asked[i : i + BATCH]
-                found, _ = graph.search(np.concatenate([q, np.zeros((len(q), 1), np.float32)], 1), SEARCH_BEAM)
+                found, _ = graph.search(Points.of(q, 0.0).way, max(SEARCH_BEAM, 2 * k))
                 score = np.matmul(raw[found].astype(np.float64), q.astype(np.float64)[:, :, None])[:, :, 0]
                 for r in range(len(q)):
                     hits = []
@@ -296,21 +324,22 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def build_index(rows: DataFrame, dim: int, n: int, longest: float, smallest: int = PART, largest: int = 1_000_000) -> DataFrame:
-    """The index table of ``rows`` (vec_id, embedding).  Shards hold ``smallest``
-    rows if the cluster has cores for so many, and never above ``largest``."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    shards = max(-(-n // largest), min(-(-n // smallest), 4 * cores), 1)
+    """The index table of ``rows`` (vec_id, embedding).  64 shards of ``smallest``
+    to ``largest`` rows, or as many more or fewer as these bounds ask for."""
+    shards = -(-n // min(largest, max(smallest, n // 64)))
     dealt = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), "vec_id", "embedding")
     return cut(dealt.groupBy("shard").applyInArrow(_build_shard(longest), INDEX), "hnsw")
 
 
 def search(index: DataFrame, queries: DataFrame, dim: int, longest: float, k: int) -> DataFrame:
     """``queries`` (query_id, embedding) against every shard: query_id, rank,
-    vec_id, score."""
-    shards = index.select("shard").distinct()
+    vec_id, score.  A task gets one shard and one block of queries."""
+    blocks = max(1, -(-queries.count() // BLOCK))
+    shards = [F.lit(r.shard) for r in index.select("shard").distinct().orderBy("shard").collect()]
     keyed = queries.select("query_id", "embedding", F.xxhash64("query_id", "embedding").alias("key"))
-    dealt = keyed.withColumn("shard", F.explode(F.array(*(F.lit(s) for s in sorted(r.shard for r in shards.collect()))).cast("array<int>")))
-    hits = index.groupBy("shard").cogroup(dealt.groupBy("shard")).applyInArrow(_search_shard(dim, k, longest), "key long, query_id long, vec_id long, score double")
+    dealt = keyed.withColumn("block", F.pmod("key", F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.array(*shards).cast("array<int>")))
+    held = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    hits = held.groupBy("shard", "block").cogroup(dealt.groupBy("shard", "block")).applyInArrow(_search_shard(dim, k, longest), "key long, query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id"))
     return hits.distinct().withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -318,7 +347,7 @@ def search(index: DataFrame, queries: DataFrame, dim: int, longest: float, k: in
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     """The ``k`` nearest rows of each row whose vec_id is divisible by ``every``."""
     rows = cut(usable(vectors), "vectors")
-    sizes = rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x)).alias("longest"))
+    sizes = rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.max(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))).alias("longest"))
     most = sizes.orderBy(F.desc("n"), "dim").limit(1).collect()
     if not most:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
