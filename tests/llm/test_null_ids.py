@@ -19,6 +19,6 @@ def test_null_ids(spark):
     assert sorted(r.n_removed for r in substring_dedup.dedup_digests(docs, 35).collect()) == [0, 50, 50, 50]
     rows = jaccard_join.jaccard_components(docs, 4, 85).collect()
     assert len(rows) == 4 and {r.component_id for r in rows if r.doc_id in (4, 5)} == {4}
-    assert token_counts.edited_counts(docs.withColumn("edits", token_counts.sample_edits()), BYTE).count() == 4
+    assert token_counts.edited_counts(docs, BYTE, token_counts.sample_edits()).count() == 4
     pages = spark.createDataFrame([(None, None, "h", 1)], "page_id long, url string, host string, key int")
     assert url_filter.UrlFilter([("net", "/", "block")]).fit(pages).judge(pages).collect()[0].verdict == "allow"

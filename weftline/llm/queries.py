@@ -23,8 +23,7 @@ def op3_piece_spans(spark, sf_dir):
 
 
 def op4_token_counts(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").withColumn("edits", token_counts.sample_edits())
-    return token_counts.edited_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_counts.edited_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), token_counts.sample_edits())
 
 
 def op5_url_filter(spark, sf_dir):
