@@ -39,6 +39,17 @@ def test_equals_plain_rules(spark, rules):
     assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got} == {i: plain(u, rules) for i, u in rows}
 
 
+def test_long_hosts_and_clashing_names(spark):
+    hosts = ["a." * 40_000 + "net", "." * 30_000 + "example.net", "a" * 100_000]
+    rows = [(i, f"http://{h}/en/" + "x" * 50_000) for i, h in enumerate(hosts)]
+    pages = spark.createDataFrame(rows, "page_id long, url string").selectExpr("*", "1 as _best", "2 as best", "3 as own", "4 as rule")
+    got = {r.page_id: r for r in url_filter.UrlFilter(URL_RULES).fit(pages).judge(pages).collect()}
+    for i, u in rows:
+        host, path, rule, verdict = plain(u, URL_RULES)
+        r = got[i]
+        assert (r.host, r.path, r.rule, r.verdict, r._best, r.best, r.own) == (host, path, rule, verdict, 1, 2, 3)
+
+
 def test_contradicting_rules_and_empty_table(spark):
     with pytest.raises(ValueError):
         url_filter.UrlFilter([("a", "/", "allow"), ("a", "/", "block")])

@@ -1,8 +1,8 @@
 """URL filters: a Bloom filter cascade over the corpus's own key universe.
 
 A rule is (host, path, verdict).  Its key is host + path; a url's candidate
-keys are each suffix of its host (cut at dots) with each prefix of its path
-that is as long as some rule's path.  The listed keys L and the complete set
+keys are each suffix of its host (cut at dots) that has as many labels as some
+rule's host, with each prefix of its path that is as long as some rule's path.  The listed keys L and the complete set
 U of candidate keys in the corpus are known, so a cascade of Bloom filters
 answers membership of every key in U exactly: level 1 encodes L, level 2 the
 keys of U outside L that level 1 lets through, level 3 the keys of L that
@@ -13,8 +13,8 @@ Everything runs as DataFrame functions; the filters are literals in the plan
 a url needs neither a join nor a shuffle.
 
 Defined results: a null url, or one without ``://``, has empty host and path;
-equal urls are judged alike; other columns pass through; an empty table gives
-an empty result.  Of several fitting rules the longest key wins, between equal
+a host or path of any length is judged whole; equal urls and repeated rows are
+judged alike; other columns pass through; an empty table gives an empty result.  Of several fitting rules the longest key wins, between equal
 lengths the longer host, then the later key.
 """
 
@@ -46,10 +46,9 @@ def _rest(url: Column) -> Column:
     return F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise(F.lit(""))
 
 
-def candidate_keys(host: Column, path: Column, path_lengths: list[int]) -> Column:
+def candidate_keys(host: Column, path: Column, path_lengths: list[int], label_counts: list[int]) -> Column:
     """Every key under which a rule could list this url."""
-    labels = F.split(host, r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    suffixes = F.array(*(F.substring_index(host, ".", -n) for n in label_counts))
     prefixes = F.array(*(F.substring(path, 1, n) for n in path_lengths))
     return F.array_distinct(F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p)))))
 
@@ -115,7 +114,9 @@ def build_level(keys: DataFrame, bits: int, hashes: int, salt: int) -> Level:
 def build_cascade(universe: DataFrame, listed: DataFrame, size: int, most_levels: int = 40) -> Cascade:
     """``universe`` and ``listed``: one column ``key``; ``size``: about how many
     distinct keys the universe has.  The first level is tested in the scan of the
-    universe; only the few keys it lets through wrongly are ever shuffled."""
+    universe; only the few keys it lets through wrongly are ever shuffled.  Each
+    level halves what is left or better; should ``most_levels`` not close it, it
+    fails, as its answers would not be exact."""
     n = listed.count()
     levels, cuts = [build_level(listed, *_shape(n, size), 0)], []
     inside = listed
@@ -155,13 +156,14 @@ class UrlFilter:
                 raise ValueError(f"{host + path} has two verdicts")
         self.rules, self.default = list(by_key.values()), default
         self.path_lengths = sorted({len(p) for _, p, _ in self.rules}) or [0]
+        self.label_counts = sorted({h.count(".") + 1 for h, _, _ in self.rules}) or [1]
         self.cascades: dict[str, Cascade] = {}
 
     def fit(self, urls: DataFrame, column: str = "url") -> UrlFilter:
         """Build one cascade a verdict over all candidate keys in ``urls``."""
         spark: SparkSession = urls.sparkSession
         url = F.col(column)
-        keys = urls.select(F.explode(candidate_keys(host_of(url), path_of(url), self.path_lengths)).alias("key"))
+        keys = urls.select(F.explode(candidate_keys(host_of(url), path_of(url), self.path_lengths, self.label_counts)).alias("key"))
         size = keys.agg(F.approx_count_distinct("key").alias("n")).first().n
         for verdict in ("block", "allow"):
             own = [(h + p,) for h, p, v in self.rules if v == verdict]
@@ -174,11 +176,11 @@ class UrlFilter:
         clear = [c for c in urls.columns if c.lower() not in ("host", "path", "rule", "verdict")]
         url = F.col(column)
         out = urls.select(*(F.col(f"`{c}`") for c in clear), host_of(url).alias("host"), path_of(url).alias("path"))
-        keys = candidate_keys(F.col("host"), F.col("path"), self.path_lengths)
+        keys = candidate_keys(F.col("host"), F.col("path"), self.path_lengths, self.label_counts)
         fitting = []
         for verdict, cascade in self.cascades.items():
             fitting.append(F.transform(F.filter(keys, cascade.holds), _weighed(verdict)))
         none = F.lit(None).cast("struct<n:int,h:int,rule:string,verdict:string>")
         best = F.array_max(F.concat(*fitting)) if fitting else none
-        out = out.withColumn("_best", best)
-        return out.select("*", F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit(self.default)).alias("verdict")).drop("_best")
+        names = [*clear, "host", "path"]
+        return out.select(F.struct("*").alias("own"), best.alias("best")).select(*(F.col(f"own.`{c}`") for c in names), F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(self.default)).alias("verdict"))
