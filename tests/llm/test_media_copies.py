@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from weftline.llm import media_copies as mc
 
@@ -66,6 +67,7 @@ def test_crowds_change_no_result(spark, monkeypatch):
     pictures = [(100 * i + j, noisy(mc.draw(i), j, 3)) for i in range(3) for j in range(25)]
     whole = groups(frame(spark, pictures))
     monkeypatch.setattr(mc, "CROWD", 2)
+    monkeypatch.setattr(mc, "SQUARE", 8)
     assert groups(frame(spark, pictures)) == whole
 
 
@@ -122,3 +124,44 @@ def test_small_crops_and_slight_turns_of_large_pictures(spark):
         crop = a[corner[0] : corner[0] + 110, corner[1] : corner[1] + 110]
         pictures += [(3 * n, a), (3 * n + 1, crop), (3 * n + 2, turned(a, [3, 8, 15, 20, 30, 45][n]))]
     assert groups(frame(spark, pictures)) == {i: i // 3 * 3 for i, _ in pictures}
+
+
+def near_pairs(rows):
+    """All pairs of corners of different pictures within NEAR bits, by comparing all."""
+    d = np.array([(r.d0, r.d1) for r in rows], np.int64).view(np.uint64)
+    pic, corner = np.array([r.pic_id for r in rows]), np.array([r.corner for r in rows])
+    out = {}
+    for k in range(len(rows)):
+        apart = np.bitwise_count(d ^ d[k]).sum(1, dtype=int)
+        for m in np.flatnonzero((apart <= mc.NEAR) & (pic != pic[k])).tolist():
+            if corner[k] < corner[m]:
+                out[int(corner[k]), int(corner[m])] = int(apart[m])
+    return out
+
+
+def test_pairs_against_comparing_all(spark):
+    pictures = [(2 * i, mc.draw(i)) for i in range(40)] + [(2 * i + 1, noisy(mc.draw(i), i, 4)) for i in range(40)]
+    corners = mc.describe(frame(spark, pictures)).withColumn("corner", F.monotonically_increasing_id()).persist()
+    want = near_pairs(corners.collect())
+    got = {(r.i, r.j) for r in mc._compared(corners).collect()}
+    assert got <= set(want) and {p for p, apart in want.items() if apart <= 6} <= got
+    assert len(got) >= 0.5 * len(want)
+    corners.unpersist()
+
+
+@pytest.mark.parametrize("n", [200, 1000])
+def test_many_noisy_copies(spark, n):
+    got = groups(frame(spark, [(i, noisy(mc.draw(1), i, 4)) for i in range(n)]))
+    assert sum(g == 0 for g in got.values()) >= 0.95 * n
+
+
+def test_other_sizes_and_strips(spark, monkeypatch):
+    large = [np.block([[mc.draw(100 * n + 3 * i + j) for j in range(3)] for i in range(2)]) for n in range(8)]
+    halves = [np.round(a.reshape(80, 2, 120, 2).mean((1, 3))).astype(np.uint8) for a in large]
+    df = frame(spark, [(2 * i, a) for i, a in enumerate(large)] + [(2 * i + 1, a) for i, a in enumerate(halves)])
+    got = groups(df)
+    assert sum(got[2 * i + 1] == 2 * i for i in range(8)) >= 7 and all(got[2 * i] == 2 * i for i in range(8))
+    rows = lambda: {(r.pic_id, r.x, r.y, r.scale) for r in mc.describe(df).collect()}
+    whole = rows()
+    monkeypatch.setattr(mc, "PIXELS", 240 * 40)
+    assert len(whole & rows()) >= 0.99 * len(whole | rows())

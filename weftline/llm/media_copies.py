@@ -4,7 +4,8 @@ Pictures are grey, as binary PGM.  On two scales, corners are the local maxima
 of the smaller-eigenvalue kind of response of the structure tensor, all those
 above a threshold, so that a crop has the corners of its original; each gets
 the direction of its intensity centroid and 128 binary tests of blurred pixels,
-turned by that direction.  28 tables, one for each two of the descriptor's
+turned by that direction.  Tests reach ``REACH`` pixels (those beyond the
+picture read its edge), as what lies nearer is alike at all corners of boxes.  28 tables, one for each two of the descriptor's
 eight blocks of 16 bits, bring together all descriptors that differ in at most
 six bits, and of those with more random differences 92 % at eight, 48 % at
 twelve and 5 % at 20; corners are dealt by the first of the two blocks, the
@@ -14,21 +15,28 @@ different corners behind it links the two.  Linked pictures form groups.
 
 Corners of a table entry are compared in the task that holds it and only near
 pairs leave it.  In an entry with more than ``CROWD`` corners each first meets
-the one of the smallest pic_id and the first with its own descriptor, so a copy
-group of any size forms from a comparison or two a corner.  Then all corners of
-such entries whose pictures are not in one group yet are compared, in squares
-of ``CROWD`` by ``CROWD``.  The groups are those that comparing all corners of
-all entries gives; where many pictures of different groups share an entry, the
-comparisons there grow with the square of their number.
+the one of the smallest pic_id, the first with its own descriptor and the
+``BEFORE`` that precede it by pic_id, so a copy group of any size forms from a
+few comparisons a corner.  Then all corners of such entries whose pictures are
+not in one group yet are compared, in squares of ``SQUARE`` by ``SQUARE``.  The
+groups are those that comparing all corners of all entries gives; where many
+pictures of different groups share an entry, the comparisons there grow with
+the square of their number.
+
+Pictures are described in stacks of equal shape, and large ones in strips, of
+at most ``PIXELS`` pixels (or one row of strips), whatever the batch holds.
 
 Defined results: pictures that are null, no PGM, or too small for a patch have
 no corners and a group of their own; equal pictures link if they have corners
-enough; rows that repeat a pic_id give a row each; an empty table gives an
-empty result; other columns are ignored.
+enough; rows that repeat a pic_id give a row each and are one picture with the
+corners of all; a group is named by its smallest pic_id, and of equally good
+transforms any links; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 
@@ -38,25 +46,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import cut
+from .common import cut, drop, text_groups
 from .words import mix
 
-RADIUS = 9
+RADIUS = 9  # of what must lie within the picture
+REACH = 26  # of the tests
 NEAR = 20
 BLOCKS = 8  # of a descriptor; two equal ones bring corners together
-CROWD = 256
+CROWD = 8
+BEFORE = 2
+SQUARE = 256
 ROWS = 400_000  # of the tables, a task
 VOTES = 4
 CELL = 8  # pixels
 TILE = 80  # pixels; the corners that link two pictures lie in one tile
+PIXELS = 1 << 21  # described at once
+HALO = 80  # rows beside a strip that its corners may read
 
 
 def _test_points() -> np.ndarray:
-    """Ends of the 128 tests: a place in the patch and one a few pixels off, so
-    that tests read the grain of a picture and not only its large edges."""
+    """Ends of the 128 tests: a place around the corner and one a few pixels off,
+    so that a test reads a slope of its own and not the large edges again."""
     rng = np.random.default_rng(11)
-    near = rng.normal(0, RADIUS / 2, (128, 2))
-    return np.stack([near, near + rng.normal(0, 3, (128, 2))]).clip(-RADIUS + 1, RADIUS - 1)
+    near = rng.normal(0, 12, (128, 2))
+    return np.stack([near, near + rng.normal(0, 5, (128, 2))]).clip(-REACH, REACH)
 
 
 _TESTS = _test_points()
@@ -131,7 +144,7 @@ def describe_stack(stack: np.ndarray) -> tuple[np.ndarray, ...]:
         value = []
         for tx, ty in ((t[:, 0], t[:, 1]) for t in _TESTS):
             px, py = np.rint(c * tx - n * ty).astype(int), np.rint(n * tx + c * ty).astype(int)
-            value.append(smooth[p[:, None], y[:, None] + py.clip(-RADIUS - 2, RADIUS + 2), x[:, None] + px.clip(-RADIUS - 2, RADIUS + 2)])
+            value.append(smooth[p[:, None], (y[:, None] + py).clip(0, s.shape[1] - 1), (x[:, None] + px).clip(0, s.shape[2] - 1)])
         bits = np.packbits(value[0] < value[1], axis=1).view("<i8")
         out.append((p, x * scale, y * scale, np.full(len(p), scale), angle, bits[:, 0], bits[:, 1]))
     if not out:
@@ -139,23 +152,36 @@ def describe_stack(stack: np.ndarray) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
+def _strips(stack: np.ndarray):
+    """:func:`describe_stack` in strips of rows, each read with a halo."""
+    height = stack.shape[1]
+    step = max(HALO, PIXELS // max(1, len(stack) * stack.shape[2]) // 2 * 2)
+    for top in range(0, height, step):
+        first = max(0, top - HALO)
+        out = describe_stack(stack[:, first : top + step + HALO].astype(np.float64))
+        y = out[2] + first
+        own = (y >= top) & (y < top + step)
+        yield tuple(c[own] for c in (*out[:2], y, *out[3:]))
+
+
 def describe(pictures: DataFrame) -> DataFrame:
     """``pictures`` (pic_id, image) -> a row a corner: pic_id, x, y, scale, angle,
     d0, d1."""
 
     def run(batches):
-        for b in batches:
+        for b in text_groups(batches, "image", PIXELS):
             by_shape: dict = {}
             for i, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 a = decode_pgm(data)
                 if a is not None and i is not None:
                     by_shape.setdefault(a.shape, []).append((i, a))
-            for own in by_shape.values():
-                for k in range(0, len(own), 256):
-                    part = own[k : k + 256]
-                    p, x, y, scale, angle, d0, d1 = describe_stack(np.stack([a for _, a in part]).astype(np.float64))
-                    ids = np.array([i for i, _ in part], np.int64)[p]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array(v.astype(np.float32)) for v in (x, y, scale, angle)), pa.array(d0), pa.array(d1)], ["pic_id", "x", "y", "scale", "angle", "d0", "d1"])
+            for (height, width), own in by_shape.items():
+                many = max(1, PIXELS // max(1, height * width))
+                for k in range(0, len(own), many):
+                    ids = np.array([i for i, _ in own[k : k + many]], np.int64)
+                    stack = np.stack([a for _, a in own[k : k + many]])
+                    for p, x, y, scale, angle, d0, d1 in _strips(stack):
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[p]), *(pa.array(v.astype(np.float32)) for v in (x, y, scale, angle)), pa.array(d0), pa.array(d1)], ["pic_id", "x", "y", "scale", "angle", "d0", "d1"])
 
     return pictures.select(F.col("pic_id").cast("long"), "image").mapInArrow(run, "pic_id long, x float, y float, scale float, angle float, d0 long, d1 long")
 
@@ -204,8 +230,8 @@ def _pairs_of(found: list) -> pa.RecordBatch:
 
 def _compared(corners: DataFrame) -> DataFrame:
     """(i, j): near corners of different pictures that share an entry; a corner in
-    a crowded entry meets the entry's first one and the first that has its
-    descriptor, and gives a row (i, -1)."""
+    a crowded entry meets the entry's first one, the first that has its descriptor
+    and those just before it, and gives a row (i, -1)."""
 
     def run(batches):
         batches = list(batches)
@@ -228,11 +254,15 @@ def _compared(corners: DataFrame) -> DataFrame:
                 fresh = np.r_[True, np.any(np.diff(np.stack([d0, d1, start[crowd]])[:, order]) != 0, axis=0)]
                 heads = order[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
                 sides.append((at[crowd[heads]], at[crowd[order]]))
+                for off in range(1, BEFORE + 1):
+                    later = crowd[crowd - off >= start[crowd]]
+                    sides.append((at[later - off], at[later]))
                 found.append(np.stack([c["corner"][at[crowd]], np.full(len(crowd), -1)], 1))
             for p, q in sides:
                 near = _near(c, p, q)
                 i, j = c["corner"][p[near]], c["corner"][q[near]]
                 found.append(np.stack([np.minimum(i, j), np.maximum(i, j)], 1))
+            found = [np.unique(np.concatenate(found), axis=0)] if found else []
         yield _pairs_of(found)
 
     return _dealt(corners).mapInArrow(run, "i long, j long").distinct()
@@ -240,8 +270,8 @@ def _compared(corners: DataFrame) -> DataFrame:
 
 def _across(crowd: DataFrame, groups: DataFrame) -> DataFrame:
     """(i, j): all near corners that share a crowded entry and whose pictures are
-    in no common group yet.  Entries are dealt in squares of ``CROWD`` by
-    ``CROWD`` corners, so no task gets a whole one."""
+    in no common group yet.  Entries are dealt in squares of ``SQUARE`` by
+    ``SQUARE`` corners, so no task gets a whole one."""
     labelled = crowd.join(groups.select(F.col("id").alias("pic_id"), "component"), "pic_id", "left").withColumn("component", F.coalesce("component", "pic_id"))
 
     def squares(batches):
@@ -253,7 +283,7 @@ def _across(crowd: DataFrame, groups: DataFrame) -> DataFrame:
             group = c["component"][at]
             mixed = np.repeat(np.minimum.reduceat(group, first) < np.maximum.reduceat(group, first), end[first] - first)
             here = np.flatnonzero(mixed & (end - start > CROWD))
-            strip, strips = (here - start[here]) // CROWD, -(-(end - start)[here] // CROWD)
+            strip, strips = (here - start[here]) // SQUARE, -(-(end - start)[here] // SQUARE)
             for other in range(int(strips.max(initial=0))):
                 own = other < strips
                 p, q = strip[own], np.full(own.sum(), other)
@@ -275,35 +305,66 @@ def _across(crowd: DataFrame, groups: DataFrame) -> DataFrame:
     return dealt.groupBy("square").applyInArrow(compare, "i long, j long").distinct()
 
 
+_SIDE = ["pic", "x", "y", "scale", "angle"]
+
+
 def _matches(pairs: DataFrame, corners: DataFrame) -> DataFrame:
-    """Pairs of corner numbers -> (a, b), the smaller pic_id as a."""
-    me = corners.select("corner", F.struct("pic_id", "x", "y", "scale", "angle", "d0", "d1").alias("c"))
-    both = pairs.join(me.toDF("i", "p"), "i").join(me.toDF("j", "q"), "j")
-    return both.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+    """Pairs of corner numbers -> both corners in one row, the smaller pic_id as a."""
+    me = corners.select("corner", F.struct(F.col("pic_id").alias("pic"), "x", "y", "scale", "angle").alias("c"))
+    both = pairs.join(me.toDF("i", "p"), "i").join(me.toDF("j", "q"), "j").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+    return both.select(*(F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in _SIDE))
 
 
 def _consensus(matches: DataFrame) -> DataFrame:
-    """(u, v): pictures of which one transform explains enough corners."""
-    turn = F.col("b.angle") - F.col("a.angle")
-    grow = F.col("b.scale") / F.col("a.scale")
-    c, s = F.cos(turn), F.sin(turn)
-    places = []
-    for k, t, h in ((k, t, h) for t in (0, 1) for h in (0, 1) for k in (0, 1)):
-        # where the middle of a's tile goes: an error of the angle moves it no further in a large picture
-        tx, ty = F.floor(F.col("a.x") / TILE + t / 2.0), F.floor(F.col("a.y") / TILE + h / 2.0)
-        ox, oy = F.col("a.x") - (tx + 0.5 - t / 2.0) * TILE, F.col("a.y") - (ty + 0.5 - h / 2.0) * TILE
-        dx, dy = F.col("b.x") - grow * (c * ox - s * oy), F.col("b.y") - grow * (s * ox + c * oy)
-        bin_ = F.pmod(F.floor(turn / (math.pi / 6) + k / 2.0), F.lit(12)).cast("int")
-        for i, j in ((0, 0), (0, 1), (1, 0), (1, 1)):
-            cell = F.floor(dx / CELL + i / 2.0), F.floor(dy / CELL + j / 2.0)
-            shift = F.lit(16 * t + 8 * h + 4 * k + 2 * i + j)
-            places.append(F.struct(shift.alias("shift"), bin_.alias("turn"), tx.alias("tx"), ty.alias("ty"), cell[0].alias("cx"), cell[1].alias("cy")))
-    # one tile holds a small picture
-    places = F.when(F.col("reach") < TILE, F.array(*places[:8])).otherwise(F.array(*places))
-    # pictures with too few matches in all cast no votes
-    ample = matches.groupBy(F.col("a.pic_id").alias("u"), F.col("b.pic_id").alias("v")).agg(F.collect_list(F.struct("a", "b")).alias("m"), F.max(F.greatest("a.x", "a.y", "b.x", "b.y")).alias("reach")).filter(F.size("m") >= VOTES)
-    votes = ample.select("u", "v", "reach", F.explode("m").alias("m")).select("u", "v", "reach", "m.*").select("u", "v", F.log2(grow).cast("int").alias("grow"), F.xxhash64("a.x", "a.y").alias("corner"), F.explode(places).alias("at"))
-    return votes.distinct().groupBy("u", "v", "grow", "at").agg(F.count_distinct("corner").alias("n")).filter(F.col("n") >= VOTES).select("u", "v").distinct()
+    """(u, v): pictures of which one transform explains enough corners.  The
+    matches of two pictures stream together through a task, many pairs at once."""
+
+    def run(batches):
+        held = None
+        for b in batches:
+            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            a, v = t.column("a_pic").to_numpy(), t.column("b_pic").to_numpy()
+            done = int(np.flatnonzero((a != a[-1]) | (v != v[-1])).max(initial=-1)) + 1
+            held = t.slice(done)
+            yield _linked(t.slice(0, done))
+        if held is not None:
+            yield _linked(held)
+
+    return matches.repartition("a_pic", "b_pic").sortWithinPartitions("a_pic", "b_pic").mapInArrow(run, "u long, v long")
+
+
+def _linked(t: pa.Table) -> pa.RecordBatch:
+    c = {name: t.column(name).to_numpy() for name in t.column_names}
+    first = np.flatnonzero(np.r_[True, (np.diff(c["a_pic"]) != 0) | (np.diff(c["b_pic"]) != 0)][: t.num_rows])
+    ends = [c["a_pic"][first], c["b_pic"][first]]
+    sizes = np.diff(first, append=t.num_rows)
+    pair = np.repeat(np.arange(len(first)), sizes)
+    enough = sizes[pair] >= VOTES  # pictures with too few matches in all cast no votes
+    c, pair = {k: x[enough].astype(np.float64) for k, x in c.items()}, pair[enough]
+    found = np.zeros(len(first), bool)
+    if len(pair):
+        reach = np.zeros(len(first))
+        np.maximum.at(reach, pair, np.max([c[k] for k in ("a_x", "a_y", "b_x", "b_y")], axis=0))
+        one_tile = reach[pair] < TILE
+        _, corner = np.unique(np.stack([pair, c["a_x"], c["a_y"]], 1), axis=0, return_inverse=True)
+        turn, grow = c["b_angle"] - c["a_angle"], c["b_scale"] / c["a_scale"]
+        cos, sin = np.cos(turn), np.sin(turn)
+        for t, h, k in itertools.product((0, 1), repeat=3):
+            # where the middle of a's tile goes: an error of the angle moves it no further in a large picture
+            tx, ty = np.floor(c["a_x"] / TILE + t / 2), np.floor(c["a_y"] / TILE + h / 2)
+            ox, oy = c["a_x"] - (tx + 0.5 - t / 2) * TILE, c["a_y"] - (ty + 0.5 - h / 2) * TILE
+            dx, dy = c["b_x"] - grow * (cos * ox - sin * oy), c["b_y"] - grow * (sin * ox + cos * oy)
+            part = np.floor(turn / (math.pi / 6) + k / 2) % 12
+            own = np.flatnonzero(~one_tile) if t or h else np.arange(len(pair))
+            for i, j in itertools.product((0, 1), repeat=2):
+                at = np.stack([pair, part, np.round(np.log2(grow)), tx, ty, np.floor(dx / CELL + i / 2), np.floor(dy / CELL + j / 2), corner])[:, own].astype(np.int64)
+                order = np.lexsort(at[::-1])
+                at = at[:, order]
+                new = np.r_[True, (np.diff(at) != 0).any(0)][: len(own)]  # a corner votes once for a place
+                at = at[:, new]
+                place = np.flatnonzero(np.r_[True, (np.diff(at[:-1]) != 0).any(0)][: at.shape[1]])
+                found[at[0, place[np.diff(place, append=at.shape[1]) >= VOTES]]] = True
+    return pa.RecordBatch.from_arrays([pa.array(e[found]) for e in ends], ["u", "v"])
 
 
 def copy_groups(pictures: DataFrame) -> DataFrame:
@@ -315,8 +376,16 @@ def copy_groups(pictures: DataFrame) -> DataFrame:
     groups = components(links)
     if not crowd.isEmpty():
         more = cut(_across(corners.join(crowd, "corner", "left_semi"), groups), "across")
-        links = links.unionByName(_consensus(_matches(pairs.unionByName(more).distinct(), corners)))
-        groups = components(links)
+        if not more.isEmpty():
+            # pictures of one group already have their link
+            label = groups.select(F.col("id").alias("pic_id"), "component")
+            side = corners.select("corner", "pic_id").join(label, "pic_id", "left").select("corner", F.coalesce("component", "pic_id").alias("c"))
+            apart = pairs.join(side.toDF("i", "ci"), "i").join(side.toDF("j", "cj"), "j").filter("ci <> cj").select("i", "j")
+            links = links.unionByName(_consensus(_matches(apart.unionByName(more).distinct(), corners)))
+            groups = components(links)
+        drop(more)
+    groups = cut(groups, "groups")
+    drop(compared)
     counts = corners.groupBy("pic_id").agg(F.count(F.lit(1)).alias("n_corners"))
     rows = pictures.select(F.col("pic_id").cast("long")).join(counts, "pic_id", "left").join(groups.withColumnRenamed("id", "pic_id"), "pic_id", "left")
     return rows.select("pic_id", F.coalesce("n_corners", F.lit(0)).cast("long").alias("n_corners"), F.coalesce("component", "pic_id").alias("group_id"))
