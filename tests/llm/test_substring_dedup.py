@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from weftline.llm import substring_dedup as sd
 
@@ -28,7 +29,7 @@ def brute(rows, size):
 def corpus(seed, size):
     rnd = random.Random(seed)
     word = lambda: "".join(rnd.choice("abc") for _ in range(rnd.randint(1, 4)))
-    passages = [[word() for _ in range(rnd.randint(size - 3, 3 * size))] for _ in range(6)]
+    passages = [[word() for _ in range(rnd.randint(max(1, size - 3), 3 * size))] for _ in range(6)]
     rows = []
     for i in range(150):
         w = [word() for _ in range(rnd.randint(0, 4 * size))]
@@ -47,7 +48,7 @@ def corpus(seed, size):
     return rows + [(300, None), (301, ""), (302, "x " * 500), (303, "y z " * 300), (304, rows[3][1]), (304, rows[3][1]), (304, rows[4][1] + " é"), (305, "A b " * size), (306, "a b " * size)]
 
 
-@pytest.mark.parametrize("size, hot, shard", [(35, 4096, 400_000), (10, 4096, 500), (12, 3, 2000)])
+@pytest.mark.parametrize("size, hot, shard", [(35, 4096, 400_000), (10, 4096, 500), (12, 3, 2000), (1, 4096, 400_000), (4, 2, 400_000), (6, 4096, 400_000), (80, 4096, 9000), (120, 2, 400_000), (200, 4096, 400_000)])
 def test_equals_brute_force(spark, monkeypatch, size, hot, shard):
     monkeypatch.setattr(sd, "HOT", hot)
     monkeypatch.setattr(sd, "SHARD_WORDS", shard)
@@ -56,6 +57,14 @@ def test_equals_brute_force(spark, monkeypatch, size, hot, shard):
     assert sorted(map(tuple, sd.dedup_digests(docs, size).collect())) == brute(rows, size)
 
 
+def test_kept_columns_may_have_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b c a b c", "x", 7)], "doc_id long, text string, dk string, first int").withColumn("_text", F.lit(3))
+    got = sd.dedup(docs, 3, ["doc_id", "dk", "first", "_text"]).first()
+    assert (got.doc_id, got.dk, got["first"], got._text, got.n_removed) == (1, "x", 7, 3, 6)
+    with pytest.raises(ValueError):
+        sd.dedup(docs, 0)
+
+
 def test_empty_table(spark):
     assert sd.dedup_digests(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

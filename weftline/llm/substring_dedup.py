@@ -4,7 +4,7 @@ A window is ``size`` consecutive words.  Words covered by a window whose word
 sequence starts anywhere else are removed.
 
 1. Anchors.  Every window has one anchor, the word n-gram with the smallest
-   hash in it (the leftmost, if equal).  Equal windows have equal anchors at
+   hash in it (the leftmost, if equal; ``ANCHOR`` words, or ``size`` if fewer).  Equal windows have equal anchors at
    equal places, so an occurrence of an anchor, with the words its windows
    span, can be judged among the occurrences of the same anchor alone.  These
    regions cover every window of every text once.
@@ -23,11 +23,13 @@ sequence starts anywhere else are removed.
    place and words, and counted in each task before the shuffle, which
    answers them.
 
-Words are compared by 64-bit hashes.  Window verdicts are on the input.
+Any ``size`` from one word on is taken.  Words are compared by 64-bit hashes.
+Window verdicts are on the input.
 
-Defined results: a null, empty or short text loses nothing; equal documents,
-equal doc_ids included, are each other's repeats; other columns are ignored;
-an empty table gives an empty result.
+Defined results: a null, empty or short text loses nothing; a text of any
+length is read whole; equal documents, equal doc_ids included, are each other's
+repeats (of equal windows none is preferred, all go); other columns are ignored
+or kept under any name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bloom, cut, drop, text_groups
@@ -46,13 +48,21 @@ HOT = 4096
 SHARD_WORDS = 400_000
 
 
+def spans(hashes: np.ndarray, first: np.ndarray, past: np.ndarray) -> np.ndarray:
+    """Hash of the words first to past of one text, wherever they stand."""
+    up, down = _powers(len(hashes) + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up[: len(hashes)])])
+    return (total[past] - total[first]) * down[first]
+
+
 def regions(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Anchor, identity, first window and number of windows of each region of
     one text with at least ``size`` words."""
     n = len(hashes)
-    grams = ngrams(hashes, ANCHOR)
+    wide = min(ANCHOR, size)
+    grams = ngrams(hashes, wide)
     # leftmost minima of sliding blocks, by doubling: least[i] over [i, i + width)
-    span, width, at = size - ANCHOR + 1, 1, np.arange(len(grams))
+    span, width, at = size - wide + 1, 1, np.arange(len(grams))
     while width < span:
         step = min(width, span - width)
         a, b = at[: len(at) - step], at[step:]
@@ -60,10 +70,8 @@ def regions(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.n
         width += step
     first = np.flatnonzero(np.diff(at, prepend=-1))
     count = np.diff(first, append=len(at))
-    up, down = _powers(n + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up[:n])])
     place = at[first]
-    body = (total[first + count + size - 1] - total[first]) * down[first]
+    body = spans(hashes, first, first + count + size - 1)
     identity = mix(mix(body + (place - first).astype(np.uint64)) + count.astype(np.uint64))
     return grams[place], identity, first, count
 
@@ -126,7 +134,7 @@ class WaveletMatrix:
             packed = np.packbits(bit, bitorder="little")
             packed = np.concatenate([packed, np.zeros(8 - len(packed) % 8, np.uint8)]).view("<u8")
             self.bits.append(packed)
-            self.before.append(np.concatenate([[0], np.cumsum(np.bitwise_count(packed), dtype=np.int64)]))
+            self.before.append(np.concatenate([[0], np.cumsum(np.bitwise_count(packed))]).astype(np.int32))
             self.zeros.append(n - int(bit.sum()))
             sequence = np.concatenate([sequence[bit == 0], sequence[bit == 1]])
 
@@ -180,8 +188,8 @@ class FMIndex:
 
 
 def repeated_windows(texts: list[np.ndarray], ask: np.ndarray, size: int) -> np.ndarray:
-    """For distinct regions (arrays of word hashes): a bit mask of the windows
-    of each asked one that occur in another."""
+    """For distinct regions (arrays of word hashes): which windows of each asked
+    one occur in another."""
     lengths = np.array([len(t) for t in texts])
     _, symbols = np.unique(np.concatenate(texts), return_inverse=True)
     text = np.zeros(int(lengths.sum()) + len(texts), np.int64)
@@ -219,18 +227,18 @@ def repeated_windows(texts: list[np.ndarray], ask: np.ndarray, size: int) -> np.
         repeated[live] |= settled & good[:, None]
         unsettled[live] &= ~settled
         live = live[unsettled[live].any(1)]
-    return (repeated * (1 << columns)).sum(1)
+    return repeated
 
 
 def _search(size: int):
-    """One shard: (anchor, region, alone, words) -> masks of regions not known to
-    be repeated as a whole."""
+    """One shard: (anchor, region, alone, words) -> offsets of the repeated windows
+    of regions not known to be repeated as a whole."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ask = np.flatnonzero(pdf["alone"].to_numpy())
-        masks = repeated_windows([np.frombuffer(w, np.uint64) for w in pdf["words"]], ask, size)
-        out = pdf.iloc[ask][["anchor", "region"]].assign(mask=masks)
-        return out[out["mask"] > 0]
+        found = repeated_windows([np.frombuffer(w, np.uint64) for w in pdf["words"]], ask, size)
+        some = found.any(1)
+        return pdf.iloc[ask[some]][["anchor", "region"]].assign(at=[np.flatnonzero(row).astype(np.int32) for row in found[some]])
 
     return run
 
@@ -240,52 +248,51 @@ def _windows(size: int):
 
     def run(batches):
         for b in batches:
-            rows = []
             for a, r, m, w in zip(*(b.column(i).to_pylist() for i in range(4))):
                 own = np.frombuffer(w, np.uint64)
-                for i, h in enumerate(ngrams(own, size).view(np.int64).tolist()):
-                    rows.append((a, r, m, i, h))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()))], ["anchor", "region", "many", "i", "window"])
+                first = np.arange(len(own) - size + 1)
+                key = mix(spans(own, first, first + size)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), x)) for x in (a, r, m)] + [pa.array(first.astype(np.int32)), pa.array(key)], ["anchor", "region", "many", "i", "window"])
 
     return run
 
 
-def repeated_masks(docs: DataFrame, size: int) -> tuple[DataFrame, list[DataFrame]]:
-    """(dk, first, mask): per region the windows that repeat; and the tables to
-    drop when it has been read.  ``docs`` has dk and text."""
+def repeated_spans(docs: DataFrame, size: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(dk, first, windows, at): per region the offsets of the windows that repeat
+    (none: all do); and the tables to drop when it has been read.  ``docs`` has dk
+    and text."""
+    if size < 1:
+        raise ValueError("a window has a word at least")
     placed = cut(_region_rows(docs, size), "regions")
     counted = placed.groupBy("anchor", "region").agg(F.count(F.lit(1)).alias("many"), F.first("windows").alias("windows"))
-    counted = cut(counted.withColumn("d", F.count(F.lit(1)).over(Window.partitionBy("anchor"))).filter("many > 1 or d > 1"), "counted")
+    # counted in the tasks first, so an anchor of any frequency is safe; a join's hot key is split at run time
+    crowds = counted.groupBy("anchor").agg(F.count(F.lit(1)).alias("d")).filter("d > 1")
+    counted = cut(counted.join(crowds, "anchor", "left").filter("many > 1 or d > 1"), "counted")
     rivals = counted.filter("d > 1")
     sizes = rivals.agg(F.sum(F.col("windows") + size).alias("n"), F.max("d").alias("d"), F.count(F.lit(1)).alias("regions")).first()
-    whole = counted.filter("many > 1").select("anchor", "region", (F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("windows")) - 1).alias("mask"))
-    tables, masks = [placed, counted], whole
+    found = counted.filter("many > 1").select("anchor", "region", F.array().cast("array<int>").alias("at"))
+    tables = [placed, counted]
     if sizes.n:
         bodies = _region_words(docs, rivals, sizes.regions, size).dropDuplicates(["anchor", "region"]).join(rivals.select("anchor", "region", "many", "d"), ["anchor", "region"])
         bodies = cut(bodies, "bodies")
         shards = max(1, -(-sizes.n // SHARD_WORDS))
         calm = bodies.filter(F.col("d") <= HOT).select("anchor", "region", (F.col("many") == 1).alias("alone"), "words", F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"))
-        found = cut(calm.groupBy("shard").applyInPandas(_search(size), "anchor long, region long, mask long"), "found")
-        masks = masks.unionByName(found)
-        tables.append(found)
+        tables.append(cut(calm.groupBy("shard").applyInPandas(_search(size), "anchor long, region long, at array<int>"), "found"))
         if sizes.d > HOT:
             single = bodies.filter(F.col("d") > HOT).select("anchor", "region", "many", "words").mapInArrow(_windows(size), "anchor long, region long, many long, i int, window long")
             twice = single.groupBy("anchor", "window").agg(F.sum("many").alias("n")).filter("n > 1").select("anchor", "window")
-            hot = single.filter("many = 1").join(twice, ["anchor", "window"], "left_semi").groupBy("anchor", "region").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("i"))).alias("mask"))
-            hot = cut(hot, "hot")
-            masks = masks.unionByName(hot)
-            tables.append(hot)
+            hot = single.filter("many = 1").join(twice, ["anchor", "window"], "left_semi").groupBy("anchor", "region").agg(F.collect_list("i").alias("at"))
+            tables.append(cut(hot, "hot"))
+        for t in tables[2:]:
+            found = found.unionByName(t)
         drop(bodies)
-    return placed.join(masks, ["anchor", "region"]).select("dk", "first", "mask"), tables
+    return placed.join(found, ["anchor", "region"]).select("dk", "first", "windows", "at"), tables
 
 
-def covered(first: np.ndarray, mask: np.ndarray, n: int, size: int) -> np.ndarray:
+def covered(first: list[int], windows: list[int], at: list[list[int]], n: int, size: int) -> np.ndarray:
     """Which of n words lie in a repeated window."""
-    bit = mask[:, None] >> np.arange(64) & 1
-    region, offset = np.nonzero(bit)
+    starts = np.concatenate([np.arange(f, f + w) if not a else f + np.array(a) for f, w, a in zip(first, windows, at)])
     edge = np.zeros(n + 1, np.int64)
-    starts = first[region] + offset
     np.add.at(edge, starts, 1)
     np.add.at(edge, starts + size, -1)
     return np.cumsum(edge[:-1]) > 0
@@ -296,21 +303,21 @@ def dedup(docs: DataFrame, size: int = 50, keep: list[str] | None = None) -> Dat
     and kept_text: the words that stay, joined by single blanks."""
     keep = keep or ["doc_id"]
     key = F.xxhash64("doc_id", "text")
-    spans, tables = repeated_masks(docs.filter("text is not null").select(key.alias("dk"), "text"), size)
-    flags = spans.distinct().groupBy(F.col("dk").alias("_dk")).agg(F.collect_list("first").alias("_first"), F.collect_list("mask").alias("_mask"))
-    wide = docs.select(*(F.col(f"`{c}`") for c in keep), F.col("text").alias("_text"), key.alias("_dk")).join(flags, "_dk", "left").drop("_dk")
+    found, tables = repeated_spans(docs.filter("text is not null").select(key.alias("dk"), "text"), size)
+    flags = found.distinct().groupBy("dk").agg(*(F.collect_list(c).alias(c) for c in ("first", "windows", "at")))
+    own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]
+    wide = docs.select(*own, F.col("text").alias("text"), key.alias("dk")).join(flags, "dk", "left").drop("dk")
     schema = docs.select(*(F.col(f"`{c}`") for c in keep)).schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
 
     def run(batches):
-        for b in text_groups(batches, "_text", 2_000_000):
+        for b in text_groups(batches, "text", 2_000_000):
             k, rows = len(keep), []
-            for text, first, mask in zip(b.column(k).to_pylist(), b.column(k + 1).to_pylist(), b.column(k + 2).to_pylist()):
+            for text, *repeats in zip(*(b.column(k + i).to_pylist() for i in range(4))):
                 own = (text or "").encode().split()
-                if first:
-                    gone = covered(np.array(first, np.int64), np.array(mask, np.int64), len(own), size)
+                rest = own
+                if repeats[0]:
+                    gone = covered(*repeats, len(own), size)
                     rest = [w for w, g in zip(own, gone.tolist()) if not g]
-                else:
-                    rest = own
                 rows.append((len(own), len(own) - len(rest), b" ".join(rest).decode()))
             yield pa.RecordBatch.from_arrays([*b.columns[:k], *(pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string())))], [*keep, "n_words", "n_removed", "kept_text"])
 
