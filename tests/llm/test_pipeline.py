@@ -47,3 +47,18 @@ def test_stages_and_rows(spark, tmp_path):
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in rows} == set(texts)
     check(rows, texts, 2048)
+
+
+def test_repeated_and_missing_ids(spark, tmp_path):
+    x, y, z = (" ".join(f"{c}{i}" for i in range(80)) for c in "xyz")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40)
+    rows = [(9005, x), (9005, y), (9003, y + " more"), (None, z), (None, z), (None, "and " + z), (None, None), (9007, z + " end")]
+    odd = spark.createDataFrame([(d, t, "en", None, None) for d, t in rows], docs.schema)
+    step = odd
+    for name, stage in corpus_pipeline.STAGES[:2]:
+        step = stage(spark, step if name != "language_id" else docs.unionByName(odd), str(tmp_path))
+    got = {(r.doc_id, r.text) for r in step.collect() if r.doc_id is None or r.doc_id > 9000}
+    assert got == {(9005, x), (9003, y + " more"), (9007, z + " end")}
+    for table in (docs.filter("false"), docs.filter("false").unionByName(odd.filter("text is null"))):
+        table.write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+        assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -15,7 +15,7 @@ one class.  Two sets link when 100 * |x & y| >= percent * |x | y|.
    own + rare + sum over classes of (held - 1) exceeds t: a partner lacks at
    most t tokens, so some signature is left intact in both.  Sets sign for
    their own size range and the next, so partners count classes alike.
-4. Verification.  Each signature's smallest set, its pivot, is compared with
+4. Verification.  Each signature's first set, its pivot, is compared with
    the others on full sets; what links becomes components.  The comparison
    also leaves what each set lacks of its pivot and has beside it.  Sets that
    share a signature share its pivot, so the pairs still open are those of one
@@ -23,13 +23,19 @@ one class.  Two sets link when 100 * |x & y| >= percent * |x | y|.
    intersection follows exactly.  Blocks of such sets are compared in a task,
    which returns a spanning forest of its links, never the pairs.
 
-No step brings a group together in a task except as a stream or in blocks of
-bounded size, and no links or components reach the driver.
+Tokens are counted in the tasks before they move and joined back to their
+sets, so a hot token is split at run time like any hot join key; blocks of one
+pivot are dealt each on its own.  No step brings a group together in a task
+except in blocks of bounded size, and no links or components reach the driver.
+
+``percent`` is 51 to 100.  Below, a set of frequent tokens might have too few
+pairs within its classes to sign for all partners.
 
 Defined results: null, empty or blank texts have no shingles and link with
-nothing; a text with fewer than k words is one shingle; equal texts link;
-repeated doc_ids each give a row; other columns are ignored; an empty table
-gives an empty result.
+nothing; a text with fewer than k words is one shingle, one of any length is
+read whole; equal texts link; rows that repeat a doc_id each give a row and are
+told apart by their sets; ties do not matter, as a component is named by its
+smallest doc_id; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,7 +45,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
@@ -66,15 +72,20 @@ def _key(tokens: np.ndarray) -> bytes:
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n, and the 128-bit identity of the set."""
+    """doc_id, row_key, n, and the 128-bit identity of the set."""
 
     def run(batches):
         for b in text_groups(batches, limit=500_000):
             sets = shingle_sets([t or "" for t in b.column(1).to_pylist()], k)
             keys = np.frombuffer(b"".join(_key(s) for s in sets), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1])], ["doc_id", "n", "hi", "lo"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1])], ["doc_id", "row_key", "n", "hi", "lo"])
+
+    return docs.select("doc_id", "text", row_key().alias("row_key")).mapInArrow(run, "doc_id long, row_key long, n long, hi long, lo long")
+
 
-    return docs.mapInArrow(run, "doc_id long, n long, hi long, lo long")
+def row_key():
+    """Names a row by doc_id and text."""
+    return F.xxhash64(F.col("doc_id").cast("long"), "text")
 
 
 def _first_tokens(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -102,26 +113,25 @@ def _first_tokens(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(doc_id, tokens) of the wanted documents.  A Bloom filter of bounded size
+    """(key, tokens) of the wanted sets.  A Bloom filter of bounded size
     spares most others their way to the join that decides."""
-    hashed = F.xxhash64("doc_id")
-    shared = docs.sparkSession.sparkContext.broadcast(bloom(wanted, hashed, wanted.count()))
+    shared = docs.sparkSession.sparkContext.broadcast(bloom(wanted, F.col("row_key"), wanted.count()))
 
     def run(batches):
         for b in batches:
-            hit = shared.value.holds(b.column(2).to_numpy())
+            hit = shared.value.holds(b.column(0).to_numpy())
             for g in text_groups([b.filter(pa.array(hit))], limit=500_000):
                 sets = shingle_sets([t or "" for t in g.column(1).to_pylist()], k)
                 keys = [int(np.frombuffer(_key(s), "<i8", 1)[0]) for s in sets]
-                yield pa.RecordBatch.from_arrays([g.column(0), pa.array(keys, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "hi", "tokens"])
+                yield pa.RecordBatch.from_arrays([g.column(0), pa.array(keys, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["row_key", "hi", "tokens"])
 
-    found = docs.filter("doc_id is not null").select("doc_id", "text", hashed.alias("h")).mapInArrow(run, "doc_id long, hi long, tokens binary")
-    # repeated doc_ids: any of them serves if it has the wanted set
-    return found.join(wanted.select("doc_id", "hi"), ["doc_id", "hi"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "tokens")
+    found = docs.select(row_key().alias("row_key"), "text").mapInArrow(run, "row_key long, hi long, tokens binary")
+    # repeated rows: any of them serves if it has the wanted set
+    return found.join(wanted.select("row_key", "hi", "key"), ["row_key", "hi"]).dropDuplicates(["key"]).select("key", "tokens")
 
 
 def _signatures(percent: int):
-    """Rows (doc_id, n, own, tokens sorted by frequency) -> (sig, pos, ...)."""
+    """Rows (key, n, tokens sorted by frequency) -> (sig, key, n, own)."""
     ratio = np.log(100 / percent)
 
     def of(n: int, own: int, tokens: np.ndarray, df: np.ndarray):
@@ -159,7 +169,7 @@ def _signatures(percent: int):
             if rows:
                 size, x, y, d, n, own = (np.array(c, np.uint64 if i in (1, 2) else np.int64) for i, c in enumerate(zip(*rows)))
                 sig = mix(mix(x + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) + y)
-                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(d), pa.array(n), pa.array(own)], ["sig", "doc_id", "n", "own"])
+                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(d), pa.array(n), pa.array(own)], ["sig", "key", "n", "own"])
 
     return run
 
@@ -183,7 +193,7 @@ def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _STARRED)], schema=_STARRED)
 
-    left, right = sets.select(F.col("doc_id").alias("u"), F.col("tokens").alias("x")), sets.select(F.col("doc_id").alias("v"), F.col("tokens").alias("y"))
+    left, right = sets.select(F.col("key").alias("u"), F.col("tokens").alias("x")), sets.select(F.col("key").alias("v"), F.col("tokens").alias("y"))
     return pairs.join(left, "u").join(right, "v").select("u", "v", "x", "y").mapInArrow(run, "u long, v long, n_u long, n_v long, lacking long, other binary, linked boolean")
 
 
@@ -274,45 +284,60 @@ def _open_blocks(starred: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, class_id (smallest doc_id with the same set),
-    component_id (smallest doc_id reachable by links), one row a document."""
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links), and
+    class_id (smallest doc_id with the same set), one row a document; beside them
+    ``row_key`` and ``group``, which name the row and, even where doc_ids repeat,
+    its component (null without shingles)."""
+    if not 51 <= percent <= 100:
+        raise ValueError("percent is 51 to 100")
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     sets = cut(_sets(docs, k), "sets")
-    classes = cut(sets.filter("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "classes")
-    # 1: sets with enough shared tokens in their extended prefixes
-    by_token = Window.partitionBy("token")
-    shared = (
-        _first_tokens(docs, k, percent).repartition("token").dropDuplicates(["token", "hi"])
-        .withColumn("df", F.count(F.lit(1)).over(by_token)).filter("df > 1").groupBy("hi").agg(F.count(F.lit(1)).alias("shared"))
+    classes = sets.filter("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.min("row_key").alias("row_key"))
+    classes = cut(classes.withColumn("key", F.monotonically_increasing_id()), "classes")
+    final = _linked_classes(docs, classes, k, percent) if percent < 100 else None
+    named = classes.withColumn("group", F.col("key"))
+    if final is not None:
+        named = classes.join(final.withColumnRenamed("id", "key"), "key", "left").withColumn("group", F.coalesce("component", "key"))
+    named = cut(named.select("hi", "lo", F.col("doc_id").alias("class_id"), "group"), "named")
+    least = named.groupBy("group").agg(F.min("class_id").alias("least"))
+    return (
+        sets.withColumnRenamed("n", "n_shingles").join(named.join(least, "group"), ["hi", "lo"], "left")
+        .select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("least", "doc_id").alias("component_id"), "row_key", "group")
     )
+
+
+def _linked_classes(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """(id, component) of the keys of classes that link with others."""
+    # 1: sets with enough shared tokens in their extended prefixes
+    shared = _first_tokens(docs, k, percent).groupBy("token").agg(F.min("hi").alias("low"), F.max("hi").alias("high")).filter("low < high").select("token")
+    shared = _first_tokens(docs, k, percent).join(shared, "token").distinct().groupBy("hi").agg(F.count(F.lit(1)).alias("shared"))
     t = F.col("n") - F.ceil(F.col("n") * percent / 100.0 - 1e-9)
     enough = F.least(F.col("n"), t + 1 + F.floor((t + 2) / 2)) - t
-    wanted = cut(classes.join(shared, "hi").filter(F.col("shared") >= enough).select("doc_id", "hi", "n"), "wanted")
+    wanted = cut(classes.join(shared, "hi").filter(F.col("shared") >= enough).select("row_key", "hi", "n", "key"), "wanted")
     # 2: exact frequencies among them
     full = cut(_full_sets(docs, wanted, k), "full")
-    tokens = full.mapInArrow(_explode, "token long, doc_id long").withColumn("df", F.count(F.lit(1)).over(by_token)).filter("df > 1")
-    ranked = tokens.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("tokens")).join(wanted.select("doc_id", "n"), "doc_id").filter(F.size("tokens") >= F.col("n") - t)
+    tokens = full.mapInArrow(_explode, "token long, key long")
+    tokens = tokens.join(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "token")
+    ranked = tokens.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("tokens")).join(wanted.select("key", "n"), "key").filter(F.size("tokens") >= F.col("n") - t)
     # 3: signatures that at least two sets have
-    signed = cut(ranked.select("doc_id", "n", "tokens").mapInArrow(_signatures(percent), "sig long, doc_id long, n long, own long"), "signed")
-    heads = cut(signed.groupBy("sig").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).filter("head < last"), "heads")
-    # 4: each signature's smallest set against the others
-    stars = cut(signed.join(heads.select("sig", "head"), "sig").filter("doc_id > head").select(F.col("head").alias("u"), F.col("doc_id").alias("v")).distinct(), "stars")
+    signed = cut(ranked.select("key", "n", "tokens").mapInArrow(_signatures(percent), "sig long, key long, n long, own long"), "signed")
+    heads = cut(signed.groupBy("sig").agg(F.min("key").alias("head"), F.max("key").alias("last")).filter("head < last"), "heads")
+    # 4: each signature's first set against the others
+    stars = cut(signed.join(heads.select("sig", "head"), "sig").filter("key > head").select(F.col("head").alias("u"), F.col("key").alias("v")).distinct(), "stars")
     starred = cut(_compare(stars, full, percent), "starred")
     links = starred.filter("linked").select("u", "v")
     found = cut(components(links), "found")
-    more = cut(_open_blocks(starred, found).groupBy("u", "a", "b").applyInPandas(_across(percent), "u long, v long"), "more")
+    # by block and not by pivot alone, else all blocks of a pivot meet in one task
+    blocks = _open_blocks(starred, found).repartition("u", "a", "b")
+    more = cut(blocks.groupBy("u", "a", "b").applyInPandas(_across(percent), "u long, v long"), "more")
     final = cut(components(links.unionByName(more)), "final")
     for t in (wanted, full, signed, heads, stars, starred, found, more):
         drop(t)
-    by_set = classes.select("hi", "lo", F.col("doc_id").alias("class_id"))
-    return (
-        sets.withColumnRenamed("n", "n_shingles").join(by_set, ["hi", "lo"], "left").join(final.withColumnRenamed("id", "class_id"), "class_id", "left")
-        .select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component", "class_id", "doc_id").alias("component_id"))
-    )
+    return final
 
 
 def _explode(batches):
     for b in batches:
         for d, t in zip(b.column(0).to_pylist(), b.column(1)):
             tokens = np.frombuffer(t.as_buffer(), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(np.full(len(tokens), d))], ["token", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(np.full(len(tokens), d))], ["token", "key"])

@@ -36,7 +36,7 @@ def op6_packing(spark, sf_dir):
 
 
 def op7_jaccard_join(spark, sf_dir):
-    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85).drop("class_id")
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
 def op10_language_id(spark, sf_dir):
