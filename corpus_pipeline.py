@@ -12,6 +12,13 @@
 
 Each stage takes the documents its predecessor kept and, but for the last,
 returns the columns of documents.
+
+Defined results: a null or empty text has no language and goes; a null doc_id
+is a document like any other; rows equal in doc_id and text are one document
+(any of them stays), rows equal in doc_id alone are told apart by their texts;
+of a group the smallest doc_id stays, a null one last, between equal ones any;
+texts of any length are read whole; other columns of documents are dropped; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,8 +39,10 @@ def recognised(spark, docs, sf_dir):
 
 def distinct_documents(spark, docs, sf_dir):
     groups = jaccard_join.jaccard_components(docs, k=5, percent=80)
-    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.select(*DOCUMENTS).join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*DOCUMENTS)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
+    stay = groups.withColumn("group", F.coalesce("group", "row_key")).groupBy("group").agg(F.min(order).alias("one")).select(F.col("one.row_key").alias("row_key"))
+    rows = docs.select(*DOCUMENTS).dropDuplicates(["doc_id", "text"]).withColumn("row_key", jaccard_join.row_key())
+    return rows.join(stay, "row_key", "left_semi").select(*DOCUMENTS)
 
 
 def without_repeats(spark, docs, sf_dir):
