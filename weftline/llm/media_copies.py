@@ -220,12 +220,18 @@ def _near(c: dict, p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (apart <= NEAR) & (c["pic_id"][p] != c["pic_id"][q])
 
 
-_PAIR = pa.schema([("i", pa.int64()), ("j", pa.int64())])
+PAIR = "i long, j long, pic_i long, pic_j long"
+
+
+def _pair_rows(c: dict, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    i, j = c["corner"][p], c["corner"][q]
+    p, q = np.where(i < j, p, q), np.where(i < j, q, p)
+    return np.stack([c[name][side] for side in (p, q) for name in ("corner", "pic_id")], 1)[:, [0, 2, 1, 3]]
 
 
 def _pairs_of(found: list) -> pa.RecordBatch:
-    pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=_PAIR)
+    pairs = np.unique(np.concatenate([np.zeros((0, 4), np.int64), *found]), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in pairs.T], ["i", "j", "pic_i", "pic_j"])
 
 
 def _compared(corners: DataFrame) -> DataFrame:
@@ -257,15 +263,15 @@ def _compared(corners: DataFrame) -> DataFrame:
                 for off in range(1, BEFORE + 1):
                     later = crowd[crowd - off >= start[crowd]]
                     sides.append((at[later - off], at[later]))
-                found.append(np.stack([c["corner"][at[crowd]], np.full(len(crowd), -1)], 1))
+                one = c["corner"][at[crowd]]
+                found.append(np.stack([one, *np.full((3, len(one)), -1)], 1))
             for p, q in sides:
                 near = _near(c, p, q)
-                i, j = c["corner"][p[near]], c["corner"][q[near]]
-                found.append(np.stack([np.minimum(i, j), np.maximum(i, j)], 1))
+                found.append(_pair_rows(c, p[near], q[near]))
             found = [np.unique(np.concatenate(found), axis=0)] if found else []
         yield _pairs_of(found)
 
-    return _dealt(corners).mapInArrow(run, "i long, j long").distinct()
+    return _dealt(corners).mapInArrow(run, PAIR).distinct()
 
 
 def _across(crowd: DataFrame, groups: DataFrame) -> DataFrame:
@@ -298,11 +304,10 @@ def _across(crowd: DataFrame, groups: DataFrame) -> DataFrame:
         c = {name: t.column(name).to_numpy() for name in t.column_names}
         p, q = (x.ravel() for x in np.meshgrid(np.flatnonzero(c["side"] != 1), np.flatnonzero(c["side"] != 0)))
         keep = (c["component"][p] != c["component"][q]) & _near(c, p, q)
-        i, j = c["corner"][p[keep]], c["corner"][q[keep]]
-        return pa.Table.from_batches([_pairs_of([np.stack([np.minimum(i, j), np.maximum(i, j)], 1)])])
+        return pa.Table.from_batches([_pairs_of([_pair_rows(c, p[keep], q[keep])])])
 
     dealt = _dealt(labelled, "component").mapInArrow(squares, "square long, side int, corner long, pic_id long, component long, d0 long, d1 long")
-    return dealt.groupBy("square").applyInArrow(compare, "i long, j long").distinct()
+    return dealt.groupBy("square").applyInArrow(compare, PAIR).distinct()
 
 
 _SIDE = ["pic", "x", "y", "scale", "angle"]
@@ -311,7 +316,7 @@ _SIDE = ["pic", "x", "y", "scale", "angle"]
 def _matches(pairs: DataFrame, corners: DataFrame) -> DataFrame:
     """Pairs of corner numbers -> both corners in one row, the smaller pic_id as a."""
     me = corners.select("corner", F.struct(F.col("pic_id").alias("pic"), "x", "y", "scale", "angle").alias("c"))
-    both = pairs.join(me.toDF("i", "p"), "i").join(me.toDF("j", "q"), "j").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+    both = pairs.select("i", "j").join(me.toDF("i", "p"), "i").join(me.toDF("j", "q"), "j").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
     return both.select(*(F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in _SIDE))
 
 
@@ -378,9 +383,8 @@ def copy_groups(pictures: DataFrame) -> DataFrame:
         more = cut(_across(corners.join(crowd, "corner", "left_semi"), groups), "across")
         if not more.isEmpty():
             # pictures of one group already have their link
-            label = groups.select(F.col("id").alias("pic_id"), "component")
-            side = corners.select("corner", "pic_id").join(label, "pic_id", "left").select("corner", F.coalesce("component", "pic_id").alias("c"))
-            apart = pairs.join(side.toDF("i", "ci"), "i").join(side.toDF("j", "cj"), "j").filter("ci <> cj").select("i", "j")
+            labelled = pairs.join(groups.toDF("pic_i", "of_i"), "pic_i", "left").join(groups.toDF("pic_j", "of_j"), "pic_j", "left")
+            apart = labelled.filter("coalesce(of_i, pic_i) <> coalesce(of_j, pic_j)").select("i", "j", "pic_i", "pic_j")
             links = links.unionByName(_consensus(_matches(apart.unionByName(more).distinct(), corners)))
             groups = components(links)
         drop(more)
