@@ -118,17 +118,60 @@ def test_clustering(spark):
     assert clustering.clustering_sampled(g, 0, 1).first().clustering is None
 
 
-@pytest.mark.parametrize("in_task", [True, False])
-def test_min_cut(spark, monkeypatch, in_task):
-    if not in_task:
-        monkeypatch.setattr(mincut, "IN_TASK", 0)
-    trials = 12 if in_task else 4
+def every_cut(n, arcs):
+    """Sizes of all cuts, by side as a bit mask without vertex n - 1."""
+    return {side: sum((side >> u & 1) != (side >> v & 1) for u, v in arcs) for side in range(1, 2 ** (n - 1))}
+
+
+@pytest.mark.parametrize("core", [64, 7])
+def test_min_cut(spark, monkeypatch, core):
+    monkeypatch.setattr(mincut, "CORE", core)
     g = edges.twin_fives(spark)
-    got = mincut.min_cut(g, trials, 3)
-    assert pairs(got) == [(2, 6), (3, 7), (4, 5)] if in_task else got.count() >= 3
+    assert pairs(mincut.min_cut(g, 12, 3)) == [(2, 6), (3, 7), (4, 5)]
     assert mincut.min_cut_size(Graph(g.edges, 11)).first().cut_size == 0
 
 
+@pytest.mark.parametrize("strategy, mode", [("copy", "halving"), ("undo", "compression"), ("undo", "splitting")])
+def test_min_cut_strategies_against_all_cuts(spark, strategy, mode):
+    for seed in range(3):
+        g = generators.gnm(spark, 10, 40, seed)
+        arcs = pairs(g.edges)
+        got = mincut.min_cut(g, 20, seed, strategy, mode)
+        assert got.count() == min(every_cut(10, arcs).values())
+        assert pairs(got) == pairs(mincut.min_cut(g, 20, seed))
+    with pytest.raises(ValueError):
+        mincut.min_cut(g, strategy="other")
+
+
+def test_planted_cuts_beyond_the_core(spark):
+    bridges = [(5, 205), (17, 230), (90, 399)]
+    left, right = (generators.gnm(spark, 200, 3000, seed).edges for seed in (1, 2))
+    joined = left.unionByName(right.selectExpr("src + 200 as src", "dst + 200 as dst")).unionByName(spark.createDataFrame(bridges, "src long, dst long"))
+    assert pairs(mincut.min_cut(Graph(joined, 400), 2, 3)) == bridges
+    # one weak vertex, which contraction alone seldom keeps
+    weak = joined.unionByName(spark.createDataFrame([(400, 1), (300, 400)], "src long, dst long"))
+    assert pairs(mincut.min_cut(Graph(weak, 401), 1, 3)) == [(300, 400), (400, 1)]
+
+
+def test_ends_outside_the_graph_take_no_part(spark, way):
+    odd = spark.createDataFrame([(1, 2), (2, 5), (-1, 0), (None, 1), (1, None), (0, 0)], "src long, dst long")
+    g = Graph(odd, 3)
+    assert pairs(components.connected_components(g)) == [(0, 0), (1, 1), (2, 1)]
+    assert pairs(paths.bfs_distances(g)) == [(0, 0, 0), (1, 1, 0), (1, 2, 1), (2, 1, 1), (2, 2, 0)]
+    assert pairs(paths.reach_registers(g, 4, 1).select("key").distinct()) == [(0,), (1,), (2,)]
+
+
+def test_compact_sketches(spark):
+    r = sketch.hll_registers(spark.range(5000).selectExpr("id % 3 as key", "id as value"), 6, 5)
+    packed = sketch.hll_compact(r, 6, 1 << 32)
+    assert {len(x.packed) for x in packed.collect()} == {40}
+    assert pairs(sketch.hll_expand(packed, 6, 1 << 32)) == pairs(r)
+    wide = spark.createDataFrame([(1, 0, 32)], "key long, idx int, val int")
+    assert len(sketch.hll_compact(wide, 4, 1 << 33).first().packed) == 12
+    with pytest.raises(Exception, match="does not fit 5 bits"):
+        sketch.hll_compact(wide, 4, 1 << 32).collect()
+
+
 def test_min_cut_edge_cases(spark):
     assert mincut.min_cut_size(Graph.literal(spark, 1, [(0, 0)])).first().cut_size is None
     assert mincut.min_cut_size(Graph.literal(spark, 2, [(0, 1), (1, 0), (0, 1)])).first().cut_size == 3

@@ -32,7 +32,8 @@ def _star(edges: DataFrame, both: bool) -> DataFrame:
 
 def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """``edges`` (u long, v long) in any order -> (id, component) for every vertex
-    that has an edge to another; component is the smallest id reachable."""
+    that has an edge to another; component is the smallest id reachable.  Edges with
+    a null end are left out.  Fails if ``most_rounds`` do not settle it."""
     e = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
     before = None
     for _ in range(most_rounds):
@@ -50,8 +51,8 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
 def connected_components(g: Graph) -> DataFrame:
     """(vertex, component) for all vertices of g; arcs count both ways."""
     if 0 < g.n <= small.SMALL:
-        return small.with_matrix(g.edges, g.n, lambda m: (np.arange(len(m)), _least_reachable(m | m.T)), "vertex long, component long")
-    found = components(g.edges.select(F.col("src").alias("u"), F.col("dst").alias("v")))
+        return small.with_matrix(g.inside(), g.n, lambda m: (np.arange(len(m)), _least_reachable(m | m.T)), "vertex long, component long")
+    found = components(g.inside().select(F.col("src").alias("u"), F.col("dst").alias("v")))
     return g.vertices.join(found.withColumnRenamed("id", "vertex"), "vertex", "left").select("vertex", F.coalesce("component", "vertex").alias("component"))
 
 

@@ -7,6 +7,10 @@ shortening included, so a restored state is exactly the saved one.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
 
 class DisjointSet:
     def __init__(self, n: int, find_mode: str = "halving", undo: bool = False):
@@ -65,8 +69,37 @@ class DisjointSet:
             array, i, old = self.log.pop()
             array[i] = old
 
+    def copy(self) -> DisjointSet:
+        twin = DisjointSet(0, self.mode)
+        twin.parent, twin.rank, twin.components = self.parent[:], self.rank[:], self.components
+        return twin
+
     def labels(self) -> list[int]:
         return [self.find(i) for i in range(len(self.parent))]
 
     def __repr__(self) -> str:
         return f"DisjointSet(parents={self.parent}, ranks={self.rank}, components={self.components})"
+
+
+def grouped_labels(edges: DataFrame, find_mode: str = "halving", undo: bool = False) -> DataFrame:
+    """``edges`` (grp, u, v), many small graphs -> (grp, id, label): the smallest id
+    of each vertex's set, one graph a task.  With ``undo`` all sets are joined in
+    between and restored, which leaves the labels as they are."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, ends = np.unique(pdf[["u", "v"]].to_numpy(), return_inverse=True)
+        sets = DisjointSet(len(names), find_mode, undo)
+        for a, b in ends.reshape(-1, 2).tolist():
+            sets.union(a, b)
+        if undo:
+            state = sets.save()
+            for i in range(1, len(names)):
+                sets.union(0, i)
+            sets.labels()
+            sets.restore(state)
+        of = np.array(sets.labels())
+        least = np.full(len(names), len(names))
+        np.minimum.at(least, of, np.arange(len(names)))
+        return pd.DataFrame({"grp": pdf["grp"].iloc[0], "id": names, "label": names[least[of]]})
+
+    return edges.groupBy("grp").applyInPandas(run, "grp long, id long, label long")

@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.storage import cut
+
 
 @dataclass(frozen=True)
 class Graph:
@@ -91,13 +93,18 @@ class Graph:
         names = F.array_join(F.transform("neighbours", lambda e: e["dst"].cast("string")), " -> ")
         return self.adjacency().select("vertex", F.concat(F.col("vertex").cast("string"), F.lit(": "), names).alias("line"))
 
+    def inside(self) -> DataFrame:
+        """The arcs with both ends in 0 .. n-1; others (null ends too) take no part
+        in paths, components and cuts."""
+        return self.edges.filter(F.col("src").between(0, self.n - 1) & F.col("dst").between(0, self.n - 1))
+
     def simple(self) -> DataFrame:
         """Distinct arcs without weights."""
         return self.edges.select("src", "dst").distinct()
 
     def exactly(self, size: int) -> DataFrame:
         """The first ``size`` arcs in order; fails if there are fewer."""
-        out = self.edges.orderBy("src", "dst").limit(size)
+        out = cut(self.edges.orderBy("src", "dst").limit(size), "exactly")
         if out.count() < size:
             raise ValueError(f"fewer than {size} arcs")
         return out
@@ -107,7 +114,8 @@ def dense_ids(df: DataFrame, column: str) -> DataFrame:
     """(key, vertex): the distinct values of a column numbered from 0 in order.
     Sorted by range, numbered within partitions and shifted by what the earlier
     ones hold (one count a partition reaches the driver)."""
-    keys = df.select(F.col(column).alias("key")).filter("key is not null").distinct().repartitionByRange("key").withColumn("part", F.spark_partition_id()).persist()
+    keys = df.select(F.col(column).alias("key")).filter("key is not null").distinct().repartitionByRange("key").withColumn("part", F.spark_partition_id())
+    keys = cut(keys, "keys")
     counts = sorted(keys.groupBy("part").count().collect())
     shift, total = {}, 0
     for part, n in counts:

@@ -1,10 +1,20 @@
 """Global minimum cut by randomised contraction.
 
-A trial contracts a random permutation of the arcs, taken both ways, in a
-recursion that branches twice (in one task); trials are the parallel axis.
-Arcs go to the tasks only if they are few enough (``IN_TASK``); beyond that a
-trial is a random spanning forest cut at its last arc, found by halving a
-threshold over connected components, all distributed.
+Arcs count both ways; parallel ones become one with a weight, and contraction
+takes arcs in the order of exponential clocks with that rate, which is a random
+order of all parallel arcs.  A trial is a recursion that branches twice, in one
+task; trials are the parallel axis.  Up to ``CORE`` vertices trials start from
+the graph itself.  Beyond that each trial first contracts its own random arcs
+down to about ``CORE`` sets, a batch of trials at once, by connected components
+in DataFrames, and the recursion runs on that core.
+
+The smallest weighted degree, a cut by itself, is taken if no trial beats it.
+
+Guarantee: the recursion finds a smallest cut with a probability of at least
+one in about log2 n a trial.  Contracting n vertices to c sets keeps a given
+smallest cut with at least c (c - 1) / (n (n - 1)), and with about the share of
+arcs that may go without touching it where other cuts are much larger; so
+beyond ``CORE`` vertices many nearly smallest cuts call for more ``trials``.
 """
 
 from __future__ import annotations
@@ -16,11 +26,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.storage import cut
-from .components import component_count, connected_components
+from ..plans.storage import cut, drop
+from .components import component_count, components, connected_components
+from .disjoint_set import DisjointSet
 from .graph import Graph
 
-IN_TASK = 200_000
+CORE = 64
+#: Trials that are contracted together.
+TOGETHER = 8
 #: Contraction to two sets outright below this many.
 SMALL = 6
 
@@ -37,101 +50,145 @@ def low_ones_trials(n: int) -> int:
     return ones * ones + 2
 
 
-def contract(labels: np.ndarray, arcs: np.ndarray, target: int, rng) -> tuple[np.ndarray, np.ndarray]:
-    """Merge vertex sets along randomly ordered arcs until ``target`` are left:
-    dense new labels of the old sets, and the arcs that still cross."""
-    parent = np.arange(int(labels.max()) + 1)
-
-    def root(x):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    left = len(parent)
-    for i in rng.permutation(len(arcs)):
-        if left <= target:
+def contract(sets: DisjointSet, arcs: np.ndarray, target: int, rng) -> np.ndarray:
+    """Join ends of arcs (u, v, weight) in random order until ``target`` sets are
+    left; gives the arcs that still cross, one between any two sets."""
+    for i in np.argsort(rng.standard_exponential(len(arcs)) / arcs[:, 2]).tolist():
+        if sets.components <= target:
             break
-        a, b = root(arcs[i, 0]), root(arcs[i, 1])
-        if a != b:
-            parent[b] = a
-            left -= 1
-    _, merged = np.unique([root(x) for x in range(len(parent))], return_inverse=True)
-    ends = merged[arcs[:, :2]]
+        sets.union(int(arcs[i, 0]), int(arcs[i, 1]))
+    ends = np.sort(np.array(sets.labels())[arcs[:, :2]], axis=1)
     cross = ends[:, 0] != ends[:, 1]
-    return merged[labels], np.column_stack([ends[cross], arcs[cross, 2]])
-
-
-def smallest_cut(labels: np.ndarray, arcs: np.ndarray, rng) -> np.ndarray:
-    """Numbers of the arcs in the smaller cut of two recursive branches; the
-    second wins a tie."""
-    sets = int(labels.max()) + 1
-    if sets < SMALL:
-        return contract(labels, arcs, 2, rng)[1][:, 2]
-    target = 1 + int(sets / math.sqrt(2))
+    key, of = np.unique(ends[cross, 0] * len(sets.parent) + ends[cross, 1], return_inverse=True)
+    return np.column_stack([key // len(sets.parent), key % len(sets.parent), np.bincount(of, arcs[cross, 2], len(key)).astype(np.int64)])
+
+
+def smallest_cut(sets: DisjointSet, arcs: np.ndarray, rng) -> tuple[int, np.ndarray]:
+    """Weight and one side of the smaller cut of two recursive branches; the second
+    wins a tie.  Branches work on copies, or on the one structure if it can undo."""
+    if sets.components < SMALL:
+        left = contract(sets, arcs, 2, rng)
+        root = np.array(sets.labels())
+        return int(left[:, 2].sum()), root == root[0]
+    target = 1 + int(sets.components / math.sqrt(2))
     best = None
     for _ in range(2):
-        found = smallest_cut(*contract(labels, arcs, target, rng), rng)
-        best = found if best is None or len(found) <= len(best) else best
+        own, state = (sets, sets.save()) if sets.log is not None else (sets.copy(), None)
+        found = smallest_cut(own, contract(own, arcs, target, rng), rng)
+        if state is not None:
+            sets.restore(state)
+        best = found if best is None or found[0] <= best[0] else best
     return best
 
 
-def _trials_in_tasks(g: Graph, trials: int, seed: int) -> DataFrame:
-    """(trial, cut_size, arcs as indices into the sorted arc table)."""
-    arcs = g.edges.select("src", "dst").orderBy("src", "dst").toPandas().to_numpy(np.int64)
-    rows = np.column_stack([arcs, np.arange(len(arcs))])
-    shared = g.spark.sparkContext.broadcast(rows[rows[:, 0] != rows[:, 1]])
-    n = g.n
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for trial in pdf["id"]:
-                found = smallest_cut(np.arange(n), shared.value, np.random.default_rng([seed, int(trial)]))
-                out.append((trial, len(found), [arcs[i].tolist() for i in sorted(found)]))
-            yield pd.DataFrame(out, columns=["trial", "cut_size", "cut"])
-
-    return g.spark.range(0, trials, 1, min(trials, g.spark.sparkContext.defaultParallelism)).mapInPandas(run, "trial long, cut_size long, cut array<array<long>>")
-
-
-def _distributed_trial(g: Graph, trial: int, seed: int) -> tuple[int, DataFrame]:
-    """The arcs between the last two sets of one random contraction."""
-    ranked = cut(g.edges.select("src", "dst").filter("src <> dst").withColumn("rank", F.pmod(F.xxhash64("src", "dst", F.lit(seed), F.lit(trial)), F.lit(1 << 40))), "ranked")
-    low, high, labels = 0, 1 << 40, connected_components(Graph(ranked.filter("false").select("src", "dst"), g.n))
-    while high - low > 1:
-        middle = (low + high) // 2
-        own = cut(connected_components(Graph(ranked.filter(F.col("rank") < middle).select("src", "dst"), g.n)), "labels")
-        sets = component_count(own).first().components
-        if sets >= 2:
-            low, labels = middle, own
-            if sets == 2:
-                break
-        else:
-            high = middle
-    side = labels.agg(F.min("component")).first()[0]
-    ends = labels.withColumn("side", F.col("component") == side).select("vertex", "side")
-    crossing = ranked.join(ends.withColumnRenamed("vertex", "src"), "src").withColumnRenamed("side", "a").join(ends.withColumnRenamed("vertex", "dst"), "dst").filter("a <> side").select("src", "dst")
-    crossing = cut(crossing, "crossing")
-    return crossing.count(), crossing
-
-
-def min_cut(g: Graph, trials: int | str | None = None, seed: int = 0) -> DataFrame:
+def _pairs(g: Graph) -> DataFrame:
+    """(u, v, w): pairs of different vertices u < v and their number of arcs."""
+    ends = g.inside().filter("src <> dst").select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v"))
+    return ends.groupBy("u", "v").agg(F.count(F.lit(1)).alias("w"))
+
+
+def _search(seed: int, inner: int, strategy: str, find_mode: str):
+    """One trial's core (trial, u, v, w) -> trial, cut_size, side (ids of sets)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        trial = int(pdf["trial"].iloc[0])
+        names, ends = np.unique(pdf[["u", "v"]].to_numpy(), return_inverse=True)
+        arcs = np.column_stack([ends.reshape(-1, 2), pdf["w"].to_numpy()])
+        arcs = arcs[np.lexsort((arcs[:, 1], arcs[:, 0]))]
+        found = []
+        for n in range(inner):
+            rng = np.random.default_rng([seed, trial, n])
+            found.append(smallest_cut(DisjointSet(len(names), find_mode, undo=strategy == "undo"), arcs, rng))
+        size, side = min(found, key=lambda x: x[0])
+        return pd.DataFrame({"trial": [trial], "cut_size": [size], "side": [names[side].tolist()]})
+
+    return run
+
+
+_FOUND = "trial long, cut_size long, side array<long>"
+
+
+def _contracted(pairs: DataFrame, n: int, trials: list[int], seed: int) -> tuple[DataFrame, DataFrame]:
+    """(trial, u, v, w) and (trial, vertex, set) after contracting every trial to
+    1.5 CORE sets or less.  Ids of a trial's sets are trial * n + vertex on the way."""
+    spark = pairs.sparkSession
+    mine = F.explode(F.array(*(F.lit(t) for t in trials)).cast("array<bigint>")).alias("trial")
+    arcs = cut(pairs.select(mine, "u", "v", "w"), "arcs")
+    sets = cut(spark.range(n).select(mine, F.col("id").alias("vertex"), F.col("id").alias("set")), "sets")
+    left = {t: n for t in trials}
+    for turn in range(200):
+        totals = {r.trial: r.w for r in arcs.groupBy("trial").agg(F.sum("w").alias("w")).collect()}
+        take = {}
+        for t, count in left.items():
+            most = count - CORE
+            if 2 * most > CORE:  # near enough else: the last few would take a round each
+                take[t] = max(most / 2, most - 6 * math.sqrt(count)) / totals[t]
+        if not take:
+            break
+        rate = F.create_map(*(F.lit(x) for t in trials for x in (t, float(take.get(t, -1)))))[F.col("trial").cast("int")]
+        chance = (F.shiftrightunsigned(F.xxhash64("trial", "u", "v", F.lit(seed), F.lit(turn)), 11) + 1) / F.lit(2.0**53)
+        picked = arcs.filter(-F.log(chance) / F.col("w") < rate)
+        found = components(picked.select((F.col("trial") * n + F.col("u")).alias("u"), (F.col("trial") * n + F.col("v")).alias("v")))
+        found = cut(found.select(F.expr(f"id div {n}").alias("trial"), (F.col("id") % n).alias("old"), (F.col("component") % n).alias("new")), "found")
+        for r in found.filter("old <> new").groupBy("trial").count().collect():
+            left[r.trial] -= r["count"]
+        u, v = (found.select("trial", F.col("old").alias(x), F.col("new").alias(f"new_{x}")) for x in "uv")
+        ends = arcs.join(u, ["trial", "u"], "left").join(v, ["trial", "v"], "left").select("trial", F.coalesce("new_u", "u").alias("a"), F.coalesce("new_v", "v").alias("b"), "w")
+        merged = cut(ends.filter("a <> b").groupBy("trial", F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.sum("w").alias("w")), "arcs")
+        moved = sets.join(found.select("trial", F.col("old").alias("set"), "new"), ["trial", "set"], "left").select("trial", "vertex", F.coalesce("new", "set").alias("set"))
+        moved = cut(moved, "sets")
+        for t in (arcs, sets, found):
+            drop(t)
+        arcs, sets = merged, moved
+    return arcs, sets
+
+
+def min_cut(g: Graph, trials: int | str | None = None, seed: int = 0, strategy: str = "copy", find_mode: str = "halving", inner: int = 4) -> DataFrame:
     """(src, dst): the arcs of the smallest cut found (the first trial that has
     it); empty if the graph is not connected.
 
-    ``trials``: a number, None for ceil(log2 n)^2 + 2, or "low ones"."""
-    empty = g.spark.createDataFrame([], "src long, dst long")
+    ``trials``: a number, None for ceil(log2 n)^2 + 2, or "low ones".  ``strategy``
+    is "copy" or "undo", for the union-find of the branches; both find the same,
+    as all ``find_mode``.  ``inner``: recursions for the core of each trial beyond
+    CORE vertices."""
+    if strategy not in ("copy", "undo"):
+        raise ValueError("strategy is copy or undo")
     if g.n < 2 or component_count(connected_components(g)).first().components > 1:
-        return empty
+        return g.spark.createDataFrame([], "src long, dst long")
     count = low_ones_trials(g.n) if trials == "low ones" else trials or default_trials(g.n)
-    if g.edge_count() <= IN_TASK:
-        best = _trials_in_tasks(g, count, seed).orderBy("cut_size", "trial").limit(1)
-        return best.select(F.explode("cut").alias("e")).select(F.get("e", 0).alias("src"), F.get("e", 1).alias("dst"))
-    return min((_distributed_trial(g, t, seed) for t in range(count)), key=lambda x: x[0])[1]
-
-
-def min_cut_size(g: Graph, trials: int | str | None = None, seed: int = 0) -> DataFrame:
+    pairs = cut(_pairs(g), "pairs")
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("vertex"), "w")
+    degree = ends.groupBy("vertex").agg(F.sum("w").alias("d")).orderBy("d", "vertex").first()
+    if g.n <= CORE:
+        starts = [(list(range(count)), 1)]
+    else:
+        starts = [(list(range(i, min(count, i + TOGETHER))), inner) for i in range(0, count, TOGETHER)]
+    best = None
+    for own, each in starts:
+        mine = F.explode(F.array(*(F.lit(t) for t in own)).cast("array<bigint>")).alias("trial")
+        core, sets = (pairs.select(mine, "u", "v", "w"), None) if g.n <= CORE else _contracted(pairs, g.n, own, seed)
+        r = core.groupBy("trial").applyInPandas(_search(seed, each, strategy, find_mode), _FOUND).orderBy("cut_size", "trial").first()
+        if best is None or r.cut_size < best[0]:
+            if best is not None and best[1] is not None:
+                drop(best[1])
+            inside = F.array_contains(F.array(*(F.lit(x) for x in r.side)), F.col("set"))
+            side = None if sets is None else cut(sets.filter((F.col("trial") == r.trial) & inside).select("vertex"), "side")
+            best = (r.cut_size, side, r.side)
+        for t in (core, sets) if sets is not None else ():
+            drop(t)
+    size, side, ids = best
+    if degree.d < size:
+        side, ids = None, [degree.vertex]
+    if side is None:  # at most CORE vertices, or one
+        side = g.spark.createDataFrame([(int(x),) for x in ids], "vertex long")
+    drop(pairs)
+    arcs = g.inside().select("src", "dst")
+    left, right = (side.select(F.col("vertex").alias(x), F.lit(True).alias(f"in_{x}")) for x in ("src", "dst"))
+    return arcs.join(left, "src", "left").join(right, "dst", "left").filter("(in_src is null) <> (in_dst is null)").select("src", "dst")
+
+
+def min_cut_size(g: Graph, trials: int | str | None = None, seed: int = 0, strategy: str = "copy") -> DataFrame:
     """One row: cut_size; NULL for fewer than two vertices, 0 if not connected."""
     if g.n < 2:
         return g.spark.range(1).select(F.lit(None).cast("long").alias("cut_size"))
-    return min_cut(g, trials, seed).agg(F.count(F.lit(1)).alias("cut_size"))
+    return min_cut(g, trials, seed, strategy).agg(F.count(F.lit(1)).alias("cut_size"))

@@ -9,11 +9,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hashing, sketch
-from ..plans.storage import cut
+from ..plans.storage import cut, drop
 from . import small
 from .graph import Graph
 
 
+def _simple(g: Graph) -> DataFrame:
+    """Distinct arcs between different vertices of g."""
+    return g.inside().filter("src <> dst").select("src", "dst").distinct()
+
+
 def bfs_distances(g: Graph, sources: DataFrame | None = None, symmetric: bool = True, most: int | None = None) -> DataFrame:
     """(s, d, dist) for every vertex d reachable from each source s (all
     vertices unless given), s itself at 0.
@@ -21,7 +26,7 @@ def bfs_distances(g: Graph, sources: DataFrame | None = None, symmetric: bool =
     Few vertices: one task.  Else one round a level: the frontier joins the arcs, and what was reached before
     is taken off by an anti join.  The result has a row for each reachable pair;
     for large graphs give a sample of sources."""
-    arcs = g.simple().filter("src <> dst")
+    arcs = _simple(g)
     if sources is None and most is None and 0 < g.n <= small.SMALL:
 
         def levels_of(matrix):
@@ -43,8 +48,10 @@ def bfs_distances(g: Graph, sources: DataFrame | None = None, symmetric: bool =
         step = step.join(reduce(DataFrame.unionByName, [x.select("s", "d") for x in known]), ["s", "d"], "left_anti")
         new = cut(step.withColumn("dist", F.lit(level)), "level")
         if new.isEmpty():
+            drop(new)
             break
         levels.append(new)
+    drop(arcs)
     return reduce(DataFrame.unionByName, levels)
 
 
@@ -58,7 +65,7 @@ def average_path_length(g: Graph, normalize: str = "half") -> DataFrame:
         raise ValueError("normalize is half or pairs")
     n = g.n
     sums = bfs_distances(g).filter("s <> d").agg(F.coalesce(F.sum("dist"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("reachable_pairs"))
-    loops = g.edges.filter("src = dst").agg(F.count_distinct("src").alias("loops"))
+    loops = g.inside().filter("src = dst").agg(F.count_distinct("src").alias("loops"))
     pairs = n * (n - 1)
     total = F.col("total") + (F.col("loops") if normalize == "half" else F.lit(0))
     apl = F.when((F.col("reachable_pairs") == pairs) & F.lit(n > 1), total / F.lit(max(pairs, 1) / (2.0 if normalize == "half" else 1.0)))
@@ -78,7 +85,7 @@ def reach_registers(g: Graph, b: int = 4, seed: int = 0, on_round=None, most_rou
     Few vertices: one task.  Else each round only registers that changed in the last one travel against the
     arcs; maxima are pre-aggregated in the tasks.  ``on_round(t, before, after)``
     sees the registers around each round that changed something."""
-    arcs = g.simple().filter("src <> dst")
+    arcs = _simple(g)
     if on_round is None and most_rounds is None and 0 < g.n <= small.SMALL:
         return small.with_matrix(arcs, g.n, lambda m: _last_registers(m, b, seed), "key long, idx int, val int")
     arcs = cut(arcs, "arcs")
@@ -92,7 +99,11 @@ def reach_registers(g: Graph, b: int = 4, seed: int = 0, on_round=None, most_rou
         after = cut(registers.join(new, ["key", "idx"], "left_anti").unionByName(new), "reg")
         if on_round:
             on_round(t, registers, after)
+        if changed is not registers:
+            drop(changed)
+        drop(registers)
         registers, changed, t = after, new, t + 1
+    drop(arcs)
     return registers
 
 
@@ -103,7 +114,7 @@ def hyper_ball(g: Graph, b: int = 4, seed: int = 0, textbook: bool = False) -> D
     estimated ball, and the mean is over vertices.  ``textbook``: weights t + 1,
     and the mean is over the estimated reachable pairs."""
     if 0 < g.n <= small.SMALL:
-        return small.with_matrix(g.simple().filter("src <> dst"), g.n, lambda m: _ball_rounds(m, b, seed, textbook), "hyper_ball double, rounds int")
+        return small.with_matrix(_simple(g), g.n, lambda m: _ball_rounds(m, b, seed, textbook), "hyper_ball double, rounds int")
     rows = []
 
     def on_round(t, before, after):

@@ -18,7 +18,7 @@ SMALL = 2048
 
 def with_matrix(arcs: DataFrame, n: int, fn, schema: str) -> DataFrame:
     """``fn(matrix)`` in one task, over the n x n matrix of distinct arcs (src,
-    dst); ``fn`` returns the columns of ``schema`` in order."""
+    dst), which all lie inside; ``fn`` returns the columns of ``schema`` in order."""
     names = [c.split()[0] for c in schema.split(", ")]
     marker = arcs.sparkSession.range(1).select(F.lit(-1).cast("long").alias("src"), F.lit(-1).cast("long").alias("dst"))
 
