@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import integer_hash64
+from .registers import pack, unpack
 
 
 def _check(b: int) -> int:
@@ -104,6 +105,22 @@ def register_width(n: int) -> int:
     return max(5, math.ceil(math.log2(math.log2(n)))) if n > 2 else 5
 
 
+def hll_compact(registers: DataFrame, b: int, n: int) -> DataFrame:
+    """(key, packed): all registers of a key in turn, each in the bits that up to
+    ``n`` elements need; fails on a register that does not fit."""
+    width = register_width(n)
+    held = registers.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("idx", "val"))).alias("held"))
+    fits = F.when(F.exists(F.map_values("held"), lambda v: v >= 1 << width), F.raise_error(F.lit(f"a register does not fit {width} bits"))).otherwise(F.lit(0))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(_check(b) - 1)), lambda i: (F.coalesce(F.element_at("held", i), F.lit(0)) + fits).cast("tinyint"))
+    return held.select("key", pack(dense, width).alias("packed"))
+
+
+def hll_expand(packed: DataFrame, b: int, n: int) -> DataFrame:
+    """The registers of :func:`hll_compact` as a relation again."""
+    dense = unpack(F.col("packed"), register_width(n), _check(b))
+    return packed.select("key", F.posexplode(dense).alias("idx", "val")).filter("val > 0").select("key", "idx", F.col("val").cast("int"))
+
+
 def approx_distinct(df: DataFrame, b: int = 12) -> DataFrame:
     """(key, estimate) by Spark's own mergeable sketch: the fast path where the
     formula above is not needed."""

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing, registers, sketch
-from ..operators import clustering, components, generators, mincut, paths
+from ..operators import clustering, components, disjoint_set, generators, mincut, paths
 from ..operators.graph import Graph, dense_ids
 from ..sources import derived, edges
+from .storage import new_path
 
 SEED = 0xBAD5EED
 
@@ -21,7 +25,7 @@ def edge_load(s, d):
 
 
 def vertex_count(s, d):
-    return s.range(1).select(F.lit(derived.trade(s, d).n).cast("long").alias("vertices"))
+    return derived.trade(s, d).vertices.agg(F.count(F.lit(1)).alias("vertices"))
 
 
 def edge_count(s, d):
@@ -68,10 +72,34 @@ def has_link_anti(s, d):
 
 
 def add_links(s, d):
-    g = derived.trade(s, d, 14).with_links(s.createDataFrame([(0, 20), (20, 1), (1, 1)], "src long, dst long")).with_vertex(30)
+    g = derived.trade(s, d).with_links(s.createDataFrame([(0, 27), (27, 1), (1, 1)], "src long, dst long")).with_vertex(30)
     return g.out_degrees().join(g.vertices, "vertex", "right").select("vertex", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
 
 
+def literal_weights(s, d):
+    g = Graph.literal(s, 3, [(0, 1, 42), (0, 2, 33), (2, 0, 25)])
+    sums = g.edges.groupBy("src").agg(F.sum("weight").alias("w"))
+    return g.vertices.join(sums, F.col("vertex") == F.col("src"), "left").select("vertex", F.coalesce("w", F.lit(0)).cast("long").alias("weight"))
+
+
+def add_weighted_links(s, d):
+    items = derived.table(s, d, "lineitem").select("l_suppkey", "l_partkey", "l_linenumber")
+    g = Graph.from_edges(items, "l_suppkey", "l_partkey", "l_linenumber")
+    more = derived.table(s, d, "supplier").select(F.col("s_suppkey").alias("src"), F.lit(0).cast("long").alias("dst"), F.lit(100).alias("weight"))
+    return g.with_links(more).edges.groupBy("src").agg(F.sum("weight").cast("long").alias("weight"), F.count(F.lit(1)).alias("arcs"))
+
+
+def empty_graph(s, d):
+    g = Graph.literal(s, 0, []).with_links(derived.session(s, d))
+    return g.edges.agg(F.count(F.lit(1)).alias("edges"), F.lit(g.n).cast("long").alias("vertices"))
+
+
+def edge_files(s, d):
+    path = new_path(s, "edges")
+    edges.write_edges(Graph(derived.session(s, d), 0), path, 4)
+    return edges.read_edges(s, path).edges
+
+
 def exact_size(s, d):
     return derived.trade(s, d).exactly(10)
 
@@ -104,6 +132,14 @@ def bfs_directed(s, d):
     return paths.bfs_distances(derived.trade(s, d), symmetric=False)
 
 
+def bfs_from_sample(s, d):
+    return paths.bfs_distances(derived.reorders(s, d), derived.first_orders(s, d), symmetric=False)
+
+
+def ball_limit_chains(s, d):
+    return _round(paths.ball_limit(derived.reorders(s, d)), "ball_limit")
+
+
 def apl_exact(s, d):
     return _round(paths.average_path_length(derived.trade(s, d)), "apl")
 
@@ -133,7 +169,7 @@ def graph_union_bridges(s, d):
 
 
 def connected_components(s, d):
-    return components.connected_components(derived.big_spenders(s, d))
+    return components.connected_components(derived.reorders(s, d))
 
 
 def components_supply(s, d):
@@ -141,14 +177,45 @@ def components_supply(s, d):
 
 
 def are_connected(s, d):
-    g = derived.big_spenders(s, d)
+    g = derived.reorders(s, d)
     labels = components.connected_components(g)
     pairs = g.vertices.select(F.col("vertex").alias("a"), ((F.col("vertex") * 7 + 3) % g.n).alias("b"))
     return components.are_connected(labels, pairs)
 
 
 def min_cut_size(s, d):
-    return mincut.min_cut_size(derived.trade(s, d, 14), 20, SEED)
+    return mincut.min_cut_size(derived.region_flow(s, d), 20, SEED)
+
+
+def min_cut_size_undo(s, d):
+    return mincut.min_cut_size(derived.region_flow(s, d), "low ones", SEED, strategy="undo")
+
+
+def min_cut_trade(s, d):
+    return mincut.min_cut_size(derived.trade(s, d), None, SEED)
+
+
+def min_cut_session(s, d):
+    users = derived.table(s, d, "events").agg(F.max("user_id")).first()[0] + 1
+    return mincut.min_cut_size(Graph(derived.session(s, d), users), 4, SEED)
+
+
+def _chains(s, d):
+    near = Window.partitionBy("c_nationkey", "c_mktsegment").orderBy("c_custkey")
+    rows = derived.table(s, d, "customer").select(F.col("c_nationkey").cast("long").alias("grp"), F.col("c_custkey").alias("u"), F.coalesce(F.lag("c_custkey").over(near), "c_custkey").alias("v"))
+    return rows
+
+
+def union_find_labels(s, d):
+    return disjoint_set.grouped_labels(_chains(s, d), "halving")
+
+
+def union_find_compression(s, d):
+    return disjoint_set.grouped_labels(_chains(s, d), "compression")
+
+
+def union_find_undo(s, d):
+    return disjoint_set.grouped_labels(_chains(s, d), "splitting", undo=True)
 
 
 def min_cut_edges(s, d):
@@ -172,6 +239,21 @@ def hll_registers(s, d):
     return sketch.hll_registers(_values(s, d), 6, SEED)
 
 
+def hll_registers_all_sizes(s, d):
+    own = [sketch.hll_registers(_values(s, d), b, SEED).withColumn("b", F.lit(b)) for b in (4, 5, *range(7, 16))]
+    return functools.reduce(DataFrame.unionByName, own)
+
+
+def hll_compact(s, d):
+    packed = sketch.hll_compact(sketch.hll_registers(_values(s, d), 6, SEED), 6, 1 << 32)
+    return sketch.hll_expand(packed, 6, 1 << 32)
+
+
+def hll_compact_bytes(s, d):
+    packed = sketch.hll_compact(sketch.hll_registers(_values(s, d), 6, SEED), 6, 1 << 32)
+    return packed.select("key", F.length("packed").cast("long").alias("bytes"))
+
+
 def hll_estimate(s, d):
     return _round(sketch.hll_estimate(sketch.hll_registers(_values(s, d), 6, SEED), 6), "estimate")
 
@@ -218,6 +300,19 @@ def gnp(s, d):
     return generators.gnp(s, 80, 0.6, SEED).edges
 
 
+def gnm_shape(s, d):
+    """Arcs, distinct arcs, self loops and outer ends of a generated graph."""
+    e = generators.gnm(s, 5000, 200_000, SEED).edges
+    return e.agg(F.count(F.lit(1)).alias("arcs"), F.count_distinct("src", "dst").alias("different"), F.count_if(F.col("src") == F.col("dst")).alias("loops"), F.count_if(~F.col("src").between(0, 4999) | ~F.col("dst").between(0, 4999)).alias("outside"))
+
+
+def clustered_shape(s, d):
+    """Every vertex from 2 on starts min(v, d) arcs at least; arcs are distinct."""
+    e = generators.clustered(s, 800, 10, 5, SEED).edges
+    out = e.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("dst").alias("k"))
+    return out.filter("src >= 2").agg(F.count(F.lit(1)).alias("vertices"), F.count_if(F.col("n") < F.least("src", F.lit(10))).alias("short"), F.sum(F.col("n") - F.col("k")).alias("repeated"))
+
+
 def clustered(s, d):
     grid = [(i, n, 10, o, SEED) for i, (n, o) in enumerate((n, o) for n in (500, 1000) for o in (1, 2, 3, 5, 8, 12, 50))]
     return generators.clustered_grid(s.createDataFrame(grid, "graph long, n long, d long, o long, seed long"))
@@ -230,8 +325,9 @@ def complete_graph(s, d):
 _NAMES = [
     edge_load, vertex_count, edge_count, weighted_load, adjacency_sizes, adjacency_lines, adjacency_flattened, neighbours_of, out_degree_gt2,
     has_link_semi, has_link_anti, add_links, exact_size, dense_vertex_ids, clustering_local, clustering_exact, clustering_session,
-    clustering_sampled, bfs_distances, bfs_directed, apl_exact, apl_textbook, apl_twin_fives, ball_limit, hyper_ball, reach_counts,
-    graph_union_bridges, connected_components, components_supply, are_connected, min_cut_size, min_cut_edges, min_cut_tens, jenkins_hash,
+    clustering_sampled, bfs_distances, bfs_directed, bfs_from_sample, ball_limit_chains, literal_weights, add_weighted_links, empty_graph, edge_files, apl_exact, apl_textbook, apl_twin_fives, ball_limit, hyper_ball, reach_counts,
+    graph_union_bridges, connected_components, components_supply, are_connected, min_cut_size, min_cut_size_undo, min_cut_trade, min_cut_session,
+    union_find_labels, union_find_compression, union_find_undo, hll_registers_all_sizes, hll_compact, hll_compact_bytes, gnm_shape, clustered_shape, min_cut_edges, min_cut_tens, jenkins_hash,
     hll_registers, hll_estimate, hll_range, hll_union, hll_rollup, approx_distinct_native, register_merge, register_round_trip, gnm, gnp, clustered,
     complete_graph,
 ]
@@ -243,10 +339,18 @@ def queries():
 
 # ---- SQL ---------------------------------------------------------------
 
-_TRADE = """trade AS (
-  SELECT DISTINCT s_nationkey::BIGINT AS src, c_nationkey::BIGINT AS dst
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-  WHERE l_quantity >= 49 AND l_returnflag = 'R' AND l_linenumber = 1 AND s_nationkey <> c_nationkey)"""
+_LINES = """shipped AS (
+  SELECT s_nationkey::BIGINT AS src, c_nationkey::BIGINT AS dst
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)"""
+_TRADE = f"""{_LINES},
+flows AS (SELECT src, dst, count(*) AS n FROM shipped WHERE src <> dst GROUP BY 1, 2),
+trade AS (SELECT src, dst FROM flows WHERE n > (SELECT avg(n) FROM flows))"""
+_REGIONS = f"""{_LINES},
+flow AS (SELECT a.n_regionkey::BIGINT AS src, b.n_regionkey::BIGINT AS dst FROM shipped JOIN nation a ON src = a.n_nationkey JOIN nation b ON dst = b.n_nationkey)"""
+_CHAINS = """steps AS (SELECT o_orderkey, o_custkey, row_number() OVER w - 1 AS place, count(*) OVER (PARTITION BY o_custkey) AS size, first_value(o_orderkey) OVER w AS head
+  FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+least AS (SELECT o_orderkey AS vertex, min(o_orderkey) OVER (PARTITION BY o_custkey) AS component FROM orders)"""
+_SEGMENTS = "SELECT c_nationkey::BIGINT AS grp, c_custkey AS id, min(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment) AS label FROM customer"
 _SESSION = """session AS (
   SELECT DISTINCT src, dst FROM (SELECT user_id AS src, lead(user_id) OVER (ORDER BY ts, event_id) AS dst FROM events)
   WHERE dst IS NOT NULL AND src <> dst)"""
@@ -309,11 +413,6 @@ _VALUES = "v AS (SELECT length(event_type)::BIGINT AS key, user_id AS value FROM
 _BOTH = "v AS (SELECT length(event_type)::BIGINT AS key, user_id AS value FROM events UNION ALL SELECT 11::BIGINT, o_custkey FROM orders)"
 _EST = """sums AS (SELECT key, sum(2.0 ** -val) + 64 - count(*) AS p, 64 - count(*) AS z FROM regs GROUP BY 1),
 est AS (SELECT key, CASE WHEN 0.709 * 64 * 64 / p <= 160 AND z > 0 THEN 64.0 * ln(64.0 / z) ELSE 0.709 * 64 * 64 / p END AS e FROM sums)"""
-_SPEND = """arcs AS (SELECT DISTINCT c_custkey + (SELECT count(*) FROM nation) AS src, c_nationkey::BIGINT AS dst FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice >= 400000)),
-size AS (SELECT (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer) AS n),
-labels AS (SELECT vertex, coalesce(a.dst, b.dst, vertex) AS component FROM (SELECT unnest(range(n)) AS vertex FROM size) v LEFT JOIN arcs a ON a.src = vertex LEFT JOIN (SELECT DISTINCT dst FROM arcs) b ON b.dst = vertex)"""
-
-
 def _cuts(arcs, n):
     """Sizes of all cuts of an n-vertex graph; vertex n - 1 stays on one side."""
     return f"cuts AS (SELECT side.range AS side, count(*) FILTER ((side.range >> src::INTEGER) & 1 <> (side.range >> dst::INTEGER) & 1) AS size FROM range(1, {2 ** (n - 1)}) side, {arcs} GROUP BY 1)"
@@ -323,12 +422,11 @@ _REGS = "(SELECT c_custkey, i, (c_custkey * 3 + i * 5) % 32 AS a, (c_custkey * 1
 
 
 def oracle_sql():
-    t14 = f"{_TRADE}, t14 AS (SELECT * FROM trade WHERE src < 14 AND dst < 14)"
     pairs = "pairs AS (SELECT DISTINCT user_id % 50 AS src, user_id AS dst FROM events)"
     lists = "SELECT vertex, vertex || ': ' || coalesce(string_agg(dst::VARCHAR, ' -> ' ORDER BY dst), '') AS line"
     return {
         "edge_load": f"WITH {_TRADE} SELECT * FROM trade",
-        "vertex_count": "SELECT 25::BIGINT AS vertices",
+        "vertex_count": "SELECT count(*) AS vertices FROM nation",
         "edge_count": f"WITH {_TRADE} SELECT count(*) AS edges FROM trade",
         "weighted_load": "SELECT l_suppkey AS src, sum(l_linenumber)::BIGINT AS weight, count(*) AS arcs FROM lineitem GROUP BY 1",
         "adjacency_sizes": f"WITH {_TRADE} SELECT range AS vertex, count(dst) AS neighbours FROM range(25) LEFT JOIN trade ON src = range GROUP BY 1",
@@ -338,7 +436,11 @@ def oracle_sql():
         "out_degree_gt2": f"WITH {_TRADE} SELECT src AS vertex, count(*) AS degree FROM trade GROUP BY 1 HAVING count(*) > 2",
         "has_link_semi": f"WITH {_SESSION}, {pairs} SELECT * FROM pairs p WHERE EXISTS (SELECT 1 FROM session e WHERE e.src = p.src AND e.dst = p.dst)",
         "has_link_anti": f"WITH {_SESSION}, {pairs} SELECT * FROM pairs p WHERE NOT EXISTS (SELECT 1 FROM session e WHERE e.src = p.src AND e.dst = p.dst)",
-        "add_links": f"WITH {t14}, arcs AS (SELECT * FROM t14 UNION ALL VALUES (0, 20), (20, 1), (1, 1)) SELECT range AS vertex, count(dst) AS degree FROM range(30 + 1) LEFT JOIN arcs ON src = range GROUP BY 1",
+        "add_links": f"WITH {_TRADE}, arcs AS (SELECT * FROM trade UNION ALL VALUES (0, 27), (27, 1), (1, 1)) SELECT range AS vertex, count(dst) AS degree FROM range(30 + 1) LEFT JOIN arcs ON src = range GROUP BY 1",
+        "literal_weights": "SELECT * FROM (VALUES (0::BIGINT, 75::BIGINT), (1, 0), (2, 25)) v(vertex, weight)",
+        "add_weighted_links": "SELECT src, sum(w)::BIGINT AS weight, count(*) AS arcs FROM (SELECT l_suppkey AS src, l_linenumber AS w FROM lineitem UNION ALL SELECT s_suppkey, 100 FROM supplier) GROUP BY 1",
+        "empty_graph": f"WITH {_SESSION} SELECT count(*) AS edges, (max(greatest(src, dst)) + 1)::BIGINT AS vertices FROM session",
+        "edge_files": f"WITH {_SESSION} SELECT src::BIGINT AS src, dst::BIGINT AS dst FROM session",
         "exact_size": f"WITH {_TRADE} SELECT * FROM trade ORDER BY src, dst LIMIT 10",
         "dense_vertex_ids": "SELECT o_custkey AS key, row_number() OVER (ORDER BY o_custkey) - 1 AS vertex FROM (SELECT DISTINCT o_custkey FROM orders)",
         "clustering_local": f"WITH {_TRADE}, {_local('trade')} SELECT v AS vertex, degree, closed, round(closed / (degree * (degree - 1)), 9) AS coefficient FROM local",
@@ -352,14 +454,25 @@ def oracle_sql():
         "ball_limit": f"WITH RECURSIVE {_TRADE}, {_bfs('trade', 25, False)} SELECT round(coalesce(sum(dist - 1), 0) / 25.0, 9) AS ball_limit FROM far WHERE s <> d",
         "reach_counts": f"WITH RECURSIVE {_FIVES}, {_bfs('twins', 10, False)}, v AS (SELECT s AS key, d AS value FROM far), {_regs('v', 'regs', 4)} SELECT * FROM regs",
         "graph_union_bridges": f"WITH {_TENS} SELECT * FROM twins",
-        "connected_components": f"WITH {_SPEND} SELECT * FROM labels",
+        "bfs_from_sample": f"WITH {_CHAINS} SELECT head AS s, o_orderkey AS d, place::INTEGER AS dist FROM steps",
+        "ball_limit_chains": f"WITH {_CHAINS}, ahead AS (SELECT size - 1 - place AS r FROM steps) SELECT round(sum(r * (r - 1) / 2.0) / (SELECT max(o_orderkey) + 1 FROM orders), 9) AS ball_limit FROM ahead",
+        "connected_components": f"WITH {_CHAINS} SELECT range AS vertex, coalesce(component, range) AS component FROM range((SELECT max(o_orderkey) + 1 FROM orders)) LEFT JOIN least ON vertex = range",
         "components_supply": "WITH RECURSIVE s AS (SELECT count(*) AS n FROM supplier), arcs AS (SELECT DISTINCT l_suppkey AS a, l_partkey + n AS b FROM lineitem, s), ways AS (SELECT a, b FROM arcs UNION SELECT b, a FROM arcs), seen AS (SELECT min(a) AS x FROM ways UNION SELECT b FROM seen JOIN ways ON a = x), total AS (SELECT (SELECT count(*) FROM supplier) + (SELECT count(*) FROM part) AS n) SELECT n - (SELECT count(*) FROM seen) + 1 AS components FROM total",
-        "are_connected": f"WITH {_SPEND} SELECT x.vertex AS a, y.vertex AS b, x.component = y.component AS connected FROM labels x, size, labels y WHERE y.vertex = (x.vertex * 7 + 3) % n",
-        "min_cut_size": f"WITH {t14}, {_cuts('t14', 14)} SELECT min(size) AS cut_size FROM cuts",
+        "are_connected": f"WITH {_CHAINS}, size AS (SELECT max(o_orderkey) + 1 AS n FROM orders), labels AS (SELECT range AS vertex, coalesce(component, range) AS component FROM range((SELECT n FROM size)) LEFT JOIN least ON vertex = range) SELECT x.vertex AS a, y.vertex AS b, x.component = y.component AS connected FROM labels x, size, labels y WHERE y.vertex = (x.vertex * 7 + 3) % n",
+        "min_cut_size": f"WITH {_REGIONS}, {_cuts('flow', 5)} SELECT min(size) AS cut_size FROM cuts",
+        "min_cut_size_undo": f"WITH {_REGIONS}, {_cuts('flow', 5)} SELECT min(size) AS cut_size FROM cuts",
+        "union_find_labels": _SEGMENTS,
+        "union_find_compression": _SEGMENTS,
+        "union_find_undo": _SEGMENTS,
         "min_cut_edges": f"WITH {_FIVES}, {_cuts('twins', 10)}, best AS (SELECT side FROM cuts ORDER BY size LIMIT 1) SELECT src, dst FROM twins, best WHERE (side >> src::INTEGER) & 1 <> (side >> dst::INTEGER) & 1",
         "min_cut_tens": "SELECT range + 1 AS src, range + 11 AS dst FROM range(4)",
         "jenkins_hash": f"WITH v AS (SELECT c_custkey AS id FROM customer), {_jenkins('v', 'id')} SELECT id, hex(c::UBIGINT) AS hash FROM jk12",
         "hll_registers": f"WITH {_VALUES}, {_regs('v', 'regs')} SELECT * FROM regs",
+        "hll_registers_all_sizes": " UNION ALL ".join(f"SELECT *, {b}::INTEGER AS b FROM (WITH {_VALUES}, {_regs('v', 'regs', b)} SELECT * FROM regs)" for b in (4, 5, *range(7, 16))),
+        "hll_compact": f"WITH {_VALUES}, {_regs('v', 'regs')} SELECT * FROM regs",
+        "hll_compact_bytes": "SELECT DISTINCT length(event_type)::BIGINT AS key, (64 * 5 // 8)::BIGINT AS bytes FROM events",
+        "gnm_shape": "SELECT 200000::BIGINT AS arcs, 200000::BIGINT AS different, 0::BIGINT AS loops, 0::BIGINT AS outside",
+        "clustered_shape": "SELECT 798::BIGINT AS vertices, 0::BIGINT AS short, 0::BIGINT AS repeated",
         "hll_estimate": f"WITH {_VALUES}, {_regs('v', 'regs')}, {_EST} SELECT key, round(e, 9) AS estimate FROM est",
         "hll_range": f"WITH {_VALUES}, {_regs('v', 'regs')}, {_EST} SELECT key, round(e, 9) AS estimate, round(e * 0.87, 9) AS low, round(e * 1.13, 9) AS high FROM est",
         "hll_union": f"WITH {_BOTH}, {_regs('v', 'regs')} SELECT * FROM regs",

@@ -12,15 +12,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def trade(spark: SparkSession, sf_dir: str, below: int = 25) -> Graph:
-    """Distinct supplier nation -> customer nation over large returned first lines."""
-    lines = table(spark, sf_dir, "lineitem").filter("l_quantity >= 49 and l_returnflag = 'R' and l_linenumber = 1").select("l_orderkey", "l_suppkey")
+def _shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst): supplier and customer nation of every line."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey")).join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
-    arcs = rows.select(F.col("s_nationkey").cast("long").alias("src"), F.col("c_nationkey").cast("long").alias("dst")).filter((F.col("src") != F.col("dst")) & (F.col("src") < below) & (F.col("dst") < below))
-    return Graph(arcs.distinct(), below)
+    return rows.select(F.col("s_nationkey").cast("long").alias("src"), F.col("c_nationkey").cast("long").alias("dst"))
+
+
+def trade(spark: SparkSession, sf_dir: str) -> Graph:
+    """Supplier nation -> customer nation where more lines than the mean over all
+    such pairs of different nations are shipped."""
+    flows = _shipped(spark, sf_dir).filter("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    mean = flows.agg(F.avg("n").alias("mean"))
+    arcs = flows.join(F.broadcast(mean), F.col("n") > F.col("mean")).select("src", "dst")
+    return Graph(arcs, table(spark, sf_dir, "nation").count())
+
+
+def region_flow(spark: SparkSession, sf_dir: str) -> Graph:
+    """An arc for every line, from the supplier's to the customer's region."""
+    region = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("key"), F.col("n_regionkey").cast("long").alias("region"))
+    rows = _shipped(spark, sf_dir)
+    for end in ("src", "dst"):
+        rows = rows.join(F.broadcast(region.toDF(end, f"r_{end}")), end)
+    return Graph(rows.select(F.col("r_src").alias("src"), F.col("r_dst").alias("dst")), table(spark, sf_dir, "region").count())
+
+
+def reorders(spark: SparkSession, sf_dir: str) -> Graph:
+    """Each order -> the next one of the same customer: a forest of long chains."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    after = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    arcs = orders.select(F.col("o_orderkey").alias("src"), after.alias("dst")).filter("dst is not null")
+    return Graph(arcs, orders.agg(F.max("o_orderkey")).first()[0] + 1)
+
+
+def first_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vertex): where the chains of :func:`reorders` begin."""
+    orders = table(spark, sf_dir, "orders")
+    return orders.groupBy("o_custkey").agg(F.min_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("vertex")).select("vertex")
 
 
 def session(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,12 +72,3 @@ def supply(spark: SparkSession, sf_dir: str) -> Graph:
     suppliers, parts = (table(spark, sf_dir, t).count() for t in ("supplier", "part"))
     arcs = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + suppliers).alias("dst")).distinct()
     return Graph(arcs, suppliers + parts)
-
-
-def big_spenders(spark: SparkSession, sf_dir: str) -> Graph:
-    """Customer - nation arcs of orders at least 400,000 in price, customers
-    numbered after the nations: a forest of stars with many single vertices."""
-    nations, customers = (table(spark, sf_dir, t).count() for t in ("nation", "customer"))
-    orders = table(spark, sf_dir, "orders").filter("o_totalprice >= 400000").select("o_custkey")
-    rows = table(spark, sf_dir, "customer").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left_semi")
-    return Graph(rows.select((F.col("c_custkey") + nations).alias("src"), F.col("c_nationkey").cast("long").alias("dst")).distinct(), nations + customers)
