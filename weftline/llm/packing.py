@@ -10,11 +10,14 @@ only if it needs fewer bins than it was given; rounds end when nothing is won
 or all loose pieces fit one partition.
 
 Pieces of exactly the capacity fill a sequence alone and are never moved.
-Only counts by length (at most ``capacity`` rows) and one row of totals a
-partition reach the driver; partitions are of bounded size.
-
-Defined results: a null text counts as empty and holds only the end id; rows
-with equal doc_id are packed apart; an empty table gives an empty result.
+Only totals of a round reach the driver; partitions are of bounded size.  Each
+piece carries the certificate of the partition it was settled in: its bins and
+their lower bound.
+
+Defined results: a null text counts as empty and holds only the end id; a text
+of any length is encoded whole; rows with equal doc_id are packed apart; pieces
+of equal length may take any order; other columns are ignored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import encoder
-from .common import cut, text_groups
+from .common import cut, drop, text_groups
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -124,9 +127,10 @@ def _packer(capacity: int, last: bool):
 
 
 def pack(pieces: DataFrame, capacity: int = 2048, rows_a_partition: int = 8192) -> DataFrame:
-    """``pieces`` (as from :func:`piece_table`) with sequence_id and offset."""
+    """``pieces`` (as from :func:`piece_table`) with sequence_id, offset, bins and
+    bound."""
     base = cut(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
-    alone = base.filter(F.col("length") == capacity).select(*_names(PIECES), (F.lit(1 << 62) + F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    alone = base.filter(F.col("length") == capacity).select(*_names(PIECES), (F.lit(1 << 62) + F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(1).alias("bins"), F.lit(1).alias("bound"))
     active, given, tables = base.filter(F.col("length") < capacity), None, []
     settled = []
     for n in itertools.count():
@@ -147,7 +151,10 @@ def pack(pieces: DataFrame, capacity: int = 2048, rows_a_partition: int = 8192)
     out = alone
     for n, t in enumerate(settled):
         key = F.lit(n << 48) + F.shiftleft(F.col("part").cast("long"), 22) + F.col("bin")
-        out = out.unionByName(t.select(*_names(PIECES), key.alias("sequence_id"), "offset"))
+        out = out.unionByName(t.select(*_names(PIECES), key.alias("sequence_id"), "offset", "bins", "bound"))
+    out = cut(out, "sequences")
+    for t in (base, *tables):
+        drop(t)
     return out
 
 

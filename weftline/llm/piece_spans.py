@@ -9,8 +9,11 @@ empty normaliser, and chunks between which no piece can reach are encoded once
 and kept in a bounded store.
 
 Defined results: a null text counts as empty; an empty text has only the begin
-and end ids; repeated rows each give their row; other columns are ignored by
-the digests and kept by :func:`encode_spans` unless named like its own.
+and end ids, one of any length is encoded whole; repeated rows each give their
+row; between equally good merges the library's order decides (the leftmost
+first); other columns are ignored by the digests and kept by
+:func:`encode_spans` unless named like its own; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
