@@ -26,8 +26,7 @@ def trade(spark: SparkSession, sf_dir: str) -> Graph:
     """Supplier nation -> customer nation where more lines than the mean over all
     such pairs of different nations are shipped."""
     flows = _shipped(spark, sf_dir).filter("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
-    mean = flows.agg(F.avg("n").alias("mean"))
-    arcs = flows.join(F.broadcast(mean), F.col("n") > F.col("mean")).select("src", "dst")
+    arcs = flows.filter(F.col("n") > flows.agg(F.avg("n")).scalar()).select("src", "dst")
     return Graph(arcs, table(spark, sf_dir, "nation").count())
 
 
