@@ -54,5 +54,5 @@ def test_repeated_rows_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "a"), (1, "a"), (2, None)], "doc_id long, text string")
     assert [r.start for r in token_output.round_trip(docs, PATH).orderBy("start").collect()] == [0, 2, 4]
     assert token_output.round_trip(docs.filter("false"), PATH).count() == 0
-    null = spark.createDataFrame([(None, "b"), (-5, "a")], "doc_id long, text string")
-    assert [(r.doc_id, r.start) for r in token_output.round_trip(null, PATH).orderBy("start").collect()] == [(None, 0), (-5, 2)]
+    null = spark.createDataFrame([(None, "b"), (-5, "a"), (-(2**63), "c")], "doc_id long, text string")
+    assert [(r.doc_id, r.start) for r in token_output.round_trip(null, PATH).orderBy("start").collect()] == [(None, 0), (-(2**63), 2), (-5, 4)]

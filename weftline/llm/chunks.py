@@ -205,7 +205,7 @@ class ChunkEncoder:
             return "byte"
         steps = [p.get("type") for p in pre.get("pretokenizers", [])]
         norms = [n.get("type") for n in (norm or {}).get("normalizers", [])]
-        if plain and steps == ["Split", "ByteLevel"] and norms == ["NFC", "Replace", "Lowercase"] and r"[^\s\p{L}\p{N}]+" in pre["pretokenizers"][0]["pattern"].get("Regex", ""):
+        if plain and steps == ["Split", "ByteLevel"] and norms == ["NFC", "Replace", "Lowercase"] and norm["normalizers"][1].get("pattern") == {"Regex": r"\s+"} and norm["normalizers"][1].get("content") == " " and r"[^\s\p{L}\p{N}]+" in pre["pretokenizers"][0]["pattern"].get("Regex", ""):
             return "word"
         return "whole"
 
@@ -319,11 +319,14 @@ class ChunkEncoder:
         codes = self.fast.find(hashes, check)
         new = np.flatnonzero(codes < 0)
         if len(new):
-            _, once = np.unique(hashes[new], return_index=True)
-            once = new[once]
+            order = np.lexsort((check[new], hashes[new]))
+            differs = np.r_[True, (np.diff(hashes[new][order]) != 0) | (np.diff(check[new][order].astype(np.int64)) != 0)]
+            once = new[order[differs]]
             chunks = [joined[i:j].decode() for i, j in zip(first[once].tolist(), end[once].tolist())]
             self.fast.add(hashes[once], check[once], self._ids_of(chunks, ~lone[once] if byte else lone[once]))
             codes[new] = self.fast.find(hashes[new], check[new])
+            if (codes[new] < 0).any():
+                raise RuntimeError("a chunk has no code")
         grid = np.full((len(codes), 3), -1, np.int64)
         grid[:, 1] = codes
         if marked.any() or line.any():

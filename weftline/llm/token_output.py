@@ -9,15 +9,18 @@ Decoding looks up each control byte in a table of lengths and gathers bytes
 with numpy.
 
 A file is a Parquet file of blocks in ascending document order; a block holds
-many documents: their ids, their token counts, the control and the data bytes,
-and the count of tokens before it in its file.  The rank table is a small
+many documents: their ids (and how many, at its start, have none), their token
+counts, the control and the data bytes, and the count of tokens before it in its
+file.  Texts are put in order as plain ids and coded as they are written, a
+bounded number of bytes at a time.  The rank table is a small
 Parquet table beside them.  Spark's committer writes both, so a lost executor
 leaves no half file, and any store that Spark reaches can hold them.
 
 Defined results: a null text counts as empty and still gets the end id; a null
 doc_id comes first and comes back as null; equal
-texts and equal doc_ids are all written (equal doc_ids in any order); empty
-tables give no files' rows; other columns are ignored.
+texts and equal doc_ids are all written (equal doc_ids in any order), a text of
+any length as one document; equally frequent ids rank by id; empty tables give
+no files' rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -107,7 +110,7 @@ def frequencies(tokens: DataFrame) -> DataFrame:
 
     def count(batches):
         total = np.zeros(0, np.int64)
-        for b in batches:
+        for b in text_groups(batches, "ids", 4_000_000):
             c = np.bincount(_ids(b)[0], minlength=len(total))
             c[: len(total)] += total
             total = c
@@ -130,32 +133,27 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, bl
     rank_of[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
     spark.createDataFrame(counted.assign(rank=range(len(counted)))[["rank", "id", "n"]], "rank long, id long, n long").coalesce(1).write.parquet(f"{path}/ranks")
 
-    def shrink(batches):
-        for b in batches:
-            ids, ends = _ids(b)
-            control, control_at, data, data_at = encode_ranks(rank_of[ids], ends)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _binary(control_at, control), _binary(data_at, data)], ["doc_id", "n_tokens", "control", "data"])
-
     def blocks(batches):
         base = 0
-        for b in batches:
+        for b in text_groups(batches, "ids", 4_000_000):
             counts = b.column(1).to_numpy()
-            cut_at = np.searchsorted(np.cumsum(counts), np.arange(block_tokens, counts.sum(), block_tokens)) + 1
+            ids, ends = _ids(b)
+            control, control_at, data, data_at = encode_ranks(rank_of[ids], ends)
+            cut_at = np.searchsorted(ends[1:], np.arange(block_tokens, ends[-1], block_tokens)) + 1
             edges = np.unique([0, *cut_at.tolist(), len(b)]).tolist()
             for i, j in zip(edges, edges[1:]):
-                own = b.slice(i, j - i)
-                row = {"base": base, "doc_ids": own.column(0).fill_null(_NO_ID).to_numpy().astype("<i8").tobytes(), "counts": counts[i:j].astype("<i8").tobytes(), "control": _flat(own.column(2)).tobytes(), "data": _flat(own.column(3)).tobytes()}
+                own = b.column(0).slice(i, j - i)
+                row = {"base": base, "nulls": own.null_count, "doc_ids": own.fill_null(0).to_numpy().astype("<i8").tobytes(), "counts": counts[i:j].astype("<i8").tobytes(), "control": control[control_at[i] : control_at[j]].tobytes(), "data": data[data_at[i] : data_at[j]].tobytes()}
                 yield pa.RecordBatch.from_pylist([row], _BLOCK)
                 base += int(counts[i:j].sum())
 
-    ordered = tokens.mapInArrow(shrink, "doc_id long, n_tokens long, control binary, data binary").repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id")
-    out = ordered.mapInArrow(blocks, "base long, doc_ids binary, counts binary, control binary, data binary")
+    ordered = tokens.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id")
+    out = ordered.mapInArrow(blocks, "base long, nulls long, doc_ids binary, counts binary, control binary, data binary")
     out.select(F.spark_partition_id().alias("file"), "*").write.option("compression", "zstd").parquet(f"{path}/blocks")
     drop(tokens)
 
 
-_NO_ID = -(2**63)  # stands for a null doc_id in a block
-_BLOCK = pa.schema([("base", pa.int64()), ("doc_ids", pa.binary()), ("counts", pa.binary()), ("control", pa.binary()), ("data", pa.binary())])
+_BLOCK = pa.schema([("base", pa.int64()), ("nulls", pa.int64()), ("doc_ids", pa.binary()), ("counts", pa.binary()), ("control", pa.binary()), ("data", pa.binary())])
 
 
 def read_tokens(spark, path: str) -> DataFrame:
@@ -177,7 +175,7 @@ def read_tokens(spark, path: str) -> DataFrame:
                 ids = ranks[decode_ranks(row["control"], row["data"], counts)].astype("<u4")
                 ends = np.cumsum(counts)
                 start = before[row["file"]] + row["base"] + ends - counts
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, mask=doc_ids == _NO_ID), pa.array(start), _binary(np.concatenate([[0], ends * 4]), ids)], ["doc_id", "start", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, mask=np.arange(len(doc_ids)) < row["nulls"]), pa.array(start), _binary(np.concatenate([[0], ends * 4]), ids)], ["doc_id", "start", "ids"])
 
     return blocks.mapInArrow(run, "doc_id long, start long, ids binary")
 
