@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,14 +43,19 @@ def bfs_distances(g: Graph, sources: DataFrame | None = None, symmetric: bool =
         level += 1
         step = levels[-1].join(arcs, F.col("d") == F.col("src")).select("s", F.col("dst").alias("d")).distinct()
         known = levels[-2:] if symmetric else levels  # going back both ways, a new vertex can only repeat the last two levels
-        step = step.join(reduce(DataFrame.unionByName, [x.select("s", "d") for x in known]), ["s", "d"], "left_anti")
+        step = step.join(_together(known).select("s", "d"), ["s", "d"], "left_anti")
         new = cut(step.withColumn("dist", F.lit(level)), "level")
         if new.isEmpty():
             drop(new)
             break
         levels.append(new)
     drop(arcs)
-    return reduce(DataFrame.unionByName, levels)
+    return _together(levels)
+
+
+def _together(tables: list[DataFrame]) -> DataFrame:
+    """Stored tables of one schema as one scan, so plans do not grow with them."""
+    return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*(t.path for t in tables))
 
 
 def average_path_length(g: Graph, normalize: str = "half") -> DataFrame:
