@@ -271,7 +271,7 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None
     schema = docs.select(*(F.col(f"`{c}`") for c in keep)).schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches):
-        for b in text_groups(batches, "text", 1_000_000):
+        for b in text_groups(batches, "text", 500_000):
             labels, score = shared.value.predict(b.column(len(keep)).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(labels, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
 
