@@ -23,6 +23,8 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import functions as F
 
@@ -30,13 +32,27 @@ from weftline.llm import jaccard_join, language_id, packing, substring_dedup
 from weftline.llm.common import cut, table
 
 DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Rows that go to a Python worker at once: with whole texts in them, Spark's
+#: default of 10,000 takes much memory on both sides.
+BATCH_ROWS = "2000"
+
+
+def _small_batches(stage):
+    @functools.wraps(stage)
+    def run(spark, docs, sf_dir):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        return stage(spark, docs, sf_dir)
+
+    return run
 
 
+@_small_batches
 def recognised(spark, docs, sf_dir):
     docs = docs.select(*DOCUMENTS)
     return language_id.predict(docs, language_id.fit(docs), DOCUMENTS).filter("lang_pred <> 'und'").select(*DOCUMENTS)
 
 
+@_small_batches
 def distinct_documents(spark, docs, sf_dir):
     groups = jaccard_join.jaccard_components(docs, k=5, percent=80)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
@@ -45,6 +61,7 @@ def distinct_documents(spark, docs, sf_dir):
     return rows.join(stay, "row_key", "left_semi").select(*DOCUMENTS)
 
 
+@_small_batches
 def without_repeats(spark, docs, sf_dir):
     rest = substring_dedup.dedup(docs, 50, DOCUMENTS).filter("n_removed = 0 or n_removed < n_words")
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
@@ -52,6 +69,7 @@ def without_repeats(spark, docs, sf_dir):
     return rest.select("doc_id", text.alias("text"), "lang", "source", length.alias("n_chars"))
 
 
+@_small_batches
 def packed(spark, docs, sf_dir):
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, capacity=2048)
 
