@@ -206,6 +206,24 @@ def test_components(spark, way):
     assert pairs(components.are_connected(labels, spark.createDataFrame([(4, 5), (4, 7)], "a long, b long"))) == [(4, 5, True), (4, 7, False)]
     chain = spark.range(1, 300).selectExpr("id as u", "id - 1 as v")
     assert {r.component for r in components.components(chain).collect()} == {0}
+    stars = spark.createDataFrame([(4, 1), (1, 5), (9, 2), (9, 2), (3, 3)], "u long, v long")
+    assert pairs(components.components(stars, 1)) == [(1, 1), (2, 2), (4, 1), (5, 1), (9, 2)]
+    with pytest.raises(RuntimeError):
+        components.components(chain, 1)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_of_random_graphs(spark, seed):
+    rnd, sets = random.Random(seed), DisjointSet(400)
+    links = [(rnd.randrange(400), rnd.randrange(400)) for _ in range(250)]
+    for u, v in links:
+        sets.union(u, v)
+    least = {}
+    for x in range(400):
+        least.setdefault(sets.find(x), x)
+    ends = {x for u, v in links if u != v for x in (u, v)}
+    got = pairs(components.components(spark.createDataFrame(links, "u long, v long")))
+    assert got == [(x, least[sets.find(x)]) for x in sorted(ends)]
 
 
 @pytest.mark.parametrize("b, want", [(9, 104_081.6), (12, 101_100.2), (15, 100_887.2)])
