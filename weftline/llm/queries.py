@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import jaccard_join, language_id, media_copies, packing, piece_spans, substring_dedup, token_counts, token_output, url_filter, vector_search
+from . import jaccard_join, language_id, media_copies, minhash_dedup, packing, piece_spans, substring_dedup, token_counts, token_output, url_filter, vector_search
 from .common import table
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -51,6 +51,10 @@ def op9_vector_search(spark, sf_dir):
     return vector_search.nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
 
 
+def op11_minhash_dedup(spark, sf_dir):
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 _HOST = "translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _FITS = "(host = r.h OR ends_with(host, '.' || r.h)) AND starts_with(path, r.p)"
 _OP5 = f"""
@@ -76,6 +80,7 @@ def queries():
         "op8_substring_dedup": op8_substring_dedup,
         "op9_vector_search": op9_vector_search,
         "op10_language_id": op10_language_id,
+        "op11_minhash_dedup": op11_minhash_dedup,
     }
 
 
