@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import jaccard_join, language_id, media_copies, minhash_dedup, packing, piece_spans, substring_dedup, token_counts, token_output, url_filter, vector_search
+from . import centroid_clusters, jaccard_join, language_id, media_copies, minhash_dedup, packing, piece_spans, substring_dedup, token_counts, token_output, url_filter, vector_search
 from .common import table
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -55,6 +55,10 @@ def op11_minhash_dedup(spark, sf_dir):
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op13_centroid_clusters(spark, sf_dir):
+    return centroid_clusters.centroid_clusters(table(spark, sf_dir, "embeddings"), size=64, k=8, rounds=10, scale=1024, seed=3)
+
+
 _HOST = "translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _FITS = "(host = r.h OR ends_with(host, '.' || r.h)) AND starts_with(path, r.p)"
 _OP5 = f"""
@@ -68,6 +72,23 @@ FROM parts
 """
 
 
+def _lloyd(k, rounds):
+    """Assignments and centroids round by round; ``own`` numbers the kept rows."""
+    far = "list_sum(list_transform(range(1, 65), lambda i: (x[i] - c[i]) * (x[i] - c[i])))"
+    near = "SELECT own, arg_min(j, {{'d': d, 'j': j}}) AS j, min(d) AS d FROM (SELECT own, j, {far} AS d FROM kept, c{r}) GROUP BY own"
+    parts = [f"""kept AS MATERIALIZED (SELECT row_number() OVER () AS own, vec_id, list_transform(embedding, lambda v: floor(1024 * v::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda v: v IS NOT NULL AND isfinite(v))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS j, x AS c FROM kept QUALIFY j < {k})"""]
+    for r in range(rounds):
+        parts.append(f"""a{r} AS MATERIALIZED ({near.format(far=far, r=r)}),
+s{r} AS (SELECT j, i, sum(x[i])::BIGINT AS t, count(*) AS n FROM a{r} JOIN kept USING (own), (SELECT unnest(range(1, 65)) AS i) GROUP BY j, i),
+m{r} AS (SELECT j, list((t - ((t % n) + n) % n) // n ORDER BY i) AS m FROM s{r} GROUP BY j),
+c{r + 1} AS MATERIALIZED (SELECT j, coalesce(m, c) AS c FROM c{r} LEFT JOIN m{r} USING (j))""")
+    return f"""WITH {", ".join(parts)}, fin AS ({near.format(far=far, r=rounds)})
+SELECT vec_id, j::INTEGER AS cluster, d::BIGINT AS distance, sum(d) OVER (PARTITION BY j)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM fin JOIN kept USING (own) JOIN c{rounds} USING (j)"""
+
+
 def queries():
     return {
         "op1_token_output": op1_token_output,
@@ -81,8 +102,9 @@ def queries():
         "op9_vector_search": op9_vector_search,
         "op10_language_id": op10_language_id,
         "op11_minhash_dedup": op11_minhash_dedup,
+        "op13_centroid_clusters": op13_centroid_clusters,
     }
 
 
 def oracle_sql():
-    return {"op5_url_filter": _OP5}
+    return {"op5_url_filter": _OP5, "op13_centroid_clusters": _lloyd(8, 10)}
