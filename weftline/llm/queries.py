@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import centroid_clusters, jaccard_join, language_id, media_copies, minhash_dedup, packing, piece_spans, substring_dedup, token_counts, token_output, url_filter, vector_search
+from . import centroid_clusters, jaccard_join, language_id, media_copies, minhash_dedup, packing, piece_spans, spelling_variants, substring_dedup, token_counts, token_output, url_filter, vector_search
 from .common import table
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -55,6 +55,10 @@ def op11_minhash_dedup(spark, sf_dir):
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op12_spelling_variants(spark, sf_dir):
+    return spelling_variants.variants(table(spark, sf_dir, "documents"), min_letters=6, min_count=5, factor=5, every=199)
+
+
 def op13_centroid_clusters(spark, sf_dir):
     return centroid_clusters.centroid_clusters(table(spark, sf_dir, "embeddings"), size=64, k=8, rounds=10, scale=1024, seed=3)
 
@@ -102,6 +106,7 @@ def queries():
         "op9_vector_search": op9_vector_search,
         "op10_language_id": op10_language_id,
         "op11_minhash_dedup": op11_minhash_dedup,
+        "op12_spelling_variants": op12_spelling_variants,
         "op13_centroid_clusters": op13_centroid_clusters,
     }
 
