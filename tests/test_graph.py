@@ -1,6 +1,8 @@
 """Golden values, edge cases and metamorphic checks of the graph operators."""
 
+import heapq
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -96,14 +98,39 @@ def test_hyper_ball(spark, way):
 
 
 def test_distances_both_ways(spark, monkeypatch):
-    g = generators.gnm(spark, 30, 40, 3)
+    g = generators.gnm(spark, 150, 200, 3)
     near = [pairs(paths.bfs_distances(g, symmetric=x)) for x in (True, False)]
-    registers = pairs(paths.reach_registers(g, 5, 9))
+    counts = [pairs(paths.distance_counts(g, symmetric=x)) for x in (True, False)]
+    registers, balls = pairs(paths.reach_registers(g, 5, 9)), [paths.hyper_ball(g, 6, 9, textbook=x).first() for x in (True, False)]
+    for x in (0, 1):
+        assert counts[x] == sorted(Counter(dist for s, d, dist in near[x] if dist).items())
     monkeypatch.setattr(small, "SMALL", 0)
+    monkeypatch.setattr(paths, "_DELTAS", 2)
+    assert counts == [pairs(paths.distance_counts(g, symmetric=x)) for x in (True, False)]
+    for x, old in zip((True, False), balls):
+        new = paths.hyper_ball(g, 6, 9, textbook=x).first()
+        assert new.rounds == old.rounds and new.hyper_ball == pytest.approx(old.hyper_ball)
     assert near == [pairs(paths.bfs_distances(g, symmetric=x)) for x in (True, False)]
     assert registers == pairs(paths.reach_registers(g, 5, 9))
 
 
+def test_merged_registers(spark):
+    rng = np.random.default_rng(1)
+    rows = [(int(k), bytes(rng.integers(0, 9, 16, dtype=np.uint8))) for k in rng.integers(0, 7, 25_000)]
+    want = {}
+    for k, r in rows:
+        want[k] = np.maximum(want.get(k, 0), np.frombuffer(r, np.uint8))
+    got = paths.merged_registers(spark.createDataFrame(rows, "key long, regs binary"), 4).collect()
+    assert {r.key: bytes(r.regs) for r in got} == {k: r.astype(np.uint8).tobytes() for k, r in want.items()} and len(got) == len(want)
+
+
+def test_numbered_arcs(spark):
+    arcs = generators.gnm(spark, 40, 600, 1).edges
+    got = pairs(clustering.numbered_arcs(arcs.repartition(5)))
+    assert [p for p, _, _ in got] == list(range(600)) and [(u, v) for _, u, v in got] == pairs(arcs)
+    assert clustering.numbered_arcs(arcs.filter("false")).count() == 0
+
+
 def test_clustering(spark):
     g = edges.twin_fives(spark)
     assert clustering.clustering_exact(g).first().clustering == pytest.approx(0.88)
@@ -153,6 +180,135 @@ def test_planted_cuts_beyond_the_core(spark):
     assert pairs(mincut.min_cut(Graph(weak, 401), 1, 3)) == [(300, 400), (400, 1)]
 
 
+def regular(n, degree, seed):
+    """Rings in random order laid over each other: connected, all degrees equal."""
+    rng = np.random.default_rng(seed)
+    rings = [rng.permutation(n) for _ in range(degree // 2)]
+    return [(int(a), int(b)) for r in rings for a, b in zip(r, np.roll(r, 1))]
+
+
+def weighted(links):
+    ends = np.sort(np.array(links), axis=1)
+    ends = ends[ends[:, 0] != ends[:, 1]]
+    names, w = np.unique(ends, axis=0, return_counts=True)
+    return int(ends.max()) + 1, np.column_stack([names, w]).astype(np.int64)
+
+
+def stoer_wagner(n, arcs):
+    near = [{} for _ in range(n)]
+    for u, v, w in arcs.tolist():
+        near[u][v] = near[v][u] = near[u].get(v, 0) + w
+    live, best = set(range(n)), None
+    while len(live) > 1:
+        held, heap, order, done = {}, [(0, min(live))], [], set()
+        while heap:
+            u = heapq.heappop(heap)[1]
+            if u in done:
+                continue
+            done.add(u)
+            order.append(u)
+            for v, w in near[u].items():
+                if v not in done:
+                    held[v] = held.get(v, 0) + w
+                    heapq.heappush(heap, (-held[v], v))
+        if len(order) < len(live):
+            return 0
+        s, t = order[-2:]
+        phase = sum(near[t].values())
+        best = phase if best is None else min(best, phase)
+        for v, w in near[t].items():
+            del near[v][t]
+            if v != s:
+                near[s][v] = near[v][s] = near[s].get(v, 0) + w
+        near[t] = {}
+        live.discard(t)
+    return best
+
+
+def sparse_graphs():
+    rng = np.random.default_rng(3)
+    for n in (65, 130, 700):
+        yield [(i, int(rng.integers(0, i))) for i in range(1, n)] + [tuple(x) for x in rng.integers(0, n, (2 * n, 2)).tolist()]
+        yield regular(n, 4, n)
+    yield [(i, (i + 1) % 2000) for i in range(2000)]
+    yield [(i * 30 + j, k) for i in range(30) for j in range(30) for k in (i * 30 + (j + 1) % 30, (i + 1) % 30 * 30 + j)]
+    yield regular(600, 6, 1) + [(a + 600, b + 600) for a, b in regular(600, 6, 2)] + [(1, 700), (50, 800), (99, 900), (340, 1100)]
+
+
+def test_kernels_keep_a_smallest_cut():
+    for links in sparse_graphs():
+        n, arcs = weighted(links)
+        degree = int(np.bincount(arcs[:, :2].ravel(), np.repeat(arcs[:, 2], 2)).min())
+        label, left, size, side = mincut.kernel(n, arcs, degree, 64)
+        count = label.max() + 1
+        found = size
+        if count > 1:
+            assert count <= 64
+            found = min(size, stoer_wagner(count, left))
+        if side is not None:
+            assert size == sum(w for u, v, w in arcs.tolist() if side[u] != side[v])
+        assert found == stoer_wagner(n, arcs)
+
+
+def test_kernels_of_small_graphs_keep_all_smallest_cuts():
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        n, arcs = weighted([(i, int(rng.integers(0, i))) for i in range(1, 9)] + [tuple(x) for x in rng.integers(0, 9, (12, 2)).tolist()])
+        cuts = every_cut(n, np.repeat(arcs[:, :2], arcs[:, 2], axis=0).tolist())
+        label, left, size, _ = mincut.kernel(n, arcs, int(np.bincount(arcs[:, :2].ravel(), np.repeat(arcs[:, 2], 2)).min()), 9)
+        least = min(cuts.values())
+        assert size >= least
+        for mask, weight in cuts.items():
+            if weight == least:
+                assert len({(int(s), mask >> v & 1) for v, s in enumerate(label)}) == label.max() + 1
+        # down to two sets, a cut smaller than the smallest known one stays
+        label, left, size, _ = mincut.kernel(n, arcs, 99, 2)
+        assert least == (min(size, left[:, 2].sum()) if len(left) else size)
+
+
+def as_graph(spark, links):
+    return Graph(spark.createDataFrame(links, "src long, dst long"), max(map(max, links)) + 1)
+
+
+@pytest.mark.parametrize("which", [0, 1, 3, 8])
+def test_cuts_of_sparse_graphs_with_default_trials(spark, which):
+    links = list(sparse_graphs())[which]
+    got = pairs(mincut.min_cut(as_graph(spark, links), None, 3))
+    assert len(got) == stoer_wagner(*weighted(links))
+    sides = components.connected_components(as_graph(spark, [x for x in links if x not in set(got)] + [(v, v) for v in range(max(map(max, links)) + 1)]))
+    assert components.component_count(sides).first().components == 2
+
+
+def test_certificates_of_parts_keep_small_cuts(spark):
+    rng = np.random.default_rng(6)
+    n, arcs = weighted(regular(9, 4, 3) + [tuple(x) for x in rng.integers(0, 9, (60, 2)).tolist()])
+    cuts = every_cut(n, np.repeat(arcs[:, :2], arcs[:, 2], axis=0).tolist())
+    least = min(cuts.values())
+    df = spark.createDataFrame(arcs.tolist(), "u long, v long, w long")
+    for size, parts in ((least, 1), (least + 2, 1), (least, 3), (2, 2)):
+        kept, held = mincut.sparser(df, size, parts, 7)
+        trimmed = every_cut(n, [(u, v) for u, v, w in pairs(kept) for _ in range(w)])
+        for mask, weight in cuts.items():
+            assert trimmed[mask] == weight if weight <= size else trimmed[mask] > size
+            assert weight > size or not any((mask >> u & 1) != (mask >> v & 1) for u, v in pairs(held))
+
+
+@pytest.mark.parametrize("task_arcs, strategy", [(110, "copy"), (200, "undo")])
+def test_cuts_by_a_tree_of_contractions(spark, monkeypatch, task_arcs, strategy):
+    monkeypatch.setattr(mincut, "TASK_ARCS", task_arcs)
+    monkeypatch.setattr(mincut, "CORE", 12)
+    bridges = [(3, 43), (17, 60), (33, 77)]
+    links = regular(40, 6, 1) + [(a + 40, b + 40) for a, b in regular(40, 6, 2)] + bridges
+    assert pairs(mincut.min_cut(as_graph(spark, links), 2, 5, strategy)) == bridges
+
+
+def test_dense_graphs_shrink_by_certificates(spark, monkeypatch):
+    monkeypatch.setattr(mincut, "TASK_ARCS", 400)
+    dense = generators.gnm(spark, 80, 4000, 3).edges
+    weak = dense.unionByName(spark.createDataFrame([(80, 81), (81, 82), (82, 80), (80, 82), (80, 5), (82, 17)], "src long, dst long"))
+    assert pairs(mincut.min_cut(Graph(weak, 83), 2, 3)) == [(80, 5), (82, 17)] or mincut.min_cut_size(Graph(weak, 83), 2, 3).first().cut_size == 2
+
+
 def test_ends_outside_the_graph_take_no_part(spark, way):
     odd = spark.createDataFrame([(1, 2), (2, 5), (-1, 0), (None, 1), (1, None), (0, 0)], "src long, dst long")
     g = Graph(odd, 3)

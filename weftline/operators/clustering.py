@@ -7,10 +7,13 @@ least) the coefficient is the share of ordered pairs of different out-neighbours
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import Graph
+from ..functions.hashing import jenkins64
+from ..plans.storage import cut
+from .graph import Graph
 
 
 def local_clustering(g: Graph, min_degree: int = 3) -> DataFrame:
@@ -36,25 +39,40 @@ def clustering_exact(g: Graph, min_degree: int = 3) -> DataFrame:
     return local_clustering(g, min_degree).agg(F.coalesce(F.avg("coefficient"), F.lit(0.0)).alias("clustering"), F.count(F.lit(1)).alias("eligible"))
 
 
+def numbered_arcs(arcs: DataFrame) -> DataFrame:
+    """(place, src, dst): arcs numbered from 0 in the order of (src, dst), so those
+    of a source stand together.  Sorted by range, numbered within partitions and
+    shifted by what the earlier ones hold (one count a partition reaches the driver)."""
+    parts = cut(arcs.repartitionByRange("src", "dst").sortWithinPartitions("src", "dst").withColumn("at", F.monotonically_increasing_id()), "arcs")
+    part = F.shiftright("at", 33)
+    counts = sorted(parts.groupBy(part.alias("part")).count().collect())
+    before = np.cumsum([0, *(n for _, n in counts)]).tolist()
+    shift = F.create_map(*(F.lit(x).cast("long") for (p, _), n in zip(counts, before) for x in (p, n))) if counts else F.create_map(F.lit(0).cast("long"), F.lit(0).cast("long"))
+    return parts.select((F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + shift[part]).alias("place"), "src", "dst")
+
+
 def clustering_sampled(g: Graph, k: int, seed: int, min_degree: int = 3) -> DataFrame:
     """One row: share of ``k`` sampled neighbour pairs that are arcs; NULL for
     k = 0, 0.0 if no vertex is eligible.
 
-    Eligible vertices are ranked by range (one count a partition reaches the
-    driver); a trial's hashes pick a rank, then two different neighbours."""
+    A trial's hashes pick the rank of an eligible vertex, then two different of its
+    arcs by their places in the table of all arcs: neighbours are never gathered,
+    and draws from one hub go to as many tasks as it has arcs.  Draw i of trial t
+    is the 64-bit mix of 3 t + i."""
     from .graph import dense_ids
 
-    near = g.simple().groupBy("src").agg(F.sort_array(F.collect_list("dst")).alias("nbrs")).filter(F.size("nbrs") >= max(2, min_degree))
+    arcs = cut(numbered_arcs(g.simple().filter("src is not null and dst is not null")), "places")
+    near = arcs.groupBy("src").agg(F.count(F.lit(1)).alias("degree"), F.min("place").alias("first")).filter(F.col("degree") >= max(2, min_degree))
+    near = cut(near, "near")
     ranks = dense_ids(near, "src")
-    total = ranks.count()
+    total = near.count()
     if not total:
         return g.spark.range(1).select(F.lit(0.0 if k else None).cast("double").alias("clustering"), F.lit(k).cast("long").alias("samples"))
-    draw = lambda what: F.xxhash64("id", F.lit(seed), F.lit(what))
-    trials = g.spark.range(k).withColumn("vertex", F.pmod(draw("vertex"), F.lit(total)))
-    picked = trials.join(ranks, "vertex").join(near.withColumnRenamed("src", "key"), "key")
-    d = F.size("nbrs")
-    first = F.pmod(draw("first"), d).cast("int")
-    step = (F.pmod(draw("second"), d - 1) + 1).cast("int")
-    pairs = picked.select("id", F.get("nbrs", first).alias("src"), F.get("nbrs", ((first + step) % d).cast("int")).alias("dst"))
-    hits = pairs.join(g.simple(), ["src", "dst"], "left_semi").agg(F.count(F.lit(1)).alias("hits"))
+    draws = g.spark.range(k).select("id", *(F.shiftrightunsigned(jenkins64(F.col("id") * 3 + i, seed), 1).alias(f"draw_{i}") for i in range(3)))
+    picked = draws.withColumn("vertex", F.col("draw_0") % total).join(ranks, "vertex").join(near.withColumnRenamed("src", "key"), "key")
+    a = F.col("draw_1") % F.col("degree")
+    b = (a + 1 + F.col("draw_2") % (F.col("degree") - 1)) % F.col("degree")
+    places = picked.select("id", (F.col("first") + a).alias("place"), (F.col("first") + b).alias("other"))
+    ends = places.join(arcs.select("place", F.col("dst").alias("u")), "place").join(arcs.select(F.col("place").alias("other"), F.col("dst").alias("w")), "other")
+    hits = ends.select("id", F.col("u").alias("src"), F.col("w").alias("dst")).join(arcs.select("src", "dst"), ["src", "dst"], "left_semi").agg(F.count(F.lit(1)).alias("hits"))
     return hits.select((F.col("hits") / F.lit(k if k else None)).alias("clustering"), F.lit(k).cast("long").alias("samples"))

@@ -3,22 +3,37 @@
 Arcs count both ways; parallel ones become one with a weight, and contraction
 takes arcs in the order of exponential clocks with that rate, which is a random
 order of all parallel arcs.  A trial is a recursion that branches twice, in one
-task; trials are the parallel axis.  Up to ``CORE`` vertices trials start from
-the graph itself.  Beyond that each trial first contracts its own random arcs
-down to about ``CORE`` sets, a batch of trials at once, by connected components
-in DataFrames, and the recursion runs on that core.
-
-The smallest weighted degree, a cut by itself, is taken if no trial beats it.
-
-Guarantee: the recursion finds a smallest cut with a probability of at least
-one in about log2 n a trial.  Contracting n vertices to c sets keeps a given
-smallest cut with at least c (c - 1) / (n (n - 1)), and with about the share of
-arcs that may go without touching it where other cuts are much larger; so
-beyond ``CORE`` vertices many nearly smallest cuts call for more ``trials``.
+task; trials are the parallel axis.
+
+Up to ``CORE`` vertices trials start from the graph itself.  Beyond that the graph
+first loses what no smallest cut can need:
+
+* Sparse certificate (``sparser``).  A scan in maximum adjacency order deals the
+  arcs of a part to forests, each maximal in what the earlier ones leave.  Weight
+  beyond forest ``size + 1``, where ``size`` is the smallest cut known (at first
+  the least weighted degree), is dropped: cuts of up to ``size`` keep all their
+  arcs and others stay larger.  Ends of an arc beyond forest ``size`` are joined: more
+  than ``size`` arcs would have to go to part them.  Parts are dealt by hash and
+  scanned in a task each, as certificates of parts make one of the whole.
+* Kernel (``kernel``).  Once ``TASK_ARCS`` arcs are left, scans go on in one task;
+  where no arc lies beyond the forests any more but more than ``CORE`` sets are
+  left, ends that ``size`` arcs at least hold together are joined, too, and ends
+  of an arc with half the weight at one of them.  Every cut smaller than the
+  smallest known one stays, so nothing is lost to chance up to here.
+
+If ``TASK_ARCS`` are not reached by the certificate, the recursion itself is laid
+out as data: each node (trial and branches taken) of a level becomes two, and all
+nodes of a level contract their own random arcs to 1 / sqrt 2 of their sets in
+the same jobs, until every node fits a task.  Jobs grow with the depth only.
+
+Guarantee: the smallest cut known is exact if it is a degree, a prefix of a scan or
+kept by the kernel and found by a trial; a trial finds a smallest cut of its kernel with a
+probability of at least one in about log2 of its sets.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
@@ -31,9 +46,10 @@ from .components import component_count, components, connected_components
 from .disjoint_set import DisjointSet
 from .graph import Graph
 
+#: Vertices up to which trials start from the graph itself.
 CORE = 64
-#: Trials that are contracted together.
-TOGETHER = 8
+#: Arcs that one task takes.
+TASK_ARCS = 200_000
 #: Contraction to two sets outright below this many.
 SMALL = 6
 
@@ -87,108 +103,313 @@ def _pairs(g: Graph) -> DataFrame:
     return ends.groupBy("u", "v").agg(F.count(F.lit(1)).alias("w"))
 
 
-def _search(seed: int, inner: int, strategy: str, find_mode: str):
-    """One trial's core (trial, u, v, w) -> trial, cut_size, side (ids of sets)."""
+def scan(n: int, arcs: np.ndarray) -> tuple[np.ndarray, tuple[int, np.ndarray]]:
+    """Maximum adjacency order of arcs (u, v, weight) over 0 .. n - 1.
+
+    For every arc, the forest that its last unit of weight falls into: the weight
+    between its later end and all vertices taken up to its earlier end, which its
+    ends hold together by at least.  And the smallest cut between a first part
+    of the order and the rest, with that part."""
+    begin = np.concatenate([arcs[:, 0], arcs[:, 1]])
+    order = np.argsort(begin, kind="stable")
+    at = np.searchsorted(begin[order], np.arange(n + 1)).tolist()
+    other, weight, arc = (np.concatenate([a, b])[order].tolist() for a, b in ((arcs[:, 1], arcs[:, 0]), (arcs[:, 2],) * 2, (np.arange(len(arcs)),) * 2))
+    held, taken, forest = [0] * n, [False] * n, [0] * len(arcs)
+    degree = np.bincount(begin, np.concatenate([arcs[:, 2]] * 2), n).astype(np.int64).tolist()
+    sequence, crossing, best, ends = [], 0, None, 0
+    for start in range(n):
+        heap = [] if taken[start] else [(0, start)]
+        while heap:
+            u = heapq.heappop(heap)[1]
+            if taken[u]:
+                continue
+            taken[u] = True
+            sequence.append(u)
+            crossing += degree[u] - 2 * held[u]
+            if len(sequence) < n and (best is None or crossing < best):
+                best, ends = crossing, len(sequence)
+            for i in range(at[u], at[u + 1]):
+                v = other[i]
+                if not taken[v]:
+                    held[v] += weight[i]
+                    forest[arc[i]] = held[v]
+                    heapq.heappush(heap, (-held[v], v))
+    return np.array(forest, np.int64), (best, np.array(sequence[:ends], np.int64))
+
+
+def _joined(n: int, arcs: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Number of each vertex's set once all ``ends`` (u, v) are joined, the arcs
+    between sets, and how many sets there are."""
+    sets = DisjointSet(n)
+    for u, v in ends.tolist():
+        sets.union(u, v)
+    _, number = np.unique(np.array(sets.labels()), return_inverse=True)
+    pairs = np.sort(number[arcs[:, :2]], axis=1)
+    cross = pairs[:, 0] != pairs[:, 1]
+    key, of = np.unique(pairs[cross, 0] * n + pairs[cross, 1], return_inverse=True)
+    return number, np.column_stack([key // n, key % n, np.bincount(of, arcs[cross, 2], len(key)).astype(np.int64)]), sets.components
+
+
+def _halves(n: int, arcs: np.ndarray) -> np.ndarray:
+    """Arcs of at least half the weight at one end, no two at one vertex.  Moving
+    that end over makes no cut larger, its own degree aside."""
+    degree = np.bincount(arcs[:, :2].ravel(), np.repeat(arcs[:, 2], 2), n)
+    free, out = [True] * n, []
+    for u, v in arcs[2 * arcs[:, 2] >= np.minimum(degree[arcs[:, 0]], degree[arcs[:, 1]]), :2].tolist():
+        if free[u] and free[v]:
+            free[u] = free[v] = False
+            out.append((u, v))
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
+def kernel(n: int, arcs: np.ndarray, size: int, core: int) -> tuple[np.ndarray, np.ndarray, int, np.ndarray | None]:
+    """Join what no cut smaller than the smallest known one parts.
+
+    Gives each vertex's set, the arcs between sets, the smallest cut known and, if
+    that is smaller than ``size``, one side of it.  As long as ``core`` sets or fewer
+    are left, every cut of the smallest size is kept; otherwise every smaller one."""
+    label, side, strict = np.arange(n), None, True
+    count = n
+    while len(arcs):
+        forest, (crossing, first) = scan(count, arcs)
+        degree = np.bincount(arcs[:, :2].ravel(), np.repeat(arcs[:, 2], 2), count).astype(np.int64)
+        for found, own in ((int(degree.min()), np.array([degree.argmin()])), (crossing, first)):
+            if found is not None and found < size:
+                size, side = found, np.isin(label, own)
+        before = count
+        number, arcs, count = _joined(count, arcs, arcs[forest > size if strict else forest >= size, :2])
+        label = number[label]
+        if not strict and count > core:
+            degree = np.bincount(arcs[:, :2].ravel(), np.repeat(arcs[:, 2], 2), count).astype(np.int64)
+            if len(arcs) and degree.min() < size:
+                size, side = int(degree.min()), label == degree.argmin()
+            number, arcs, count = _joined(count, arcs, _halves(count, arcs))
+            label = number[label]
+        if count <= core and (not strict or count == before):
+            break
+        strict = strict and count < before
+    return label, arcs, size, side
+
+
+def _numbered(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Names of the ends u, v in order, and arcs (u, v, weight) by number, sorted."""
+    names, ends = np.unique(pdf[["u", "v"]].to_numpy(), return_inverse=True)
+    arcs = np.column_stack([ends.reshape(-1, 2), pdf["w"].to_numpy()])
+    return names, arcs[np.lexsort((arcs[:, 1], arcs[:, 0]))]
+
+
+def _search(seed: int, strategy: str, find_mode: str, size: int | None = None, core: int = CORE):
+    """One node's arcs (node, u, v, w) -> node, cut_size, side (ids of sets).  With
+    ``size``, through the node's kernel first."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        trial = int(pdf["trial"].iloc[0])
-        names, ends = np.unique(pdf[["u", "v"]].to_numpy(), return_inverse=True)
-        arcs = np.column_stack([ends.reshape(-1, 2), pdf["w"].to_numpy()])
-        arcs = arcs[np.lexsort((arcs[:, 1], arcs[:, 0]))]
-        found = []
-        for n in range(inner):
-            rng = np.random.default_rng([seed, trial, n])
-            found.append(smallest_cut(DisjointSet(len(names), find_mode, undo=strategy == "undo"), arcs, rng))
-        size, side = min(found, key=lambda x: x[0])
-        return pd.DataFrame({"trial": [trial], "cut_size": [size], "side": [names[side].tolist()]})
+        node = int(pdf["node"].iloc[0])
+        names, arcs = _numbered(pdf)
+        label, known = np.arange(len(names)), None
+        if size is not None and len(names) > core:
+            label, arcs, least, side = kernel(len(names), arcs, size, core)
+            known = None if side is None else (least, side)
+        count = int(label.max()) + 1
+        found, mask = smallest_cut(DisjointSet(count, find_mode, undo=strategy == "undo"), arcs, np.random.default_rng([seed, node])) if count > 1 else (None, None)
+        if known is not None and (found is None or known[0] < found):
+            found, side = known
+        elif found is not None:
+            side = mask[label]
+        else:
+            found, side = np.iinfo(np.int64).max, np.zeros(len(names), bool)
+        return pd.DataFrame({"node": [node], "cut_size": [found], "side": [names[side].tolist()]})
 
     return run
 
 
-_FOUND = "trial long, cut_size long, side array<long>"
+_FOUND = "node long, cut_size long, side array<long>"
+
 
+def _merged(arcs: DataFrame, moves: DataFrame, by: list[str]) -> DataFrame:
+    """``arcs`` between the sets that ``moves`` (.., old, new) put their ends into."""
+    u, v = (moves.select(*by, F.col("old").alias(x), F.col("new").alias(f"new_{x}")) for x in "uv")
+    ends = arcs.join(u, [*by, "u"], "left").join(v, [*by, "v"], "left").select(*by, F.coalesce("new_u", "u").alias("a"), F.coalesce("new_v", "v").alias("b"), "w")
+    return ends.filter("a <> b").groupBy(*by, F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.sum("w").alias("w"))
 
-def _contracted(pairs: DataFrame, n: int, trials: list[int], seed: int) -> tuple[DataFrame, DataFrame]:
-    """(trial, u, v, w) and (trial, vertex, set) after contracting every trial to
-    1.5 CORE sets or less.  Ids of a trial's sets are trial * n + vertex on the way."""
-    spark = pairs.sparkSession
-    mine = F.explode(F.array(*(F.lit(t) for t in trials)).cast("array<bigint>")).alias("trial")
-    arcs = cut(pairs.select(mine, "u", "v", "w"), "arcs")
-    sets = cut(spark.range(n).select(mine, F.col("id").alias("vertex"), F.col("id").alias("set")), "sets")
-    left = {t: n for t in trials}
+
+def _least_degree(pairs: DataFrame):
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("vertex"), "w")
+    return ends.groupBy("vertex").agg(F.sum("w").alias("d")).orderBy("d", "vertex").first()
+
+
+def sparser(pairs: DataFrame, size: int, parts: int, salt: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs without the weight beyond forest ``size + 1`` of their part, and (u, v)
+    that more than ``size`` arcs of their part hold together."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, arcs = _numbered(pdf)
+        forest, _ = scan(len(names), arcs)
+        weight = arcs[:, 2] - np.maximum(forest - (size + 1), 0)
+        out = np.column_stack([names[arcs[:, :2]], np.maximum(weight, 0), forest > size])
+        return pd.DataFrame(out[(out[:, 2] > 0) | (out[:, 3] > 0)], columns=["u", "v", "w", "held"])
+
+    part = F.pmod(F.xxhash64("u", "v", F.lit(salt)), F.lit(parts)).alias("part")
+    found = cut(pairs.select("u", "v", "w", part).groupBy("part").applyInPandas(run, "u long, v long, w long, held long"), "forests")
+    return found.filter("w > 0").select("u", "v", "w"), found.filter("held = 1").select("u", "v")
+
+
+def _certified(pairs: DataFrame, known: tuple, maps: list) -> tuple[DataFrame, tuple]:
+    """Certificates of parts, one after the other, as long as they take a tenth off.
+    ``maps`` get what moved, ``known`` is (size, level, ids): a cut by ids of sets."""
+    count = pairs.count()
+    for salt in range(100):
+        if count <= TASK_ARCS:
+            break
+        kept, held = sparser(pairs, known[0], -(-count // TASK_ARCS), salt)
+        moves = cut(components(held).select(F.col("id").alias("old"), F.col("component").alias("new")).filter("old <> new"), "moves")
+        maps.append(moves)
+        pairs = cut(_merged(kept, moves, []), "pairs")
+        least = _least_degree(pairs)
+        if least is not None and least.d < known[0]:
+            known = (least.d, len(maps), [least.vertex])
+        before, count = count, pairs.count()
+        if count > 0.9 * before:
+            break
+    return pairs, known
+
+
+def _contracted(arcs: DataFrame, seed: int, level: int) -> tuple[DataFrame, DataFrame]:
+    """Two children of every node of ``arcs`` (node, u, v, w), each contracted to
+    about 1 / sqrt 2 of its sets, and what moved (node, old, new).  A turn takes
+    random arcs that cannot join too many sets, of all nodes together."""
+    arcs = cut(arcs.select(F.explode(F.array(F.col("node") * 2, F.col("node") * 2 + 1)).alias("node"), "u", "v", "w"), "arcs")
+    moved, target = None, None
     for turn in range(200):
-        totals = {r.trial: r.w for r in arcs.groupBy("trial").agg(F.sum("w").alias("w")).collect()}
-        take = {}
-        for t, count in left.items():
-            most = count - CORE
-            if 2 * most > CORE:  # near enough else: the last few would take a round each
-                take[t] = max(most / 2, most - 6 * math.sqrt(count)) / totals[t]
-        if not take:
+        ends = arcs.select("node", F.explode(F.array("u", "v")).alias("x")).distinct().groupBy("node").agg(F.count(F.lit(1)).alias("sets"))
+        now = ends.join(arcs.groupBy("node").agg(F.sum("w").alias("total")), "node")
+        if target is None:
+            target = cut(now.select("node", (1 + F.floor(F.col("sets") / math.sqrt(2))).alias("target")), "target")
+        spare = F.col("sets") - F.col("target")
+        # near enough else: the last few would take a turn each
+        rates = cut(now.join(target, "node").filter(spare * 20 > F.col("target")).select("node", (F.greatest(spare / 2, spare - 6 * F.sqrt("sets")) / F.col("total")).alias("rate")), "rates")
+        if rates.isEmpty():
+            drop(rates)
             break
-        rate = F.create_map(*(F.lit(x) for t in trials for x in (t, float(take.get(t, -1)))))[F.col("trial").cast("int")]
-        chance = (F.shiftrightunsigned(F.xxhash64("trial", "u", "v", F.lit(seed), F.lit(turn)), 11) + 1) / F.lit(2.0**53)
-        picked = arcs.filter(-F.log(chance) / F.col("w") < rate)
-        found = components(picked.select((F.col("trial") * n + F.col("u")).alias("u"), (F.col("trial") * n + F.col("v")).alias("v")))
-        found = cut(found.select(F.expr(f"id div {n}").alias("trial"), (F.col("id") % n).alias("old"), (F.col("component") % n).alias("new")), "found")
-        for r in found.filter("old <> new").groupBy("trial").count().collect():
-            left[r.trial] -= r["count"]
-        u, v = (found.select("trial", F.col("old").alias(x), F.col("new").alias(f"new_{x}")) for x in "uv")
-        ends = arcs.join(u, ["trial", "u"], "left").join(v, ["trial", "v"], "left").select("trial", F.coalesce("new_u", "u").alias("a"), F.coalesce("new_v", "v").alias("b"), "w")
-        merged = cut(ends.filter("a <> b").groupBy("trial", F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.sum("w").alias("w")), "arcs")
-        moved = sets.join(found.select("trial", F.col("old").alias("set"), "new"), ["trial", "set"], "left").select("trial", "vertex", F.coalesce("new", "set").alias("set"))
-        moved = cut(moved, "sets")
-        for t in (arcs, sets, found):
+        chance = (F.shiftrightunsigned(F.xxhash64("node", "u", "v", F.lit(seed), F.lit(level), F.lit(turn)), 11) + 1) / F.lit(2.0**53)
+        picked = arcs.join(rates, "node").filter(-F.log(chance) / F.col("w") < F.col("rate"))
+        # (node, vertex) as one id: places of the ends in the order of their names
+        ids = cut(picked.select("node", F.explode(F.array("u", "v")).alias("x")).distinct().withColumn("id", F.monotonically_increasing_id()), "ids")
+        a, b = (ids.select("node", F.col("x").alias(x), F.col("id").alias(f"id_{x}")) for x in "uv")
+        links = picked.join(a, ["node", "u"]).join(b, ["node", "v"]).select(F.col("id_u").alias("u"), F.col("id_v").alias("v"))
+        found = components(links)
+        moves = ids.join(found, "id").join(ids.select(F.col("id").alias("component"), F.col("x").alias("new")), "component").select("node", F.col("x").alias("old"), "new").filter("old <> new")
+        moves = cut(moves, "moves")
+        merged = cut(_merged(arcs, moves, ["node"]), "arcs")
+        if moved is None:
+            after = moves
+        else:  # what moved before may move again
+            on = moves.select("node", F.col("old").alias("new"), F.col("new").alias("next"))
+            after = cut(moved.join(on, ["node", "new"], "left").select("node", "old", F.coalesce("next", "new").alias("new")).unionByName(moves), "moves")
+            drop(moved)
+            drop(moves)
+        for t in (arcs, rates, ids):
             drop(t)
-        arcs, sets = merged, moved
-    return arcs, sets
+        arcs, moved = merged, after
+    else:
+        raise RuntimeError("contraction did not reach its target")
+    drop(target)
+    return arcs, moved if moved is not None else cut(arcs.select("node", F.col("u").alias("old"), F.col("v").alias("new")).filter("false"), "moves")
+
+
+def _each_trial(pairs: DataFrame, trials: int) -> DataFrame:
+    return pairs.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(trials - 1).cast("long"))).alias("node"), "u", "v", "w")
+
+
+def _tree(pairs: DataFrame, trials: int, seed: int, maps: list) -> tuple[DataFrame, int]:
+    """The recursion laid out: arcs (node, u, v, w) of nodes that fit a task, and
+    their depth.  ``maps`` get what moved at each level."""
+    arcs = _each_trial(pairs, trials)
+    depth = 0
+    while arcs.groupBy("node").agg(F.count(F.lit(1)).alias("arcs")).agg(F.max("arcs")).first()[0] > TASK_ARCS:
+        arcs, moved = _contracted(arcs, seed, depth)
+        maps.append(moved)
+        depth += 1
+    return arcs, depth
 
 
-def min_cut(g: Graph, trials: int | str | None = None, seed: int = 0, strategy: str = "copy", find_mode: str = "halving", inner: int = 4) -> DataFrame:
+def _side(spark, n: int, maps: list, ids: DataFrame, node: int = 0) -> DataFrame:
+    """(vertex): which vertices the sets ``ids`` (id) hold, through all moves; of
+    those that have nodes, the ones on the way to ``node``."""
+    sets = spark.range(n).select(F.col("id").alias("vertex"), F.col("id").alias("set"))
+    deep = sum("node" in m.columns for m in maps)
+    for m in maps:
+        if "node" in m.columns:
+            deep -= 1
+            m = m.filter(F.col("node") == node >> deep).drop("node")
+        sets = sets.join(m.withColumnRenamed("old", "set"), "set", "left").select("vertex", F.coalesce("new", "set").alias("set"))
+    return sets.join(ids.select(F.col("id").alias("set")), "set", "left_semi").select("vertex")
+
+
+def _kernel_of(pairs: DataFrame, size: int) -> DataFrame:
+    """The kernel of pairs that fit a task, as rows of three kinds: arcs, moves
+    (old, new), and the vertices of a smaller cut with its size."""
+    core = CORE
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, arcs = _numbered(pdf)
+        label, arcs, least, side = kernel(len(names), arcs, size, core)
+        first = names[np.unique(label, return_index=True)[1]]
+        rows = [np.column_stack([np.zeros(len(arcs), np.int64), first[arcs[:, :2]], arcs[:, 2]])]
+        rows.append(np.column_stack([np.ones_like(names), names, first[label], np.zeros_like(names)])[names != first[label]])
+        if side is not None:
+            rows.append(np.column_stack([np.full(side.sum(), 2), names[side], names[side], np.full(side.sum(), least)]))
+        return pd.DataFrame(np.concatenate(rows), columns=["kind", "a", "b", "w"])
+
+    return cut(pairs.groupBy().applyInPandas(run, "kind long, a long, b long, w long"), "kernel")
+
+
+def min_cut(g: Graph, trials: int | str | None = None, seed: int = 0, strategy: str = "copy", find_mode: str = "halving") -> DataFrame:
     """(src, dst): the arcs of the smallest cut found (the first trial that has
     it); empty if the graph is not connected.
 
     ``trials``: a number, None for ceil(log2 n)^2 + 2, or "low ones".  ``strategy``
     is "copy" or "undo", for the union-find of the branches; both find the same,
-    as all ``find_mode``.  ``inner``: recursions for the core of each trial beyond
-    CORE vertices."""
+    as all ``find_mode``."""
     if strategy not in ("copy", "undo"):
         raise ValueError("strategy is copy or undo")
+    spark = g.spark
     if g.n < 2 or component_count(connected_components(g)).first().components > 1:
-        return g.spark.createDataFrame([], "src long, dst long")
+        return spark.createDataFrame([], "src long, dst long")
     count = low_ones_trials(g.n) if trials == "low ones" else trials or default_trials(g.n)
     pairs = cut(_pairs(g), "pairs")
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("vertex"), "w")
-    degree = ends.groupBy("vertex").agg(F.sum("w").alias("d")).orderBy("d", "vertex").first()
-    if g.n <= CORE:
-        starts = [(list(range(count)), 1)]
+    least = _least_degree(pairs)
+    maps: list[DataFrame] = []
+    known, bound = (least.d, 0, [least.vertex]), None
+    if g.n > CORE:
+        pairs, known = _certified(pairs, known, maps)
+        bound = known[0]
+        if pairs.count() <= TASK_ARCS:
+            rows, bound = _kernel_of(pairs, known[0]), None
+            smaller = rows.filter("kind = 2").select(F.col("a").alias("id"), "w")
+            size = smaller.agg(F.min("w")).first()[0]
+            known = known if size is None else (size, len(maps), smaller.select("id"))
+            maps.append(rows.filter("kind = 1").select(F.col("a").alias("old"), F.col("b").alias("new")))
+            pairs = rows.filter("kind = 0").select(F.col("a").alias("u"), F.col("b").alias("v"), "w")
+    if bound is None:
+        nodes = _each_trial(pairs, count)
     else:
-        starts = [(list(range(i, min(count, i + TOGETHER))), inner) for i in range(0, count, TOGETHER)]
-    best = None
-    for own, each in starts:
-        mine = F.explode(F.array(*(F.lit(t) for t in own)).cast("array<bigint>")).alias("trial")
-        core, sets = (pairs.select(mine, "u", "v", "w"), None) if g.n <= CORE else _contracted(pairs, g.n, own, seed)
-        r = core.groupBy("trial").applyInPandas(_search(seed, each, strategy, find_mode), _FOUND).orderBy("cut_size", "trial").first()
-        if best is None or r.cut_size < best[0]:
-            if best is not None and best[1] is not None:
-                drop(best[1])
-            inside = F.array_contains(F.array(*(F.lit(x) for x in r.side)), F.col("set"))
-            side = None if sets is None else cut(sets.filter((F.col("trial") == r.trial) & inside).select("vertex"), "side")
-            best = (r.cut_size, side, r.side)
-        for t in (core, sets) if sets is not None else ():
-            drop(t)
-    size, side, ids = best
-    if degree.d < size:
-        side, ids = None, [degree.vertex]
-    if side is None:  # at most CORE vertices, or one
-        side = g.spark.createDataFrame([(int(x),) for x in ids], "vertex long")
-    drop(pairs)
+        nodes, _ = _tree(pairs, count, seed, maps)
+    found = cut(nodes.groupBy("node").applyInPandas(_search(seed, strategy, find_mode, bound, CORE), _FOUND), "found")
+    best = found.orderBy("cut_size", "node").limit(1)
+    first = best.select("node", "cut_size").first()
+    if first is None or known[0] < first.cut_size:
+        ids = known[2] if isinstance(known[2], DataFrame) else spark.createDataFrame([(x,) for x in known[2]], "id long")
+        side = _side(spark, g.n, maps[: known[1]], ids)
+    else:
+        side = _side(spark, g.n, maps, best.select(F.explode("side").alias("id")), first.node)
+    side = cut(side, "side")
     arcs = g.inside().select("src", "dst")
     left, right = (side.select(F.col("vertex").alias(x), F.lit(True).alias(f"in_{x}")) for x in ("src", "dst"))
     return arcs.join(left, "src", "left").join(right, "dst", "left").filter("(in_src is null) <> (in_dst is null)").select("src", "dst")
 
 
-def min_cut_size(g: Graph, trials: int | str | None = None, seed: int = 0, strategy: str = "copy") -> DataFrame:
+def min_cut_size(g: Graph, trials: int | str | None = None, seed: int = 0, strategy: str = "copy", find_mode: str = "halving") -> DataFrame:
     """One row: cut_size; NULL for fewer than two vertices, 0 if not connected."""
     if g.n < 2:
         return g.spark.range(1).select(F.lit(None).cast("long").alias("cut_size"))
-    return min_cut(g, trials, seed, strategy).agg(F.count(F.lit(1)).alias("cut_size"))
+    return min_cut(g, trials, seed, strategy, find_mode).agg(F.count(F.lit(1)).alias("cut_size"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,6 +59,50 @@ def _together(tables: list[DataFrame]) -> DataFrame:
     return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*(t.path for t in tables))
 
 
+def distance_counts(g: Graph, symmetric: bool = True) -> DataFrame:
+    """(dist, pairs): how many ordered pairs of different vertices lie ``dist`` apart.
+
+    All vertices search at once, 64 to a word: a vertex holds a mask of those that
+    reached it, a level sends the new masks along the arcs and merges them by
+    bit_or, and popcounts are summed.  No pair ever is a row: n * n / 64 masks at most.
+    Going both ways, what is not new was reached in the last two levels, so nothing
+    else is read; along the arcs, the masks reached so far are kept."""
+    arcs = _simple(g)
+    schema = "dist int, pairs long"
+    if 0 < g.n <= small.SMALL:
+
+        def counts_of(matrix):
+            dist = small.distances(matrix | matrix.T if symmetric else matrix)
+            return np.unique(dist[dist > 0], return_counts=True)
+
+        return small.with_matrix(arcs, g.n, counts_of, schema)
+    if symmetric:
+        arcs = arcs.unionByName(arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    arcs = cut(arcs, "arcs")
+    start = g.vertices.select("vertex", F.expr("vertex div 64").alias("word"), F.expr("shiftleft(1L, cast(vertex % 64 as int))").alias("mask"))
+    last = cut(start, "masks")
+    known, counts = [last], []  # what new masks may repeat
+    while True:
+        got = last.join(arcs, F.col("vertex") == F.col("src")).groupBy(F.col("dst").alias("vertex"), "word").agg(F.bit_or("mask").alias("mask"))
+        new = F.col("mask")
+        for i, old in enumerate(known):
+            got = got.join(old.withColumnRenamed("mask", f"old_{i}"), ["vertex", "word"], "left")
+            new = new.bitwiseAND(F.bitwise_not(F.coalesce(f"old_{i}", F.lit(0))))
+        fresh = cut(got.select("vertex", "word", new.alias("mask")).filter("mask <> 0"), "masks")
+        found = fresh.agg(F.sum(F.bit_count("mask"))).first()[0]
+        if not found:
+            break
+        counts.append((len(counts) + 1, found))
+        keep = [fresh, last] if symmetric else [cut(known[0].unionByName(fresh).groupBy("vertex", "word").agg(F.bit_or("mask").alias("mask")), "masks")]
+        for t in {t.path: t for t in (*known, last)}.values():
+            if t.path not in (x.path for x in (fresh, *keep)):
+                drop(t)
+        last, known = fresh, keep
+    for t in {t.path: t for t in (arcs, last, fresh, *known)}.values():
+        drop(t)
+    return g.spark.createDataFrame(counts, schema)
+
+
 def average_path_length(g: Graph, normalize: str = "half") -> DataFrame:
     """One row: apl, reachable_pairs, vertices.  Arcs count both ways.
 
@@ -67,47 +112,149 @@ def average_path_length(g: Graph, normalize: str = "half") -> DataFrame:
     if normalize not in ("half", "pairs"):
         raise ValueError("normalize is half or pairs")
     n = g.n
-    sums = bfs_distances(g).filter("s <> d").agg(F.coalesce(F.sum("dist"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("reachable_pairs"))
-    loops = g.inside().filter("src = dst").agg(F.count_distinct("src").alias("loops"))
+    sums = distance_counts(g).agg(F.coalesce(F.sum(F.col("dist") * F.col("pairs")), F.lit(0)).alias("total"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("reachable_pairs"))
+    loops = g.inside().filter("src = dst").agg(F.count_distinct("src").alias("loops")).scalar()
     pairs = n * (n - 1)
-    total = F.col("total") + (F.col("loops") if normalize == "half" else F.lit(0))
+    total = F.col("total") + (loops if normalize == "half" else F.lit(0))
     apl = F.when((F.col("reachable_pairs") == pairs) & F.lit(n > 1), total / F.lit(max(pairs, 1) / (2.0 if normalize == "half" else 1.0)))
-    return sums.crossJoin(loops).select(apl.alias("apl"), "reachable_pairs", F.lit(n).cast("long").alias("vertices"))
+    return sums.select(apl.alias("apl"), "reachable_pairs", F.lit(n).cast("long").alias("vertices"))
 
 
 def ball_limit(g: Graph) -> DataFrame:
     """What :func:`hyper_ball` estimates, exactly: over vertices, the mean of the
     sum of (distance - 1) along out-arcs."""
-    total = bfs_distances(g, symmetric=False).filter("s <> d").agg(F.sum(F.col("dist") - 1).alias("t"))
+    total = distance_counts(g, symmetric=False).agg(F.sum((F.col("dist") - 1) * F.col("pairs")).alias("t"))
     return total.select((F.coalesce("t", F.lit(0)) / F.lit(float(g.n) if g.n else None)).alias("ball_limit"))
 
 
-def reach_registers(g: Graph, b: int = 4, seed: int = 0, on_round=None, most_rounds: int | None = None) -> DataFrame:
-    """Registers (key, idx, val) of every vertex's out-reach at the fixpoint.
+def _one_hot(ids: np.ndarray, b: int, seed: int) -> np.ndarray:
+    """Registers of sketches that hold one id each, a byte a register."""
+    hashed = hashing.integer_hash(ids, seed)
+    out = np.zeros((len(ids), 1 << b), np.uint8)
+    out[np.arange(len(ids)), (hashed & np.uint64((1 << b) - 1)).astype(int)] = hashing.trailing_zeros(hashed >> np.uint64(b)) + 1
+    return out
 
-    Few vertices: one task.  Else each round only registers that changed in the last one travel against the
-    arcs; maxima are pre-aggregated in the tasks.  ``on_round(t, before, after)``
-    sees the registers around each round that changed something."""
-    arcs = _simple(g)
-    if on_round is None and most_rounds is None and 0 < g.n <= small.SMALL:
-        return small.with_matrix(arcs, g.n, lambda m: _last_registers(m, b, seed), "key long, idx int, val int")
-    arcs = cut(arcs, "arcs")
-    registers = cut(sketch.hll_registers(g.vertices.select(F.col("vertex").alias("key"), F.col("vertex").alias("value")), b, seed), "reg")
-    changed, t = registers, 0
-    while most_rounds is None or t < most_rounds:
-        sent = changed.join(arcs, F.col("key") == F.col("dst")).groupBy(F.col("src").alias("key"), "idx").agg(F.max("val").alias("new"))
-        new = cut(sent.join(registers, ["key", "idx"], "left").filter("val is null or new > val").select("key", "idx", F.col("new").alias("val")), "reg")
-        if new.isEmpty():
+
+def _rows_of(column: pa.Array, width: int) -> np.ndarray:
+    """A binary column of equally long values as a matrix, without a copy."""
+    first = column.offset
+    at = np.frombuffer(column.buffers()[1], np.int32)[first]
+    return np.frombuffer(column.buffers()[2], np.uint8)[at : at + len(column) * width].reshape(-1, width)
+
+
+def _packed(rows: np.ndarray) -> pa.Array:
+    n, width = rows.shape
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * width, width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def merged_registers(sketches: DataFrame, b: int) -> DataFrame:
+    """(key, regs): the registers of every key's rows merged by maximum.  A task
+    merges what it has before it sends it on, so a key brings as many rows to its
+    partition as there are batches at most, and that one merges its sorted rows."""
+    width = 1 << b
+
+    def partial(batches):
+        for batch in batches:
+            key = batch.column(0).to_numpy()
+            if not len(key):
+                continue
+            order = np.argsort(key, kind="stable")
+            first = np.flatnonzero(np.diff(key[order], prepend=key[order[0]] - 1))
+            rows = np.maximum.reduceat(_rows_of(batch.column(1), width)[order], first)
+            yield pa.RecordBatch.from_arrays([pa.array(key[order][first]), _packed(rows)], ["key", "regs"])
+
+    def final(batches):
+        held = None  # the last key of the batch before may go on
+        for batch in partial(batches):
+            key, rows = batch.column(0).to_numpy(), _rows_of(batch.column(1), width)
+            if held is not None and held[0] == key[0]:
+                rows = rows.copy()
+                rows[0] = np.maximum(rows[0], held[1])
+            elif held is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([held[0]]), _packed(held[1][None])], ["key", "regs"])
+            held = int(key[-1]), rows[-1].copy()
+            if len(key) > 1:
+                yield pa.RecordBatch.from_arrays([pa.array(key[:-1]), _packed(rows[:-1])], ["key", "regs"])
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([held[0]]), _packed(held[1][None])], ["key", "regs"])
+
+    schema = "key long, regs binary"
+    return sketches.select("key", "regs").mapInArrow(partial, schema).repartition("key").sortWithinPartitions("key").mapInArrow(final, schema)
+
+
+def _ball_steps(g: Graph, b: int, seed: int):
+    """Sketches (key, regs) of all vertices' out-reach as arrays: the tables that
+    together, by maximum, hold them, and the growth of the summed estimates by
+    round.  A round sends the arrays of vertices that changed against the arcs,
+    and writes those that change by them, with what their estimates gain."""
+    width = 1 << b
+
+    def start(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), _packed(_one_hot(batch.column(0).to_numpy(), b, seed))], ["key", "regs"])
+
+    def changes(batches):
+        for batch in batches:
+            own, new = _rows_of(batch.column(1), width), _rows_of(batch.column(2), width)
+            all_ = np.maximum(own, new)
+            grown = (all_ != own).any(1)
+            if grown.any():
+                gain = sketch.estimate_dense(all_[grown], b) - sketch.estimate_dense(own[grown], b)
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(grown)), _packed(all_[grown]), pa.array(gain)], ["key", "regs", "gain"])
+
+    arcs = cut(_simple(g).select("src", "dst"), "arcs")
+    state = [cut(g.vertices.withColumnRenamed("vertex", "key").mapInArrow(start, "key long, regs binary"), "regs")]
+    changed, gains = state[0], []
+    while True:
+        sent = merged_registers(changed.join(arcs, F.col("key") == F.col("dst")).select(F.col("src").alias("key"), "regs"), b)
+        sent = cut(sent.withColumnRenamed("regs", "new"), "sent")
+        own = _together(state).select("key", "regs").join(sent.select("key"), "key", "left_semi")
+        if len(state) > 1:
+            own = merged_registers(own, b)
+        delta = cut(own.join(sent, "key").select("key", "regs", "new").mapInArrow(changes, "key long, regs binary, gain double"), "regs")
+        drop(sent)
+        gain = delta.agg(F.sum("gain")).first()[0]
+        if gain is None:
+            drop(delta)
             break
-        after = cut(registers.join(new, ["key", "idx"], "left_anti").unionByName(new), "reg")
-        if on_round:
-            on_round(t, registers, after)
-        if changed is not registers:
-            drop(changed)
-        drop(registers)
-        registers, changed, t = after, new, t + 1
+        gains.append(gain)
+        delta = _with_path(delta.select("key", "regs"), delta.path)
+        state.append(delta)
+        changed = delta
+        if len(state) > _DELTAS:
+            whole = cut(merged_registers(_together(state), b), "regs")
+            for t in state[:-1]:
+                drop(t)
+            state = [whole, state[-1]]
     drop(arcs)
-    return registers
+    return state, gains
+
+
+def _with_path(df: DataFrame, path: str) -> DataFrame:
+    df.path = path
+    return df
+
+
+#: Tables of changes that are kept beside the whole one before all are merged.
+_DELTAS = 6
+
+
+def reach_registers(g: Graph, b: int = 4, seed: int = 0) -> DataFrame:
+    """Registers (key, idx, val) of every vertex's out-reach at the fixpoint.
+
+    Few vertices: one task.  Else an array of registers a vertex, in rounds."""
+    if 0 < g.n <= small.SMALL:
+        return small.with_matrix(_simple(g), g.n, lambda m: _last_registers(m, b, seed), "key long, idx int, val int")
+    width = 1 << b
+    state, _ = _ball_steps(g, b, seed)
+
+    def run(batches):
+        for batch in batches:
+            rows = _rows_of(batch.column(1), width)
+            at, idx = np.nonzero(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy()[at]), pa.array(idx.astype(np.int32)), pa.array(rows[at, idx].astype(np.int32))], ["key", "idx", "val"])
+
+    return merged_registers(_together(state), b).mapInArrow(run, "key long, idx int, val int")
 
 
 def hyper_ball(g: Graph, b: int = 4, seed: int = 0, textbook: bool = False) -> DataFrame:
@@ -118,25 +265,19 @@ def hyper_ball(g: Graph, b: int = 4, seed: int = 0, textbook: bool = False) -> D
     and the mean is over the estimated reachable pairs."""
     if 0 < g.n <= small.SMALL:
         return small.with_matrix(_simple(g), g.n, lambda m: _ball_rounds(m, b, seed, textbook), "hyper_ball double, rounds int")
-    rows = []
-
-    def on_round(t, before, after):
-        gain = sketch.hll_estimate(after, b).select("key", F.col("estimate").alias("e1")).join(sketch.hll_estimate(before, b), "key")
-        rows.append((t, gain.agg(F.sum(F.col("e1") - F.col("estimate"))).first()[0]))
-
-    reach_registers(g, b, seed, on_round)
-    total = sum((t + 1 if textbook else t) * x for t, x in rows)
-    by = sum(x for _, x in rows) if textbook else g.n
-    return g.spark.createDataFrame([(float(total / by) if by else None, len(rows) + 1)], "hyper_ball double, rounds int")
+    state, gains = _ball_steps(g, b, seed)
+    for t in state:
+        drop(t)
+    total = sum((t + 1 if textbook else t) * x for t, x in enumerate(gains))
+    by = sum(gains) if textbook else g.n
+    return g.spark.createDataFrame([(float(total / by) if by else None, len(gains) + 1)], "hyper_ball double, rounds int")
 
 
 def _growth(matrix: np.ndarray, b: int, seed: int):
     """Registers of all vertices as a dense array, before and after each round
     that changes something."""
-    n, m = len(matrix), 1 << b
-    hashed = hashing.integer_hash(np.arange(n), seed)
-    registers = np.zeros((n, m), np.int8)
-    registers[np.arange(n), (hashed & np.uint64(m - 1)).astype(int)] = hashing.trailing_zeros(hashed >> np.uint64(b)) + 1
+    n = len(matrix)
+    registers = _one_hot(np.arange(n), b, seed)
     src, dst = np.nonzero(matrix)
     first = np.flatnonzero(np.diff(src, prepend=-1))
     yield registers

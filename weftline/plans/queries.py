@@ -120,8 +120,16 @@ def clustering_session(s, d):
     return _round(clustering.clustering_exact(Graph(derived.session(s, d), 0)), "clustering")
 
 
+def clustering_local_two(s, d):
+    return _round(clustering.local_clustering(derived.trade(s, d), 2), "coefficient")
+
+
 def clustering_sampled(s, d):
-    return clustering.clustering_sampled(derived.trade(s, d), 20_000, SEED)
+    return _round(clustering.clustering_sampled(derived.trade(s, d), 20_000, SEED), "clustering")
+
+
+def clustering_sampled_session(s, d):
+    return _round(clustering.clustering_sampled(Graph(derived.session(s, d), 0), 20_000, SEED), "clustering")
 
 
 def bfs_distances(s, d):
@@ -152,6 +160,22 @@ def apl_twin_fives(s, d):
     return _round(paths.average_path_length(edges.twin_fives(s)), "apl")
 
 
+def apl_catalogue(s, d):
+    return _round(paths.average_path_length(derived.catalogue(s, d), "pairs"), "apl")
+
+
+def distance_counts(s, d):
+    return paths.distance_counts(derived.trade(s, d))
+
+
+def reach_reorders(s, d):
+    return paths.reach_registers(derived.reorders(s, d), 4, SEED)
+
+
+def hyper_ball_reorders(s, d):
+    return paths.hyper_ball(derived.reorders(s, d), 4, SEED).select(F.round("hyper_ball", 6).alias("hyper_ball"), "rounds")
+
+
 def ball_limit(s, d):
     return _round(paths.ball_limit(derived.trade(s, d)), "ball_limit")
 
@@ -195,6 +219,23 @@ def min_cut_trade(s, d):
     return mincut.min_cut_size(derived.trade(s, d), None, SEED)
 
 
+def min_cut_months(s, d):
+    return mincut.min_cut_size(derived.months(s, d), None, SEED)
+
+
+def min_cut_months_arcs(s, d):
+    arcs = mincut.min_cut(derived.months(s, d), None, SEED, strategy="undo", find_mode="splitting")
+    return arcs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("arcs"))
+
+
+def min_cut_segments(s, d):
+    return mincut.min_cut_size(derived.segments(s, d), "low ones", SEED, strategy="undo", find_mode="compression")
+
+
+def min_cut_ring(s, d):
+    return mincut.min_cut_size(derived.customer_ring(s, d), None, SEED)
+
+
 def min_cut_session(s, d):
     users = derived.table(s, d, "events").agg(F.max("user_id")).first()[0] + 1
     return mincut.min_cut_size(Graph(derived.session(s, d), users), 4, SEED)
@@ -325,8 +366,8 @@ def complete_graph(s, d):
 _NAMES = [
     edge_load, vertex_count, edge_count, weighted_load, adjacency_sizes, adjacency_lines, adjacency_flattened, neighbours_of, out_degree_gt2,
     has_link_semi, has_link_anti, add_links, exact_size, dense_vertex_ids, clustering_local, clustering_exact, clustering_session,
-    clustering_sampled, bfs_distances, bfs_directed, bfs_from_sample, ball_limit_chains, literal_weights, add_weighted_links, empty_graph, edge_files, apl_exact, apl_textbook, apl_twin_fives, ball_limit, hyper_ball, reach_counts,
-    graph_union_bridges, connected_components, components_supply, are_connected, min_cut_size, min_cut_size_undo, min_cut_trade, min_cut_session,
+    clustering_local_two, clustering_sampled, clustering_sampled_session, apl_catalogue, distance_counts, reach_reorders, hyper_ball_reorders, bfs_distances, bfs_directed, bfs_from_sample, ball_limit_chains, literal_weights, add_weighted_links, empty_graph, edge_files, apl_exact, apl_textbook, apl_twin_fives, ball_limit, hyper_ball, reach_counts,
+    graph_union_bridges, connected_components, components_supply, are_connected, min_cut_size, min_cut_size_undo, min_cut_months, min_cut_months_arcs, min_cut_segments, min_cut_ring, min_cut_trade, min_cut_session,
     union_find_labels, union_find_compression, union_find_undo, hll_registers_all_sizes, hll_compact, hll_compact_bytes, gnm_shape, clustered_shape, min_cut_edges, min_cut_tens, jenkins_hash,
     hll_registers, hll_estimate, hll_range, hll_union, hll_rollup, approx_distinct_native, register_merge, register_round_trip, gnm, gnp, clustered,
     complete_graph,
@@ -418,6 +459,38 @@ def _cuts(arcs, n):
     return f"cuts AS (SELECT side.range AS side, count(*) FILTER ((side.range >> src::INTEGER) & 1 <> (side.range >> dst::INTEGER) & 1) AS size FROM range(1, {2 ** (n - 1)}) side, {arcs} GROUP BY 1)"
 
 
+def _weighted_cuts(flows, n):
+    """The same from (src, dst, w)."""
+    return f"cuts AS (SELECT side.range AS side, sum(w) FILTER ((side.range >> src::INTEGER) & 1 <> (side.range >> dst::INTEGER) & 1)::BIGINT AS size FROM range(1, {2 ** (n - 1)}) side, {flows} GROUP BY 1)"
+
+
+def _mask_cut(arcs, n):
+    """The smallest cut from a word of out-neighbours a vertex, vertex n - 1 on one side."""
+    words = ", ".join(f"coalesce(bit_or(1 << dst::INTEGER) FILTER (src = {v} AND dst <> src), 0) AS m{v}" for v in range(n))
+    size = " + ".join(f"bit_count(m{v} & xor(s, -((s >> {v}) & 1)))::INTEGER" for v in range(n))
+    return f"words AS (SELECT {words} FROM {arcs}) SELECT min({size})::BIGINT AS cut_size FROM (SELECT range AS s FROM range(1, {2 ** (n - 1)})), words"
+
+
+def _sampled(arcs, k):
+    """Draws i of trials t by the mix of 3 t + i, without its lowest bit."""
+    return f"""places AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS place FROM {arcs}),
+near AS (SELECT src, count(*) AS degree, row_number() OVER (ORDER BY src) - 1 AS rank FROM {arcs} GROUP BY src HAVING count(*) >= 3),
+v AS (SELECT range AS id FROM range({3 * k})), {_jenkins('v', 'id')},
+draws AS (SELECT id // 3 AS t, max(c // 2) FILTER (id % 3 = 0) AS x, max(c // 2) FILTER (id % 3 = 1) AS y, max(c // 2) FILTER (id % 3 = 2) AS z FROM jk12 GROUP BY 1),
+drawn AS (SELECT t, src, y % degree AS a, (y % degree + 1 + z % (degree - 1)) % degree AS b FROM draws JOIN near ON rank = x % (SELECT count(*) FROM near))
+SELECT round(count(e.src) / {k}.0, 9) AS clustering, {k}::BIGINT AS samples FROM drawn d JOIN places p ON p.src = d.src AND p.place = a JOIN places q ON q.src = d.src AND q.place = b
+LEFT JOIN {arcs} e ON e.src = p.dst AND e.dst = q.dst"""
+
+
+_MONTHS = """flow AS (SELECT month(o_orderdate) - 1 AS src, month(l_shipdate) - 1 AS dst, count(*) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)"""
+_SEGMENT_FLOW = """flow AS (SELECT dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS src, dense_rank() OVER (ORDER BY o_orderpriority) - 1 + (SELECT count(DISTINCT c_mktsegment) FROM customer) AS dst, w
+  FROM (SELECT c_mktsegment, o_orderpriority, count(*) AS w FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2))"""
+#: Every arc of a tree parts its subtree from the rest.
+_CATALOGUE = """sizes AS (SELECT 1 AS below FROM part UNION ALL SELECT 1 FROM supplier UNION ALL SELECT 1 + count(*) FROM part GROUP BY p_brand
+  UNION ALL SELECT 1 + count(s_suppkey) FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_nationkey), total AS (SELECT count(*) + 1 AS n FROM sizes)"""
+#: Reach of every order along its chain, ids without an order reach themselves.
+_AHEAD = """ids AS (SELECT range AS value FROM range((SELECT max(o_orderkey) + 1 FROM orders))), hashed AS (SELECT value AS id, value FROM ids)"""
+_ORDER_REGS = """own AS MATERIALIZED (SELECT id, (c % 16)::INTEGER AS idx, (1 + (SELECT min(t.range) FROM range(64) t WHERE (c // 16) // (2::HUGEINT ** t.range)::HUGEINT % 2 = 1))::INTEGER AS val FROM jk12)"""
 _REGS = "(SELECT c_custkey, i, (c_custkey * 3 + i * 5) % 32 AS a, (c_custkey * 11 + i * 5) % 32 AS b FROM customer, (SELECT unnest(range(13)) AS i))"
 
 
@@ -445,12 +518,19 @@ def oracle_sql():
         "dense_vertex_ids": "SELECT o_custkey AS key, row_number() OVER (ORDER BY o_custkey) - 1 AS vertex FROM (SELECT DISTINCT o_custkey FROM orders)",
         "clustering_local": f"WITH {_TRADE}, {_local('trade')} SELECT v AS vertex, degree, closed, round(closed / (degree * (degree - 1)), 9) AS coefficient FROM local",
         "clustering_exact": f"WITH {_TRADE}, {_local('trade')} SELECT round(avg(closed / (degree * (degree - 1))), 9) AS clustering, count(*) AS eligible FROM local",
+        "clustering_local_two": f"WITH {_TRADE}, {_local('trade', 2)} SELECT v AS vertex, degree, closed, round(closed / (degree * (degree - 1)), 9) AS coefficient FROM local",
+        "clustering_sampled": f"WITH {_TRADE}, {_sampled('trade', 20_000)}",
+        "clustering_sampled_session": f"WITH {_SESSION}, {_sampled('session', 20_000)}",
         "clustering_session": f"WITH {_SESSION}, {_closed('session')} SELECT round(coalesce(avg(closed / (degree * (degree - 1))), 0.0), 9) AS clustering, count(*) AS eligible FROM local",
         "bfs_distances": f"WITH RECURSIVE {_TRADE}, {_bfs('trade', 25)} SELECT * FROM far",
         "bfs_directed": f"WITH RECURSIVE {_TRADE}, {_bfs('trade', 25, False)} SELECT * FROM far",
         "apl_exact": f"WITH RECURSIVE {_TRADE}, {_bfs('trade', 25)} {_apl('trade', 25, 300.0)}",
         "apl_textbook": f"WITH RECURSIVE {_TRADE}, {_bfs('trade', 25)} {_apl('trade', 25, 600.0)}",
         "apl_twin_fives": f"WITH RECURSIVE {_FIVES}, {_bfs('twins', 10)} {_apl('twins', 10, 45.0)}",
+        "apl_catalogue": f"WITH {_CATALOGUE} SELECT round(sum(2.0 * below * (n - below)) / any_value(n * (n - 1.0)), 9) AS apl, any_value(n * (n - 1)) AS reachable_pairs, any_value(n) AS vertices FROM sizes, total",
+        "distance_counts": f"WITH RECURSIVE {_TRADE}, {_bfs('trade', 25)} SELECT dist, count(*) AS pairs FROM far WHERE dist > 0 GROUP BY 1",
+        "reach_reorders": f"WITH {_CHAINS}, {_AHEAD}, {_jenkins('hashed', _mult('value'))}, {_ORDER_REGS}, reach AS (SELECT a.o_orderkey AS key, b.o_orderkey AS id FROM steps a JOIN steps b ON a.o_custkey = b.o_custkey AND b.place >= a.place UNION ALL SELECT value, value FROM ids WHERE value NOT IN (SELECT o_orderkey FROM orders)) SELECT key, idx, max(val) AS val FROM reach JOIN own USING (id) GROUP BY 1, 2",
+        "hyper_ball_reorders": f"WITH {_CHAINS}, {_AHEAD}, {_jenkins('hashed', _mult('value'))}, {_ORDER_REGS}, times AS (SELECT unnest(range((SELECT max(size) FROM steps))) AS t), ball AS (SELECT t, a.o_orderkey AS key, b.o_orderkey AS id FROM steps a JOIN times ON true JOIN steps b ON a.o_custkey = b.o_custkey AND b.place BETWEEN a.place AND a.place + t), regs AS (SELECT t, key, idx, max(val) AS val FROM ball JOIN own USING (id) GROUP BY 1, 2, 3), sums AS (SELECT t, key, sum(2.0 ** -val) + 16 - count(*) AS p, 16 - count(*) AS z FROM regs GROUP BY 1, 2), est AS (SELECT t, sum(CASE WHEN 0.673 * 256 / p <= 40 AND z > 0 THEN 16.0 * ln(16.0 / z) ELSE 0.673 * 256 / p END) AS e FROM sums GROUP BY 1), held AS (SELECT t, sum(val) AS v FROM regs GROUP BY 1), gains AS (SELECT t - 1 AS t, e - lag(e) OVER (ORDER BY t) AS gain, v - lag(v) OVER (ORDER BY t) AS more FROM est JOIN held USING (t)) SELECT round(sum(t * gain) / (SELECT count(*) FROM ids), 6) AS hyper_ball, (count(*) FILTER (more > 0) + 1)::INTEGER AS rounds FROM gains WHERE t >= 0",
         "ball_limit": f"WITH RECURSIVE {_TRADE}, {_bfs('trade', 25, False)} SELECT round(coalesce(sum(dist - 1), 0) / 25.0, 9) AS ball_limit FROM far WHERE s <> d",
         "reach_counts": f"WITH RECURSIVE {_FIVES}, {_bfs('twins', 10, False)}, v AS (SELECT s AS key, d AS value FROM far), {_regs('v', 'regs', 4)} SELECT * FROM regs",
         "graph_union_bridges": f"WITH {_TENS} SELECT * FROM twins",
@@ -461,6 +541,11 @@ def oracle_sql():
         "are_connected": f"WITH {_CHAINS}, size AS (SELECT max(o_orderkey) + 1 AS n FROM orders), labels AS (SELECT range AS vertex, coalesce(component, range) AS component FROM range((SELECT n FROM size)) LEFT JOIN least ON vertex = range) SELECT x.vertex AS a, y.vertex AS b, x.component = y.component AS connected FROM labels x, size, labels y WHERE y.vertex = (x.vertex * 7 + 3) % n",
         "min_cut_size": f"WITH {_REGIONS}, {_cuts('flow', 5)} SELECT min(size) AS cut_size FROM cuts",
         "min_cut_size_undo": f"WITH {_REGIONS}, {_cuts('flow', 5)} SELECT min(size) AS cut_size FROM cuts",
+        "min_cut_months": f"WITH {_MONTHS}, {_weighted_cuts('flow', 12)} SELECT min(size) AS cut_size FROM cuts",
+        "min_cut_months_arcs": f"WITH {_MONTHS}, {_weighted_cuts('flow', 12)}, best AS (SELECT side FROM cuts ORDER BY size LIMIT 1) SELECT src, dst, w AS arcs FROM flow, best WHERE (side >> src::INTEGER) & 1 <> (side >> dst::INTEGER) & 1",
+        "min_cut_segments": f"WITH {_SEGMENT_FLOW}, {_weighted_cuts('flow', 10)} SELECT min(size) AS cut_size FROM cuts",
+        "min_cut_ring": "WITH w AS (SELECT 1 + count(o_orderkey) AS w FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey) SELECT sum(w)::BIGINT AS cut_size FROM (SELECT w FROM w ORDER BY w LIMIT 2)",
+        "min_cut_trade": f"WITH {_TRADE}, {_mask_cut('trade', 25)}",
         "union_find_labels": _SEGMENTS,
         "union_find_compression": _SEGMENTS,
         "union_find_undo": _SEGMENTS,

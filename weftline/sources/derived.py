@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.graph import Graph
+from ..operators.graph import Graph, dense_ids
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,3 +71,47 @@ def supply(spark: SparkSession, sf_dir: str) -> Graph:
     suppliers, parts = (table(spark, sf_dir, t).count() for t in ("supplier", "part"))
     arcs = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + suppliers).alias("dst")).distinct()
     return Graph(arcs, suppliers + parts)
+
+
+def months(spark: SparkSession, sf_dir: str) -> Graph:
+    """An arc for every line, from the month of its order to that of its shipping."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.month("l_shipdate").alias("shipped"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.month("o_orderdate").alias("ordered"))
+    rows = lines.join(orders, "l_orderkey").filter("shipped is not null and ordered is not null")
+    return Graph(rows.select((F.col("ordered") - 1).cast("long").alias("src"), (F.col("shipped") - 1).cast("long").alias("dst")), 12)
+
+
+def segments(spark: SparkSession, sf_dir: str) -> Graph:
+    """An arc for every order, from its customer's market segment to its priority,
+    each numbered in order, priorities after the segments."""
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderpriority").join(customers, "o_custkey")
+    segment, priority = dense_ids(customers, "c_mktsegment"), dense_ids(orders, "o_orderpriority")
+    first = segment.count()
+    rows = orders.join(segment.toDF("c_mktsegment", "src"), "c_mktsegment").join(priority.toDF("o_orderpriority", "dst"), "o_orderpriority")
+    return Graph(rows.select("src", (F.col("dst") + first).alias("dst")), first + priority.count())
+
+
+def customer_ring(spark: SparkSession, sf_dir: str) -> Graph:
+    """Customers in a ring by their key, 0 to n - 1, each with an arc to the next one
+    and another for each of its orders."""
+    customers, orders = table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    n = customers.count()
+    rows = customers.unionByName(orders.join(customers, "c_custkey", "left_semi"))
+    return Graph(rows.select(F.col("c_custkey").alias("src"), ((F.col("c_custkey") + 1) % n).alias("dst")), n)
+
+
+def catalogue(spark: SparkSession, sf_dir: str) -> Graph:
+    """A tree: parts below their brands, suppliers below their nations, these below
+    one root.  Numbered in this order: parts, suppliers, nations, brands, root."""
+    parts, suppliers = table(spark, sf_dir, "part").select("p_partkey", "p_brand"), table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    nations = table(spark, sf_dir, "nation").select("n_nationkey")
+    brands = dense_ids(parts, "p_brand")
+    first = [0]
+    for t in (parts, suppliers, nations, brands):
+        first.append(first[-1] + t.count())
+    root = F.lit(first[4]).cast("long").alias("dst")
+    arcs = parts.join(brands.toDF("p_brand", "brand"), "p_brand").select(F.col("p_partkey").alias("src"), (F.col("brand") + first[3]).alias("dst"))
+    arcs = arcs.unionByName(suppliers.select((F.col("s_suppkey") + first[1]).alias("src"), (F.col("s_nationkey") + first[2]).cast("long").alias("dst")))
+    arcs = arcs.unionByName(nations.select((F.col("n_nationkey") + first[2]).cast("long").alias("src"), root)).unionByName(brands.select((F.col("vertex") + first[3]).alias("src"), root))
+    return Graph(arcs, first[4] + 1)
