@@ -12,7 +12,9 @@ from weftline.functions import hashing, registers, sketch
 from weftline.operators import clustering, components, generators, mincut, paths, small
 from weftline.operators.disjoint_set import DisjointSet
 from weftline.operators.graph import Graph, dense_ids
+from weftline.operators.labels import Labels
 from weftline.sources import edges
+from weftline.sources.store import EdgeStore
 from weftline.streaming import sketches
 
 SEED = 0xBAD5EED
@@ -98,7 +100,7 @@ def test_hyper_ball(spark, way):
 
 
 def test_distances_both_ways(spark, monkeypatch):
-    g = generators.gnm(spark, 150, 200, 3)
+    g = generators.gnm(spark, 90, 150, 3)
     near = [pairs(paths.bfs_distances(g, symmetric=x)) for x in (True, False)]
     counts = [pairs(paths.distance_counts(g, symmetric=x)) for x in (True, False)]
     registers, balls = pairs(paths.reach_registers(g, 5, 9)), [paths.hyper_ball(g, 6, 9, textbook=x).first() for x in (True, False)]
@@ -114,13 +116,69 @@ def test_distances_both_ways(spark, monkeypatch):
     assert registers == pairs(paths.reach_registers(g, 5, 9))
 
 
+def test_packed_sketches_merge_as_they_are(spark):
+    rows = spark.range(4000).selectExpr("id % 40 as key", "id * 7 % 900 as value")
+    for n, b in ((1 << 32, 6), (1 << 40, 4)):
+        r = sketch.hll_registers(rows, b, 5)
+        packed = sketch.hll_compact(r, b, n).repartition(3)
+        assert pairs(sketch.hll_expand(sketch.hll_merge_packed(packed, b, n, F.expr("key div 9")), b, n)) == pairs(sketch.hll_rollup(r, F.expr("key div 9")))
+        more = sketch.hll_registers(rows.selectExpr("key + 5 as key", "value + 400 as value"), b, 5)
+        both = packed.unionByName(sketch.hll_compact(more, b, n))
+        assert pairs(sketch.hll_expand(sketch.hll_merge_packed(both, b, n), b, n)) == pairs(sketch.hll_union(r, more))
+    assert sketch.hll_merge_packed(packed.filter("false"), 4, 1 << 40).count() == 0
+
+
+def test_labels_with_save_points(spark):
+    rnd = random.Random(4)
+    start, sets, saved = Labels(spark, 60), DisjointSet(60, undo=True), []
+    now = start
+    for turn in range(9):
+        arcs = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(6)]
+        saved.append((now, sets.save()))
+        for u, v in arcs:
+            sets.union(u, v)
+        now = now.joined(spark.createDataFrame([*arcs, (3, 60), (-1, 4), (None, 5)], "src long, dst long"))
+        if turn in (3, 6):  # back to the state before
+            now, state = saved[-1]
+            sets.restore(state)
+        assert now.count() == sets.components
+    least = {}
+    for x in range(60):
+        least.setdefault(sets.find(x), x)
+    assert pairs(now.all()) == [(x, least[sets.find(x)]) for x in range(60)]
+    assert len(now.moves) <= 6 and start.count() == 60 and pairs(start.all()) == [(x, x) for x in range(60)]
+    asked = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(30)]
+    assert pairs(now.connected(spark.createDataFrame(asked, "a long, b long"))) == sorted((a, b, sets.are_connected(a, b)) for a, b in asked)
+
+
+def test_stored_arcs_do_not_move_again(spark):
+    g = generators.gnm(spark, 300, 4000, 3)
+    store = EdgeStore(g)
+    assert pairs(store.graph.edges) == pairs(g.edges) and store.n == 300
+    rows = store.rows([7, 9])
+    assert pairs(rows) == [x for x in pairs(g.edges) if x[0] in (7, 9)]
+    plan = lambda df: df._jdf.queryExecution().explainString(df._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "SelectedBucketsCount: 8 out of 8" in plan(store.graph.edges.groupBy("src").count())
+    assert (store.graph.edges.rdd.getNumPartitions(), store.rows([7]).rdd.getNumPartitions()) == (8, 1)  # a file a bucket
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        front = g.edges.select(F.col("dst").alias("vertex"))
+        text = plan(store.rows_of(front))
+        assert text.count("Exchange (") == 1 and store.rows_of(front).count() == 4000
+        assert "Exchange (" not in plan(store.graph.out_degrees())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    store.drop()
+
+
 def test_merged_registers(spark):
     rng = np.random.default_rng(1)
     rows = [(int(k), bytes(rng.integers(0, 9, 16, dtype=np.uint8))) for k in rng.integers(0, 7, 25_000)]
     want = {}
     for k, r in rows:
         want[k] = np.maximum(want.get(k, 0), np.frombuffer(r, np.uint8))
-    got = paths.merged_registers(spark.createDataFrame(rows, "key long, regs binary"), 4).collect()
+    got = registers.merged(spark.createDataFrame(rows, "key long, regs binary"), 16).collect()
     assert {r.key: bytes(r.regs) for r in got} == {k: r.astype(np.uint8).tobytes() for k, r in want.items()} and len(got) == len(want)
 
 
@@ -455,6 +513,23 @@ def test_clustered(spark):
     assert all(len(out[v]) >= min(v, 5) for v in range(2, 300)) and 1 not in {w for u, w in arcs[1:]} - {1}
 
 
+@pytest.mark.parametrize("d, o", [(10, 1), (5, 12), (2, 3)])
+def test_attached_graphs_are_like_those_grown_in_turn(spark, monkeypatch, d, o):
+    n = 3000
+    g = generators.attached(spark, n, d, o, 9)
+    arcs = pairs(g.edges)
+    monkeypatch.setattr(generators, "_BLOCK", 700)
+    assert arcs == pairs(generators.attached(spark, n, d, o, 9).edges) != pairs(generators.attached(spark, n, d, o, 8).edges)
+    assert len(arcs) == len(set(arcs)) and all(0 <= u < n and 0 <= v < n for u, v in arcs)
+    turn = list(generators._grow(n, d, o, 9))
+    assert len(arcs) == pytest.approx(len(turn), rel=0.02)
+    outs, outs_turn = (sorted(Counter(u for u, _ in x).values(), reverse=True) for x in (arcs, turn))
+    assert min(outs[: n - 2]) >= min(2, d) and sum(outs[:30]) == pytest.approx(sum(outs_turn[:30]), rel=0.35)
+    assert all(c >= d for u, c in Counter(u for u, _ in arcs).items() if u >= 512)
+    mean, mean_turn = (clustering.clustering_exact(Graph(spark.createDataFrame(x, "src long, dst long"), n)).first().clustering for x in (arcs, turn))
+    assert mean == pytest.approx(mean_turn, rel=0.15)
+
+
 def test_stream_registers_equal_batch(spark, tmp_path):
     rows = spark.range(500).selectExpr("id % 90 as value", "timestamp_seconds(1700000000 + id * 3) as time")
     rows.repartition(3).write.parquet(f"{tmp_path}/in")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import integer_hash64
-from .registers import pack, unpack
+from .registers import merged, pack, unpack
 
 
 def _check(b: int) -> int:
@@ -42,6 +42,13 @@ def hll_registers(df: DataFrame, b: int, seed: int) -> DataFrame:
     return hashed.select("key", register_index(F.col("h"), b).alias("idx"), register_value(F.col("h"), b).alias("val")).groupBy("key", "idx").agg(F.max("val").alias("val"))
 
 
+def hll_registers_of_sizes(df: DataFrame, sizes: list[int], seed: int) -> DataFrame:
+    """``df`` (key, value) -> (key, idx, val, b) for several sizes, each value hashed once."""
+    hashed = df.filter("value is not null").select("key", integer_hash64(F.col("value").cast("long"), seed).alias("h"))
+    kinds = F.array(*(F.struct(F.lit(b).alias("b"), register_index(F.col("h"), b).alias("idx"), register_value(F.col("h"), b).alias("val")) for b in sizes))
+    return hashed.select("key", F.explode(kinds).alias("r")).groupBy("key", "r.b", "r.idx").agg(F.max("r.val").alias("val")).select("key", "idx", "val", "b")
+
+
 def hll_union(*registers: DataFrame) -> DataFrame:
     """Merge register relations: the maximum of every register."""
     out = registers[0]
@@ -115,6 +122,13 @@ def hll_compact(registers: DataFrame, b: int, n: int) -> DataFrame:
     return held.select("key", pack(dense, width).alias("packed"))
 
 
+def hll_merge_packed(packed: DataFrame, b: int, n: int, key: Column | None = None) -> DataFrame:
+    """Packed sketches (key, packed) of one size and ``n`` merged by ``key`` (their own
+    unless given) as they are: no register becomes a row."""
+    rows = packed.select((F.col("key") if key is None else key).cast("long").alias("key"), F.col("packed").alias("regs")).filter("key is not null")
+    return merged(rows, _check(b), register_width(n)).withColumnRenamed("regs", "packed")
+
+
 def hll_expand(packed: DataFrame, b: int, n: int) -> DataFrame:
     """The registers of :func:`hll_compact` as a relation again."""
     dense = unpack(F.col("packed"), register_width(n), _check(b))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .graph import Graph
 
@@ -97,5 +98,98 @@ def clustered_grid(params: DataFrame) -> DataFrame:
     return params.mapInPandas(run, "graph long, src long, dst long")
 
 
+#: Vertices that grow in turn before the others follow from hashes.
+_IN_TURN = 512
+#: Vertices whose arcs one row of work makes.
+_BLOCK = 8192
+
+
+def _mixed(*parts: np.ndarray) -> np.ndarray:
+    """63 hashed bits of whole numbers."""
+    x = np.uint64(0)
+    for p in parts:
+        x = (x ^ np.asarray(p, np.int64).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = x ^ (x >> np.uint64(29))
+    return (x >> np.uint64(1)).view(np.int64)
+
+
+def _attach(first: int, past: int, d: int, o: int, seed: int, tails: np.ndarray, start: int):
+    """Arcs of vertices first .. past - 1.  Arcs have places: those grown in turn
+    (``tails`` are their sources), then d of its own and o of its triads for each
+    vertex from ``start`` on.  An arc goes to the source of an arc at a hashed
+    earlier place.  That is known for a vertex's own arcs, and a triad's is the target
+    of one of them, so references are followed back until one is known."""
+
+    def reference(place, attempt):
+        return _mixed(np.full_like(place, seed), place, np.full_like(place, attempt)) % place
+
+    def source(place):
+        place, found = place.copy(), np.full(place.shape, -1)
+        live = np.flatnonzero(found < 0)
+        while len(live):
+            at = place[live]
+            vertex, i = (at - len(tails)) // (d + o) + start, (at - len(tails)) % (d + o)
+            early, own = at < len(tails), (at >= len(tails)) & (i < d)
+            found[live[early]], found[live[own]] = tails[at[early]], vertex[own]
+            triad = ~(early | own)
+            live, at, i = live[triad], at[triad], i[triad]
+            place[live] = reference(at - i + _mixed(np.full_like(at, seed), at, np.full_like(at, -1)) % d, 0)
+        return found
+
+    v = np.arange(first, past)
+    place = len(tails) + (v - start)[:, None] * (d + o) + np.arange(d)
+    target = source(reference(place.ravel(), 0)).reshape(place.shape)
+    earlier = np.tri(d, k=-1, dtype=bool)
+    for attempt in range(1, 1000):
+        again = ((target[:, :, None] == target[:, None, :]) & earlier).any(2)
+        if not again.any():
+            break
+        target[again] = source(reference(place[again], attempt))
+    else:
+        raise RuntimeError("targets did not become distinct")
+    triads = place[:, :1] + d + np.arange(o)
+    a = _mixed(np.full_like(triads, seed), triads, np.full_like(triads, -1)) % d
+    b = (a + 1 + _mixed(np.full_like(triads, seed), triads, np.full_like(triads, -2)) % (d - 1)) % d
+    row = np.arange(len(v))[:, None]
+    src = np.concatenate([np.repeat(v, d), target[row, a].ravel()])
+    return src, np.concatenate([target.ravel(), target[row, b].ravel()])
+
+
+def attached_grid(params: DataFrame) -> DataFrame:
+    """``params`` (graph, n, d, o, seed) -> (graph, src, dst), each graph grown by many
+    tasks: preferential attachment by out-degree with closed triads, like
+    :func:`clustered_grid` with two small differences.  When later arcs are drawn, a triad
+    that repeats an arc still counts, and of an arc that was drawn again the first draw
+    does.  Nothing moves but for the last distinct."""
+    block = _BLOCK
+
+    def run(batches):
+        grown: dict = {}
+        for pdf in batches:
+            for r in pdf.itertuples():
+                n, d, o, seed = int(r.n), int(r.d), int(r.o), int(r.seed)
+                if n <= 2 or d <= 1:
+                    raise ValueError("n must exceed 2 and d 1")
+                start = min(n, max(_IN_TURN, 4 * d))
+                if (d, o, seed, start) not in grown:
+                    grown.clear()
+                    grown[d, o, seed, start] = np.array(list(_grow(start, d, o, seed)), np.int64)
+                early = grown[d, o, seed, start]
+                if r.first == 0:
+                    yield pd.DataFrame({"graph": r.graph, "src": early[:, 0], "dst": early[:, 1]})
+                first, past = max(start, int(r.first)), min(n, int(r.first) + block)
+                if first < past:
+                    src, dst = _attach(first, past, d, o, seed, early[:, 0], start)
+                    yield pd.DataFrame({"graph": r.graph, "src": src, "dst": dst})
+
+    rows = params.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(block).cast("long"))).alias("first"))
+    return rows.repartition("graph", "first").mapInPandas(run, "graph long, src long, dst long").distinct()
+
+
+def attached(spark: SparkSession, n: int, d: int, o: int, seed: int) -> Graph:
+    return Graph(attached_grid(spark.createDataFrame([(0, n, d, o, seed)], "graph long, n long, d long, o long, seed long")).select("src", "dst"), n)
+
+
 def clustered(spark: SparkSession, n: int, d: int, o: int, seed: int) -> Graph:
     return Graph(clustered_grid(spark.createDataFrame([(0, n, d, o, seed)], "graph long, n long, d long, o long, seed long")).select("src", "dst"), n)

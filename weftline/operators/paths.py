@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import hashing, sketch
-from ..plans.storage import cut, drop
+from ..functions import hashing, registers, sketch
+from ..plans.storage import bucketed, cut, drop
 from . import small
 from .graph import Graph
 
@@ -36,7 +36,7 @@ def bfs_distances(g: Graph, sources: DataFrame | None = None, symmetric: bool =
         return small.with_matrix(arcs, g.n, levels_of, "s long, d long, dist int")
     if symmetric:
         arcs = arcs.unionByName(arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    arcs = cut(arcs, "arcs")
+    arcs = bucketed(arcs, "src", "arcs")
     start = (g.vertices if sources is None else sources.select(F.col(sources.columns[0]).alias("vertex")).distinct()).select(F.col("vertex").alias("s"), F.col("vertex").alias("d"))
     levels = [cut(start.withColumn("dist", F.lit(0)), "level")]
     level = 0
@@ -78,7 +78,7 @@ def distance_counts(g: Graph, symmetric: bool = True) -> DataFrame:
         return small.with_matrix(arcs, g.n, counts_of, schema)
     if symmetric:
         arcs = arcs.unionByName(arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    arcs = cut(arcs, "arcs")
+    arcs = bucketed(arcs, "src", "arcs")
     start = g.vertices.select("vertex", F.expr("vertex div 64").alias("word"), F.expr("shiftleft(1L, cast(vertex % 64 as int))").alias("mask"))
     last = cut(start, "masks")
     known, counts = [last], []  # what new masks may repeat
@@ -135,53 +135,6 @@ def _one_hot(ids: np.ndarray, b: int, seed: int) -> np.ndarray:
     return out
 
 
-def _rows_of(column: pa.Array, width: int) -> np.ndarray:
-    """A binary column of equally long values as a matrix, without a copy."""
-    first = column.offset
-    at = np.frombuffer(column.buffers()[1], np.int32)[first]
-    return np.frombuffer(column.buffers()[2], np.uint8)[at : at + len(column) * width].reshape(-1, width)
-
-
-def _packed(rows: np.ndarray) -> pa.Array:
-    n, width = rows.shape
-    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * width, width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
-
-
-def merged_registers(sketches: DataFrame, b: int) -> DataFrame:
-    """(key, regs): the registers of every key's rows merged by maximum.  A task
-    merges what it has before it sends it on, so a key brings as many rows to its
-    partition as there are batches at most, and that one merges its sorted rows."""
-    width = 1 << b
-
-    def partial(batches):
-        for batch in batches:
-            key = batch.column(0).to_numpy()
-            if not len(key):
-                continue
-            order = np.argsort(key, kind="stable")
-            first = np.flatnonzero(np.diff(key[order], prepend=key[order[0]] - 1))
-            rows = np.maximum.reduceat(_rows_of(batch.column(1), width)[order], first)
-            yield pa.RecordBatch.from_arrays([pa.array(key[order][first]), _packed(rows)], ["key", "regs"])
-
-    def final(batches):
-        held = None  # the last key of the batch before may go on
-        for batch in partial(batches):
-            key, rows = batch.column(0).to_numpy(), _rows_of(batch.column(1), width)
-            if held is not None and held[0] == key[0]:
-                rows = rows.copy()
-                rows[0] = np.maximum(rows[0], held[1])
-            elif held is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([held[0]]), _packed(held[1][None])], ["key", "regs"])
-            held = int(key[-1]), rows[-1].copy()
-            if len(key) > 1:
-                yield pa.RecordBatch.from_arrays([pa.array(key[:-1]), _packed(rows[:-1])], ["key", "regs"])
-        if held is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([held[0]]), _packed(held[1][None])], ["key", "regs"])
-
-    schema = "key long, regs binary"
-    return sketches.select("key", "regs").mapInArrow(partial, schema).repartition("key").sortWithinPartitions("key").mapInArrow(final, schema)
-
-
 def _ball_steps(g: Graph, b: int, seed: int):
     """Sketches (key, regs) of all vertices' out-reach as arrays: the tables that
     together, by maximum, hold them, and the growth of the summed estimates by
@@ -191,26 +144,26 @@ def _ball_steps(g: Graph, b: int, seed: int):
 
     def start(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), _packed(_one_hot(batch.column(0).to_numpy(), b, seed))], ["key", "regs"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), registers.packed_rows(_one_hot(batch.column(0).to_numpy(), b, seed))], ["key", "regs"])
 
     def changes(batches):
         for batch in batches:
-            own, new = _rows_of(batch.column(1), width), _rows_of(batch.column(2), width)
+            own, new = registers.rows_of(batch.column(1), width), registers.rows_of(batch.column(2), width)
             all_ = np.maximum(own, new)
             grown = (all_ != own).any(1)
             if grown.any():
                 gain = sketch.estimate_dense(all_[grown], b) - sketch.estimate_dense(own[grown], b)
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(grown)), _packed(all_[grown]), pa.array(gain)], ["key", "regs", "gain"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(grown)), registers.packed_rows(all_[grown]), pa.array(gain)], ["key", "regs", "gain"])
 
-    arcs = cut(_simple(g).select("src", "dst"), "arcs")
+    arcs = bucketed(_simple(g).select("src", "dst"), "dst", "arcs")
     state = [cut(g.vertices.withColumnRenamed("vertex", "key").mapInArrow(start, "key long, regs binary"), "regs")]
     changed, gains = state[0], []
     while True:
-        sent = merged_registers(changed.join(arcs, F.col("key") == F.col("dst")).select(F.col("src").alias("key"), "regs"), b)
+        sent = registers.merged(changed.join(arcs, F.col("key") == F.col("dst")).select(F.col("src").alias("key"), "regs"), 1 << b)
         sent = cut(sent.withColumnRenamed("regs", "new"), "sent")
         own = _together(state).select("key", "regs").join(sent.select("key"), "key", "left_semi")
         if len(state) > 1:
-            own = merged_registers(own, b)
+            own = registers.merged(own, 1 << b)
         delta = cut(own.join(sent, "key").select("key", "regs", "new").mapInArrow(changes, "key long, regs binary, gain double"), "regs")
         drop(sent)
         gain = delta.agg(F.sum("gain")).first()[0]
@@ -222,7 +175,7 @@ def _ball_steps(g: Graph, b: int, seed: int):
         state.append(delta)
         changed = delta
         if len(state) > _DELTAS:
-            whole = cut(merged_registers(_together(state), b), "regs")
+            whole = cut(registers.merged(_together(state), 1 << b), "regs")
             for t in state[:-1]:
                 drop(t)
             state = [whole, state[-1]]
@@ -250,11 +203,11 @@ def reach_registers(g: Graph, b: int = 4, seed: int = 0) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = _rows_of(batch.column(1), width)
+            rows = registers.rows_of(batch.column(1), width)
             at, idx = np.nonzero(rows)
             yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy()[at]), pa.array(idx.astype(np.int32)), pa.array(rows[at, idx].astype(np.int32))], ["key", "idx", "val"])
 
-    return merged_registers(_together(state), b).mapInArrow(run, "key long, idx int, val int")
+    return registers.merged(_together(state), 1 << b).mapInArrow(run, "key long, idx int, val int")
 
 
 def hyper_ball(g: Graph, b: int = 4, seed: int = 0, textbook: bool = False) -> DataFrame:

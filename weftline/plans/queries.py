@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import functools
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing, registers, sketch
 from ..operators import clustering, components, disjoint_set, generators, mincut, paths
 from ..operators.graph import Graph, dense_ids
+from ..operators.labels import Labels
 from ..sources import derived, edges
+from ..sources.store import EdgeStore
 from .storage import new_path
 
 SEED = 0xBAD5EED
@@ -100,6 +100,39 @@ def edge_files(s, d):
     return edges.read_edges(s, path).edges
 
 
+def edge_text_file(s, d):
+    """Lines of source and target with remarks between them."""
+    path = new_path(s, "text")
+    lines = derived.table(s, d, "lineitem").select(F.concat_ws(" ", "l_suppkey", "l_partkey").alias("value"))
+    remarks = derived.table(s, d, "nation").select(F.explode(F.array(F.concat(F.lit("# "), "n_name"), F.lit(""))).alias("value"))
+    lines.unionByName(remarks).write.text(path)
+    return edges.read_edge_text(s, path).edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("arcs"))
+
+
+def edge_csv_file(s, d):
+    path = new_path(s, "csv")
+    derived.table(s, d, "orders").select(F.col("o_custkey").alias("from"), F.col("o_orderkey").alias("to"), F.year("o_orderdate").alias("cost")).write.option("header", True).csv(path)
+    return edges.read_edges(s, path, "csv", "from", "to", "cost", header=True, inferSchema=True, comment="#").edges.withColumn("weight", F.col("weight").cast("long"))
+
+
+def stored_rows(s, d):
+    """Arcs of chosen sources, read from their buckets, and the arcs behind them."""
+    store = EdgeStore(Graph(derived.session(s, d), 0))
+    near = store.rows([3, 5, 8])
+    return near.select("src", F.col("dst").alias("mid")).join(store.graph.edges.toDF("mid", "dst"), "mid").select("src", "mid", "dst")
+
+
+def labels_in_batches(s, d):
+    """Three batches of arcs; a fourth that joins all is taken back before the last."""
+    g = derived.reorders(s, d)
+    batch = lambda i: g.edges.filter(F.col("src") % 3 == i)
+    saved = Labels(s, g.n).joined(batch(0)).joined(batch(1))
+    gone = saved.joined(s.range(1, g.n).select((F.col("id") - 1).alias("src"), F.col("id").alias("dst")))
+    assert gone.count() == 1
+    back = saved.joined(batch(2))
+    return back.all().withColumn("components", F.lit(back.count()).cast("long"))
+
+
 def exact_size(s, d):
     return derived.trade(s, d).exactly(10)
 
@@ -281,8 +314,7 @@ def hll_registers(s, d):
 
 
 def hll_registers_all_sizes(s, d):
-    own = [sketch.hll_registers(_values(s, d), b, SEED).withColumn("b", F.lit(b)) for b in (4, 5, *range(7, 16))]
-    return functools.reduce(DataFrame.unionByName, own)
+    return sketch.hll_registers_of_sizes(_values(s, d), [4, 5, *range(7, 16)], SEED)
 
 
 def hll_compact(s, d):
@@ -308,6 +340,25 @@ def hll_union(s, d):
     return sketch.hll_union(sketch.hll_registers(events, 6, SEED), sketch.hll_registers(orders, 6, SEED))
 
 
+def hll_packed_union(s, d):
+    events, orders = _values(s, d), derived.table(s, d, "orders").select(F.lit(11).cast("long").alias("key"), F.col("o_custkey").alias("value"))
+    packed = [sketch.hll_compact(sketch.hll_registers(x, 6, SEED), 6, 1 << 32) for x in (events, orders)]
+    return sketch.hll_expand(sketch.hll_merge_packed(packed[0].unionByName(packed[1]), 6, 1 << 32), 6, 1 << 32)
+
+
+def hll_packed_rollup(s, d):
+    """Users' sketches a day, packed, put together for all days."""
+    days = derived.table(s, d, "events").select(F.datediff("ts", F.lit("1970-01-01")).cast("long").alias("key"), F.col("user_id").alias("value"))
+    packed = sketch.hll_compact(sketch.hll_registers(days, 6, SEED), 6, 1 << 32)
+    return sketch.hll_expand(sketch.hll_merge_packed(packed, 6, 1 << 32, F.lit(0)), 6, 1 << 32)
+
+
+def register_shape(s, d):
+    rows = derived.table(s, d, "customer").select("c_custkey", _registers(3).alias("a"))
+    packed = rows.select("c_custkey", registers.size(F.col("a")).cast("long").alias("registers"), registers.pack(F.col("a"), 5).alias("p"))
+    return packed.select("c_custkey", "registers", registers.width_of(F.col("p"), 13).cast("long").alias("bits"), F.octet_length("p").cast("long").alias("bytes"))
+
+
 def hll_rollup(s, d):
     return sketch.hll_rollup(sketch.hll_registers(_values(s, d), 6, SEED), F.lit(0).cast("long"))
 
@@ -365,7 +416,7 @@ def complete_graph(s, d):
 
 _NAMES = [
     edge_load, vertex_count, edge_count, weighted_load, adjacency_sizes, adjacency_lines, adjacency_flattened, neighbours_of, out_degree_gt2,
-    has_link_semi, has_link_anti, add_links, exact_size, dense_vertex_ids, clustering_local, clustering_exact, clustering_session,
+    has_link_semi, has_link_anti, stored_rows, edge_text_file, edge_csv_file, labels_in_batches, hll_packed_union, hll_packed_rollup, register_shape, add_links, exact_size, dense_vertex_ids, clustering_local, clustering_exact, clustering_session,
     clustering_local_two, clustering_sampled, clustering_sampled_session, apl_catalogue, distance_counts, reach_reorders, hyper_ball_reorders, bfs_distances, bfs_directed, bfs_from_sample, ball_limit_chains, literal_weights, add_weighted_links, empty_graph, edge_files, apl_exact, apl_textbook, apl_twin_fives, ball_limit, hyper_ball, reach_counts,
     graph_union_bridges, connected_components, components_supply, are_connected, min_cut_size, min_cut_size_undo, min_cut_months, min_cut_months_arcs, min_cut_segments, min_cut_ring, min_cut_trade, min_cut_session,
     union_find_labels, union_find_compression, union_find_undo, hll_registers_all_sizes, hll_compact, hll_compact_bytes, gnm_shape, clustered_shape, min_cut_edges, min_cut_tens, jenkins_hash,
@@ -514,6 +565,10 @@ def oracle_sql():
         "add_weighted_links": "SELECT src, sum(w)::BIGINT AS weight, count(*) AS arcs FROM (SELECT l_suppkey AS src, l_linenumber AS w FROM lineitem UNION ALL SELECT s_suppkey, 100 FROM supplier) GROUP BY 1",
         "empty_graph": f"WITH {_SESSION} SELECT count(*) AS edges, (max(greatest(src, dst)) + 1)::BIGINT AS vertices FROM session",
         "edge_files": f"WITH {_SESSION} SELECT src::BIGINT AS src, dst::BIGINT AS dst FROM session",
+        "edge_text_file": "SELECT l_suppkey AS src, l_partkey AS dst, count(*) AS arcs FROM lineitem GROUP BY 1, 2",
+        "edge_csv_file": "SELECT o_custkey AS src, o_orderkey AS dst, year(o_orderdate) AS weight FROM orders",
+        "stored_rows": f"WITH {_SESSION} SELECT a.src, b.src AS mid, b.dst FROM session a JOIN session b ON a.dst = b.src WHERE a.src IN (3, 5, 8)",
+        "labels_in_batches": f"WITH {_CHAINS}, found AS (SELECT range AS vertex, coalesce(component, range) AS component FROM range((SELECT max(o_orderkey) + 1 FROM orders)) LEFT JOIN least ON vertex = range) SELECT vertex, component, (SELECT count(DISTINCT component) FROM found) AS components FROM found",
         "exact_size": f"WITH {_TRADE} SELECT * FROM trade ORDER BY src, dst LIMIT 10",
         "dense_vertex_ids": "SELECT o_custkey AS key, row_number() OVER (ORDER BY o_custkey) - 1 AS vertex FROM (SELECT DISTINCT o_custkey FROM orders)",
         "clustering_local": f"WITH {_TRADE}, {_local('trade')} SELECT v AS vertex, degree, closed, round(closed / (degree * (degree - 1)), 9) AS coefficient FROM local",
@@ -562,6 +617,9 @@ def oracle_sql():
         "hll_range": f"WITH {_VALUES}, {_regs('v', 'regs')}, {_EST} SELECT key, round(e, 9) AS estimate, round(e * 0.87, 9) AS low, round(e * 1.13, 9) AS high FROM est",
         "hll_union": f"WITH {_BOTH}, {_regs('v', 'regs')} SELECT * FROM regs",
         "hll_rollup": f"WITH v AS (SELECT 0::BIGINT AS key, user_id AS value FROM events), {_regs('v', 'regs')} SELECT * FROM regs",
+        "hll_packed_union": f"WITH {_BOTH}, {_regs('v', 'regs')} SELECT * FROM regs",
+        "hll_packed_rollup": f"WITH v AS (SELECT 0::BIGINT AS key, user_id AS value FROM events), {_regs('v', 'regs')} SELECT * FROM regs",
+        "register_shape": f"SELECT c_custkey, count(*) AS registers, 5::BIGINT AS bits, ((count(*) * 5 + 7) // 8)::BIGINT AS bytes FROM {_REGS} GROUP BY 1",
         "register_merge": f"SELECT c_custkey, sum(greatest(a, b))::BIGINT AS total, bool_or(b > a) AS changed, (max(a) FILTER (i = 4))::BIGINT AS fifth FROM {_REGS} GROUP BY 1",
         "register_round_trip": f"SELECT c_custkey, string_agg(a::VARCHAR, ',' ORDER BY i) AS registers, string_agg(right(bin(a), 5).lpad(5, '0'), '|' ORDER BY i) AS bits FROM {_REGS} GROUP BY 1",
         "complete_graph": f"{lists} FROM (SELECT a.range AS vertex, b.range AS dst FROM range(5) a, range(5) b) GROUP BY 1",

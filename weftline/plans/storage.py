@@ -61,5 +61,20 @@ def cut(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
 
 
 def drop(df: DataFrame) -> None:
-    """Remove the files of a table made by :func:`cut` that nothing reads any more."""
+    """Remove a table made by :func:`cut` or :func:`bucketed` that nothing reads any more."""
+    if "table" in vars(df):
+        df.sparkSession.sql(f"DROP TABLE {vars(df)['table']}")
     drop_path(df.sparkSession, df.path)
+
+
+def bucketed(df: DataFrame, by: str, label: str) -> DataFrame:
+    """Write ``df`` to the shared folder in buckets of ``by``, sorted by it within:
+    joins on it do not move these rows again, and a filter on it reads its bucket
+    alone.  ``.path`` names it, ``.table`` its entry in the session's catalogue."""
+    spark = df.sparkSession
+    path = new_path(spark, label)
+    name, buckets = f"weftline_{label}_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(buckets, by).write.bucketBy(buckets, by).sortBy(by).option("path", path).option("compression", "zstd").saveAsTable(name)
+    out = spark.table(name)
+    out.path, out.table = path, name
+    return out
