@@ -3,6 +3,7 @@
 import random
 import zlib
 
+import numpy as np
 import pytest
 
 from weftline.llm import language_id
@@ -79,10 +80,10 @@ def test_many_labels_repeated_rows_and_long_texts(spark):
         rows += [(100 * k + i, " ".join("".join(rnd.choice(letters) for _ in range(4)) for _ in range(60)), f"l{k:02}") for i in range(12)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     same = spark.range(100_000).selectExpr("7L as doc_id", "'la la la lo lu' as text", "'one' as lang")
-    long = spark.createDataFrame([(5, "wo wi wu " * 50_000, "two"), (6, "wi wo wu " * 60_000, "two"), (8, "wi wu wo " * 60_000, "two")], docs.schema)
+    long = spark.createDataFrame([(5, "wo wi wu " * 8_000, "two"), (6, "wi wo wu " * 9_000, "two"), (8, "wi wu wo " * 9_000, "two")], docs.schema)
     docs = docs.unionByName(same).unionByName(long)
-    model = language_id.fit(docs, rows=8, chars=3000)
-    assert len(model.labels) == 62 and len(model.base) < 62 * 2 * 4000
+    model = language_id.fit(docs, rows=8, usual=3000)
+    assert len(model.labels) == 62
     got = language_id.predict(docs, model, ["doc_id", "lang"]).groupBy("lang", "lang_pred").count().collect()
     assert sum(r["count"] for r in got if r.lang == r.lang_pred) >= 0.99 * sum(r["count"] for r in got)
 
@@ -91,3 +92,18 @@ def test_kept_columns_may_have_any_name(spark):
     docs = spark.createDataFrame([(1, "the cat", "x", "y")], "doc_id long, text string, _text string, c0 string")
     got = language_id.predict(docs, language_id.LanguageModel(SAMPLES), ["doc_id", "_text", "c0", "text"]).first()
     assert (got.doc_id, got._text, got.c0, got.text, got.lang_pred) == (1, "x", "y", "the cat", "aa")
+
+
+def test_texts_of_the_sample_are_learned_whole(spark):
+    rnd = random.Random(6)
+    word = lambda letters: "".join(rnd.choice(letters) for _ in range(6))
+    texts = [" ".join(word("abcdefg") for _ in range(20_000)) for _ in range(2)]
+    rows = [(1, texts[0], "x"), (3, texts[1], "x"), (None, " ".join(word("stuv") for _ in range(99)), "x"), (8, "zyz yzy zzy", "y")]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    for t in texts:  # any piece of either is one phrase
+        for at in (0, 50_000, 99_000, len(t) - 201):
+            assert model.phrases([t[at : at + 200]])[0][0].tolist()[0] <= 1 + (not t[at].isalpha())
+    assert model.labels == ["x", "y"] and model.bits[0] > np.log2(2 * 139_000)
+    assert not {ord(c) for c in "stuv"} & set(np.flatnonzero(model.of_char > language_id.UNKNOWN).tolist())
+    got = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert sorted((r.doc_id or 0, r.held_out, r.lang_pred) for r in got)[0][:2] == (0, False)

@@ -3,6 +3,8 @@
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.llm.test_jaccard_join import brute as components
 from tests.llm.test_packing import check
@@ -62,3 +64,31 @@ def test_repeated_and_missing_ids(spark, tmp_path):
     for table in (docs.filter("false"), docs.filter("false").unionByName(odd.filter("text is null"))):
         table.write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
         assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_languages_unlabelled_rows_and_the_session(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    known = docs.filter("lang is not null").select("doc_id", "lang")
+    names = [f"spark.sql.execution.{x}" for x in ("arrow.maxRecordsPerBatch", "pythonUDF.arrow.enabled")]
+    before = [spark.conf.get(x) for x in names]
+    got = corpus_pipeline.recognised(spark, docs.withColumn("more", F.lit(1)), "")
+    assert got.columns == corpus_pipeline.DOCUMENTS and before == [spark.conf.get(x) for x in names]
+    # a document's lang is what was recognised, labelled or not
+    assert got.filter("lang is null").count() == 0
+    assert got.withColumnRenamed("lang", "found").join(known, "doc_id").filter("found = lang").count() >= 0.95 * got.join(known.select("doc_id"), "doc_id").count()
+    bare = docs.limit(30).withColumn("lang", F.lit(None).cast("string")).unionByName(spark.createDataFrame([(9001, "12 34", None, "s", 5), (9002, None, None, "s", 0)], docs.schema))
+    kept = corpus_pipeline.recognised(spark, bare, "")
+    assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in bare.collect() if r.text and any(c.isalpha() for c in r.text)}
+    bare.write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_very_long_texts_and_other_columns(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(20)
+    long = spark.createDataFrame([(9001, " ".join(f"w{i}x" for i in range(150_000)), None, "s", None), (9002, "long " * 200_000, None, "s", None)], docs.schema)
+    odd = docs.unionByName(long).withColumn("group", F.lit("g")).withColumn("n", F.lit(None).cast("int")).withColumn("row_key", F.lit(3))
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    texts = expected(docs.unionByName(long).collect())
+    assert {r.doc_id for r in rows} == set(texts) and 9001 in texts
+    check(rows, texts, 2048)

@@ -12,17 +12,16 @@ Documents are cut into segments of ``SEGMENT`` symbols that are parsed in
 lock-step by table lookups, so a phrase ends at a segment's end at the latest,
 for all languages alike.
 
-Training takes a bounded sample of the labelled rows: for each language the
-``rows`` distinct texts with the smallest hash, texts of up to ``chars``
-characters first, and of these in turn each whole text that still fits into
-``chars`` (where ``total`` over the number of languages is less, into that).  If
-a language has longer texts only, windows spread evenly over the first of them
-are learned.  The automata grow with what is learned, so ``total`` bounds what
-is sent to the executors.  All letters of the sample are symbols of their own.
-Every document is then parsed over its whole text.
+Training takes a bounded sample of the labelled rows: for each language ``rows``
+distinct texts, those of up to ``usual`` characters in the order of a hash first
+and longer ones by length after them.  Each text of the sample is learned whole,
+and all its letters are symbols of their own.  The automata, which go to the driver
+and the executors, grow with these texts and so with ``rows``.  Every document is then
+parsed over its whole text.
 
 Defined results: a null text or one without letters is ``und`` with score 0;
-so is every text if nothing was labelled; ties go to the smaller label;
+so is every text if nothing was labelled; a row with a null doc_id is neither
+held out nor learned; ties go to the smaller label;
 repeated rows each get a row and are learned once; a text of any length is
 parsed whole; other columns are ignored; an empty table gives an empty result.
 """
@@ -209,13 +208,13 @@ class LanguageModel:
         return [self.labels[k] if ok else "und" for k, ok in zip(order[:, 0].tolist(), letters.tolist())], score
 
 
-_KEY = ["lang", "long", "h", "doc_id", "n"]
+_KEY = ["lang", "over", "h", "doc_id"]
 
 
-def _chosen(labelled: DataFrame, rows: int, chars: int) -> list:
-    """The sample's keys, in order; tasks send on the first ``rows`` distinct ones
-    of each label, so neither repeated rows nor a label's size matter."""
-    keys = labelled.select("lang", (F.length("text") > chars).alias("long"), F.xxhash64("text").alias("h"), "doc_id", F.length("text").alias("n"))
+def _chosen(labelled: DataFrame, rows: int, usual: int) -> DataFrame:
+    """(lang, h) of the sample; tasks send on the first ``rows`` distinct texts of each
+    label, so neither repeated rows nor a label's size matter."""
+    keys = labelled.select("lang", F.greatest(F.length("text") - usual, F.lit(0)).alias("over"), "h", "doc_id")
 
     def first(batches):
         held = None
@@ -224,32 +223,21 @@ def _chosen(labelled: DataFrame, rows: int, chars: int) -> list:
         if held is not None:
             yield held
 
-    few = keys.mapInPandas(first, keys.schema).groupBy("lang", "h").agg(F.min("long").alias("long"), F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("long", "h"))
-    return few.withColumn("rank", rank).filter(F.col("rank") <= rows).orderBy("lang", "rank").collect()
+    few = keys.mapInPandas(first, keys.schema).groupBy("lang", "h").agg(F.min("over").alias("over"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("over", "h"))
+    return few.withColumn("rank", rank).filter(F.col("rank") <= rows).select("lang", "h")
 
 
-def fit(docs: DataFrame, rows: int = 64, chars: int = 40_000, total: int = 4_000_000) -> LanguageModel:
-    """Learn from at most ``rows`` rows a label.  The driver holds that many keys,
-    and texts of ``chars`` characters a label and ``total`` in all."""
+def fit(docs: DataFrame, rows: int = 16, usual: int = 40_000) -> LanguageModel:
+    """Learn ``rows`` texts a label, whole; the driver holds these."""
     fold = ~F.coalesce(held_out("doc_id"), F.lit(True))
     labelled = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.trim("text") != "") & fold)
-    labels = max(1, labelled.select("lang").distinct().count())
-    chars = max(1000, min(chars, total // labels))
-    room: dict[str, int] = {}
-    wanted = []
-    for r in _chosen(labelled, rows, chars):
-        if r.n <= room.setdefault(r.lang, chars) or (r.long and room[r.lang] == chars):
-            room[r.lang] -= r.n
-            wanted.append((r.lang, r.h))
+    labelled = labelled.withColumn("h", F.xxhash64("text"))
+    wanted = _chosen(labelled, rows, usual).collect()
     if not wanted:
         return LanguageModel({})
-    spark = docs.sparkSession
-    asked = spark.createDataFrame(wanted, labelled.select("lang", F.xxhash64("text").alias("h")).schema)
-    pieces = max(2, chars // 1000)
-    window = F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda i: F.substring("text", 1 + F.floor(i * (F.length("text") - 1000) / (pieces - 1)).cast("int"), F.lit(1000)))
-    text = F.when(F.length("text") <= chars, F.col("text")).otherwise(F.array_join(window, " "))
-    texts = labelled.withColumn("h", F.xxhash64("text")).join(F.broadcast(asked), ["lang", "h"]).select("lang", "h", text.alias("text"))
+    asked = docs.sparkSession.createDataFrame(wanted, labelled.select("lang", "h").schema)  # rows a label
+    texts = labelled.join(F.broadcast(asked), ["lang", "h"]).select("lang", "h", "text")
 
     def once(batches):
         seen = set()
@@ -278,7 +266,7 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None
     return source.mapInArrow(run, schema)
 
 
-def identify(docs: DataFrame, rows: int = 64, chars: int = 40_000) -> DataFrame:
+def identify(docs: DataFrame, rows: int = 16, usual: int = 40_000) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every document."""
     docs = docs.select("doc_id", "text", "lang")
-    return predict(docs, fit(docs, rows, chars)).select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "lang_pred", "score")
+    return predict(docs, fit(docs, rows, usual)).select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "lang_pred", "score")
