@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences.
 
 1. ``language_id``: documents in which no learned language is recognised (no
-   text, or no letters) go.
+   text, or no letters) go; the others get the language recognised as their lang.
+   Where no row is labelled, all documents with letters stay as they are.
 2. ``jaccard_join``: of each group of documents linked by a Jaccard similarity
    of 0.8 or more of their five-word shingles, the one with the smallest
    doc_id stays.
@@ -23,8 +24,6 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
-import functools
-
 import public_tokenizers
 from pyspark.sql import functions as F
 
@@ -32,27 +31,26 @@ from weftline.llm import jaccard_join, language_id, packing, substring_dedup
 from weftline.llm.common import cut, table
 
 DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Rows that go to a Python worker at once: with whole texts in them, Spark's
-#: default of 10,000 takes much memory on both sides.
+#: Rows that go to a Python worker at once while documents are parsed: with whole
+#: texts in them, Spark's default of 10,000 takes much memory on both sides.
 BATCH_ROWS = "2000"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def _small_batches(stage):
-    @functools.wraps(stage)
-    def run(spark, docs, sf_dir):
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-        return stage(spark, docs, sf_dir)
-
-    return run
-
-
-@_small_batches
 def recognised(spark, docs, sf_dir):
     docs = docs.select(*DOCUMENTS)
-    return language_id.predict(docs, language_id.fit(docs), DOCUMENTS).filter("lang_pred <> 'und'").select(*DOCUMENTS)
+    model = language_id.fit(docs)
+    if not model.labels:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    found = language_id.predict(docs, model, DOCUMENTS).filter("lang_pred <> 'und'").select(*(F.col("lang_pred").alias(c) if c == "lang" else c for c in DOCUMENTS))
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, BATCH_ROWS)
+    try:
+        return cut(found, "recognised")
+    finally:
+        spark.conf.set(_BATCH, before)
 
 
-@_small_batches
 def distinct_documents(spark, docs, sf_dir):
     groups = jaccard_join.jaccard_components(docs, k=5, percent=80)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
@@ -61,7 +59,6 @@ def distinct_documents(spark, docs, sf_dir):
     return rows.join(stay, "row_key", "left_semi").select(*DOCUMENTS)
 
 
-@_small_batches
 def without_repeats(spark, docs, sf_dir):
     rest = substring_dedup.dedup(docs, 50, DOCUMENTS).filter("n_removed = 0 or n_removed < n_words")
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
@@ -69,7 +66,6 @@ def without_repeats(spark, docs, sf_dir):
     return rest.select("doc_id", text.alias("text"), "lang", "source", length.alias("n_chars"))
 
 
-@_small_batches
 def packed(spark, docs, sf_dir):
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, capacity=2048)
 
