@@ -29,6 +29,12 @@ def _permuted(i: np.ndarray, size: int, seed: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _pair(at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ordered pair of different vertices at a place of all n (n - 1)."""
+    src, dst = at // (n - 1), at % (n - 1)
+    return src, dst + (dst >= src)
+
+
 def gnm(spark: SparkSession, n: int, m: int, seed: int) -> Graph:
     """m distinct ordered pairs of different vertices: the first m of a seeded
     permutation of all n (n - 1)."""
@@ -38,17 +44,33 @@ def gnm(spark: SparkSession, n: int, m: int, seed: int) -> Graph:
 
     def run(batches):
         for pdf in batches:
-            at = _permuted(pdf["id"].to_numpy(), size, seed)
-            src, dst = at // (n - 1), at % (n - 1)
-            yield pd.DataFrame({"src": src, "dst": dst + (dst >= src)})
+            yield pd.DataFrame(dict(zip(("src", "dst"), _pair(_permuted(pdf["id"].to_numpy(), size, seed), n))))
 
     return Graph(spark.range(m).mapInPandas(run, "src long, dst long"), n)
 
 
+def gnp_grid(params: DataFrame) -> DataFrame:
+    """``params`` (graph, n, p, seed) -> (graph, n, src, dst): many small graphs as
+    :func:`gnp` makes them, one a row, in one job."""
+
+    def run(batches):
+        for pdf in batches:
+            for r in pdf.itertuples():
+                n, size = int(r.n), int(r.n) * (int(r.n) - 1)
+                src, dst = _pair(_permuted(np.arange(_arcs(n, r.p, int(r.seed))), size, int(r.seed)), n)
+                yield pd.DataFrame({"graph": r.graph, "n": n, "src": src, "dst": dst})
+
+    return params.mapInPandas(run, "graph long, n long, src long, dst long")
+
+
+def _arcs(n: int, p: float, seed: int) -> int:
+    return int(np.random.default_rng(seed).binomial(n * (n - 1) // 2, p))
+
+
 def gnp(spark: SparkSession, n: int, p: float, seed: int) -> Graph:
     """A binomial number of arcs over n (n - 1) / 2 draws, then :func:`gnm`;
     both directions of a pair may occur."""
-    return gnm(spark, n, int(np.random.default_rng(seed).binomial(n * (n - 1) // 2, p)), seed)
+    return gnm(spark, n, _arcs(n, p, seed), seed)
 
 
 def _grow(n: int, d: int, o: int, seed: int):

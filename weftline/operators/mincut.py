@@ -191,6 +191,17 @@ def kernel(n: int, arcs: np.ndarray, size: int, core: int) -> tuple[np.ndarray,
     return label, arcs, size, side
 
 
+def least_cut(n: int, arcs: np.ndarray, trials: int, seed: int, strategy: str = "copy", find_mode: str = "halving") -> int:
+    """The size of the smallest cut that ``trials`` find in a connected graph of arcs
+    (u, v, weight), on the way of :func:`min_cut`, in the task that calls it."""
+    size = int(np.bincount(arcs[:, :2].ravel(), np.repeat(arcs[:, 2], 2), n).min())
+    if n > CORE:
+        label, arcs, size, _ = kernel(n, arcs, size, CORE)
+        n = int(label.max()) + 1
+    tries = range(trials) if n > 1 else ()
+    return min([size, *(smallest_cut(DisjointSet(n, find_mode, undo=strategy == "undo"), arcs, np.random.default_rng([seed, t]))[0] for t in tries)])
+
+
 def _numbered(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Names of the ends u, v in order, and arcs (u, v, weight) by number, sorted."""
     names, ends = np.unique(pdf[["u", "v"]].to_numpy(), return_inverse=True)

@@ -77,7 +77,9 @@ def add_links(s, d):
 
 
 def literal_weights(s, d):
-    g = Graph.literal(s, 3, [(0, 1, 42), (0, 2, 33), (2, 0, 25)])
+    """Regions in a ring, each arc as heavy as the region's name is long."""
+    regions = derived.table(s, d, "region").select("r_regionkey", "r_name").collect()  # five rows
+    g = Graph.literal(s, len(regions), [(r.r_regionkey, (r.r_regionkey + 1) % len(regions), len(r.r_name)) for r in regions])
     sums = g.edges.groupBy("src").agg(F.sum("weight").alias("w"))
     return g.vertices.join(sums, F.col("vertex") == F.col("src"), "left").select("vertex", F.coalesce("w", F.lit(0)).cast("long").alias("weight"))
 
@@ -190,7 +192,7 @@ def apl_textbook(s, d):
 
 
 def apl_twin_fives(s, d):
-    return _round(paths.average_path_length(edges.twin_fives(s)), "apl")
+    return _round(paths.average_path_length(edges.two_blocks(s, _count(s, d, "region"), [(2, 6), (4, 5), (3, 7)])), "apl")
 
 
 def apl_catalogue(s, d):
@@ -218,11 +220,11 @@ def hyper_ball(s, d):
 
 
 def reach_counts(s, d):
-    return paths.reach_registers(edges.twin_fives(s), 4, SEED)
+    return paths.reach_registers(edges.two_blocks(s, _count(s, d, "region"), [(2, 6), (4, 5), (3, 7)]), 4, SEED)
 
 
 def graph_union_bridges(s, d):
-    return edges.twin_tens(s).edges
+    return edges.two_blocks(s, 2 * _count(s, d, "region"), [(i, 10 + i) for i in range(1, 5)]).edges
 
 
 def connected_components(s, d):
@@ -293,11 +295,11 @@ def union_find_undo(s, d):
 
 
 def min_cut_edges(s, d):
-    return mincut.min_cut(edges.twin_fives(s), 20, SEED)
+    return mincut.min_cut(edges.two_blocks(s, _count(s, d, "region"), [(2, 6), (4, 5), (3, 7)]), 20, SEED)
 
 
 def min_cut_tens(s, d):
-    return mincut.min_cut(edges.twin_tens(s), None, SEED)
+    return mincut.min_cut(edges.two_blocks(s, 2 * _count(s, d, "region"), [(i, 10 + i) for i in range(1, 5)]), None, SEED)
 
 
 def _values(s, d):
@@ -384,34 +386,62 @@ def register_round_trip(s, d):
     return rows.select("c_custkey", back.alias("a"), bits.alias("bits")).select("c_custkey", F.array_join(F.transform("a", lambda x: x.cast("string")), ",").alias("registers"), "bits")
 
 
+def _count(s, d, name):
+    return derived.table(s, d, name).count()
+
+
 def gnm(s, d):
-    return generators.gnm(s, 200, 1500, SEED).edges
+    """As many vertices as customers and arcs as orders."""
+    return generators.gnm(s, _count(s, d, "customer"), _count(s, d, "orders"), SEED).edges
 
 
 def gnp(s, d):
-    return generators.gnp(s, 80, 0.6, SEED).edges
+    return generators.gnp(s, _count(s, d, "supplier"), 0.6, SEED).edges
+
+
+def _shape(e, n):
+    """Self loops, outer ends and repeated arcs."""
+    outer = ~F.col("src").between(0, n - 1) | ~F.col("dst").between(0, n - 1)
+    return e.agg(F.count_if(F.col("src") == F.col("dst")).alias("loops"), F.count_if(outer).alias("outside"), (F.count(F.lit(1)) - F.count_distinct("src", "dst")).alias("repeated"), F.count(F.lit(1)).alias("arcs"))
+
+
+def gnp_shape(s, d):
+    """Whether the number of arcs lies within six deviations of the mean."""
+    n = _count(s, d, "part")
+    pairs, p = n * (n - 1) // 2, 0.02
+    near = F.abs(F.col("arcs") - pairs * p) < 6 * (pairs * p * (1 - p)) ** 0.5
+    return _shape(generators.gnp(s, n, p, SEED).edges, n).select("loops", "outside", "repeated", near.alias("near"), F.lit(n).cast("long").alias("vertices"))
 
 
 def gnm_shape(s, d):
-    """Arcs, distinct arcs, self loops and outer ends of a generated graph."""
-    e = generators.gnm(s, 5000, 200_000, SEED).edges
-    return e.agg(F.count(F.lit(1)).alias("arcs"), F.count_distinct("src", "dst").alias("different"), F.count_if(F.col("src") == F.col("dst")).alias("loops"), F.count_if(~F.col("src").between(0, 4999) | ~F.col("dst").between(0, 4999)).alias("outside"))
+    """Vertices as customers, arcs as lines."""
+    n = _count(s, d, "customer")
+    return _shape(generators.gnm(s, n, _count(s, d, "lineitem"), SEED).edges, n)
 
 
-def clustered_shape(s, d):
+def _grown_shape(e):
     """Every vertex from 2 on starts min(v, d) arcs at least; arcs are distinct."""
-    e = generators.clustered(s, 800, 10, 5, SEED).edges
     out = e.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("dst").alias("k"))
     return out.filter("src >= 2").agg(F.count(F.lit(1)).alias("vertices"), F.count_if(F.col("n") < F.least("src", F.lit(10))).alias("short"), F.sum(F.col("n") - F.col("k")).alias("repeated"))
 
 
+def clustered_shape(s, d):
+    return _grown_shape(generators.clustered(s, _count(s, d, "customer"), 10, 5, SEED).edges)
+
+
+def attached_shape(s, d):
+    return _grown_shape(generators.attached(s, _count(s, d, "orders"), 10, 5, SEED).edges)
+
+
 def clustered(s, d):
-    grid = [(i, n, 10, o, SEED) for i, (n, o) in enumerate((n, o) for n in (500, 1000) for o in (1, 2, 3, 5, 8, 12, 50))]
-    return generators.clustered_grid(s.createDataFrame(grid, "graph long, n long, d long, o long, seed long"))
+    """Graphs of as many vertices as customers, one for each number of triads."""
+    n = _count(s, d, "customer")
+    grid = [(i, n, 10, o, SEED) for i, o in enumerate((1, 2, 3, 5, 8, 12, 50))]
+    return generators.clustered_grid(s.createDataFrame(grid, "graph long, n long, d long, o long, seed long").repartition(len(grid)))
 
 
 def complete_graph(s, d):
-    return edges.complete(s, 5).lines()
+    return edges.complete(s, _count(s, d, "region")).lines()
 
 
 _NAMES = [
@@ -419,7 +449,7 @@ _NAMES = [
     has_link_semi, has_link_anti, stored_rows, edge_text_file, edge_csv_file, labels_in_batches, hll_packed_union, hll_packed_rollup, register_shape, add_links, exact_size, dense_vertex_ids, clustering_local, clustering_exact, clustering_session,
     clustering_local_two, clustering_sampled, clustering_sampled_session, apl_catalogue, distance_counts, reach_reorders, hyper_ball_reorders, bfs_distances, bfs_directed, bfs_from_sample, ball_limit_chains, literal_weights, add_weighted_links, empty_graph, edge_files, apl_exact, apl_textbook, apl_twin_fives, ball_limit, hyper_ball, reach_counts,
     graph_union_bridges, connected_components, components_supply, are_connected, min_cut_size, min_cut_size_undo, min_cut_months, min_cut_months_arcs, min_cut_segments, min_cut_ring, min_cut_trade, min_cut_session,
-    union_find_labels, union_find_compression, union_find_undo, hll_registers_all_sizes, hll_compact, hll_compact_bytes, gnm_shape, clustered_shape, min_cut_edges, min_cut_tens, jenkins_hash,
+    union_find_labels, union_find_compression, union_find_undo, hll_registers_all_sizes, hll_compact, hll_compact_bytes, gnm_shape, gnp_shape, clustered_shape, attached_shape, min_cut_edges, min_cut_tens, jenkins_hash,
     hll_registers, hll_estimate, hll_range, hll_union, hll_rollup, approx_distinct_native, register_merge, register_round_trip, gnm, gnp, clustered,
     complete_graph,
 ]
@@ -448,8 +478,8 @@ _SESSION = """session AS (
   WHERE dst IS NOT NULL AND src <> dst)"""
 _TWINS = """blocks AS (SELECT a.range AS src, b.range AS dst FROM range({size}) a, range({size}) b WHERE a.range <> b.range),
 twins AS (SELECT src, dst FROM blocks UNION ALL SELECT src + {size}, dst + {size} FROM blocks UNION ALL SELECT src::BIGINT, dst::BIGINT FROM (VALUES {bridges}) v(src, dst))"""
-_FIVES = _TWINS.format(size=5, bridges="(2, 6), (4, 5), (3, 7)")
-_TENS = _TWINS.format(size=10, bridges="(1, 11), (2, 12), (3, 13), (4, 14)")
+_FIVES = _TWINS.format(size="(SELECT count(*) FROM region)", bridges="(2, 6), (4, 5), (3, 7)")
+_TENS = _TWINS.format(size="(SELECT 2 * count(*) FROM region)", bridges="(1, 11), (2, 12), (3, 13), (4, 14)")
 
 
 def _local(arcs, degree=3):
@@ -561,7 +591,7 @@ def oracle_sql():
         "has_link_semi": f"WITH {_SESSION}, {pairs} SELECT * FROM pairs p WHERE EXISTS (SELECT 1 FROM session e WHERE e.src = p.src AND e.dst = p.dst)",
         "has_link_anti": f"WITH {_SESSION}, {pairs} SELECT * FROM pairs p WHERE NOT EXISTS (SELECT 1 FROM session e WHERE e.src = p.src AND e.dst = p.dst)",
         "add_links": f"WITH {_TRADE}, arcs AS (SELECT * FROM trade UNION ALL VALUES (0, 27), (27, 1), (1, 1)) SELECT range AS vertex, count(dst) AS degree FROM range(30 + 1) LEFT JOIN arcs ON src = range GROUP BY 1",
-        "literal_weights": "SELECT * FROM (VALUES (0::BIGINT, 75::BIGINT), (1, 0), (2, 25)) v(vertex, weight)",
+        "literal_weights": "SELECT r_regionkey::BIGINT AS vertex, length(r_name)::BIGINT AS weight FROM region",
         "add_weighted_links": "SELECT src, sum(w)::BIGINT AS weight, count(*) AS arcs FROM (SELECT l_suppkey AS src, l_linenumber AS w FROM lineitem UNION ALL SELECT s_suppkey, 100 FROM supplier) GROUP BY 1",
         "empty_graph": f"WITH {_SESSION} SELECT count(*) AS edges, (max(greatest(src, dst)) + 1)::BIGINT AS vertices FROM session",
         "edge_files": f"WITH {_SESSION} SELECT src::BIGINT AS src, dst::BIGINT AS dst FROM session",
@@ -611,8 +641,10 @@ def oracle_sql():
         "hll_registers_all_sizes": " UNION ALL ".join(f"SELECT *, {b}::INTEGER AS b FROM (WITH {_VALUES}, {_regs('v', 'regs', b)} SELECT * FROM regs)" for b in (4, 5, *range(7, 16))),
         "hll_compact": f"WITH {_VALUES}, {_regs('v', 'regs')} SELECT * FROM regs",
         "hll_compact_bytes": "SELECT DISTINCT length(event_type)::BIGINT AS key, (64 * 5 // 8)::BIGINT AS bytes FROM events",
-        "gnm_shape": "SELECT 200000::BIGINT AS arcs, 200000::BIGINT AS different, 0::BIGINT AS loops, 0::BIGINT AS outside",
-        "clustered_shape": "SELECT 798::BIGINT AS vertices, 0::BIGINT AS short, 0::BIGINT AS repeated",
+        "gnm_shape": "SELECT 0::BIGINT AS loops, 0::BIGINT AS outside, 0::BIGINT AS repeated, count(*) AS arcs FROM lineitem",
+        "gnp_shape": "SELECT 0::BIGINT AS loops, 0::BIGINT AS outside, 0::BIGINT AS repeated, true AS near, count(*) AS vertices FROM part",
+        "attached_shape": "SELECT count(*) - 2 AS vertices, 0::BIGINT AS short, 0::BIGINT AS repeated FROM orders",
+        "clustered_shape": "SELECT count(*) - 2 AS vertices, 0::BIGINT AS short, 0::BIGINT AS repeated FROM customer",
         "hll_estimate": f"WITH {_VALUES}, {_regs('v', 'regs')}, {_EST} SELECT key, round(e, 9) AS estimate FROM est",
         "hll_range": f"WITH {_VALUES}, {_regs('v', 'regs')}, {_EST} SELECT key, round(e, 9) AS estimate, round(e * 0.87, 9) AS low, round(e * 1.13, 9) AS high FROM est",
         "hll_union": f"WITH {_BOTH}, {_regs('v', 'regs')} SELECT * FROM regs",
@@ -622,5 +654,5 @@ def oracle_sql():
         "register_shape": f"SELECT c_custkey, count(*) AS registers, 5::BIGINT AS bits, ((count(*) * 5 + 7) // 8)::BIGINT AS bytes FROM {_REGS} GROUP BY 1",
         "register_merge": f"SELECT c_custkey, sum(greatest(a, b))::BIGINT AS total, bool_or(b > a) AS changed, (max(a) FILTER (i = 4))::BIGINT AS fifth FROM {_REGS} GROUP BY 1",
         "register_round_trip": f"SELECT c_custkey, string_agg(a::VARCHAR, ',' ORDER BY i) AS registers, string_agg(right(bin(a), 5).lpad(5, '0'), '|' ORDER BY i) AS bits FROM {_REGS} GROUP BY 1",
-        "complete_graph": f"{lists} FROM (SELECT a.range AS vertex, b.range AS dst FROM range(5) a, range(5) b) GROUP BY 1",
+        "complete_graph": f"{lists} FROM (SELECT a.range AS vertex, b.range AS dst FROM range((SELECT count(*) FROM region)) a, range((SELECT count(*) FROM region)) b) GROUP BY 1",
     }

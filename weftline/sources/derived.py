@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import Graph, dense_ids
+from ..plans.storage import cut
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,14 +55,15 @@ def first_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def session(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct (user, user of the next event), where they differ.  Events are
-    put in order within a day, and each day's first is the next of the last of
-    the day before, so no sort takes the whole stream into one task."""
-    events = table(spark, sf_dir, "events").select("ts", "event_id", "user_id").withColumn("day", F.to_date("ts"))
-    within = Window.partitionBy("day").orderBy("ts", "event_id")
-    rows = events.withColumn("next", F.lead("user_id").over(within))
-    edge = events.groupBy("day").agg(F.min_by("user_id", F.struct("ts", "event_id")).alias("first"), F.max_by("user_id", F.struct("ts", "event_id")).alias("last"))
-    across = edge.select(F.col("last").alias("src"), F.lead("first").over(Window.orderBy("day")).alias("dst"))  # a row a day
+    """Distinct (user, user of the next event), where they differ.  Events are put in
+    order by range; the next of a partition's last one is the first of the partition
+    after it (a row a partition), so no group of events is ordered in one task."""
+    events = table(spark, sf_dir, "events").select("ts", "event_id", "user_id").repartitionByRange("ts", "event_id")
+    parts = cut(events.withColumn("part", F.spark_partition_id()), "events")
+    place = F.struct("ts", "event_id")
+    rows = parts.withColumn("next", F.lead("user_id").over(Window.partitionBy("part").orderBy("ts", "event_id")))
+    edge = parts.groupBy("part").agg(F.min_by("user_id", place).alias("first"), F.max_by("user_id", place).alias("last"))
+    across = edge.select(F.col("last").alias("src"), F.lead("first").over(Window.orderBy("part")).alias("dst"))  # a row a partition
     pairs = rows.select(F.col("user_id").alias("src"), F.col("next").alias("dst")).unionByName(across)
     return pairs.filter("dst is not null and src <> dst").select(F.col("src").cast("long"), F.col("dst").cast("long")).distinct()
 
