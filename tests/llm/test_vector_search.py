@@ -85,3 +85,23 @@ def test_blocks_of_queries(spark, monkeypatch):
     whole = vector_search.nearest(df).collect()
     monkeypatch.setattr(vector_search, "BLOCK", 9)
     assert sorted(whole) == sorted(vector_search.nearest(df).collect())
+
+
+def test_doubles_are_scored_as_doubles(spark):
+    x = np.random.default_rng(5).normal(size=(600, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = vector_search.nearest(df).collect()
+    assert len(got) == 30 * 20
+    for r in got:
+        assert r.score == pytest.approx(float(x[r.query_id] @ x[r.vec_id]), rel=1e-14, abs=1e-15)
+    near = {r.vec_id for r in got if r.query_id == 0}
+    others = [i for i in np.argsort(-(x @ x[0])) if i]
+    assert len(near & set(others[:20])) >= 18
+    whole = vector_search.nearest(spark.createDataFrame([(0, [1, 2]), (1, [3, 4])], "vec_id long, embedding array<int>"))
+    assert [tuple(r) for r in whole.collect()] == [(0, 1, 1, 11.0)]
+
+
+def test_ids_with_different_vectors(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (20, [0.0, 1.0]), (3, [2.0, 0.5])]
+    got = vector_search.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert sorted(tuple(r) for r in got) == [(20, 1, 3, 0.5), (20, 1, 3, 2.0), (20, 2, 20, 0.0), (20, 2, 20, 0.0)]

@@ -21,8 +21,10 @@ vectors.
 
 Defined results: vectors that are null, zero, of another dimension than most,
 or hold null or non-finite components take no part; rows that repeat vec_id
-and vector count once; equal scores go to the smaller vec_id; other columns
-are ignored; an empty table gives an empty result.
+and vector count once; a vec_id with different vectors is a row for each of them:
+as a query each has its own ranking, and the others are candidates in it; equal
+scores go to the smaller vec_id; doubles are kept and scored as doubles; other
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -238,9 +240,9 @@ def _insert(graph: Graph, level: int, links: np.ndarray, start: int, end: int, m
 
 
 def _matrix(column) -> np.ndarray:
-    """A list column of floats, all of one length, as a float32 matrix."""
+    """A list column of floats or doubles, all of one length, as a matrix."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(column), -1) if len(column) else np.zeros((0, 1), np.float32)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 1), np.float32)
 
 
 def _build_shard(longest: float):
@@ -249,7 +251,7 @@ def _build_shard(longest: float):
         ids, raw = table.column("vec_id").to_numpy(), _matrix(table.column("embedding"))
         order = np.argsort(ids, kind="stable")
         ids, raw = ids[order], raw[order]
-        rows = np.ascontiguousarray(raw + np.float32(0)).view(f"V{4 * raw.shape[1]}").ravel()  # -0.0 and 0.0 are one
+        rows = np.ascontiguousarray(raw + raw.dtype.type(0)).view(f"V{raw.itemsize * raw.shape[1]}").ravel()  # -0.0 and 0.0 are one
         _, first, of, count = np.unique(rows, return_index=True, return_inverse=True, return_counts=True)
         levels = _levels(ids[first])
         fall = np.lexsort((ids[first], -levels))
@@ -263,7 +265,7 @@ def _build_shard(longest: float):
         for part, i in enumerate(range(0, len(raw), PART)):
             j = min(len(raw), i + PART)
             links = b"".join(np.ascontiguousarray(x[i : min(j, len(x))], "<i4").tobytes() for x in layers if i < len(x))
-            out.append({"shard": shard, "part": part, "levels": levels[i:j].astype("<i4").tobytes(), "ids": ids[by][flat[i] : flat[j]].astype("<i8").tobytes(), "id_counts": count[i:j].astype("<i8").tobytes(), "vectors": raw[i:j].astype("<f4").tobytes(), "links": links})
+            out.append({"shard": shard, "part": part, "levels": levels[i:j].astype("<i4").tobytes(), "ids": ids[by][flat[i] : flat[j]].astype("<i8").tobytes(), "id_counts": count[i:j].astype("<i8").tobytes(), "vectors": raw[i:j].tobytes(), "links": links})
         return pa.Table.from_pylist(out, _INDEX)
 
     return run
@@ -287,7 +289,8 @@ def _load(parts: list[dict], dim: int):
                 cap = most + most // 2
                 layer.append(links[at : at + n * cap].reshape(n, cap))
                 at += n * cap
-    return join("vectors", "<f4").reshape(-1, dim), [np.concatenate(x).astype(np.int64) for x in layers], join("ids", "<i8"), np.concatenate([[0], np.cumsum(counts)])
+    size = sum(len(p["vectors"]) for p in parts) // (len(levels) * dim)
+    return join("vectors", f"<f{size}").reshape(-1, dim), [np.concatenate(x).astype(np.int64) for x in layers], join("ids", "<i8"), np.concatenate([[0], np.cumsum(counts)])
 
 
 def _search_shard(dim: int, k: int, longest: float):
@@ -306,7 +309,10 @@ def _search_shard(dim: int, k: int, longest: float):
                     hits = []
                     for at, s in zip(found[r].tolist(), score[r].tolist()):
                         if at >= 0:
-                            hits += [(-s, v) for v in ids[start[at] : start[at + 1]][: k + 1].tolist() if v != own[i + r]]
+                            near = ids[start[at] : start[at + 1]][: k + 1].tolist()
+                            if own[i + r] in near and (raw[at] == q[r]).all():
+                                near.remove(own[i + r])
+                            hits += [(-s, v) for v in near]
                     for s, v in sorted(hits)[:k]:
                         for c, x in zip(rows, (keys[i + r], own[i + r], v, -s)):
                             c.append(x)
@@ -319,6 +325,8 @@ def usable(vectors: DataFrame) -> DataFrame:
     """Rows that take part, each vec_id and vector once."""
     inf = float("inf")
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < inf)) & F.exists("embedding", lambda x: x != 0)
+    if vectors.schema["embedding"].dataType.simpleString() != "array<float>":
+        vectors = vectors.withColumn("embedding", F.col("embedding").cast("array<double>"))
     rows = vectors.filter("vec_id is not null and embedding is not null").filter(fine).select(F.col("vec_id").cast("long"), "embedding", F.size("embedding").alias("dim"))
     return rows.dropDuplicates(["vec_id", "embedding"])
 
