@@ -56,3 +56,14 @@ def test_repeated_rows_and_empty_table(spark):
     assert token_output.round_trip(docs.filter("false"), PATH).count() == 0
     null = spark.createDataFrame([(None, "b"), (-5, "a"), (-(2**63), "c")], "doc_id long, text string")
     assert [(r.doc_id, r.start) for r in token_output.round_trip(null, PATH).orderBy("start").collect()] == [(None, 0), (-(2**63), 2), (-5, 4)]
+
+
+def test_rows_of_one_id_spread_over_files(spark, tmp_path):
+    rows = [(7 if i % 3 else None, f"word {i} " * (i % 5)) for i in range(3000)]
+    path = f"file://{tmp_path}/t"
+    token_output.write_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), path, PATH)
+    assert spark.read.parquet(f"{path}/blocks").select("file").distinct().count() >= 6
+    got = sorted(token_output.id_digests(token_output.read_tokens(spark, path)).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None] * 1000 + [7] * 2000
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
+    assert sorted(r.ids_crc32 for r in got) == sorted(x[3] for x in expected([(0, t) for _, t in rows]))

@@ -147,7 +147,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, bl
                 yield pa.RecordBatch.from_pylist([row], _BLOCK)
                 base += int(counts[i:j].sum())
 
-    ordered = tokens.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id")
+    # a second key, so that rows of one doc_id, whatever their number, spread over files
+    numbered = tokens.withColumn("place", F.monotonically_increasing_id())
+    ordered = numbered.repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place").select(*tokens.columns)
     out = ordered.mapInArrow(blocks, "base long, nulls long, doc_ids binary, counts binary, control binary, data binary")
     out.select(F.spark_partition_id().alias("file"), "*").write.option("compression", "zstd").parquet(f"{path}/blocks")
     drop(tokens)
