@@ -243,6 +243,22 @@ def _merged(arcs: DataFrame, moves: DataFrame, by: list[str]) -> DataFrame:
     return ends.filter("a <> b").groupBy(*by, F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.sum("w").alias("w"))
 
 
+def _connected(g: Graph, pairs: DataFrame) -> bool:
+    """Whether all vertices are; in one task where the pairs fit it."""
+    if pairs.count() > TASK_ARCS:
+        return component_count(connected_components(g)).first().components == 1
+    n = g.n
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, arcs = _numbered(pdf)
+        sets = DisjointSet(len(names))
+        for u, v in arcs[:, :2].tolist():
+            sets.union(u, v)
+        return pd.DataFrame({"whole": [len(names) == n and sets.components == 1]})
+
+    return any(r.whole for r in pairs.groupBy().applyInPandas(run, "whole boolean").collect())
+
+
 def _least_degree(pairs: DataFrame):
     ends = pairs.select(F.explode(F.array("u", "v")).alias("vertex"), "w")
     return ends.groupBy("vertex").agg(F.sum("w").alias("d")).orderBy("d", "vertex").first()
@@ -384,10 +400,10 @@ def min_cut(g: Graph, trials: int | str | None = None, seed: int = 0, strategy:
     if strategy not in ("copy", "undo"):
         raise ValueError("strategy is copy or undo")
     spark = g.spark
-    if g.n < 2 or component_count(connected_components(g)).first().components > 1:
+    pairs = cut(_pairs(g), "pairs")
+    if g.n < 2 or not _connected(g, pairs):
         return spark.createDataFrame([], "src long, dst long")
     count = low_ones_trials(g.n) if trials == "low ones" else trials or default_trials(g.n)
-    pairs = cut(_pairs(g), "pairs")
     least = _least_degree(pairs)
     maps: list[DataFrame] = []
     known, bound = (least.d, 0, [least.vertex]), None
