@@ -13,7 +13,8 @@ from weftline.operators import clustering, components, generators, mincut, paths
 from weftline.operators.disjoint_set import DisjointSet
 from weftline.operators.graph import Graph, dense_ids
 from weftline.operators.labels import Labels
-from weftline.sources import edges
+from weftline.plans import queries
+from weftline.sources import derived, edges
 from weftline.sources.store import EdgeStore
 from weftline.streaming import sketches
 
@@ -40,6 +41,12 @@ def test_literals(spark):
     assert pairs(sums) == [(0, 75), (1, 0), (2, 25)]
 
 
+def test_empty_weighted_graphs_take_weighted_links(spark):
+    g = Graph.literal(spark, 0, [], weighted=True)
+    more = g.with_links(spark.createDataFrame([(2, 0, 7)], "src long, dst long, weight int"))
+    assert (g.n, g.edge_count(), more.n, pairs(more.edges)) == (0, 0, 3, [(2, 0, 7)])
+
+
 def test_loading_validates_and_counts(spark):
     df = spark.createDataFrame([(0, 5)], "src long, dst long")
     assert Graph.from_edges(df).n == 6
@@ -337,6 +344,14 @@ def test_cuts_of_sparse_graphs_with_default_trials(spark, which):
     assert components.component_count(sides).first().components == 2
 
 
+def test_cut_of_the_session_graph(spark):
+    """The registered query that has no SQL, over its whole table."""
+    tables = "/root/testdata/sf0.01"
+    n, arcs = weighted(pairs(derived.session(spark, tables)))
+    assert n > 64
+    assert [r.cut_size for r in queries.min_cut_session(spark, tables).collect()] == [stoer_wagner(n, arcs)]
+
+
 def test_certificates_of_parts_keep_small_cuts(spark):
     rng = np.random.default_rng(6)
     n, arcs = weighted(regular(9, 4, 3) + [tuple(x) for x in rng.integers(0, 9, (60, 2)).tolist()])

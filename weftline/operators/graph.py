@@ -36,9 +36,10 @@ class Graph:
         return Graph(edges, n)
 
     @staticmethod
-    def literal(spark: SparkSession, n: int, arcs: list[tuple]) -> Graph:
-        """A graph written out: (src, dst) or (src, dst, weight) tuples."""
-        schema = "src long, dst long" + (", weight int" if arcs and len(arcs[0]) == 3 else "")
+    def literal(spark: SparkSession, n: int, arcs: list[tuple], weighted: bool = False) -> Graph:
+        """A graph written out: (src, dst) or (src, dst, weight) tuples; ``weighted``
+        says so where there are none yet."""
+        schema = "src long, dst long" + (", weight int" if weighted or (arcs and len(arcs[0]) == 3) else "")
         return Graph(spark.createDataFrame(arcs, schema), n)
 
     @property
