@@ -165,3 +165,21 @@ def test_other_sizes_and_strips(spark, monkeypatch):
     whole = rows()
     monkeypatch.setattr(mc, "PIXELS", 240 * 40)
     assert len(whole & rows()) >= 0.99 * len(whole | rows())
+
+
+def test_hot_values_are_dealt_on(spark, monkeypatch):
+    pictures = [(i, noisy(mc.draw(1), i, 3 * (i % 2))) for i in range(120)] + [(1000 + i, mc.draw(i // 2 + 5)) for i in range(40)]
+    whole = groups(frame(spark, pictures))
+    corners = mc.describe(frame(spark, pictures)).withColumn("corner", F.monotonically_increasing_id()).persist()
+    assert mc._dealt(corners)[1] is None
+    monkeypatch.setattr(mc, "HOT", 20)
+    cool, hot = mc._dealt(corners)
+    entry = [F.col("block"), mc._value(F.col("block")).alias("v")]
+    assert cool.groupBy(*entry).count().agg(F.max("count")).first()[0] <= 20
+    assert hot.groupBy(*entry, "other", mc._value(F.col("other")).alias("w")).count().agg(F.max("count")).first()[0] > 60
+    assert hot.groupBy(*entry, "other", mc._value(F.col("other")).alias("w"), "part").count().agg(F.max("count")).first()[0] <= 45
+    want = near_pairs(corners.collect())
+    got = {(r.i, r.j) for r in mc._compared(corners).filter("j >= 0").collect()}
+    assert got <= set(want)
+    assert groups(frame(spark, pictures)) == whole
+    corners.unpersist()

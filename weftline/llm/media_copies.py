@@ -14,10 +14,13 @@ similarity transform between their pictures, and a transform with ``VOTES``
 different corners behind it links the two.  Linked pictures form groups.
 
 Corners of a table entry are compared in the task that holds it and only near
-pairs leave it.  In an entry with more than ``CROWD`` corners each first meets
+pairs leave it.  A block's value that more than ``HOT`` corners have is dealt on
+by the second block, and an entry that still has more by corner, so that a copy
+group of any size is many tasks' work; the parts of an entry all meet its first
+corner.  In an entry with more than ``CROWD`` corners each first meets
 the one of the smallest pic_id, the first with its own descriptor and the
 ``BEFORE`` that precede it by pic_id, so a copy group of any size forms from a
-few comparisons a corner.  Then all corners of such entries whose pictures are
+few comparisons a corner.  Then all corners of such (and of split) entries whose pictures are
 not in one group yet are compared, in squares of ``SQUARE`` by ``SQUARE``.  The
 groups are those that comparing all corners of all entries gives; where many
 pictures of different groups share an entry, the comparisons there grow with
@@ -42,7 +45,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
@@ -57,6 +60,7 @@ CROWD = 8
 BEFORE = 2
 SQUARE = 256
 ROWS = 400_000  # of the tables, a task
+HOT = 100_000  # rows of a key that are dealt on
 VOTES = 4
 CELL = 8  # pixels
 TILE = 80  # pixels; the corners that link two pictures lie in one tile
@@ -186,33 +190,51 @@ def describe(pictures: DataFrame) -> DataFrame:
     return pictures.select(F.col("pic_id").cast("long"), "image").mapInArrow(run, "pic_id long, x float, y float, scale float, angle float, d0 long, d1 long")
 
 
-def _dealt(corners: DataFrame, *columns: str) -> DataFrame:
-    """A row a corner and block but the last, dealt by the block's value."""
+def _value(block) -> Column:
+    """The 16 bits of a block of the descriptor."""
     width = 128 // BLOCKS
-    value = F.array(*(F.shiftrightunsigned(d, s).bitwiseAND(F.lit((1 << width) - 1)) for d in ("d0", "d1") for s in range(0, 64, width)))
-    rows = corners.select(F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 2))).alias("block"), "corner", "pic_id", "d0", "d1", *columns)
-    parts = max(corners.sparkSession.sparkContext.defaultParallelism, -(-corners.count() * (BLOCKS - 1) // ROWS))
-    return rows.repartition(parts, "block", F.get(value, F.col("block")))
+    return F.get(F.array(*(F.shiftrightunsigned(d, s).bitwiseAND(F.lit((1 << width) - 1)) for d in ("d0", "d1") for s in range(0, 64, width))), block)
 
 
-def _entries(batches):
-    """The entries of each table in a task, one table after another: the columns
-    in the order of pic_id and corner, then by entry; the columns' order, and the
-    start and end of the entry of each place."""
-    t = pa.Table.from_batches(batches)
-    c = {name: t.column(name).to_numpy() for name in t.column_names}
+def _dealt(corners: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """A row a corner and block but the last, dealt by the block's value, where so
+    many corners have the value that a task can hold them; and of the others a row
+    a table, dealt by both blocks' values, and by corner too where still too many
+    have them.  These know the first corner of their entry (a struct ``head``)."""
+    rows = corners.select(F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 2))).alias("block"), "corner", "pic_id", "d0", "d1").withColumn("value", _value(F.col("block")))
+    parts = max(corners.sparkSession.sparkContext.defaultParallelism, -(-corners.count() * (BLOCKS - 1) // ROWS))
+    # a row a block and value at the most: 7 * 2**16, whatever the corners
+    hot = cut(rows.groupBy("block", "value").count().filter(F.col("count") > HOT).select("block", "value"), "hot")
+    own = ["block", "corner", "pic_id", "d0", "d1"]
+    if hot.isEmpty():
+        return rows.repartition(parts, "block", "value").select(*own), None
+    cool = rows.join(F.broadcast(hot), ["block", "value"], "left_anti")
+    tables = rows.join(F.broadcast(hot), ["block", "value"], "left_semi").withColumn("other", F.explode(F.sequence(F.col("block") + 1, F.lit(BLOCKS - 1)))).withColumn("second", _value(F.col("other")))
+    entry = ["block", "value", "other", "second"]
+    large = tables.groupBy(*entry).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("pic_id", "corner", "d0", "d1")).alias("head")).filter(F.col("n") > HOT)
+    large = large.withColumn("parts", F.ceil(F.col("n") / HOT))
+    split = tables.join(cut(large, "large"), entry, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("corner"), "parts"), F.lit(0)).cast("int"))
+    many = max(parts, -(-split.count() // ROWS))
+    return cool.repartition(parts, "block", "value").select(*own), split.repartition(many, *entry, "part").select(*own, "other", "part", "head")
+
+
+def _entries(c: dict):
+    """The entries of each table in a task, one table after another: the columns'
+    places in the order of entry, pic_id and corner; the start and end of the entry
+    of each, and its name."""
     values = np.stack([c["d0"], c["d1"]], 1).view(f"<u{16 // BLOCKS}")
-    for i in range(BLOCKS - 1):
-        own = np.flatnonzero(c["block"] == i)
-        own = own[np.lexsort((c["corner"][own], c["pic_id"][own]))]
-        for j in range(i + 1, BLOCKS):
-            key = values[own, i].astype(np.uint64) << np.uint64(32) | values[own, j]
-            order = np.argsort(key, kind="stable")
+    for i, j in itertools.combinations(range(BLOCKS), 2):
+        own = np.flatnonzero((c["block"] == i) & (c["other"] == j) if "other" in c else c["block"] == i)
+        if len(own):
+            key = values[own, i].astype(np.uint64) << np.uint64(16) | values[own, j] | np.uint64(8 * i + j << 32)
+            if "part" in c:
+                key |= c["part"][own].astype(np.uint64) << np.uint64(38)
+            order = np.lexsort((c["corner"][own], c["pic_id"][own], key))
             key = key[order]
-            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             sizes = np.diff(first, append=len(key))
             start = np.repeat(first, sizes)
-            yield c, own[order], start, start + np.repeat(sizes, sizes), key + np.uint64(8 * i + j << 56)
+            yield own[order], start, start + np.repeat(sizes, sizes), (key & np.uint64((1 << 38) - 1)).view(np.int64)
 
 
 def _near(c: dict, p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -234,25 +256,39 @@ def _pairs_of(found: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x) for x in pairs.T], ["i", "j", "pic_i", "pic_j"])
 
 
+def _columns(batches) -> dict:
+    t = pa.Table.from_batches(batches)
+    c = {name: t.column(name).to_numpy() for name in t.column_names if name != "head"}
+    if "head" in t.column_names:
+        head = t.column("head").combine_chunks()
+        c["split"] = head.is_valid().to_numpy(zero_copy_only=False)
+        c |= {f"head_{f.name}": head.field(f.name).fill_null(0).to_numpy() for f in head.type}
+    return c
+
+
 def _compared(corners: DataFrame) -> DataFrame:
     """(i, j): near corners of different pictures that share an entry; a corner in
     a crowded entry meets the entry's first one, the first that has its descriptor
-    and those just before it, and gives a row (i, -1)."""
+    and those just before it (of its part, where an entry is split), and gives a
+    row (i, -1) with the entry's name and its pic_id."""
 
     def run(batches):
         batches = list(batches)
+        c = _columns(batches) if batches else {"block": np.zeros(0)}
         found = []
-        for c, at, start, end, _ in _entries(batches) if batches else ():
+        for at, start, end, name in _entries(c) if len(c["block"]) else ():
             n, places = end - start, np.arange(len(at))
+            packed = n > CROWD
+            if "split" in c:
+                packed |= c["split"][at]
             sides = []
-            few = places[(n > 1) & (n <= CROWD)]
+            few = places[(n > 1) & ~packed]
             for off in range(1, CROWD):
                 few = few[few + off < end[few]]
                 if not len(few):
                     break
-                near = _near(c, at[few], at[few + off])
-                sides.append((at[few[near]], at[few[near] + off]))
-            crowd = places[n > CROWD]
+                sides.append((at[few], at[few + off]))
+            crowd = places[packed]
             if len(crowd):
                 sides.append((at[start[crowd]], at[crowd]))
                 d0, d1 = c["d0"][at[crowd]], c["d1"][at[crowd]]
@@ -263,42 +299,38 @@ def _compared(corners: DataFrame) -> DataFrame:
                 for off in range(1, BEFORE + 1):
                     later = crowd[crowd - off >= start[crowd]]
                     sides.append((at[later - off], at[later]))
-                one = c["corner"][at[crowd]]
-                found.append(np.stack([one, *np.full((3, len(one)), -1)], 1))
+                one = at[crowd]
+                found.append(np.stack([c["corner"][one], np.full(len(one), -1), name[crowd], c["pic_id"][one]], 1))
+                if "split" in c:
+                    one = one[c["split"][one]]
+                    first = {k: c[f"head_{k}"][one] for k in ("corner", "pic_id", "d0", "d1")}
+                    both = {k: np.concatenate([first[k], c[k][one]]) for k in first}
+                    p, q = np.arange(len(one)), np.arange(len(one)) + len(one)
+                    near = _near(both, p, q)
+                    found.append(_pair_rows(both, p[near], q[near]))
             for p, q in sides:
                 near = _near(c, p, q)
                 found.append(_pair_rows(c, p[near], q[near]))
             found = [np.unique(np.concatenate(found), axis=0)] if found else []
         yield _pairs_of(found)
 
-    return _dealt(corners).mapInArrow(run, PAIR).distinct()
+    cool, hot = _dealt(corners)
+    pairs = cool.mapInArrow(run, PAIR)
+    return (pairs if hot is None else pairs.unionByName(hot.mapInArrow(run, PAIR))).distinct()
 
 
-def _across(crowd: DataFrame, groups: DataFrame) -> DataFrame:
+def _across(crowd: DataFrame, corners: DataFrame, groups: DataFrame) -> DataFrame:
     """(i, j): all near corners that share a crowded entry and whose pictures are
-    in no common group yet.  Entries are dealt in squares of ``SQUARE`` by
-    ``SQUARE`` corners, so no task gets a whole one."""
+    in no common group yet.  ``crowd`` has a row (corner, entry, pic_id) a corner of
+    each crowded entry.  Those of more than one group are dealt in squares of about
+    ``SQUARE`` by ``SQUARE`` corners, so no task gets a whole one."""
     labelled = crowd.join(groups.select(F.col("id").alias("pic_id"), "component"), "pic_id", "left").withColumn("component", F.coalesce("component", "pic_id"))
-
-    def squares(batches):
-        batches = list(batches)
-        for c, at, start, end, key in _entries(batches) if batches else ():
-            if not len(at):
-                continue
-            first = np.flatnonzero(np.diff(start, prepend=-1))
-            group = c["component"][at]
-            mixed = np.repeat(np.minimum.reduceat(group, first) < np.maximum.reduceat(group, first), end[first] - first)
-            here = np.flatnonzero(mixed & (end - start > CROWD))
-            strip, strips = (here - start[here]) // SQUARE, -(-(end - start)[here] // SQUARE)
-            for other in range(int(strips.max(initial=0))):
-                own = other < strips
-                p, q = strip[own], np.full(own.sum(), other)
-                square = mix(mix(mix(key[here[own]]) + np.minimum(p, q).astype(np.uint64)) + np.maximum(p, q).astype(np.uint64))
-                rows = at[here[own]]
-                for k in range(0, len(rows), 100_000):
-                    r = rows[k : k + 100_000]
-                    side = np.where(p == q, 2, (p > q).astype(int))[k : k + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(square[k : k + 100_000].view(np.int64)), pa.array(side.astype(np.int32)), *(pa.array(c[x][r]) for x in ("corner", "pic_id", "component", "d0", "d1"))], ["square", "side", "corner", "pic_id", "component", "d0", "d1"])
+    # counted in the tasks first; a join's hot key is split at run time
+    mixed = labelled.groupBy("entry").agg(F.ceil(F.count(F.lit(1)) / SQUARE).alias("strips"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    rows = labelled.join(mixed.select("entry", "strips"), "entry").join(corners.select("corner", "d0", "d1"), "corner")
+    rows = rows.withColumn("strip", F.pmod(F.xxhash64("corner"), "strips")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("strips") - 1)))
+    side = F.when(F.col("strip") == F.col("other"), 2).otherwise((F.col("strip") > F.col("other")).cast("int"))
+    dealt = rows.select("entry", F.least("strip", "other").alias("p"), F.greatest("strip", "other").alias("q"), side.alias("side"), "corner", "pic_id", "component", "d0", "d1")
 
     def compare(t: pa.Table) -> pa.Table:
         c = {name: t.column(name).to_numpy() for name in t.column_names}
@@ -306,8 +338,7 @@ def _across(crowd: DataFrame, groups: DataFrame) -> DataFrame:
         keep = (c["component"][p] != c["component"][q]) & _near(c, p, q)
         return pa.Table.from_batches([_pairs_of([_pair_rows(c, p[keep], q[keep])])])
 
-    dealt = _dealt(labelled, "component").mapInArrow(squares, "square long, side int, corner long, pic_id long, component long, d0 long, d1 long")
-    return dealt.groupBy("square").applyInArrow(compare, PAIR).distinct()
+    return dealt.groupBy("entry", "p", "q").applyInArrow(compare, PAIR).distinct()
 
 
 _SIDE = ["pic", "x", "y", "scale", "angle"]
@@ -376,11 +407,12 @@ def copy_groups(pictures: DataFrame) -> DataFrame:
     """pic_id, n_corners, group_id (the smallest pic_id linked)."""
     corners = cut(describe(pictures).withColumn("corner", F.monotonically_increasing_id()), "corners")
     compared = cut(_compared(corners), "pairs")
-    pairs, crowd = compared.filter("j >= 0"), compared.filter("j < 0").select(F.col("i").alias("corner"))
+    pairs = compared.filter("j >= 0")
+    crowd = compared.filter("j < 0").select(F.col("i").alias("corner"), F.col("pic_i").alias("entry"), F.col("pic_j").alias("pic_id"))
     links = cut(_consensus(_matches(pairs, corners)), "links")
     groups = components(links)
     if not crowd.isEmpty():
-        more = cut(_across(corners.join(crowd, "corner", "left_semi"), groups), "across")
+        more = cut(_across(crowd, corners, groups), "across")
         if not more.isEmpty():
             # pictures of one group already have their link
             labelled = pairs.join(groups.toDF("pic_i", "of_i"), "pic_i", "left").join(groups.toDF("pic_j", "of_j"), "pic_j", "left")
