@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import hashing, registers, sketch
 from weftline.operators import clustering, components, generators, mincut, paths, small
-from weftline.operators.disjoint_set import DisjointSet
+from weftline.operators.disjoint_set import DisjointSet, grouped_labels
 from weftline.operators.graph import Graph, dense_ids
 from weftline.operators.labels import Labels
 from weftline.plans import queries
@@ -427,6 +427,31 @@ def test_disjoint_set(mode):
         DisjointSet(3, "other")
 
 
+def test_chains_of_customers_in_blocks(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    whole = pairs(queries.union_find_labels(spark, sf))
+    monkeypatch.setattr(queries, "BLOCK", 16)
+    assert queries._chains(spark, sf).count() == len(whole)
+    assert pairs(queries.union_find_labels(spark, sf)) == whole
+
+
+@pytest.mark.parametrize("undo", [False, True])
+def test_large_groups_are_dealt_out(spark, undo):
+    rng = random.Random(3)
+    rows = [(g, rng.randrange(n), rng.randrange(n)) for g, n, m in [(1, 60, 40), (2, 9, 3), (-3, 200, 190)] for _ in range(m)]
+    rows += [(1, i, i + 1) for i in range(100, 160)] + [(4, 5, 5)] * 50 + [(7, 1, None), (None, 1, 2)]
+    want = {}
+    for g, u, v in rows:
+        if None not in (g, u, v):
+            a, b = want.setdefault((g, u), {u}), want.setdefault((g, v), {v})
+            a |= b
+            want |= {(g, x): a for x in a}
+    df = spark.createDataFrame(rows, "grp long, u long, v long")
+    for limit in (7, 10_000):
+        assert pairs(grouped_labels(df, "splitting", undo, limit)) == sorted((g, x, min(s)) for (g, x), s in want.items())
+    assert pairs(grouped_labels(df.filter("false"), limit=1)) == []
+
+
 def test_components(spark, way):
     g = Graph.literal(spark, 9, [(5, 3), (3, 4), (7, 8), (2, 2)])
     labels = components.connected_components(g)

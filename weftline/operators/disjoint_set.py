@@ -10,6 +10,13 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..plans.storage import cut
+from .components import components
+from .graph import dense_ids
+
+PART = 100_000  # arcs of one graph that a task takes at once
 
 
 class DisjointSet:
@@ -81,10 +88,15 @@ class DisjointSet:
         return f"DisjointSet(parents={self.parent}, ranks={self.rank}, components={self.components})"
 
 
-def grouped_labels(edges: DataFrame, find_mode: str = "halving", undo: bool = False) -> DataFrame:
+def grouped_labels(edges: DataFrame, find_mode: str = "halving", undo: bool = False, limit: int = PART) -> DataFrame:
     """``edges`` (grp, u, v), many small graphs -> (grp, id, label): the smallest id
     of each vertex's set, one graph a task.  With ``undo`` all sets are joined in
-    between and restored, which leaves the labels as they are."""
+    between and restored, which leaves the labels as they are.
+
+    A graph of more than ``limit`` arcs is dealt out: each task joins the sets of
+    about ``limit`` of its arcs and gives one pair (id, label) a vertex, and the pairs
+    of all its tasks are joined as components.  Arcs with a null end or group are
+    left out."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         names, ends = np.unique(pdf[["u", "v"]].to_numpy(), return_inverse=True)
@@ -102,4 +114,19 @@ def grouped_labels(edges: DataFrame, find_mode: str = "halving", undo: bool = Fa
         np.minimum.at(least, of, np.arange(len(names)))
         return pd.DataFrame({"grp": pdf["grp"].iloc[0], "id": names, "label": names[least[of]]})
 
-    return edges.groupBy("grp").applyInPandas(run, "grp long, id long, label long")
+    schema = "grp long, id long, label long"
+    edges = edges.select(*(F.col(c).cast("long").alias(c) for c in ("grp", "u", "v"))).dropna()
+    large = edges.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / limit).alias("parts")).filter("parts > 1")
+    if large.isEmpty():
+        return edges.groupBy("grp").applyInPandas(run, schema)
+    large = cut(large, "large")
+    whole = edges.join(large, "grp", "left_anti").groupBy("grp").applyInPandas(run, schema)
+    dealt = edges.join(large, "grp").distinct().withColumn("part", F.pmod(F.xxhash64("u", "v"), "parts"))
+    pairs = cut(dealt.groupBy("grp", "part").applyInPandas(run, schema), "pairs")
+    # numbered in the order of (grp, id), so the least number of a component is its least id
+    number = cut(dense_ids(pairs.select(F.struct("grp", "id").alias("key")), "key"), "numbers")
+    u, v = (number.select(F.col("key.grp").alias("grp"), F.col("key.id").alias(c), F.col("vertex").alias(x)) for c, x in (("id", "u"), ("label", "v")))
+    joined = components(pairs.join(u, ["grp", "id"]).join(v, ["grp", "label"]).select("u", "v"))
+    least = number.join(joined.toDF("vertex", "component"), "vertex", "left").select("key", F.coalesce("component", "vertex").alias("component"))
+    label = number.select(F.col("vertex").alias("component"), F.col("key.id").alias("label"))
+    return whole.unionByName(least.join(label, "component").select("key.grp", "key.id", "label"))

@@ -276,10 +276,17 @@ def min_cut_session(s, d):
     return mincut.min_cut_size(Graph(derived.session(s, d), users), 4, SEED)
 
 
+BLOCK = 1 << 20  # customer keys in a window
+
+
 def _chains(s, d):
-    near = Window.partitionBy("c_nationkey", "c_mktsegment").orderBy("c_custkey")
-    rows = derived.table(s, d, "customer").select(F.col("c_nationkey").cast("long").alias("grp"), F.col("c_custkey").alias("u"), F.coalesce(F.lag("c_custkey").over(near), "c_custkey").alias("v"))
-    return rows
+    """(grp, u, v): each customer and the one before it of its nation and segment,
+    in blocks of keys; the first of a block and the first of the block before."""
+    of = ["grp", "c_mktsegment"]
+    rows = derived.table(s, d, "customer").select(F.col("c_nationkey").cast("long").alias("grp"), "c_mktsegment", F.col("c_custkey").alias("u"), F.floor(F.col("c_custkey") / BLOCK).alias("block"))
+    inner = rows.withColumn("v", F.lag("u").over(Window.partitionBy(*of, "block").orderBy("u"))).filter("v is not null")
+    heads = rows.groupBy(*of, "block").agg(F.min("u").alias("u")).withColumn("v", F.lag("u").over(Window.partitionBy(*of).orderBy("block")))
+    return inner.select("grp", "u", "v").unionByName(heads.select("grp", "u", F.coalesce("v", "u").alias("v")))
 
 
 def union_find_labels(s, d):
