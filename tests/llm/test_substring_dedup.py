@@ -81,3 +81,14 @@ def test_index_counts_equal_brute_force():
         for c in reversed(pattern[:-1]):
             low, high = index.extend(np.array([c]), low, high)
         assert high[0] - low[0] == sum(flat[j : j + len(pattern)] == pattern for j in range(len(flat)))
+
+
+def test_documents_of_one_hash_keep_their_own_spans(spark):
+    shared = " ".join(f"s{i}" for i in range(12))
+    texts = [f"{shared} " + " ".join(f"a{i}" for i in range(9)), " ".join(f"b{i}" for i in range(30)), " ".join(f"c{i}" for i in range(5)) + f" {shared}"]
+    docs = spark.createDataFrame([(7, i, t) for i, t in enumerate(texts)], "dk long, dc int, text string")
+    found, _ = sd.repeated_spans(docs, 10)
+    starts = {}
+    for r in found.collect():
+        starts.setdefault(r.dc, set()).update(r.first + x for x in (r.at or range(r.windows)))
+    assert starts == {0: {0, 1, 2}, 2: {5, 6, 7}}

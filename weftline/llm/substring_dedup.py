@@ -77,21 +77,21 @@ def regions(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def _region_rows(docs: DataFrame, size: int) -> DataFrame:
-    """(dk, anchor, region, first, windows): every region of every text.  ``dk``
-    names the document by doc_id and text."""
+    """(dk, dc, anchor, region, first, windows): every region of every text.  ``dk``
+    and ``dc`` name the document."""
 
     def run(batches):
         for b in text_groups(batches, limit=500_000):
-            hashes, _, _, at, _ = words([t.encode() for t in b.column(1).to_pylist()])
+            hashes, _, _, at, _ = words([t.encode() for t in b.column(2).to_pylist()])
             out = []
-            for dk, i, j in zip(b.column(0).to_pylist(), at.tolist(), at[1:].tolist()):
+            for dk, dc, i, j in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), at.tolist(), at[1:].tolist()):
                 if j - i >= size:
                     anchor, region, first, count = regions(hashes[i:j], size)
-                    out.append((np.full(len(first), dk), anchor.view(np.int64), region.view(np.int64), first.astype(np.int32), count.astype(np.int32)))
+                    out.append((np.full(len(first), dk), np.full(len(first), dc, np.int32), anchor.view(np.int64), region.view(np.int64), first.astype(np.int32), count.astype(np.int32)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["dk", "anchor", "region", "first", "windows"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["dk", "dc", "anchor", "region", "first", "windows"])
 
-    return docs.mapInArrow(run, "dk long, anchor long, region long, first int, windows int")
+    return docs.select("dk", "dc", "text").mapInArrow(run, "dk long, dc int, anchor long, region long, first int, windows int")
 
 
 def _region_words(docs: DataFrame, wanted: DataFrame, n: int, size: int) -> DataFrame:
@@ -102,7 +102,7 @@ def _region_words(docs: DataFrame, wanted: DataFrame, n: int, size: int) -> Data
     def run(batches):
         seen: set[int] = set()
         for b in text_groups(batches, limit=500_000):
-            hashes, _, _, at, _ = words([t.encode() for t in b.column(1).to_pylist()])
+            hashes, _, _, at, _ = words([t.encode() for t in b.column(0).to_pylist()])
             rows = []
             for i, j in zip(at.tolist(), at[1:].tolist()):
                 if j - i < size:
@@ -119,7 +119,7 @@ def _region_words(docs: DataFrame, wanted: DataFrame, n: int, size: int) -> Data
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], ["anchor", "region", "words"])
 
-    return docs.mapInArrow(run, "anchor long, region long, words binary")
+    return docs.select("text").mapInArrow(run, "anchor long, region long, words binary")
 
 
 class WaveletMatrix:
@@ -258,9 +258,9 @@ def _windows(size: int):
 
 
 def repeated_spans(docs: DataFrame, size: int) -> tuple[DataFrame, list[DataFrame]]:
-    """(dk, first, windows, at): per region the offsets of the windows that repeat
-    (none: all do); and the tables to drop when it has been read.  ``docs`` has dk
-    and text."""
+    """(dk, dc, first, windows, at): per region the offsets of the windows that repeat
+    (none: all ``windows`` of it do); and the tables to drop when it has been read.
+    ``docs`` has dk, dc and text."""
     if size < 1:
         raise ValueError("a window has a word at least")
     placed = cut(_region_rows(docs, size), "regions")
@@ -270,7 +270,7 @@ def repeated_spans(docs: DataFrame, size: int) -> tuple[DataFrame, list[DataFram
     counted = cut(counted.join(crowds, "anchor", "left").filter("many > 1 or d > 1"), "counted")
     rivals = counted.filter("d > 1")
     sizes = rivals.agg(F.sum(F.col("windows") + size).alias("n"), F.max("d").alias("d"), F.count(F.lit(1)).alias("regions")).first()
-    found = counted.filter("many > 1").select("anchor", "region", F.array().cast("array<int>").alias("at"))
+    found = counted.filter("many > 1").select("anchor", "region", "windows", F.array().cast("array<int>").alias("at"))
     tables = [placed, counted]
     if sizes.n:
         bodies = _region_words(docs, rivals, sizes.regions, size).dropDuplicates(["anchor", "region"]).join(rivals.select("anchor", "region", "many", "d"), ["anchor", "region"])
@@ -284,9 +284,9 @@ def repeated_spans(docs: DataFrame, size: int) -> tuple[DataFrame, list[DataFram
             hot = single.filter("many = 1").join(twice, ["anchor", "window"], "left_semi").groupBy("anchor", "region").agg(F.collect_list("i").alias("at"))
             tables.append(cut(hot, "hot"))
         for t in tables[2:]:
-            found = found.unionByName(t)
+            found = found.unionByName(t.withColumn("windows", F.lit(0)))
         drop(bodies)
-    return placed.join(found, ["anchor", "region"]).select("dk", "first", "windows", "at"), tables
+    return placed.drop("windows").join(found, ["anchor", "region"]).select("dk", "dc", "first", "windows", "at"), tables
 
 
 def covered(first: list[int], windows: list[int], at: list[list[int]], n: int, size: int) -> np.ndarray:
@@ -302,11 +302,12 @@ def dedup(docs: DataFrame, size: int = 50, keep: list[str] | None = None) -> Dat
     """``keep`` columns of ``docs`` (doc_id by default) with n_words, n_removed
     and kept_text: the words that stay, joined by single blanks."""
     keep = keep or ["doc_id"]
-    key = F.xxhash64("doc_id", "text")
-    found, tables = repeated_spans(docs.filter("text is not null").select(key.alias("dk"), "text"), size)
-    flags = found.distinct().groupBy("dk").agg(*(F.collect_list(c).alias(c) for c in ("first", "windows", "at")))
+    # two hashes of unlike kinds, 96 bits: one of 64 would give a few of 10**10 documents another's spans
+    key = [F.xxhash64("doc_id", "text").alias("dk"), F.hash("text", "doc_id").alias("dc")]
+    found, tables = repeated_spans(docs.filter("text is not null").select(*key, "text"), size)
+    flags = found.distinct().groupBy("dk", "dc").agg(*(F.collect_list(c).alias(c) for c in ("first", "windows", "at")))
     own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]
-    wide = docs.select(*own, F.col("text").alias("text"), key.alias("dk")).join(flags, "dk", "left").drop("dk")
+    wide = docs.select(*own, F.col("text").alias("text"), *key).join(flags, ["dk", "dc"], "left").drop("dk", "dc")
     schema = docs.select(*(F.col(f"`{c}`") for c in keep)).schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
 
     def run(batches):
