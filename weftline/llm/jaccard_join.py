@@ -72,15 +72,15 @@ def _key(tokens: np.ndarray) -> bytes:
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, row_key, n, and the 128-bit identity of the set."""
+    """doc_id, row_key, row_tag, n, and the 128-bit identity of the set."""
 
     def run(batches):
         for b in text_groups(batches, limit=500_000):
             sets = shingle_sets([t or "" for t in b.column(1).to_pylist()], k)
             keys = np.frombuffer(b"".join(_key(s) for s in sets), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1])], ["doc_id", "row_key", "n", "hi", "lo"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1])], ["doc_id", "row_key", "row_tag", "n", "hi", "lo"])
 
-    return docs.select("doc_id", "text", row_key().alias("row_key")).mapInArrow(run, "doc_id long, row_key long, n long, hi long, lo long")
+    return docs.select("doc_id", "text", row_key().alias("row_key"), row_tag().alias("row_tag")).mapInArrow(run, "doc_id long, row_key long, row_tag int, n long, hi long, lo long")
 
 
 def row_key():
@@ -88,6 +88,11 @@ def row_key():
     return F.xxhash64(F.col("doc_id").cast("long"), "text")
 
 
+def row_tag():
+    """Tells apart what shares a row_key: with it a row is named by 96 bits."""
+    return F.hash("text", F.col("doc_id").cast("long"))
+
+
 def _first_tokens(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(token, hi) of the extended prefixes in the order of a mixed hash; a task
     gives equal sets once as far as it remembers them."""
@@ -286,8 +291,8 @@ def _open_blocks(starred: DataFrame, found: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), and
     class_id (smallest doc_id with the same set), one row a document; beside them
-    ``row_key`` and ``group``, which name the row and, even where doc_ids repeat,
-    its component (null without shingles)."""
+    ``row_key`` with ``row_tag`` and ``group``, which name the row and, even where
+    doc_ids repeat, its component (null without shingles)."""
     if not 51 <= percent <= 100:
         raise ValueError("percent is 51 to 100")
     docs = docs.select(F.col("doc_id").cast("long"), "text")
@@ -302,7 +307,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     least = named.groupBy("group").agg(F.min("class_id").alias("least"))
     return (
         sets.withColumnRenamed("n", "n_shingles").join(named.join(least, "group"), ["hi", "lo"], "left")
-        .select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("least", "doc_id").alias("component_id"), "row_key", "group")
+        .select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("least", "doc_id").alias("component_id"), "row_key", "row_tag", "group")
     )
 
 
