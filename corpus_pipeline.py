@@ -53,10 +53,13 @@ def recognised(spark, docs, sf_dir):
 
 def distinct_documents(spark, docs, sf_dir):
     groups = jaccard_join.jaccard_components(docs, k=5, percent=80)
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
-    stay = groups.withColumn("group", F.coalesce("group", "row_key")).groupBy("group").agg(F.min(order).alias("one")).select(F.col("one.row_key").alias("row_key"))
-    rows = docs.select(*DOCUMENTS).dropDuplicates(["doc_id", "text"]).withColumn("row_key", jaccard_join.row_key())
-    return rows.join(stay, "row_key", "left_semi").select(*DOCUMENTS)
+    name = ["row_key", "row_tag"]
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *name)
+    # documents without shingles are groups of their own
+    stay = groups.groupBy("group", *(F.when(F.col("group").isNull(), F.col(c)).alias(f"own_{c}") for c in name)).agg(F.min(order).alias("one")).select("one.row_key", "one.row_tag")
+    # distinct rows by their name, so that they lie as the join wants them and texts move once
+    rows = docs.select(*DOCUMENTS, jaccard_join.row_key().alias("row_key"), jaccard_join.row_tag().alias("row_tag")).dropDuplicates(name)
+    return rows.join(stay, name, "left_semi").select(*DOCUMENTS)
 
 
 def without_repeats(spark, docs, sf_dir):
