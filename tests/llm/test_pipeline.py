@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tests.llm.test_jaccard_join import brute as components
 from tests.llm.test_packing import check
+from weftline.llm import jaccard_join
 
 
 def cut_words(text):
@@ -92,3 +93,29 @@ def test_very_long_texts_and_other_columns(spark, tmp_path):
     texts = expected(docs.unionByName(long).collect())
     assert {r.doc_id for r in rows} == set(texts) and 9001 in texts
     check(rows, texts, 2048)
+
+
+def test_rows_that_share_a_key(spark, monkeypatch):
+    """With a row_key of few values all documents are told apart by the other hash."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("text is not null")
+    rows = [(-1, "!", "en", None, 1), (-1, "!", "en", None, 1), (-2, "!", "en", None, 1), (-3, "", "en", None, 0), (-4, "", "en", None, 0)]
+    docs = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    expected = sorted(corpus_pipeline.distinct_documents(spark, docs, "").select("doc_id", "text").collect())
+    assert [r.doc_id for r in expected[:3]] == [-4, -3, -2] and len({r.doc_id for r in expected}) == len(expected)
+    groups = components([(r.doc_id, r.text) for r in docs.collect()], 5, 80)
+    assert {r.doc_id for r in expected} == {d for d, g in groups.items() if g[1] == d}
+    whole = jaccard_join.row_key
+    monkeypatch.setattr(jaccard_join, "row_key", lambda: F.pmod(whole(), F.lit(3)))
+    assert sorted(corpus_pipeline.distinct_documents(spark, docs, "").select("doc_id", "text").collect()) == expected
+
+
+def test_texts_move_once(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = corpus_pipeline.distinct_documents(spark, docs, "")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # documents by name, and the names that stay: by group, then by name
+    texts = plan[: plan.index("one#")] if "one#" in plan else plan
+    assert "SortMergeJoin" in texts and plan.count("hashpartitioning(row_key#") == 2 and "hashpartitioning(doc_id#" not in plan, plan
