@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.storage import cut
-from .components import components
+from .components import stars
 
 #: Tables of moves that a look-up passes before they are put together.
 MOST = 6
@@ -33,14 +33,14 @@ class Labels:
     def _labelled(self, rows: DataFrame, column: str) -> DataFrame:
         """``rows`` with ``column`` taken to its label."""
         for m in self.moves:
-            rows = rows.join(m.select(F.col("old").alias(column), "new"), column, "left").withColumn(column, F.coalesce("new", column)).drop("new")
+            rows = rows.join(m.select(F.col("old").alias(column), "new").hint("merge"), column, "left").withColumn(column, F.coalesce("new", column)).drop("new")
         return rows
 
     def joined(self, arcs: DataFrame) -> Labels:
         """After a batch of arcs (src, dst); those with an end outside take no part."""
         ends = arcs.select(F.col("src").alias("u"), F.col("dst").alias("v")).filter(F.col("u").between(0, self.n - 1) & F.col("v").between(0, self.n - 1))
         links = self._labelled(self._labelled(ends, "u"), "v")
-        moved = cut(components(links).select(F.col("id").alias("old"), F.col("component").alias("new")).filter("old <> new"), "moves")
+        moved = stars(links).toDF("old", "new")
         left = self.count() - moved.count()
         moves = (*self.moves, moved)
         if len(moves) > MOST:
@@ -69,5 +69,5 @@ def _composed(moves: tuple[DataFrame, ...]) -> DataFrame:
     whole = moves[0]
     for m in moves[1:]:
         on = m.select(F.col("old").alias("new"), F.col("new").alias("next"))
-        whole = whole.join(on, "new", "left").select("old", F.coalesce("next", "new").alias("new")).unionByName(m)
+        whole = whole.join(on.hint("merge"), "new", "left").select("old", F.coalesce("next", "new").alias("new")).unionByName(m)
     return cut(whole, "moves")
