@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import hashing, registers, sketch
-from weftline.operators import clustering, components, generators, mincut, paths, small
+from weftline.operators import clustering, components, generators, mincut, paths, pieces, small
 from weftline.operators.disjoint_set import DisjointSet, grouped_labels
 from weftline.operators.graph import Graph, dense_ids
 from weftline.operators.labels import Labels
@@ -123,6 +123,28 @@ def test_distances_both_ways(spark, monkeypatch):
     assert registers == pairs(paths.reach_registers(g, 5, 9))
 
 
+@pytest.mark.parametrize("most, few", [(1 << 20, 64), (1 << 20, 2), (7, 64)])
+def test_components_of_few_vertices_are_searched_in_tasks(spark, monkeypatch, most, few):
+    """Trees, chains, pairs and lone vertices beside a larger component; all three ways."""
+    chains = [(x, x + 1) for x in range(100, 160) if x % 6]
+    trees = [(x, 200 + x // 4) for x in range(28)] + [(200 + x, 300) for x in range(7)]
+    links = [*chains, *trees, (30, 31), (31, 30), *((40 + a, 40 + b) for a, b in ((0, 1), (1, 2), (2, 0), (2, 3), (3, 4), (0, 5)))]
+    g = Graph.literal(spark, 305, links)
+    want = [pairs(paths.distance_counts(g, symmetric=x)) for x in (True, False)], pairs(paths.reach_registers(g, 5, 9)), paths.hyper_ball(g, 6, 9).first()
+    for name, value in (("ROWS", most), ("FEW", few), ("PAIRS", 50)):
+        monkeypatch.setattr(pieces, name, value)
+    used = []
+    large = paths._large_counts
+    monkeypatch.setattr(paths, "_large_counts", lambda arcs, *a: used.append(arcs.count()) or large(arcs, *a))
+    for limit in (50, 8) if most > 7 and few > 2 else (50,):
+        monkeypatch.setattr(small, "SMALL", limit)
+        assert [pairs(paths.distance_counts(g, symmetric=x)) for x in (True, False)] == want[0]
+        assert pairs(paths.reach_registers(g, 5, 9)) == want[1]
+        ball = paths.hyper_ball(g, 6, 9).first()
+        assert ball.rounds == want[2].rounds and ball.hyper_ball == pytest.approx(want[2].hyper_ball)
+        assert bool(used) == (limit < 50)
+
+
 def test_packed_sketches_merge_as_they_are(spark):
     rows = spark.range(4000).selectExpr("id % 40 as key", "id * 7 % 900 as value")
     for n, b in ((1 << 32, 6), (1 << 40, 4)):
@@ -466,6 +488,12 @@ def test_components(spark, way):
         components.components(chain, 1)
 
 
+def test_edges_that_lie_together_take_no_round(spark):
+    chains = spark.range(0, 4000, 1, 4).selectExpr("id as u", "id + 1 as v").filter("u % 20 < 19")
+    found = components.components(chains, 1)
+    assert found.count() == 4000 and not found.filter("component <> id - id % 20").count()
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_components_of_random_graphs(spark, seed):
     rnd, sets = random.Random(seed), DisjointSet(400)

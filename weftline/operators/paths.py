@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing, registers, sketch
 from ..plans.storage import bucketed, cut, drop
-from . import small
+from . import pieces, small
 from .graph import Graph
 
 
@@ -62,11 +64,9 @@ def _together(tables: list[DataFrame]) -> DataFrame:
 def distance_counts(g: Graph, symmetric: bool = True) -> DataFrame:
     """(dist, pairs): how many ordered pairs of different vertices lie ``dist`` apart.
 
-    All vertices search at once, 64 to a word: a vertex holds a mask of those that
-    reached it, a level sends the new masks along the arcs and merges them by
-    bit_or, and popcounts are summed.  No pair ever is a row: n * n / 64 masks at most.
-    Going both ways, what is not new was reached in the last two levels, so nothing
-    else is read; along the arcs, the masks reached so far are kept."""
+    Going both ways, vertices with one neighbour do not search: what is at k from it
+    is at k + 1 from them.  Components of few vertices are searched in tasks
+    (:mod:`pieces`); in larger ones, all vertices search at once (``_large_counts``)."""
     arcs = _simple(g)
     schema = "dist int, pairs long"
     if 0 < g.n <= small.SMALL:
@@ -76,23 +76,67 @@ def distance_counts(g: Graph, symmetric: bool = True) -> DataFrame:
             return np.unique(dist[dist > 0], return_counts=True)
 
         return small.with_matrix(arcs, g.n, counts_of, schema)
+    counts: dict[int, int] = {}
+
+    def add(dist, pairs):
+        if pairs:
+            counts[dist] = counts.get(dist, 0) + pairs
+
+    hang = None
     if symmetric:
-        arcs = arcs.unionByName(arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+        arcs, hang = _without_leaves(cut(arcs.unionByName(arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "arcs"))
+        total = hang.agg(F.sum("weight").alias("one"), F.sum(F.col("weight") * (F.col("weight") - 1)).alias("two")).first()
+        add(1, 2 * (total.one or 0))
+        add(2, total.two or 0)
+    arcs = cut(arcs, "arcs")
+    rows, large = pieces.split(arcs, arcs if symmetric else g.inside(), hang)
+    levels = "dist long, pairs long, first long, both long"
+    found = pieces.search(rows, pieces.pair_levels, levels).groupBy("dist").agg(*(F.sum(x).alias(x) for x in ("pairs", "first", "both"))).collect()  # a row a level
+    if large is not None:
+        found += _large_counts(large, hang, symmetric)
+    for k, pairs, first, both in found:
+        add(k, pairs)
+        add(k + 1, 2 * first)
+        add(k + 2, both)
+    drop(arcs)
+    return g.spark.createDataFrame(sorted(counts.items()), schema)
+
+
+def _without_leaves(arcs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``arcs`` both ways without those of vertices that have one neighbour (of two that
+    have each other, the larger one), and (vertex, weight): how many of these a vertex has."""
+    ends = cut(arcs.groupBy("src").agg(F.count(F.lit(1)).alias("k"), F.max("dst").alias("up")).filter("k = 1").select(F.col("src").alias("vertex"), "up"), "ends")
+    leaves = ends.join(ends.select(F.col("vertex").alias("up"), F.lit(True).alias("also")).hint("merge"), "up", "left").filter("also is null or up < vertex")
+    leaves = cut(leaves.select("vertex", "up"), "leaves")
+    rest = arcs
+    for end in ("src", "dst"):
+        rest = rest.join(leaves.select(F.col("vertex").alias(end)).hint("merge"), end, "left_anti")
+    return rest.select("src", "dst"), cut(leaves.groupBy(F.col("up").alias("vertex")).agg(F.count(F.lit(1)).alias("weight")), "hang")
+
+
+def _large_counts(arcs: DataFrame, hang: DataFrame | None, symmetric: bool) -> list[tuple[int, int, int, int]]:
+    """(dist, pairs, first, both) as :func:`pieces.pair_levels` has them.
+
+    All vertices of ``arcs`` search at once, 64 to a word: a vertex holds a mask of those that
+    reached it, a level sends the new masks along the arcs and merges them by
+    bit_or, and popcounts are summed.  No pair ever is a row: n * n / 64 masks at most.
+    Going both ways, what is not new was reached in the last two levels, so nothing
+    else is read; along the arcs, the masks reached so far are kept."""
+    start = arcs.select(F.explode(F.array("src", "dst")).alias("vertex")).distinct().select("vertex", F.expr("vertex div 64").alias("word"), F.expr("shiftleft(1L, cast(vertex % 64 as int))").alias("mask"))
     arcs = bucketed(arcs, "src", "arcs")
-    start = g.vertices.select("vertex", F.expr("vertex div 64").alias("word"), F.expr("shiftleft(1L, cast(vertex % 64 as int))").alias("mask"))
     last = cut(start, "masks")
     known, counts = [last], []  # what new masks may repeat
     while True:
-        got = last.join(arcs, F.col("vertex") == F.col("src")).groupBy(F.col("dst").alias("vertex"), "word").agg(F.bit_or("mask").alias("mask"))
+        got = last.join(arcs.hint("merge"), F.col("vertex") == F.col("src")).groupBy(F.col("dst").alias("vertex"), "word").agg(F.bit_or("mask").alias("mask"))
         new = F.col("mask")
         for i, old in enumerate(known):
-            got = got.join(old.withColumnRenamed("mask", f"old_{i}"), ["vertex", "word"], "left")
+            got = got.join(old.withColumnRenamed("mask", f"old_{i}").hint("merge"), ["vertex", "word"], "left")
             new = new.bitwiseAND(F.bitwise_not(F.coalesce(f"old_{i}", F.lit(0))))
         fresh = cut(got.select("vertex", "word", new.alias("mask")).filter("mask <> 0"), "masks")
         found = fresh.agg(F.sum(F.bit_count("mask"))).first()[0]
         if not found:
             break
-        counts.append((len(counts) + 1, found))
+        counts.append((len(counts) + 1, found, *_hanging(fresh, hang)))
         keep = [fresh, last] if symmetric else [cut(known[0].unionByName(fresh).groupBy("vertex", "word").agg(F.bit_or("mask").alias("mask")), "masks")]
         for t in {t.path: t for t in (*known, last)}.values():
             if t.path not in (x.path for x in (fresh, *keep)):
@@ -100,7 +144,20 @@ def distance_counts(g: Graph, symmetric: bool = True) -> DataFrame:
         last, known = fresh, keep
     for t in {t.path: t for t in (arcs, last, fresh, *known)}.values():
         drop(t)
-    return g.spark.createDataFrame(counts, schema)
+    return counts
+
+
+def _hanging(masks: DataFrame, hang: DataFrame | None) -> tuple[int, int]:
+    """Over the pairs that ``masks`` hold, the sums of a vertex's weight and of both
+    weights multiplied."""
+    if hang is None:
+        return 0, 0
+    bits = hang.select(F.expr("vertex div 64").alias("word"), (F.col("vertex") % 64).cast("int").alias("bit"), F.col("weight").alias("w"))
+    words = bits.groupBy("word").agg(F.collect_list(F.struct("bit", "w")).alias("loads"))  # 64 at most
+    own = masks.join(hang.hint("merge"), "vertex").join(words.hint("merge"), "word", "left")
+    there = F.aggregate(F.coalesce("loads", F.array().cast("array<struct<bit:int,w:bigint>>")), F.lit(0).cast("long"), lambda t, x: t + x["w"] * F.getbit("mask", x["bit"]))
+    sums = own.agg(F.sum(F.col("weight") * F.bit_count("mask")), F.sum(F.col("weight") * there)).first()
+    return sums[0] or 0, sums[1] or 0
 
 
 def average_path_length(g: Graph, normalize: str = "half") -> DataFrame:
@@ -135,8 +192,8 @@ def _one_hot(ids: np.ndarray, b: int, seed: int) -> np.ndarray:
     return out
 
 
-def _ball_steps(g: Graph, b: int, seed: int):
-    """Sketches (key, regs) of all vertices' out-reach as arrays: the tables that
+def _ball_steps(edges: DataFrame, b: int, seed: int):
+    """Sketches (key, regs) of the out-reach of all ends of ``edges`` as arrays: the tables that
     together, by maximum, hold them, and the growth of the summed estimates by
     round.  A round sends the arrays of vertices that changed against the arcs,
     and writes those that change by them, with what their estimates gain."""
@@ -155,16 +212,16 @@ def _ball_steps(g: Graph, b: int, seed: int):
                 gain = sketch.estimate_dense(all_[grown], b) - sketch.estimate_dense(own[grown], b)
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(grown)), registers.packed_rows(all_[grown]), pa.array(gain)], ["key", "regs", "gain"])
 
-    arcs = bucketed(_simple(g).select("src", "dst"), "dst", "arcs")
-    state = [cut(g.vertices.withColumnRenamed("vertex", "key").mapInArrow(start, "key long, regs binary"), "regs")]
+    arcs = bucketed(edges.select("src", "dst"), "dst", "arcs")
+    state = [cut(edges.select(F.explode(F.array("src", "dst")).alias("key")).distinct().mapInArrow(start, "key long, regs binary"), "regs")]
     changed, gains = state[0], []
     while True:
-        sent = registers.merged(changed.join(arcs, F.col("key") == F.col("dst")).select(F.col("src").alias("key"), "regs"), 1 << b)
+        sent = registers.merged(changed.join(arcs.hint("merge"), F.col("key") == F.col("dst")).select(F.col("src").alias("key"), "regs"), 1 << b)
         sent = cut(sent.withColumnRenamed("regs", "new"), "sent")
-        own = _together(state).select("key", "regs").join(sent.select("key"), "key", "left_semi")
+        own = _together(state).select("key", "regs").join(sent.select("key").hint("merge"), "key", "left_semi")
         if len(state) > 1:
             own = registers.merged(own, 1 << b)
-        delta = cut(own.join(sent, "key").select("key", "regs", "new").mapInArrow(changes, "key long, regs binary, gain double"), "regs")
+        delta = cut(own.join(sent.hint("merge"), "key").select("key", "regs", "new").mapInArrow(changes, "key long, regs binary, gain double"), "regs")
         drop(sent)
         gain = delta.agg(F.sum("gain")).first()[0]
         if gain is None:
@@ -195,11 +252,24 @@ _DELTAS = 6
 def reach_registers(g: Graph, b: int = 4, seed: int = 0) -> DataFrame:
     """Registers (key, idx, val) of every vertex's out-reach at the fixpoint.
 
-    Few vertices: one task.  Else an array of registers a vertex, in rounds."""
+    Few vertices: one task.  Else components of few are searched in tasks, and larger
+    ones by an array of registers a vertex, in rounds."""
     if 0 < g.n <= small.SMALL:
         return small.with_matrix(_simple(g), g.n, lambda m: _last_registers(m, b, seed), "key long, idx int, val int")
-    width = 1 << b
-    state, _ = _ball_steps(g, b, seed)
+    width, schema = 1 << b, "key long, idx int, val int"
+    arcs = cut(_simple(g), "arcs")
+    rows, large = pieces.split(arcs, g.inside(), g.vertices.withColumn("weight", F.lit(0)))
+
+    def last(*piece):
+        for vertex, registers, _ in _piece_growth(b, seed, *piece):  # noqa: B007
+            pass
+        at, idx = np.nonzero(registers)
+        yield vertex[at], idx.astype(np.int32), registers[at, idx].astype(np.int32)
+
+    found = pieces.search(rows, last, schema, pieces.ROWS >> max(0, b - 6))
+    if large is None:
+        return found
+    state, _ = _ball_steps(large, b, seed)
 
     def run(batches):
         for batch in batches:
@@ -207,7 +277,33 @@ def reach_registers(g: Graph, b: int = 4, seed: int = 0) -> DataFrame:
             at, idx = np.nonzero(rows)
             yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy()[at]), pa.array(idx.astype(np.int32)), pa.array(rows[at, idx].astype(np.int32))], ["key", "idx", "val"])
 
-    return registers.merged(_together(state), 1 << b).mapInArrow(run, "key long, idx int, val int")
+    return found.unionByName(registers.merged(_together(state), 1 << b).mapInArrow(run, schema))
+
+
+def _piece_growth(b: int, seed: int, piece: np.ndarray, src: np.ndarray, dst: np.ndarray, weight: np.ndarray):
+    """Vertices of whole pieces with their registers before and after each round that
+    changes some, and what their estimates gain by it."""
+    arc = dst >= 0
+    vertex = np.unique(np.concatenate([src, dst[arc]]))
+    u, v = np.searchsorted(vertex, src[arc]), np.searchsorted(vertex, dst[arc])
+    u, v = (x[np.argsort(u, kind="stable")] for x in (u, v))
+    registers, changed = _one_hot(vertex, b, seed), np.ones(len(vertex), bool)
+    yield vertex, registers, 0.0
+    while True:
+        live = changed[v]
+        at, to = u[live], v[live]
+        first = np.flatnonzero(np.diff(at, prepend=-1))
+        if not len(first):
+            return
+        own = registers[at[first]]
+        new = np.maximum(own, np.maximum.reduceat(registers[to], first))
+        grown = (new != own).any(1)
+        if not grown.any():
+            return
+        changed = np.zeros(len(vertex), bool)
+        changed[at[first[grown]]] = True
+        registers[at[first[grown]]] = new[grown]
+        yield vertex, registers, float((sketch.estimate_dense(new[grown], b) - sketch.estimate_dense(own[grown], b)).sum())
 
 
 def hyper_ball(g: Graph, b: int = 4, seed: int = 0, textbook: bool = False) -> DataFrame:
@@ -218,9 +314,21 @@ def hyper_ball(g: Graph, b: int = 4, seed: int = 0, textbook: bool = False) -> D
     and the mean is over the estimated reachable pairs."""
     if 0 < g.n <= small.SMALL:
         return small.with_matrix(_simple(g), g.n, lambda m: _ball_rounds(m, b, seed, textbook), "hyper_ball double, rounds int")
-    state, gains = _ball_steps(g, b, seed)
-    for t in state:
-        drop(t)
+    arcs = cut(_simple(g), "arcs")
+    rows, large = pieces.split(arcs, g.inside())
+
+    def gain(*piece):
+        own = [x for _, _, x in _piece_growth(b, seed, *piece)][1:]
+        yield np.arange(len(own)), np.array(own, np.float64)
+
+    found = pieces.search(rows, gain, "round long, gain double", pieces.ROWS >> max(0, b - 6)).groupBy("round").agg(F.sum("gain").alias("gain")).orderBy("round").collect()  # a row a round
+    gains = [r.gain for r in found]
+    drop(arcs)
+    if large is not None:
+        state, more = _ball_steps(large, b, seed)
+        for t in state:
+            drop(t)
+        gains = [x + y for x, y in itertools.zip_longest(gains, more, fillvalue=0.0)]
     total = sum((t + 1 if textbook else t) * x for t, x in enumerate(gains))
     by = sum(gains) if textbook else g.n
     return g.spark.createDataFrame([(float(total / by) if by else None, len(gains) + 1)], "hyper_ball double, rounds int")
