@@ -598,6 +598,22 @@ def test_attached_graphs_are_like_those_grown_in_turn(spark, monkeypatch, d, o):
     assert mean == pytest.approx(mean_turn, rel=0.15)
 
 
+def test_large_graphs_are_not_grown_by_one_task(spark, monkeypatch):
+    monkeypatch.setattr(generators, "TURN_MOST", 1000)
+    grid = spark.createDataFrame([(0, 1000, 10, 5, 3), (1, 3000, 10, 5, 3)], "graph long, n long, d long, o long, seed long")
+    rows = pairs(generators.clustered_grid(grid))
+    assert [(u, w) for g, u, w in rows if g == 0] == sorted(generators._grow(1000, 10, 5, 3))
+    assert [(u, w) for g, u, w in rows if g == 1] == pairs(generators.attached(spark, 3000, 10, 5, 3).edges)
+
+
+def test_attached_arcs_move_once(spark):
+    """The distinct arcs of a source lie in one place, so counts by source move nothing."""
+    counts = queries._grown_shape(generators.attached(spark, 3000, 10, 5, 3).edges)
+    counts.collect()
+    plan = counts._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("hashpartitioning(src") == 1 and "hashpartitioning(graph" in plan and "hashpartitioning(src#" in plan
+
+
 def test_stream_registers_equal_batch(spark, tmp_path):
     rows = spark.range(500).selectExpr("id % 90 as value", "timestamp_seconds(1700000000 + id * 3) as time")
     rows.repartition(3).write.parquet(f"{tmp_path}/in")
