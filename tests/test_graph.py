@@ -397,6 +397,17 @@ def test_cuts_by_a_tree_of_contractions(spark, monkeypatch, task_arcs, strategy)
     assert pairs(mincut.min_cut(as_graph(spark, links), 1 + (strategy == "undo"), 5, strategy)) == bridges
 
 
+def test_dense_graphs_start_by_picks(spark, monkeypatch):
+    """A planted cut between halves of 24 neighbours, too many arcs for a task."""
+    links = regular(200, 24, 4) + [(u + 200, v + 200) for u, v in regular(200, 24, 5)] + [(i, 200 + i) for i in range(9)]
+    monkeypatch.setattr(mincut, "TASK_ARCS", 1500)
+    monkeypatch.setattr(mincut, "_contracted", None)  # picks are enough
+    picked, used = mincut.picked_out, []
+    monkeypatch.setattr(mincut, "picked_out", lambda *a: used.append(a) or picked(*a))
+    cut = mincut.min_cut(as_graph(spark, links), 12, SEED)
+    assert used and pairs(cut) == [(i, 200 + i) for i in range(9)]
+
+
 def test_dense_graphs_shrink_by_certificates(spark, monkeypatch):
     monkeypatch.setattr(mincut, "TASK_ARCS", 400)
     dense = generators.gnm(spark, 80, 4000, 3).edges

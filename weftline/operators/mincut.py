@@ -21,7 +21,13 @@ first loses what no smallest cut can need:
   of an arc with half the weight at one of them.  Every cut smaller than the
   smallest known one stays, so nothing is lost to chance up to here.
 
-If ``TASK_ARCS`` are not reached by the certificate, the recursion itself is laid
+If ``TASK_ARCS`` are not reached by the certificate and vertices have ``DENSE``
+neighbours on average, a trial's two branches first let every vertex pick one of its arcs by
+weight and join what is picked (``picked_out``): that leaves half the sets at most, few in
+graphs without parts, and keeps a smallest cut that is no degree with a probability of at
+least 1/16, for its arcs are at most half of each vertex's and twice the least degree in all.
+
+Where arcs still do not fit, the recursion itself is laid
 out as data: each node (trial and branches taken) of a level becomes two, and all
 nodes of a level contract their own random arcs to 1 / sqrt 2 of their sets in
 the same jobs, until every node fits a task.  Jobs grow with the depth only.
@@ -33,6 +39,7 @@ probability of at least one in about log2 of its sets.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import math
 
@@ -42,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.storage import cut, drop
-from .components import component_count, components, connected_components
+from .components import components, stars
 from .disjoint_set import DisjointSet
 from .graph import Graph
 
@@ -50,6 +57,8 @@ from .graph import Graph
 CORE = 64
 #: Arcs that one task takes.
 TASK_ARCS = 200_000
+#: Neighbours a vertex from which trials start by picks, and trials whose picks one job makes.
+DENSE, PICKS = 16, 16
 #: Contraction to two sets outright below this many.
 SMALL = 6
 
@@ -239,14 +248,14 @@ _FOUND = "node long, cut_size long, side array<long>"
 def _merged(arcs: DataFrame, moves: DataFrame, by: list[str]) -> DataFrame:
     """``arcs`` between the sets that ``moves`` (.., old, new) put their ends into."""
     u, v = (moves.select(*by, F.col("old").alias(x), F.col("new").alias(f"new_{x}")) for x in "uv")
-    ends = arcs.join(u, [*by, "u"], "left").join(v, [*by, "v"], "left").select(*by, F.coalesce("new_u", "u").alias("a"), F.coalesce("new_v", "v").alias("b"), "w")
+    ends = arcs.join(u.hint("merge"), [*by, "u"], "left").join(v.hint("merge"), [*by, "v"], "left").select(*by, F.coalesce("new_u", "u").alias("a"), F.coalesce("new_v", "v").alias("b"), "w")
     return ends.filter("a <> b").groupBy(*by, F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.sum("w").alias("w"))
 
 
 def _connected(g: Graph, pairs: DataFrame) -> bool:
     """Whether all vertices are; in one task where the pairs fit it."""
     if pairs.count() > TASK_ARCS:
-        return component_count(connected_components(g)).first().components == 1
+        return stars(pairs.select("u", "v")).agg(F.count(F.lit(1)), F.count_distinct("component")).first() == (g.n - 1, 1)
     n = g.n
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -288,7 +297,7 @@ def _certified(pairs: DataFrame, known: tuple, maps: list) -> tuple[DataFrame, t
         if count <= TASK_ARCS:
             break
         kept, held = sparser(pairs, known[0], -(-count // TASK_ARCS), salt)
-        moves = cut(components(held).select(F.col("id").alias("old"), F.col("component").alias("new")).filter("old <> new"), "moves")
+        moves = stars(held).toDF("old", "new")
         maps.append(moves)
         pairs = cut(_merged(kept, moves, []), "pairs")
         least = _least_degree(pairs)
@@ -343,16 +352,46 @@ def _contracted(arcs: DataFrame, seed: int, level: int) -> tuple[DataFrame, Data
     return arcs, moved if moved is not None else cut(arcs.select("node", F.col("u").alias("old"), F.col("v").alias("new")).filter("false"), "moves")
 
 
+def picked_out(pairs: DataFrame, n: int, nodes: range, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Arcs (node, u, v, w) of ``pairs`` between the sets of each node, and what moved (node,
+    old, new): in a node, every vertex joins the other end of one of its arcs, taken
+    at random by weight.  Arcs are read once for all nodes."""
+    both = pairs.select(F.col("u").alias("x"), F.col("v").alias("y"), "w").unionByName(pairs.select(F.col("v").alias("x"), F.col("u").alias("y"), "w"))
+
+    def clock(node):
+        chance = (F.shiftrightunsigned(F.xxhash64("x", "y", F.lit(seed), F.lit(node)), 11) + 1) / F.lit(2.0**53)
+        return -F.log(chance) / F.col("w")
+
+    picks = both.groupBy("x").agg(*(F.min_by("y", clock(i)).alias(f"y_{i}") for i in nodes))
+    ends = picks.select("x", F.explode(F.array(*(F.struct(F.lit(i).cast("long").alias("node"), F.col(f"y_{i}").alias("y")) for i in nodes))).alias("p"))
+    found = stars(ends.select((F.col("p.node") * n + F.col("x")).alias("u"), (F.col("p.node") * n + F.col("p.y")).alias("v")))
+    moves = cut(found.select(F.expr(f"id div {n}").alias("node"), (F.col("id") % n).alias("old"), (F.col("component") % n).alias("new")), "moves")
+    to = moves.groupBy("old").agg(F.map_from_entries(F.collect_list(F.struct("node", "new"))).alias("to"))  # a row a vertex
+    rows = pairs
+    for x in "uv":
+        rows = rows.join(to.select(F.col("old").alias(x), F.col("to").alias(f"to_{x}")).hint("merge"), x, "left")
+    rows = rows.withColumn("node", F.explode(F.array(*(F.lit(i).cast("long") for i in nodes))))
+    rows = rows.select("node", "w", *(F.coalesce(F.try_element_at(f"to_{x}", F.col("node")), x).alias(x) for x in "uv")).filter("u <> v")
+    rows = rows.groupBy("node", F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).agg(F.sum("w").alias("w"))
+    return cut(rows.select("node", F.col("a").alias("u"), F.col("b").alias("v"), "w"), "arcs"), moves
+
+
 def _each_trial(pairs: DataFrame, trials: int) -> DataFrame:
     return pairs.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(trials - 1).cast("long"))).alias("node"), "u", "v", "w")
 
 
-def _tree(pairs: DataFrame, trials: int, seed: int, maps: list) -> tuple[DataFrame, int]:
+def _tree(pairs: DataFrame, n: int, trials: int, seed: int, maps: list) -> tuple[DataFrame, int]:
     """The recursion laid out: arcs (node, u, v, w) of nodes that fit a task, and
     their depth.  ``maps`` get what moved at each level."""
-    arcs = _each_trial(pairs, trials)
     depth = 0
-    while arcs.groupBy("node").agg(F.count(F.lit(1)).alias("arcs")).agg(F.max("arcs")).first()[0] > TASK_ARCS:
+    vertices = pairs.select(F.explode(F.array("u", "v")).alias("x")).agg(F.count_distinct("x")).first()[0]
+    if 2 * pairs.count() >= DENSE * vertices > 0:
+        parts = [picked_out(pairs, n, range(i, min(i + PICKS, 2 * trials)), seed) for i in range(0, 2 * trials, PICKS)]
+        arcs, moved = (functools.reduce(DataFrame.unionByName, x) for x in zip(*parts))
+        maps.append(moved)
+    else:
+        arcs = _each_trial(pairs, trials)
+    while (arcs.groupBy("node").agg(F.count(F.lit(1)).alias("arcs")).agg(F.max("arcs")).first()[0] or 0) > TASK_ARCS:
         arcs, moved = _contracted(arcs, seed, depth)
         maps.append(moved)
         depth += 1
@@ -368,7 +407,7 @@ def _side(spark, n: int, maps: list, ids: DataFrame, node: int = 0) -> DataFrame
         if "node" in m.columns:
             deep -= 1
             m = m.filter(F.col("node") == node >> deep).drop("node")
-        sets = sets.join(m.withColumnRenamed("old", "set"), "set", "left").select("vertex", F.coalesce("new", "set").alias("set"))
+        sets = sets.join(m.withColumnRenamed("old", "set").hint("merge"), "set", "left").select("vertex", F.coalesce("new", "set").alias("set"))
     return sets.join(ids.select(F.col("id").alias("set")), "set", "left_semi").select("vertex")
 
 
@@ -420,7 +459,7 @@ def min_cut(g: Graph, trials: int | str | None = None, seed: int = 0, strategy:
     if bound is None:
         nodes = _each_trial(pairs, count)
     else:
-        nodes, _ = _tree(pairs, count, seed, maps)
+        nodes, _ = _tree(pairs, g.n, count, seed, maps)
     found = cut(nodes.groupBy("node").applyInPandas(_search(seed, strategy, find_mode, bound, CORE), _FOUND), "found")
     best = found.orderBy("cut_size", "node").limit(1)
     first = best.select("node", "cut_size").first()
@@ -432,7 +471,7 @@ def min_cut(g: Graph, trials: int | str | None = None, seed: int = 0, strategy:
     side = cut(side, "side")
     arcs = g.inside().select("src", "dst")
     left, right = (side.select(F.col("vertex").alias(x), F.lit(True).alias(f"in_{x}")) for x in ("src", "dst"))
-    return arcs.join(left, "src", "left").join(right, "dst", "left").filter("(in_src is null) <> (in_dst is null)").select("src", "dst")
+    return arcs.join(left.hint("merge"), "src", "left").join(right.hint("merge"), "dst", "left").filter("(in_src is null) <> (in_dst is null)").select("src", "dst")
 
 
 def min_cut_size(g: Graph, trials: int | str | None = None, seed: int = 0, strategy: str = "copy", find_mode: str = "halving") -> DataFrame:
