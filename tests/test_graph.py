@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import hashing, registers, sketch
-from weftline.operators import clustering, components, generators, mincut, paths, pieces, small
+from weftline.operators import clustering, components, generators, graph, mincut, paths, pieces, small
 from weftline.operators.disjoint_set import DisjointSet, grouped_labels
 from weftline.operators.graph import Graph, dense_ids
 from weftline.operators.labels import Labels
@@ -583,6 +583,35 @@ def test_generators(spark):
     assert abs(generators.gnp(spark, 100, 0.5, 2).edge_count() - 2475) < 200
 
 
+def test_generated_arcs_are_counted_where_they_are_drawn(spark, monkeypatch):
+    """Tasks draw in order and have no target in common, so no arc moves to be compared;
+    other tables are counted by both ends."""
+    monkeypatch.setattr(generators, "TASK_ARCS", 1000)
+    for n, m in ((90, 7500), (90, 8010), (3000, 7500)):  # dense, complete, sparse
+        g = generators.gnm(spark, n, m, 3)
+        assert g.edges.rdd.getNumPartitions() == -(-m // 1000)
+        arcs = pairs(g.edges)
+        assert len(set(arcs)) == m and all(u != v and 0 <= u < n and 0 <= v < n for u, v in arcs)
+        want = (0, 0, 0, m)
+        assert generators.gnm_counts(spark, n, m, 3).first() == want == graph.arc_counts(g).first()
+    monkeypatch.setattr(graph.F, "count_distinct", None)
+    assert generators.gnm_counts(spark, 90, 7500, 3).first() == (0, 0, 0, 7500)
+    assert generators.gnm_counts(spark, 1, 0, 3).first() == (0, 0, 0, 0)
+    monkeypatch.undo()
+    arcs = [(0, 1), (2, 2), (0, 1), (5, 0), (0, -1), (0, 1)]
+    for parts in (1, 6):
+        rows = spark.createDataFrame(arcs, "src long, dst long").repartition(parts)
+        assert graph.arc_counts(Graph(rows, 5)).first() == (1, 2, 2, 6)
+
+
+def test_sets_of_arcs_are_equally_likely(monkeypatch):
+    monkeypatch.setattr(generators, "DRAWN", 2)
+    found = Counter(tuple((u, v) for x in generators._arcs_into(4, 1, 3, 3, [seed]) for u, v in zip(*(y.tolist() for y in x))) for seed in range(4000))
+    assert len(found) == 20 and all(u != v for arcs in found for u, v in arcs) and 140 < min(found.values()) and max(found.values()) < 260
+    split = Counter(tuple(generators._dealt(np.array([2, 3]), 2, np.random.default_rng(seed)).tolist()) for seed in range(4000))
+    assert sum(split.values()) == 4000 and [split[x] / 400 for x in ((2, 0), (1, 1), (0, 2))] == pytest.approx([1, 6, 3], abs=0.5)
+
+
 def test_clustered(spark):
     arcs = [tuple(r) for r in generators.clustered(spark, 300, 5, 4, 9).edges.collect()]
     assert len(arcs) == len(set(arcs)) and arcs[:3] == [(0, 1), (2, 0), (2, 2)]
