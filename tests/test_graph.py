@@ -218,6 +218,24 @@ def test_numbered_arcs(spark):
     assert clustering.numbered_arcs(arcs.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("cell", [clustering.CELL, 40])
+def test_closed_pairs_are_no_rows(spark, monkeypatch, cell):
+    """Arcs are dealt to cubes of parts, and no join or shuffle has the pairs that they close."""
+    monkeypatch.setattr(clustering, "CELL", cell)
+    rng = random.Random(4)
+    arcs = [(rng.randrange(-3, 40), rng.randrange(-3, 40)) for _ in range(700)] + [(50, x) for x in range(40)] + [(x, 51) for x in range(20)] + [(None, 1), (None, 2), (4, None), (60, 1), (60, 60), (60, 2)]
+    g = Graph(spark.createDataFrame(arcs, "src long, dst long"), 61)
+    held, out = set(arcs), {}
+    for u, w in held:
+        out.setdefault(u, set()).add(w)
+    for least in (2, 3):
+        want = {j: (len(x), sum((u, w) in held for u in x for w in x if u != w and None not in (u, w, j))) for j, x in out.items() if len(x) >= least}
+        rows = clustering.local_clustering(g, least)
+        assert {r.vertex: (r.degree, r.closed) for r in rows.collect()} == want
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "hashpartitioning(j" in plan and "hashpartitioning(y" not in plan
+
+
 def test_clustering(spark):
     g = edges.twin_fives(spark)
     assert clustering.clustering_exact(g).first().clustering == pytest.approx(0.88)

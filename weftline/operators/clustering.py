@@ -7,7 +7,10 @@ least) the coefficient is the share of ordered pairs of different out-neighbours
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,20 +19,71 @@ from ..plans.storage import cut
 from .graph import Graph
 
 
+#: Arcs of a cell on average: a task holds up to four cells.
+CELL = 1 << 18
+#: Pairs that a task looks up at a time.
+LOOKED_UP = 1 << 22
+
+
+def _closed(table: pa.Table) -> pa.Table:
+    """Arcs (src, dst, near) of a cube -> (j, closed): how many ordered pairs of the ends of j's
+    arcs that are near are joined by arcs that are not."""
+    src, dst, near = (table.column(x).to_numpy() for x in ("src", "dst", "near"))
+    names, ends = np.unique(np.concatenate([src[near], dst[near]]), return_inverse=True)
+    n = len(names)
+    j, x = ends[: near.sum()], ends[near.sum() :]
+    order = np.lexsort((j, x))
+    j, x = j[order], x[order]
+    begin = np.searchsorted(x, np.arange(n + 1))
+    count, places = np.diff(begin), x * n + j
+    u, v = src[~near], dst[~near]
+    at_u, at_v = (np.minimum(np.searchsorted(names, e), max(n - 1, 0)) for e in (u, v))
+    both = (names[at_u] == u) & (names[at_v] == v) if n else np.zeros(len(u), bool)
+    u, v = at_u[both], at_v[both]
+    few = count[u] <= count[v]
+    u, v = np.where(few, u, v), np.where(few, v, u)
+    order = np.argsort(v, kind="stable")  # look-ups that lie together
+    u, v = u[order], v[order]
+    many, closed = count[u], np.zeros(n, np.int64)
+    ends = np.cumsum(many)
+    start = 0
+    while start < len(u):
+        past = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + LOOKED_UP, side="right")))
+        m = many[start:past]
+        own = j[np.repeat(begin[u[start:past]] - (np.cumsum(m) - m), m) + np.arange(m.sum())]
+        key = np.repeat(v[start:past], m) * n + own
+        at = np.minimum(np.searchsorted(places, key), len(places) - 1)
+        closed += np.bincount(own[places[at] == key], minlength=n)
+        start = past
+    some = closed > 0
+    return pa.table([pa.array(names[some]), pa.array(closed[some])], ["j", "closed"])
+
+
+def _closed_pairs(near: DataFrame, arcs: DataFrame, parts: int) -> DataFrame:
+    """(j, closed): ordered pairs of out-neighbours of j, by ``near`` (src, dst), that an arc of
+    ``arcs`` joins.  Vertices are hashed to ``parts``, arcs lie in cells by both ends.  A cube
+    (part of j, two parts of neighbours) holds the four cells that its pairs need, so an
+    arc goes to ``parts`` cubes in each of its roles and a pair is no row."""
+    part = lambda x: F.pmod(F.xxhash64(x), F.lit(parts))
+    other = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("y")
+    rows = near.select("src", "dst", F.lit(True).alias("near"), part("src").alias("a"), part("dst").alias("x"), other)
+    rows = rows.unionByName(arcs.select("src", "dst", F.lit(False).alias("near"), part("src").alias("x"), part("dst").alias("y"), other.alias("a")))
+    cube = (F.col("a") * parts + F.least("x", "y")) * parts + F.greatest("x", "y")
+    found = rows.select(cube.alias("cube"), "src", "dst", "near").groupBy("cube").applyInArrow(_closed, "j long, closed long")
+    return found.groupBy("j").agg(F.sum("closed").alias("closed"))
+
+
 def local_clustering(g: Graph, min_degree: int = 3) -> DataFrame:
     """(vertex, degree, closed, coefficient) of eligible vertices.
 
-    An arc u -> w closes a pair of every j with arcs to both.  These are looked
-    for among the j of that end which has fewer, so what the join makes stays
-    within the arcs to the power 1.5 whatever hubs there are."""
-    arcs = g.simple().filter("src <> dst")
-    degree = g.simple().groupBy("src").agg(F.count(F.lit(1)).alias("degree")).filter(F.col("degree") >= max(2, min_degree))
-    eligible = g.simple().join(degree.select("src"), "src", "left_semi").select(F.col("src").alias("j"), F.col("dst").alias("x"))
-    seen = eligible.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
-    ends = arcs.join(seen.toDF("src", "n_src"), "src").join(seen.toDF("dst", "n_dst"), "dst")
-    few = F.col("n_src") <= F.col("n_dst")
-    ends = ends.select(F.when(few, F.col("src")).otherwise(F.col("dst")).alias("x"), F.when(few, F.col("dst")).otherwise(F.col("src")).alias("y"))
-    closed = ends.join(eligible, "x").join(eligible.toDF("j", "y"), ["j", "y"], "left_semi").groupBy("j").agg(F.count(F.lit(1)).alias("closed"))
+    An arc u -> w closes a pair of every j with arcs to both.  Arcs are dealt to cubes
+    (:func:`_closed_pairs`) and such j looked for in a task, among those of that end which has
+    fewer: what moves is the arcs, times the square root of their number by ``CELL``."""
+    simple = cut(g.simple(), "simple")
+    degree = simple.groupBy("src").agg(F.count(F.lit(1)).alias("degree")).filter(F.col("degree") >= max(2, min_degree))
+    near = simple.join(degree.select("src"), "src", "left_semi").filter("dst is not null")
+    parts = max(2, math.ceil(math.sqrt(simple.count() / CELL)))
+    closed = _closed_pairs(near, simple.filter("src <> dst"), parts)
     rows = degree.join(closed.withColumnRenamed("j", "src"), "src", "left").select(F.col("src").alias("vertex"), "degree", F.coalesce("closed", F.lit(0)).cast("long").alias("closed"))
     return rows.withColumn("coefficient", F.col("closed") / (F.col("degree") * (F.col("degree") - 1)))
 
