@@ -218,6 +218,23 @@ def test_numbered_arcs(spark):
     assert clustering.numbered_arcs(arcs.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("weights, light", [((1, 1, 2, 5, 12), 0), ((4, 7, 12), 1)])
+def test_large_rings_come_down_to_a_kernel(spark, monkeypatch, weights, light):
+    """Certificates take nothing off a ring of light arcs: vertices are joined by half their
+    weight, and no recursion is laid out.  With two lighter arcs the smallest cut is no degree."""
+    monkeypatch.setattr(mincut, "TASK_ARCS", 300)
+    monkeypatch.setattr(mincut, "_tree", None)
+    n = 1000
+    weight = random.Random(3).choices(weights, k=n)
+    if light:
+        weight[100] = weight[700] = light
+    arcs = [(i, (i + 1) % n) for i, w in enumerate(weight) for _ in range(w)]
+    found = pairs(mincut.min_cut(Graph(spark.createDataFrame(arcs, "src long, dst long"), n), 20, 3))
+    assert len(found) == sum(sorted(weight)[:2])
+    rest = list((Counter(arcs) - Counter(found)).elements())
+    assert len({r.component for r in components.connected_components(Graph(spark.createDataFrame(rest, "src long, dst long"), n)).collect()}) == 2
+
+
 @pytest.mark.parametrize("cell", [clustering.CELL, 40])
 def test_closed_pairs_are_no_rows(spark, monkeypatch, cell):
     """Arcs are dealt to cubes of parts, and no join or shuffle has the pairs that they close."""

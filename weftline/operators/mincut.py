@@ -14,7 +14,9 @@ first loses what no smallest cut can need:
   the least weighted degree), is dropped: cuts of up to ``size`` keep all their
   arcs and others stay larger.  Ends of an arc beyond forest ``size`` are joined: more
   than ``size`` arcs would have to go to part them.  Parts are dealt by hash and
-  scanned in a task each, as certificates of parts make one of the whole.
+  scanned in a task each, as certificates of parts make one of the whole.  Where they
+  take little off, arcs with half the weight at one of their ends are joined (``_half_held``),
+  as in the kernel.
 * Kernel (``kernel``).  Once ``TASK_ARCS`` arcs are left, scans go on in one task;
   where no arc lies beyond the forests any more but more than ``CORE`` sets are
   left, ends that ``size`` arcs at least hold together are joined, too, and ends
@@ -255,7 +257,8 @@ def _merged(arcs: DataFrame, moves: DataFrame, by: list[str]) -> DataFrame:
 def _connected(g: Graph, pairs: DataFrame) -> bool:
     """Whether all vertices are; in one task where the pairs fit it."""
     if pairs.count() > TASK_ARCS:
-        return stars(pairs.select("u", "v")).agg(F.count(F.lit(1)), F.count_distinct("component")).first() == (g.n - 1, 1)
+        near = pairs.select("u", "v").repartitionByRange("u")  # what a task joins before the first round
+        return stars(near).agg(F.count(F.lit(1)), F.count_distinct("component")).first() == (g.n - 1, 1)
     n = g.n
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -289,21 +292,40 @@ def sparser(pairs: DataFrame, size: int, parts: int, salt: int) -> tuple[DataFra
     return found.filter("w > 0").select("u", "v", "w"), found.filter("held = 1").select("u", "v")
 
 
+def _half_held(pairs: DataFrame) -> DataFrame:
+    """(u, v): a vertex and the other end of its heaviest arc, if that has half its weight at
+    least.  All may be joined at once: towards the root of what they make, each vertex goes
+    over to a set that holds half of it, which makes no cut larger, its own degree
+    aside.  Equal weights are told apart by a hash, so ways stay short."""
+    ends = pairs.select("u", "v", "w").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
+    rank = F.struct("w", F.xxhash64(F.least("u", "v"), F.greatest("u", "v")), "v")
+    return ends.groupBy("u").agg(F.sum("w").alias("d"), F.max("w").alias("top"), F.max_by("v", rank).alias("v")).filter("2 * top >= d").select("u", "v")
+
+
 def _certified(pairs: DataFrame, known: tuple, maps: list) -> tuple[DataFrame, tuple]:
-    """Certificates of parts, one after the other, as long as they take a tenth off.
+    """Certificates of parts, one after the other, as long as they take a tenth off; once
+    they do not, only cuts smaller than the smallest known one stay, and vertices are joined
+    to what holds half of them (``_half_held``) as long as both together take that off.
     ``maps`` get what moved, ``known`` is (size, level, ids): a cut by ids of sets."""
-    count = pairs.count()
+
+    def joined(kept, held):
+        moves = stars(held).toDF("old", "new")
+        maps.append(moves)
+        out = cut(_merged(kept, moves, []), "pairs")
+        least = _least_degree(out)
+        return out, (least.d, len(maps), [least.vertex]) if least is not None and least.d < known[0] else known
+
+    count, every = pairs.count(), True
     for salt in range(100):
         if count <= TASK_ARCS:
             break
-        kept, held = sparser(pairs, known[0], -(-count // TASK_ARCS), salt)
-        moves = stars(held).toDF("old", "new")
-        maps.append(moves)
-        pairs = cut(_merged(kept, moves, []), "pairs")
-        least = _least_degree(pairs)
-        if least is not None and least.d < known[0]:
-            known = (least.d, len(maps), [least.vertex])
-        before, count = count, pairs.count()
+        before = count
+        pairs, known = joined(*sparser(pairs, known[0] - (not every), -(-count // TASK_ARCS), salt))
+        count = pairs.count()
+        if count > TASK_ARCS and (not every or count > 0.9 * before):
+            every = False
+            pairs, known = joined(pairs, _half_held(pairs))
+            count = pairs.count()
         if count > 0.9 * before:
             break
     return pairs, known
@@ -457,7 +479,8 @@ def min_cut(g: Graph, trials: int | str | None = None, seed: int = 0, strategy:
             maps.append(rows.filter("kind = 1").select(F.col("a").alias("old"), F.col("b").alias("new")))
             pairs = rows.filter("kind = 0").select(F.col("a").alias("u"), F.col("b").alias("v"), "w")
     if bound is None:
-        nodes = _each_trial(pairs, count)
+        # a kernel is few rows, but its trials are not little work: they are not put together in one task
+        nodes = _each_trial(pairs, count).repartition(min(count, 2 * spark.sparkContext.defaultParallelism), "node")
     else:
         nodes, _ = _tree(pairs, g.n, count, seed, maps)
     found = cut(nodes.groupBy("node").applyInPandas(_search(seed, strategy, find_mode, bound, CORE), _FOUND), "found")
