@@ -639,6 +639,13 @@ def test_generated_arcs_are_counted_where_they_are_drawn(spark, monkeypatch):
         assert graph.arc_counts(Graph(rows, 5)).first() == (1, 2, 2, 6)
 
 
+def test_generated_arcs_are_written_small(spark, tmp_path):
+    """In order of sources, a task's arcs to its targets: 1.5 bytes each, not 2.8 as in random order."""
+    generators.gnp(spark, 2000, 0.6, SEED).edges.write.parquet(f"{tmp_path}/arcs")
+    arcs = spark.read.parquet(f"{tmp_path}/arcs").count()
+    assert sum(f.stat().st_size for f in tmp_path.glob("arcs/*.parquet")) < 2 * arcs
+
+
 def test_sets_of_arcs_are_equally_likely(monkeypatch):
     monkeypatch.setattr(generators, "DRAWN", 2)
     found = Counter(tuple((u, v) for x in generators._arcs_into(4, 1, 3, 3, [seed]) for u, v in zip(*(y.tolist() for y in x))) for seed in range(4000))
