@@ -12,7 +12,8 @@
 4. ``packing``: what is left is packed into sequences of 2048 tokens.
 
 Each stage takes the documents its predecessor kept and, but for the last,
-returns the columns of documents.
+returns the columns of documents.  ``run`` stores what a stage returns, once; a
+stage stores no whole texts of its own but what is left of repeats.
 
 Defined results: a null or empty text has no language and goes; a null doc_id
 is a document like any other; rows equal in doc_id and text are one document
@@ -31,10 +32,6 @@ from weftline.llm import jaccard_join, language_id, packing, substring_dedup
 from weftline.llm.common import cut, table
 
 DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Rows that go to a Python worker at once while documents are parsed: with whole
-#: texts in them, Spark's default of 10,000 takes much memory on both sides.
-BATCH_ROWS = "2000"
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def recognised(spark, docs, sf_dir):
@@ -42,13 +39,8 @@ def recognised(spark, docs, sf_dir):
     model = language_id.fit(docs)
     if not model.labels:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    found = language_id.predict(docs, model, DOCUMENTS).filter("lang_pred <> 'und'").select(*(F.col("lang_pred").alias(c) if c == "lang" else c for c in DOCUMENTS))
-    before = spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, BATCH_ROWS)
-    try:
-        return cut(found, "recognised")
-    finally:
-        spark.conf.set(_BATCH, before)
+    label = language_id.label(spark, model)
+    return docs.withColumn("lang", label("text")).filter("lang <> 'und'")
 
 
 def distinct_documents(spark, docs, sf_dir):
@@ -63,10 +55,9 @@ def distinct_documents(spark, docs, sf_dir):
 
 
 def without_repeats(spark, docs, sf_dir):
-    rest = substring_dedup.dedup(docs, 50, DOCUMENTS).filter("n_removed = 0 or n_removed < n_words")
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    rest = substring_dedup.dedup(docs, 50, ["doc_id", "lang", "source", "n_chars"], as_is=True).filter("n_removed = 0 or n_removed < n_words")
     length = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
-    return rest.select("doc_id", text.alias("text"), "lang", "source", length.alias("n_chars"))
+    return rest.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", length.alias("n_chars"))
 
 
 def packed(spark, docs, sf_dir):

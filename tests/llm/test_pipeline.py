@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tests.llm.test_jaccard_join import brute as components
 from tests.llm.test_packing import check
-from weftline.llm import jaccard_join
+from weftline.llm import jaccard_join, substring_dedup
+from weftline.plans import storage
 
 
 def cut_words(text):
@@ -119,3 +120,23 @@ def test_texts_move_once(spark):
     # documents by name, and the names that stay: by group, then by name
     texts = plan[: plan.index("one#")] if "one#" in plan else plan
     assert "SortMergeJoin" in texts and plan.count("hashpartitioning(row_key#") == 2 and "hashpartitioning(doc_id#" not in plan, plan
+
+
+def test_texts_are_stored_once(spark, monkeypatch):
+    """Whole texts that a stage stores beside its result stay on disk while later stages run."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    stored, write = [], storage.cut
+    for module in (corpus_pipeline, substring_dedup):
+        monkeypatch.setattr(module, "cut", lambda df, label, *a: stored.append((label, df.columns)) or write(df, label, *a))
+    step = corpus_pipeline.recognised(spark, docs, "")
+    assert step.columns == corpus_pipeline.DOCUMENTS and not stored, stored
+    step = corpus_pipeline.without_repeats(spark, step, "")
+    assert step.columns == corpus_pipeline.DOCUMENTS
+    assert [(label, [c for c in columns if "text" in c]) for label, columns in stored if any("text" in c for c in columns)] == [("deduped", ["kept_text"])]
+
+
+def test_texts_that_lose_nothing_stay_as_they_are(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, " two  blanks\n"), (2, words), (3, f"x  y {words}"), (4, ""), (5, None)]
+    docs = spark.createDataFrame([(d, t, "en", None, None) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(corpus_pipeline.without_repeats(spark, docs, "").select("doc_id", "text", "n_chars").collect()) == [(1, " two  blanks\n", None), (3, "x y", 3), (4, "", None), (5, None, None)]

@@ -29,12 +29,13 @@ parsed whole; other columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import text_groups
@@ -266,6 +267,20 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None
     return source.mapInArrow(run, schema)
 
 
+def label(spark: SparkSession, model: LanguageModel):
+    """The label of a text column as a column: only texts go to the workers and only labels
+    come back, so the other columns of whole documents stay where they are."""
+    shared = spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            groups = text_groups([pa.RecordBatch.from_arrays([texts], ["text"])], limit=500_000)
+            yield pa.array([x for g in groups for x in shared.value.predict(g.column(0).to_pylist())[0]], pa.string())
+
+    # else a filter on the label would predict once more
+    return F.arrow_udf(run, "string").asNondeterministic()
+
+
 def identify(docs: DataFrame, rows: int = 16, usual: int = 40_000) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every document."""
     docs = docs.select("doc_id", "text", "lang")

@@ -298,9 +298,10 @@ def covered(first: list[int], windows: list[int], at: list[list[int]], n: int, s
     return np.cumsum(edge[:-1]) > 0
 
 
-def dedup(docs: DataFrame, size: int = 50, keep: list[str] | None = None) -> DataFrame:
+def dedup(docs: DataFrame, size: int = 50, keep: list[str] | None = None, as_is: bool = False) -> DataFrame:
     """``keep`` columns of ``docs`` (doc_id by default) with n_words, n_removed
-    and kept_text: the words that stay, joined by single blanks."""
+    and kept_text: the words that stay, joined by single blanks; with ``as_is``, the
+    text itself where no word goes."""
     keep = keep or ["doc_id"]
     # two hashes of unlike kinds, 96 bits: one of 64 would give a few of 10**10 documents another's spans
     key = [F.xxhash64("doc_id", "text").alias("dk"), F.hash("text", "doc_id").alias("dc")]
@@ -319,7 +320,7 @@ def dedup(docs: DataFrame, size: int = 50, keep: list[str] | None = None) -> Dat
                 if repeats[0]:
                     gone = covered(*repeats, len(own), size)
                     rest = [w for w, g in zip(own, gone.tolist()) if not g]
-                rows.append((len(own), len(own) - len(rest), b" ".join(rest).decode()))
+                rows.append((len(own), len(own) - len(rest), text if as_is and len(rest) == len(own) else b" ".join(rest).decode()))
             yield pa.RecordBatch.from_arrays([*b.columns[:k], *(pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string())))], [*keep, "n_words", "n_removed", "kept_text"])
 
     out = cut(wide.mapInArrow(run, schema), "deduped")
