@@ -646,6 +646,24 @@ def test_generated_arcs_are_written_small(spark, tmp_path):
     assert sum(f.stat().st_size for f in tmp_path.glob("arcs/*.parquet")) < 2 * arcs
 
 
+def test_tasks_have_few_sources(spark, monkeypatch):
+    """No more than fit Parquet's dictionary; tasks that share targets do not share sources, so still nothing is compared."""
+    rows = generators.gnm(spark, 300_000, 600_000, 3).edges.groupBy(F.spark_partition_id()).agg(F.count_distinct("src").alias("k")).collect()
+    assert len(rows) > 1 and max(r.k for r in rows) <= 131_072
+    monkeypatch.setattr(generators, "TASK_ARCS", 1000)
+    monkeypatch.setattr(generators, "SOURCES", 40)
+    for n, m in ((90, 7500), (90, 8010), (300, 7500)):
+        arcs = pairs(generators.gnm(spark, n, m, 3).edges)
+        assert len(set(arcs)) == m and all(u != v and 0 <= u < n and 0 <= v < n for u, v in arcs)
+        with monkeypatch.context() as apart:
+            apart.setattr(graph.F, "count_distinct", None)
+            assert generators.gnm_counts(spark, n, m, 3).first() == (0, 0, 0, m)
+    # of two tasks with equal ranges, and of overlapping ones in one band of sources, arcs are counted by both ends
+    for arcs, want in (([[(1, 2)], [(1, 2)], [(5, 0)]], 1), ([[(0, 1), (3, 1)], [(1, 5)], [(2, 1), (3, 1)]], 1), ([[(0, 1)], [(1, 1)]], 0)):
+        rows = spark.sparkContext.parallelize(arcs, len(arcs)).flatMap(lambda x: x).toDF("src long, dst long")
+        assert graph.arc_counts(Graph(rows, 9)).first().repeated == want
+
+
 def test_sets_of_arcs_are_equally_likely(monkeypatch):
     monkeypatch.setattr(generators, "DRAWN", 2)
     found = Counter(tuple((u, v) for x in generators._arcs_into(4, 1, 3, 3, [seed]) for u, v in zip(*(y.tolist() for y in x))) for seed in range(4000))
