@@ -722,3 +722,44 @@ def test_stream_registers_equal_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert pairs(spark.table("reg")) == pairs(sketches.windowed_registers(rows, "value", "time", "10 minutes", "1 hour", 5, 3))
+
+
+def test_many_places_are_drawn_by_gaps(spark, monkeypatch):
+    """Nothing is sorted or drawn again, any place is as likely as others, neighbours do not depend on each other."""
+    for q in (0.0012, 0.01, 0.3, 0.5):
+        table, rare, rest = generators._gaps(q)
+        share = (1 - rare) * np.bincount(table, minlength=len(rest) + 1)[1:] / 65536 + rare * np.diff(rest, prepend=0)
+        assert np.abs(share - q * (1 - q) ** np.arange(len(rest))).max() < 1e-15
+    size, k, barred, none = 50_000, 5000, np.arange(7, 50_000, 100), np.zeros(0, np.int64)
+    times, pairs_found = np.zeros(size), 0
+    with monkeypatch.context() as unsorted:
+        unsorted.setattr(generators.np, "sort", None)
+        for seed in range(200):
+            at = generators._chosen(size, none, k, np.random.default_rng(seed))
+            assert len(at) == k and at[0] >= 0 and at[-1] < size and (np.diff(at) > 0).all()
+            times[at] += 1
+            pairs_found += np.count_nonzero(np.diff(at) == 1)
+    assert abs(((times - 20) ** 2).sum() / (20 * 0.9) - size) < 5 * (2 * size) ** 0.5
+    assert abs(pairs_found - 200 * k * (k - 1) / size) < 5 * (200 * k * k / size) ** 0.5
+    for seed in range(20):
+        at = generators._chosen(size, barred, k, np.random.default_rng(seed))
+        assert len(set(at.tolist()) - set(barred.tolist())) == k == len(at)
+    # through Spark, in blocks with loops and without
+    monkeypatch.setattr(generators, "TASK_ARCS", 30_000)
+    monkeypatch.setattr(generators, "DRAWN", 10_000)
+    monkeypatch.setattr(generators, "TOGETHER", 2)
+    g = generators.gnm(spark, 1500, 200_000, 3)
+    assert g.edges.distinct().count() == 200_000 and g.edges.filter("src = dst").isEmpty() and len(g.inside().take(1))
+    tasks = generators._made(spark, 1500, 200_000, 3, count=True)
+    assert tasks.count() == 7 and tasks.filter("ascend and loops = 0 and outside = 0").count() == 7
+    assert generators.gnm_counts(spark, 1500, 200_000, 3).first() == (0, 0, 0, 200_000) == graph.arc_counts(g).first()
+
+
+def test_blocks_of_arcs_are_tallied():
+    def tallied(*blocks):
+        return tuple(graph.tally(5, [[np.array(x, np.int32) for x in zip(*b)] for b in blocks]).to_pylist()[0].values())
+
+    assert tallied([(0, 1), (0, 3)], [(1, 0), (4, 4)]) == (4, 1, 0, True, 0, 4, 0, 4)
+    assert tallied([(0, 1), (0, 3)], [(0, 3)])[3] is False is tallied([(0, 3), (0, 1)])[3] is tallied([(1, 0), (0, 1)])[3] is tallied([(2, 1)], [(1, 2)])[3]
+    assert tallied([(0, 7), (3, 3), (3, -1)])[:4] == (3, 1, 2, False)
+    assert graph.tally(5, []).to_pylist()[0]["arcs"] == 0
