@@ -753,6 +753,8 @@ def test_many_places_are_drawn_by_gaps(spark, monkeypatch):
     tasks = generators._made(spark, 1500, 200_000, 3, count=True)
     assert tasks.count() == 7 and tasks.filter("ascend and loops = 0 and outside = 0").count() == 7
     assert generators.gnm_counts(spark, 1500, 200_000, 3).first() == (0, 0, 0, 200_000) == graph.arc_counts(g).first()
+    one = generators.gnp_grid(spark.createDataFrame([(1, 400, 0.5, 7)], "graph long, n long, p double, seed long"))
+    assert one.distinct().count() == generators._arcs(400, 0.5, 7) and one.filter("src = dst or src not between 0 and 399 or dst not between 0 and 399").isEmpty()
 
 
 def test_blocks_of_arcs_are_tallied():
